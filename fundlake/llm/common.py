@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +15,23 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives executors this package, once for a session, where they were not started with it on their path."""
+    context = spark.sparkContext
+    if getattr(context, "_fundlake_shipped", False):
+        return
+    context._fundlake_shipped = True
+    package = Path(__file__).resolve().parent.parent
+    target = Path(tempfile.mkdtemp(prefix="fundlake-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    context.addPyFile(str(target))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables of ``sf_dir``."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -40,6 +57,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` written as a table to the shared folder and read again: cuts lineage and survives lost executors."""
+    ship(df.sparkSession)
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -63,14 +81,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
     return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, component): the smallest node that links reach, for every node of ``edges`` (src, dst).
 
-    Large-star and small-star steps on tables written to the shared folder, until nothing changes; each step
-    halves the depth, so few rounds are needed and no node's links meet in one task: a star is dealt by
-    (node, neighbour) joins and minima that are aggregated before the shuffle.
+    Each round takes the neighbours' minimum, hooks a root onto the lowest label that its members see, and jumps to the
+    root's root, until nothing changes. Minima are aggregated before they are dealt out, and each round's labels are written to
+    the shared folder.
     """
-    del nodes
     both = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     links = written(both)
     ids = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()

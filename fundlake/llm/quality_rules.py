@@ -46,36 +46,32 @@ def _repeated(words: Column) -> Column:
     return F.when(F.size(words) < 3, 0).otherwise(counted)
 
 
-def statistics(docs: DataFrame, *keep: str) -> DataFrame:
-    """``keep`` and the statistics of ``text``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, RULE_COLUMNS.
+def measures(text: Column) -> Column:
+    """A struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and RULE_COLUMNS for one text; null is empty.
 
-    A null or empty text has no words and zeros everywhere. All columns are read before they are named anew, so other columns
-    of ``docs`` with the same names don't matter.
+    One expression, each part of which is computed once, also where a filter on it moves below other steps.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    base = docs.select(*keep, text.alias("_text"), words.alias("_words"))
-    lines = F.filter(F.split("_text", "\n", -1), lambda x: F.translate(x, _SPACES, "") != "")
-    counts = base.select(
-        *keep,
-        F.size("_words").cast("long").alias("n_words"),
-        F.char_length(F.translate("_text", _SPACES, "")).cast("long").alias("word_chars"),
-        _count(F.col("_text"), _SYMBOLS).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"), F.size(x).alias("all"))).alias("_lines"),
-        _repeated(F.col("_words")).cast("long").alias("n_repeat_words"),
-        F.size(F.array_distinct("_words")).alias("_distinct"),
-        *(_count(F.col("_text"), c).alias(f"_{k}") for k, c in (("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("digit", "0123456789"), ("bang", "!"), ("pipe", "|"), ("stop", ".?"))),
-    )
-    per_char = lambda c: F.coalesce(F.try_divide(F.col(c).cast("double"), F.col("word_chars")), F.lit(0.0))
-    per_word = lambda c: F.coalesce(F.try_divide(F.col(c).cast("double"), F.col("n_words")), F.lit(0.0))
-    return counts.select(
-        *keep, "n_words", "word_chars", "n_symbols", F.col("_lines.dup").alias("n_dup_lines"), "n_repeat_words",
-        per_word("word_chars").alias("mean_word"), per_char("n_symbols").alias("symbol_share"), per_char("_upper").alias("upper_share"),
-        per_char("_digit").alias("digit_share"), per_char("_bang").alias("bang_share"), per_char("_pipe").alias("pipe_share"), per_word("_stop").alias("stop_share"),
-        F.coalesce(F.try_divide(F.col("_lines.dup").cast("double"), F.col("_lines.all")), F.lit(0.0)).alias("dup_line_share"),
-        per_word("n_repeat_words").alias("repeat_share"), per_word("_distinct").alias("distinct_share"),
-        F.coalesce(F.try_divide(F.col("n_words").cast("double"), F.col("_lines.all")), F.lit(0.0)).alias("words_per_line"),
-    )
+
+    def counted(t: Column) -> Column:
+        words = F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+        lines = F.filter(F.split(t, "\n", -1), lambda x: F.translate(x, _SPACES, "") != "")
+        in_lines = let(lines, lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).alias("dup"), F.size(x).alias("all")))
+        in_words = let(words, lambda w: F.struct(F.size(w).alias("n"), _repeated(w).alias("again"), F.size(F.array_distinct(w)).alias("distinct")))
+        kinds = (("symbols", _SYMBOLS), ("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("digit", "0123456789"), ("bang", "!"), ("pipe", "|"), ("stop", ".?"))
+        return F.struct(in_words.alias("w"), in_lines.alias("l"), F.char_length(F.translate(t, _SPACES, "")).alias("chars"), *(_count(t, c).alias(k) for k, c in kinds))
+
+    def shares(m: Column) -> Column:
+        over = lambda x, y: F.coalesce(F.try_divide(x.cast("double"), y), F.lit(0.0))
+        w, lines = m["w"], m["l"]
+        return F.struct(
+            w["n"].cast("long").alias("n_words"), m["chars"].cast("long").alias("word_chars"), m["symbols"].cast("long").alias("n_symbols"),
+            lines["dup"].cast("long").alias("n_dup_lines"), w["again"].cast("long").alias("n_repeat_words"),
+            over(m["chars"], w["n"]).alias("mean_word"), *(over(m[k], m["chars"]).alias(f"{n}_share") for k, n in (("symbols", "symbol"), ("upper", "upper"), ("digit", "digit"), ("bang", "bang"), ("pipe", "pipe"))),
+            over(m["stop"], w["n"]).alias("stop_share"), over(lines["dup"], lines["all"]).alias("dup_line_share"), over(w["again"], w["n"]).alias("repeat_share"),
+            over(w["distinct"], w["n"]).alias("distinct_share"), over(w["n"], lines["all"]).alias("words_per_line"),
+        )
+
+    return let(let(F.coalesce(text, F.lit("")), counted), shares)
 
 
 @dataclass(frozen=True)
@@ -90,10 +86,11 @@ class Rule:
             out &= (x[column] > cut) == above
         return out
 
-    def column(self) -> Column:
+    def column(self, m: Column) -> Column:
+        """The rule over the struct of measures."""
         out = F.lit(True)
         for column, above, cut in self.terms:
-            out &= F.col(column) > cut if above else F.col(column) <= cut
+            out &= m[column] > cut if above else m[column] <= cut
         return out
 
     def __str__(self) -> str:
@@ -156,23 +153,34 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.97, le
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000) -> list[Rule]:
     """Rules from the statistics of about ``max_rows`` labelled rows at most, none of the held-out fold."""
-    sample = statistics(labelled_sample(docs, labels, "quality", max_rows), "doc_id", "y").where("n_words > 0")
-    rows = sorted(sample.select("doc_id", "y", *RULE_COLUMNS).collect())
+    sample = labelled_sample(docs, labels, "quality", max_rows).select("doc_id", "y", measures(F.col("text")).alias("m")).where("m.n_words > 0")
+    rows = sorted(sample.select("doc_id", "y", *(f"m.{c}" for c in RULE_COLUMNS)).collect())
     return learn({c: np.array([r[c] for r in rows], float) for c in RULE_COLUMNS}, np.array([r.y == 0 for r in rows], bool))
 
 
-def apply_rules(docs: DataFrame, rules: list[Rule], *keep: str) -> DataFrame:
-    """The statistics of ``docs`` with base_failed, the number of the first rule met (0: none) and kept."""
-    verdict = F.lit(0)
-    for k, rule in reversed(list(enumerate(rules, 1))):
-        verdict = F.when(rule.column(), k).otherwise(verdict)
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return statistics(docs, *keep).withColumn("base_failed", failed).withColumn("rule", verdict).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+def verdict(text: Column, rules: list[Rule]) -> Column:
+    """The struct of measures with base_failed, the number of the first rule met (0: none) and kept."""
+
+    def judged(m: Column) -> Column:
+        met = F.lit(0)
+        for k, rule in reversed(list(enumerate(rules, 1))):
+            met = F.when(rule.column(m), k).otherwise(met)
+        failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+        base = [m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+        return F.struct(*base, failed.alias("base_failed"), met.alias("rule"), (~failed & (met == 0)).alias("kept"))
+
+    return let(measures(text), judged)
 
 
 def judge(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rule, kept), one row for each row.
 
-    Null texts have no words and so fail the base; repeated rows are judged alike; no labels: no rules, the base alone.
+    Null texts have no words and so fail the base; repeated rows are judged alike; no labels: no rules, the base alone. Only
+    doc_id and text are read.
     """
-    return apply_rules(docs, train(docs, labels, max_rows), "doc_id").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept")
+    return docs.select("doc_id", verdict(F.col("text"), train(docs, labels, max_rows)).alias("v")).select("doc_id", "v.*")
+
+
+def keep(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that judge() keeps."""
+    return docs.where(verdict(F.col("text"), train(docs, labels, max_rows))["kept"])
