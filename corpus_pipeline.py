@@ -11,8 +11,7 @@ from fundlake.llm.common import read_table, shared_dir
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that neither the base rules nor the learnt ones reject. Empty and null texts fail the base."""
-    rules = quality_rules.train(docs, read_table(spark, sf_dir, "labels"))
-    return quality_rules.apply_rules(docs, rules, *docs.columns).where("kept").select(*docs.columns)
+    return quality_rules.keep(docs, read_table(spark, sf_dir, "labels"))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
