@@ -23,6 +23,8 @@ from .common import components, written
 WIDTH = 5
 #: Sets in a block of a search, as expected; words whose hashes a worker remembers.
 BLOCK, KEPT = 256, 400_000
+#: Classes of members in a sketch; sets share no more than the sum of the smaller counts of each class.
+SKETCH = 256
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -81,7 +83,8 @@ def frequent(docs: DataFrame, max_docs: int = 4_000, least: int = 3, most: int =
 
 
 def sets(docs: DataFrame, *cols: str, order: tuple[np.ndarray, np.ndarray] | None = None, percent: int = 80) -> DataFrame:
-    """(doc_id, n, sig) of every row and of ``cols`` what is asked: prefix (first members in the common order), members."""
+    """(doc_id, n, sig) of every row and of ``cols`` what is asked: members, sketch (how many members fall into each of SKETCH
+    classes), prefix (first members in the common order)."""
     keys, often = order if order is not None else (np.empty(0, np.uint64), np.empty(0, np.int64))
     by = np.argsort(keys)
     keys, often = keys[by], often[by]
@@ -96,6 +99,8 @@ def sets(docs: DataFrame, *cols: str, order: tuple[np.ndarray, np.ndarray] | Non
                 out = [b["doc_id"], pa.array([len(s) for s in all_sets], pa.int64()), pa.array(sig, pa.binary())]
                 if "members" in cols:
                     out.append(pa.array([s.view(np.int64) for s in all_sets], pa.list_(pa.int64())))
+                if "sketch" in cols:
+                    out.append(pa.array([np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.int32) for s in all_sets], pa.list_(pa.int32())))
                 if "prefix" in cols:
                     first = []
                     for s in all_sets:
@@ -104,9 +109,9 @@ def sets(docs: DataFrame, *cols: str, order: tuple[np.ndarray, np.ndarray] | Non
                             s = s[np.argsort(np.where(keys[at] == s, often[at], 0), kind="stable")]
                         first.append(s[: prefix_length(len(s), percent) if len(s) else 0].view(np.int64))
                     out.append(pa.array(first, pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays(out, ["doc_id", "n", "sig", *(c for c in ("members", "prefix") if c in cols)])
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "n", "sig", *(c for c in ("members", "sketch", "prefix") if c in cols)])
 
-    more = "".join(f", {c} array<long>" for c in ("members", "prefix") if c in cols)
+    more = "".join(f", {c} array<{t}>" for c, t in (("members", "long"), ("sketch", "int"), ("prefix", "long")) if c in cols)
     return docs.select("doc_id", "text").mapInArrow(made, f"doc_id {kind}, n long, sig binary{more}")
 
 
@@ -189,6 +194,13 @@ def linked(docs: DataFrame, pairs: DataFrame, percent: int = 80) -> DataFrame:
     return rows.mapInArrow(searched, f"src {kind}, dst {kind}")
 
 
+def promising(pairs: DataFrame, sketches: DataFrame, percent: int = 80) -> DataFrame:
+    """Those of ``pairs`` (src, dst) whose sketches (doc_id, n, sketch) leave room for the overlap that a link needs."""
+    a, b = (sketches.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in ("src", "dst"))
+    most = F.aggregate(F.zip_with("s_src", "s_dst", F.least), F.lit(0), lambda t, x: t + x)
+    return pairs.join(a, "src").join(b, "dst").where((100 + percent) * most >= percent * (F.col("n_src") + F.col("n_dst"))).select("src", "dst")
+
+
 def join(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of ``docs``.
 
@@ -197,9 +209,10 @@ def join(docs: DataFrame, percent: int = 80) -> DataFrame:
     looked at each by its own text. A null id is kept, its component is the smallest id of its class, if any. Other columns are
     not read; an empty table gives no rows.
     """
-    all_sets = written(sets(docs, "prefix", order=frequent(docs), percent=percent))
+    all_sets = written(sets(docs, "sketch", "prefix", order=frequent(docs), percent=percent))
     classes = all_sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
     reps = all_sets.join(classes, (all_sets["sig"] == classes["sig"]) & (all_sets["doc_id"] == classes["rep"]), "left_semi").dropDuplicates(["doc_id"])
+    sketches = reps.select("doc_id", "n", "sketch")
     lists = reps.select("doc_id", "n", F.posexplode("prefix").alias("pos", "h"))
     over = Window.partitionBy("h")
     lists = lists.select("*", F.count("*").over(over).alias("k"), F.min(F.struct("doc_id", "n", "pos")).over(over).alias("head")).where("k > 1")
@@ -211,7 +224,8 @@ def join(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     head = F.col("head")
     first = lists.where(F.col("doc_id") != head["doc_id"]).where((100 * F.least("n", head["n"])) >= percent * F.greatest("n", head["n"])).where(could(F.col("n"), head["n"], F.col("pos"), head["pos"]))
-    pairs = written(first.select(head["doc_id"].alias("src"), F.col("doc_id").alias("dst")).distinct())
+    tried = written(first.select(head["doc_id"].alias("src"), F.col("doc_id").alias("dst")).distinct())
+    pairs = written(promising(tried, sketches, percent))
     edges = written(linked(docs, pairs, percent))
     found = components(edges)
 
@@ -226,7 +240,7 @@ def join(docs: DataFrame, percent: int = 80) -> DataFrame:
         .where(100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")).where(could(F.col("a.n"), F.col("b.n"), F.col("a.pos"), F.col("b.pos")))
         .select(F.col("a.doc_id").alias("src"), F.col("b.doc_id").alias("dst")).distinct()
     )
-    rest = written(rest.join(pairs, ["src", "dst"], "left_anti"))
+    rest = written(promising(rest.join(tried, ["src", "dst"], "left_anti"), sketches, percent))
     if not rest.isEmpty():
         more = written(linked(docs, rest, percent))
         if not more.isEmpty():
