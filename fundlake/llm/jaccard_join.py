@@ -197,7 +197,7 @@ def linked(docs: DataFrame, pairs: DataFrame, percent: int = 80) -> DataFrame:
 def promising(pairs: DataFrame, sketches: DataFrame, percent: int = 80) -> DataFrame:
     """Those of ``pairs`` (src, dst) whose sketches (doc_id, n, sketch) leave room for the overlap that a link needs."""
     a, b = (sketches.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in ("src", "dst"))
-    most = F.aggregate(F.zip_with("s_src", "s_dst", F.least), F.lit(0), lambda t, x: t + x)
+    most = F.aggregate(F.zip_with("s_src", "s_dst", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
     return pairs.join(a, "src").join(b, "dst").where((100 + percent) * most >= percent * (F.col("n_src") + F.col("n_dst"))).select("src", "dst")
 
 
