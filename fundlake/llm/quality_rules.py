@@ -53,7 +53,8 @@ def measures(text: Column) -> Column:
     """
 
     def counted(t: Column) -> Column:
-        words = F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+        inner = F.btrim(t, F.lit(_SPACES))
+        words = F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, r"[\x20\x09-\x0D]+"))
         lines = F.filter(F.split(t, "\n", -1), lambda x: F.translate(x, _SPACES, "") != "")
         in_lines = let(lines, lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).alias("dup"), F.size(x).alias("all")))
         in_words = let(words, lambda w: F.struct(F.size(w).alias("n"), _repeated(w).alias("again"), F.size(F.array_distinct(w)).alias("distinct")))
@@ -151,11 +152,11 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.97, le
     return rules
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000) -> list[Rule]:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4_000) -> list[Rule]:
     """Rules from the statistics of about ``max_rows`` labelled rows at most, none of the held-out fold."""
-    sample = labelled_sample(docs, labels, "quality", max_rows).select("doc_id", "y", measures(F.col("text")).alias("m")).where("m.n_words > 0")
-    rows = sorted(sample.select("doc_id", "y", *(f"m.{c}" for c in RULE_COLUMNS)).collect())
-    return learn({c: np.array([r[c] for r in rows], float) for c in RULE_COLUMNS}, np.array([r.y == 0 for r in rows], bool))
+    sample = labelled_sample(docs, labels, "quality", max_rows).select("doc_id", "y", measures(F.col("text")).alias("m"))
+    rows = sorted((r for r in sample.collect() if r.m.n_words), key=lambda r: (r.doc_id, r.y, *r.m))
+    return learn({c: np.array([r.m[c] for r in rows], float) for c in RULE_COLUMNS}, np.array([r.y == 0 for r in rows], bool))
 
 
 def verdict(text: Column, rules: list[Rule]) -> Column:
@@ -172,7 +173,7 @@ def verdict(text: Column, rules: list[Rule]) -> Column:
     return let(measures(text), judged)
 
 
-def judge(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, max_rows: int = 4_000) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rule, kept), one row for each row.
 
     Null texts have no words and so fail the base; repeated rows are judged alike; no labels: no rules, the base alone. Only
@@ -181,6 +182,6 @@ def judge(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000) -> DataFram
     return docs.select("doc_id", verdict(F.col("text"), train(docs, labels, max_rows)).alias("v")).select("doc_id", "v.*")
 
 
-def keep(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, max_rows: int = 4_000) -> DataFrame:
     """The rows of ``docs``, with all their columns, that judge() keeps."""
     return docs.where(verdict(F.col("text"), train(docs, labels, max_rows))["kept"])
