@@ -284,10 +284,10 @@ _FORWARD = """rb AS (SELECT as_of, lead(as_of) OVER (ORDER BY as_of) AS nx FROM
 fw AS (SELECT as_of, fund_code, product(1 + ret) - 1 AS forward_ret FROM rb JOIN rets ON date > as_of AND date <= nx GROUP BY ALL)"""
 
 
-@query(_with(_NAV, _reb(), _FORWARD.format("reb")) + "SELECT as_of, fund_code, round(forward_ret, 11) + 0.0 AS forward_ret FROM fw")
+@query(_with(_NAV, _reb(), _FORWARD.format("reb")) + "SELECT as_of, fund_code, round(forward_ret, 8) + 0.0 AS forward_ret FROM fw")
 def forward_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rets = _rets(spark, sf_dir)
-    return _rounded(returns.forward_returns(rets, returns.rebalance_dates(rets, "month", WINDOW)), "forward_ret", places=11)
+    return _rounded(returns.forward_returns(rets, returns.rebalance_dates(rets, "month", WINDOW)), "forward_ret", places=8)
 
 
 _SIGNS = "(CASE WHEN factor IN ('ann_vol', 'down_vol') THEN -1 ELSE 1 END)"
