@@ -284,10 +284,11 @@ _FORWARD = """rb AS (SELECT as_of, lead(as_of) OVER (ORDER BY as_of) AS nx FROM
 fw AS (SELECT as_of, fund_code, product(1 + ret) - 1 AS forward_ret FROM rb JOIN rets ON date > as_of AND date <= nx GROUP BY ALL)"""
 
 
-@query(_with(_NAV, _reb(), _FORWARD.format("reb")) + "SELECT as_of, fund_code, round(forward_ret, 8) + 0.0 AS forward_ret FROM fw")
+@query(_with(_NAV, _reb(), _FORWARD.format("reb")) + "SELECT as_of, fund_code, round(forward_ret + 1e-12, 8) + 0.0 AS forward_ret FROM fw")
 def forward_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rets = _rets(spark, sf_dir)
-    return _rounded(returns.forward_returns(rets, returns.rebalance_dates(rets, "month", WINDOW)), "forward_ret", places=8)
+    out = returns.forward_returns(rets, returns.rebalance_dates(rets, "month", WINDOW))
+    return _rounded(out.withColumn("forward_ret", F.col("forward_ret") + 1e-12), "forward_ret", places=8)  # exact decimals tie often
 
 
 _SIGNS = "(CASE WHEN factor IN ('ann_vol', 'down_vol') THEN -1 ELSE 1 END)"
@@ -321,7 +322,7 @@ def factor_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PLACE = "list_position([" + ", ".join(f"'{f}'" for f in factors.FACTORS) + "], {0})"
-_CORR = f"""{_LONG}, pr AS (SELECT as_of, a.factor AS factor_a, b.factor AS factor_b, a.x AS a, b.x AS b FROM lf a JOIN lf b USING (as_of, fund_code) WHERE {_PLACE.format('a.factor')} < {_PLACE.format('b.factor')} AND a.x IS NOT NULL AND b.x IS NOT NULL),
+_CORR = f"""{_LONG}, pr AS (SELECT as_of, a.factor AS factor_a, b.factor AS factor_b, round(a.x, 10) + 0.0 AS a, round(b.x, 10) + 0.0 AS b FROM lf a JOIN lf b USING (as_of, fund_code) WHERE {_PLACE.format('a.factor')} < {_PLACE.format('b.factor')} AND a.x IS NOT NULL AND b.x IS NOT NULL),
 ra AS (SELECT *, rank() OVER (PARTITION BY as_of, factor_a, factor_b ORDER BY a) + (count(*) OVER (PARTITION BY as_of, factor_a, factor_b, a) - 1) / 2 AS ra, rank() OVER (PARTITION BY as_of, factor_a, factor_b ORDER BY b) + (count(*) OVER (PARTITION BY as_of, factor_a, factor_b, b) - 1) / 2 AS rb FROM pr),
 co AS (SELECT as_of, factor_a, factor_b, corr(ra, rb) AS correlation, count(*) AS n FROM ra GROUP BY ALL HAVING count(*) >= 3 AND min(ra) < max(ra) AND min(rb) < max(rb))"""
 

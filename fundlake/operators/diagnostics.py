@@ -22,9 +22,9 @@ def rank_correlation(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def factor_correlation(factors: DataFrame) -> DataFrame:
-    """(as_of, factor_a, factor_b, correlation, n) of all pairs in the order of FACTORS."""
+    """(as_of, factor_a, factor_b, correlation, n) of all pairs in the order of FACTORS; values alike to ten places are ties."""
     place = F.array_position(F.array(*map(F.lit, FACTORS)), F.col("factor"))
-    long = long_factors(factors).where("x is not null").withColumn("i", place)
+    long = long_factors(factors).where("x is not null").withColumn("x", F.round("x", 10) + F.lit(0.0)).withColumn("i", place)
     a, b = (long.select("as_of", "fund_code", F.col("factor").alias(f"factor_{s}"), F.col("x").alias(s), F.col("i").alias(f"i{s}")) for s in "ab")
     return rank_correlation(a.join(b, ["as_of", "fund_code"]).where("ia < ib"), ["as_of", "factor_a", "factor_b"])
 
