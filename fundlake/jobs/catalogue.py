@@ -227,9 +227,10 @@ def turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_rounded(_run(spark, sf_dir).trades.select("as_of", "turnover", "traded_notional", "cost", "effective_date"), "turnover", "traded_notional"), "cost", places=8)
 
 
-@query(_BASE.rstrip() + ",\n" + _sim(_DEFAULT_TARGETS) + "\nSELECT date, round(gross, 6) + 0.0 AS gross_return, round(cost, 8) + 0.0 AS transaction_cost, round(net, 6) + 0.0 AS net_return, round(bench, 6) + 0.0 AS benchmark_return, round(coverage, 6) AS return_coverage, round(product(1 + net) OVER (ORDER BY date), 6) AS net_equity FROM cu")
+@query(_BASE.rstrip() + ",\n" + _sim(_DEFAULT_TARGETS) + "\nSELECT date, round(gross + 1e-12, 6) + 0.0 AS gross_return, round(cost, 8) + 0.0 AS transaction_cost, round(net + 1e-12, 6) + 0.0 AS net_return, round(bench + 1e-12, 6) + 0.0 AS benchmark_return, round(coverage + 1e-12, 6) AS return_coverage, round(product(1 + net) OVER (ORDER BY date) + 1e-12, 6) AS net_equity FROM cu")
 def simulate_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _run(spark, sf_dir).curve.select("date", "gross_return", "transaction_cost", "net_return", "benchmark_return", "return_coverage", "net_equity")
+    c = c.withColumns({x: F.col(x) + 1e-12 for x in ("gross_return", "net_return", "benchmark_return", "return_coverage", "net_equity")})  # exact decimals tie
     return _rounded(_rounded(c, "gross_return", "net_return", "benchmark_return", "return_coverage", "net_equity"), "transaction_cost", places=8)
 
 
