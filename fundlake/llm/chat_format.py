@@ -39,28 +39,43 @@ def problems(arguments: Column, name: Column, schemas: dict[str, dict]) -> Colum
     return F.when(F.schema_of_variant(parsed).rlike("^OBJECT"), out).otherwise(F.array(F.lit("not an object")))
 
 
-def levels(calls: DataFrame, rounds: int = 64) -> DataFrame:
-    """``calls`` (conv_id, call_id, after) with level: 0 for calls that wait for none, else 1 + the highest they wait for.
+def levels(calls: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level) of ``calls`` (conv_id, call_id, after): 0 for calls that wait for none, else 1 + the highest
+    they wait for. Calls in a cycle or behind one have no row, nor have those without an identifier.
 
-    Calls in a cycle, or behind one, get null, and so do those deeper than ``rounds``. Identifiers in ``after`` that aren't
-    calls of the conversation don't hold a call up.
+    Identifiers in ``after`` that aren't calls of the conversation don't hold a call up. Chains of calls that wait for one
+    other each are followed by pointer doubling, so a chain of n calls takes about log2(n) joins; calls that wait for
+    several are then resolved round by round, over chains that count as one step.
     """
     keys = ["conv_id", "call_id"]
+    ids = calls.select(*keys).where("conv_id is not null and call_id is not null").distinct()
     waits = calls.select(*keys, F.explode("after").alias("first")).distinct()
-    ids = calls.select(*keys).distinct()
-    waits = written(waits.join(ids.select("conv_id", F.col("call_id").alias("first")), ["conv_id", "first"]))
-    done = ids.join(waits, keys, "left_anti").withColumn("level", F.lit(0))
-    level, left = 0, waits
-    while level < rounds and not left.isEmpty():
-        known = done.select("conv_id", F.col("call_id").alias("first"), F.lit(True).alias("known"))
-        state = left.select(*keys).distinct().join(left.join(known, ["conv_id", "first"], "left").where("known is null").select(*keys).distinct(), keys, "left_anti")
-        level += 1
-        ready = written(state.withColumn("level", F.lit(level)))
+    waits = written(waits.join(ids.select("conv_id", F.col("call_id").alias("first")), ["conv_id", "first"]).select(*keys, "first"))
+    degree = waits.groupBy(*keys).agg(F.count("*").alias("k"), F.min("first").alias("up"))
+    single = F.coalesce(F.col("k") == 1, F.lit(False))
+    start = F.when(single, F.col("up")).otherwise(F.col("call_id"))
+    step = written(ids.join(degree, keys, "left").select(*keys, start.alias("up"), single.cast("long").alias("far"), (~single).alias("done"), F.col("k").isNull().alias("free")))
+    longest = step.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    far = 1  # of calls that aren't done; beyond their conversation's size only in a cycle
+    while far <= longest and not step.where("not done").isEmpty():
+        ahead = step.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("to"), F.col("far").alias("more"), F.col("done").alias("end"))
+        moved = step.where("not done").join(ahead, ["conv_id", "up"]).select(*keys, F.col("to").alias("up"), (F.col("far") + F.col("more")).alias("far"), F.col("end").alias("done"), "free")
+        step = written(step.where("done").unionByName(moved))
+        far *= 2
+    step = step.where("done")
+    known = step.where("free").select(*keys, F.lit(0).cast("long").alias("level"))
+    to = step.select("conv_id", F.col("call_id").alias("first"), "up", "far")
+    edges = written(waits.join(degree.where("k > 1").select(*keys), keys).join(to, ["conv_id", "first"], "left").select(*keys, "up", "far"))
+    while not edges.isEmpty():
+        seen = edges.join(known.select("conv_id", F.col("call_id").alias("up"), "level"), ["conv_id", "up"], "left")
+        ready = seen.groupBy(*keys).agg(F.max(F.col("level") + F.col("far") + 1).alias("level"), F.count("*").alias("n"), F.count("level").alias("m"))
+        ready = written(ready.where("n = m").select(*keys, "level"))
         if ready.isEmpty():
             break
-        done = done.unionByName(ready)
-        left = written(left.join(ready.select(*keys), keys, "left_anti"))
-    return done
+        known = known.unionByName(ready)
+        edges = written(edges.join(ready.select(*keys), keys, "left_anti"))
+    known = known.select("conv_id", F.col("call_id").alias("up"), "level")
+    return step.join(known, ["conv_id", "up"]).select(*keys, (F.col("level") + F.col("far")).cast("int").alias("level"))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -79,7 +94,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     both = one.withColumn("called", F.lit(True)).join(answer, keys, "full_outer").join(levels(one), keys, "left")
     both = both.withColumn("problems", F.when(F.col("called"), problems(F.col("arguments"), F.col("name"), schemas)).otherwise(F.array().cast("array<string>")))
     status = (
-        F.when(F.col("called").isNull(), "orphan").when(F.size("problems") > 0, "invalid").when(F.col("level").isNull(), "cycle")
+        F.when(F.col("called").isNull(), "orphan").when(F.size("problems") > 0, "invalid").when(F.col("level").isNull() & F.col("conv_id").isNotNull() & F.col("call_id").isNotNull(), "cycle")
         .when(F.col("answered").isNull(), "unanswered").when(F.col("result_turn") < F.col("turn"), "early").otherwise("linked")
     )
     canonical = F.coalesce(F.to_json(F.try_parse_json("arguments")), F.to_json(F.struct(F.col("arguments").alias("text"))))

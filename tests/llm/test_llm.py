@@ -152,3 +152,10 @@ def test_chat(spark):
     got = {(r.conv_id, r.call_id): r for r in chat_format.link(calls, results, schema).collect()}
     assert {k: r.status for k, r in got.items()} == {(1, "a"): "linked", (1, "b"): "invalid", (1, "c"): "cycle", (1, "d"): "cycle", (1, "z"): "orphan", (2, "a"): "unanswered"}
     assert got[1, "a"].json == '{"arguments":{"x":"1","y":2},"id":"a","name":"f","result":"say \\"hi\\"","status":"linked"}' and got[1, "b"].level == 1
+
+
+def test_levels(spark):
+    after = {f"c{k}": [f"c{k - 1}"] for k in range(1, 300)} | {"c0": [], "m": ["c5", "c9"], "n": ["m"], "o": ["n", "c299", "gone"], "p": ["p"], "q": ["p", "m"], "r": ["q"]}
+    calls = spark.createDataFrame([(1, k, v) for k, v in after.items()] + [(None, "c0", []), (2, "c1", ["c0"])], "conv_id long, call_id string, after array<string>")
+    got = {(r.conv_id, r.call_id): r.level for r in chat_format.levels(calls).collect()}
+    assert got == {(1, f"c{k}"): k for k in range(300)} | {(1, "m"): 10, (1, "n"): 11, (1, "o"): 300, (2, "c1"): 0}
