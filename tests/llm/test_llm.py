@@ -6,6 +6,7 @@ import re
 import zlib
 from array import array
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -159,3 +160,14 @@ def test_levels(spark):
     calls = spark.createDataFrame([(1, k, v) for k, v in after.items()] + [(None, "c0", []), (2, "c1", ["c0"])], "conv_id long, call_id string, after array<string>")
     got = {(r.conv_id, r.call_id): r.level for r in chat_format.levels(calls).collect()}
     assert got == {(1, f"c{k}"): k for k in range(300)} | {(1, "m"): 10, (1, "n"): 11, (1, "o"): 300, (2, "c1"): 0}
+
+
+def test_embedding_recall(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(2500, 64))
+    x = np.concatenate([x, x[:1500] + rng.normal(size=(1500, 64)) * rng.uniform(0.05, 0.25, (1500, 1))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.98).sum(1) - 1
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df).collect()}
+    assert all(got[k] <= n for k, n in enumerate(want)) and sum(got.values()) >= 0.99 * want.sum() > 0
