@@ -3,8 +3,8 @@
 Two sets that link share one of the first shingles of each in any common order (a fifth of a set and one more), so only those
 are dealt out by shingle. Shingles that a sample shows to be frequent come last in the order, which keeps common passages out
 of the lists; that changes the work, never the result. Equal sets are one class from the start. A list's members are compared
-with its smallest first; members of one list that are then still unconnected are compared with each other. Comparing is a
-T-occurrence search for one set in a block of others: short inverted lists are merged, long ones probed (DivideSkip).
+with its smallest first; members of one list that are then still unconnected are searched for in blocks of that list, which
+leaves those whose sketches allow the overlap that a link needs. Comparing is a T-occurrence search for one set in a block of others: short inverted lists are merged, long ones probed (DivideSkip).
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from .common import components, written
 WIDTH = 5
 #: Sets in a block of a search, as expected; words whose hashes a worker remembers.
 BLOCK, KEPT = 256, 400_000
+#: Members of one list in a block, as expected.
+LIST_BLOCK = 1024
 #: Classes of members in a sketch; sets share no more than the sum of the smaller counts of each class.
 SKETCH = 256
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -201,6 +203,87 @@ def promising(pairs: DataFrame, sketches: DataFrame, percent: int = 80) -> DataF
     return pairs.join(a, "src").join(b, "dst").where((100 + percent) * most >= percent * (F.col("n_src") + F.col("n_dst"))).select("src", "dst")
 
 
+def met(mixed: DataFrame, sketches: DataFrame, percent: int = 80) -> DataFrame:
+    """(src, dst), src before dst: members of one list (h, doc_id, n, pos, component) in different components whose sizes, places
+    and sketches leave room for a link. Pairs come once for each list at most.
+
+    A list is dealt into blocks of about LIST_BLOCK members. A block is searched for its own members and for those of the
+    blocks before it, so a long list is spread over tasks and none holds more than a block.
+    """
+    blocks = mixed.groupBy("h").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    rows = mixed.join(blocks, "h").withColumn("own", own).join(sketches.select("doc_id", "sketch"), "doc_id")
+    cols = ["h", "doc_id", "n", "pos", "component", "sketch"]
+    held = rows.select(*cols, F.col("own").alias("block"), F.lit(0).alias("role"))
+    later = F.sequence(F.col("own") + 1, F.col("blocks") - 1)
+    asked = rows.where("own + 1 < blocks").select(*cols, F.explode(later).alias("block"), F.lit(1).alias("role"))
+    kind = mixed.schema["doc_id"].dataType.simpleString()
+
+    def columns(b: pa.RecordBatch) -> list[np.ndarray]:
+        ids, component = (np.array(b[c].to_pylist(), object) if kind == "string" else b[c].to_numpy() for c in ("doc_id", "component"))
+        return [ids, b["n"].to_numpy(), b["pos"].to_numpy().astype(np.int64), component, b["sketch"].flatten().to_numpy().reshape(len(b), -1)]
+
+    def found(query: list[np.ndarray], block: list[np.ndarray], within: bool, src: list, dst: list) -> None:
+        ids, n, pos, component, sketch = block
+        for k in range(len(query[0])):
+            name, size, place, part, mine = (c[k] for c in query)
+            need = percent * (size + n)
+            could = ((100 + percent) * np.minimum(size - place, n - pos) >= need) & (100 * np.minimum(size, n) >= percent * np.maximum(size, n)) & (component != part)
+            if within:
+                could[: k + 1] = False
+            at = np.flatnonzero(could)
+            if len(at):
+                at = at[(100 + percent) * np.minimum(sketch[at], mine).sum(1) >= need[at]]
+                for other in ids[at].tolist():
+                    src.append(min(name, other)), dst.append(max(name, other))
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, block, whole, src, dst, id_type = None, [], None, [], [], None
+
+        def own_pairs() -> list[np.ndarray] | None:
+            if not block:
+                return None
+            out = [np.concatenate(c) for c in zip(*block, strict=True)]
+            found(out, out, True, src, dst)
+            return out
+
+        def batch() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(src, id_type), pa.array(dst, id_type)], ["src", "dst"])
+            src.clear(), dst.clear()
+            return out
+
+        for big in batches:
+            id_type = big.schema.field("doc_id").type
+            for at in range(0, len(big), 256):
+                b = big.slice(at, 256)
+                keys = list(zip(*(b[c].to_pylist() for c in ("h", "block", "role")), strict=True))
+                cols, begin = columns(b), 0
+                for end in range(1, len(keys) + 1):
+                    if end < len(keys) and keys[end] == keys[begin]:
+                        continue
+                    run = [c[begin:end] for c in cols]
+                    if keys[begin][:2] != key:
+                        if whole is None:
+                            own_pairs()
+                        key, block, whole = keys[begin][:2], [], None
+                    if keys[begin][2] == 0:
+                        block.append(run)
+                    else:
+                        whole = whole or own_pairs()
+                        if whole:
+                            found(run, whole, False, src, dst)
+                    begin = end
+                    if len(src) > 10_000:
+                        yield batch()
+        if whole is None:
+            own_pairs()
+        if src:
+            yield batch()
+
+    dealt = held.unionByName(asked).repartition("h", "block").sortWithinPartitions("h", "block", "role")
+    return dealt.mapInArrow(searched, f"src {kind}, dst {kind}")
+
+
 def join(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of ``docs``.
 
@@ -233,14 +316,7 @@ def join(docs: DataFrame, percent: int = 80) -> DataFrame:
     named = lists.drop("head").join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = named.select("*", F.min("component").over(over).alias("low"), F.max("component").over(over).alias("high")).where("low < high").drop("low", "high")
     mixed = written(mixed)
-    a, b = mixed.alias("a"), mixed.alias("b")
-    rest = (
-        a.join(b, F.col("a.h") == F.col("b.h"))
-        .where((F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.component") != F.col("b.component")))
-        .where(100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")).where(could(F.col("a.n"), F.col("b.n"), F.col("a.pos"), F.col("b.pos")))
-        .select(F.col("a.doc_id").alias("src"), F.col("b.doc_id").alias("dst")).distinct()
-    )
-    rest = written(promising(rest.join(tried, ["src", "dst"], "left_anti"), sketches, percent))
+    rest = written(met(mixed, sketches, percent).distinct().join(tried, ["src", "dst"], "left_anti"))
     if not rest.isEmpty():
         more = written(linked(docs, rest, percent))
         if not more.isEmpty():

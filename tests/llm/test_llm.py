@@ -92,6 +92,27 @@ def test_jaccard(spark, docs, empty):
     assert jaccard_join.join(empty).count() == 0 and jaccard_join.join(docs).count() == docs.count()
 
 
+def test_jaccard_lists(spark, monkeypatch):
+    """Many texts with a shared head, near the threshold and on both sides of it; lists of several blocks."""
+    monkeypatch.setattr(jaccard_join, "LIST_BLOCK", 4)
+    head = [f"w{k}" for k in range(44)]
+    texts = [" ".join(head + [f"t{k % 13}.{j}" if j >= k % 3 * 3 else f"u{k % 5}.{j}" for j in range(8)]) for k in range(40)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    comp = list(range(len(sets)))
+    for _ in sets:
+        for a in range(len(sets)):
+            for b in range(len(sets)):
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    comp[a] = comp[b] = min(comp[a], comp[b])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.component_id for r in jaccard_join.join(df).orderBy("doc_id").collect()] == comp and len(set(comp)) > 1
+    members = spark.createDataFrame([(h, d, len(sets[d]), 0, d) for h in (1, 2) for d in range(40)], "h long, doc_id long, n long, pos int, component long")
+    sketches = jaccard_join.sets(df, "sketch")
+    got = {tuple(r) for r in jaccard_join.met(members, sketches).collect()}
+    links = {(a, b) for a in range(40) for b in range(a + 1, 40) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert links and links <= got
+
+
 def test_embeddings(spark):
     rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.01], 1), (2, [1.0, 0.01], 1), (3, [0.0, 1.0], 1), (4, [1.0, 0.0], 2), (5, None, 1), (6, [0.0, 0.0], 1), (7, [float("nan"), 1.0], 1), (8, [1.0, None], 1), (9, [1.0, 0.0], None)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
