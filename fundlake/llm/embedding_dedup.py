@@ -1,10 +1,10 @@
 """Embedding near-dedup by product quantisation.
 
 Coarse inverted lists, residuals coded by subspace, asymmetric distances from tables, exact cosine for what is left. Equal
-vectors are one entry with a count. The cut on table distances follows from each vector's coding error and loses no link. A
-query probes each list whose plane, halfway between that list's centre and the query's own, is near: a linked vector differs by
-at most ``reach``, and of that the part across a plane is ``reach / sqrt(d)`` in the mean of all directions of d dimensions, so
-lists beyond DEVIATIONS times as much are left out. Recall is measured against brute force in the tests and stated in the README.
+vectors are one entry with a count. Probes and the cut on table distances follow from the triangle inequality and each vector's
+coding error, so no link is lost, whatever the directions that vectors spread in: a query probes each list that can hold a vector
+so near, on its side of the plane between that list's centre and the query's own. Neighbouring lists share a block, so a query is
+sent once to each block that it probes, not once to each list.
 """
 
 from __future__ import annotations
@@ -18,10 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import components, written
 
-#: Vectors of one list in a block of a search, as expected.
-BLOCK = 2048
-#: How far beyond its mean a difference may reach across the plane between two lists.
-DEVIATIONS = 4.0
+#: Numbers in the vectors of a block of a search, as expected, and distances that are looked up at once.
+BLOCK, AT_ONCE = 1 << 18, 1 << 20
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -60,21 +58,34 @@ class Quantiser:
     def decoded(self, codes: np.ndarray) -> np.ndarray:
         return np.concatenate([b[codes[:, k]] for k, b in enumerate(self.books)], 1)
 
-    def tables(self, x: np.ndarray, at: int) -> list[np.ndarray]:
-        """For each subspace, the squared distances of each query's residual to the code vectors."""
-        rest = x - self.centres[at]
-        return [((rest[:, c, None] - b.T[None]) ** 2).sum(1) for c, b in zip(self.cuts, self.books, strict=True)]
+    def products(self, x: np.ndarray) -> list[np.ndarray]:
+        """For each subspace, the products of each query with the code vectors."""
+        return [x[:, c] @ b.T for c, b in zip(self.cuts, self.books, strict=True)]
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        """Squared, of each query from each centre."""
+        return np.maximum((x**2).sum(1)[:, None] + (self.centres**2).sum(1) - 2 * x @ self.centres.T, 0)
 
-    def probes(self, x: np.ndarray, radius: np.ndarray, reach: float) -> list[np.ndarray]:
-        """The lists to search for vectors within ``reach`` of each query. ``radius``: of each list, negative if empty."""
-        across = reach * min(1.0, DEVIATIONS / np.sqrt(x.shape[1]))
-        d2 = np.maximum((x**2).sum(1)[:, None] + (self.centres**2).sum(1) - 2 * x @ self.centres.T, 0)
+    def probes(self, d2: np.ndarray, radius: np.ndarray, reach: float) -> np.ndarray:
+        """For each query (row of ``distances``) and list, whether the list can hold a vector within ``reach``. ``radius``: of
+        each list, negative if empty."""
         own = d2.argmin(1)
-        between = np.linalg.norm(self.centres[:, None] - self.centres[None], axis=2) if len(self.centres) <= 512 else None
-        out = []
-        for k in range(len(x)):
-            apart = between[own[k]] if between is not None else np.linalg.norm(self.centres - self.centres[own[k]], axis=1)
-            out.append(np.flatnonzero((d2[k] - d2[k, own[k]] <= 2 * across * apart + 1e-9) & (np.sqrt(d2[k]) <= radius + reach + 1e-9) & (radius >= 0)))
+        norm = (self.centres**2).sum(1)
+        apart = np.sqrt(np.maximum(norm[own][:, None] + norm - 2 * self.centres[own] @ self.centres.T, 0)) + 1e-7
+        return (d2 - d2.min(1)[:, None] <= 2 * reach * apart + 1e-9) & (np.sqrt(d2) <= radius + reach + 1e-7) & (radius >= 0)
+
+    def groups(self, size: np.ndarray, most: int) -> np.ndarray:
+        """The group of each list: neighbours, halved along the widest axis until a group has ``most`` vectors or one list."""
+        out, todo, n = np.zeros(len(self.centres), np.int32), [np.arange(len(self.centres))], 0
+        while todo:
+            at = todo.pop()
+            if len(at) == 1 or size[at].sum() <= most:
+                out[at] = n
+                n += 1
+                continue
+            at = at[np.argsort(self.centres[at, self.centres[at].var(0).argmax()], kind="stable")]
+            cut = int(np.clip(np.searchsorted(size[at].cumsum(), size[at].sum() / 2), 1, len(at) - 1))
+            todo += [at[:cut], at[cut:]]
         return out
 
 
@@ -136,28 +147,44 @@ def _search(entries: DataFrame, n: int, kind: str, cosine: float, sample_rows: i
     radius = np.full(len(q.centres), -1.0)
     for at, far in index.groupBy("list").agg(F.max("far")).collect():  # one row for each list, of which there are max_lists at most
         radius[at] = far
+    rows = max(256, BLOCK // sample.shape[1])
+    size = np.zeros(len(q.centres))
+    for at, most in index.groupBy("label", "list").count().groupBy("list").agg(F.max("count")).collect():
+        size[at] = most  # of the label that has most
+    group = q.groups(size, rows)
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(group[b["list"].to_numpy()])], [*b.schema.names, "group"])
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 1024):
                 b = whole.slice(k, 1024)
                 x = _matrix(b["v"])
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                lists = shared.value.probes(x, radius, reach)
-                take = pa.array(np.repeat(np.arange(len(x)), [len(p) for p in lists]))
-                yield pa.RecordBatch.from_arrays([b["rep"].take(take), b["label"].take(take), b["v"].take(take), pa.array(np.concatenate(lists).astype(np.int32))], ["rep", "label", "v", "list"])
-
-    blocks = index.groupBy("label", "list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    held = index.join(blocks, ["label", "list"]).select("label", "list", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), F.lit(0).alias("role"), "rep", "times", "v", "codes", "error")
-    asked = index.select("rep", "label", "v").mapInArrow(probed, f"rep {kind}, label {label}, v array<double>, list int").join(blocks, ["label", "list"])
-    asked = asked.select("label", "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "rep", F.lit(0).cast("long").alias("times"), "v", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("error"))
+                lists = shared.value.probes(shared.value.distances(x / np.linalg.norm(x, axis=1, keepdims=True)), radius, reach)
+                hit = np.zeros((len(x), group.max() + 1), bool)
+                at, to = np.nonzero(lists)
+                hit[at, group[to]] = True
+                at, to = np.nonzero(hit)
+                take = pa.array(at)
+                yield pa.RecordBatch.from_arrays([b["rep"].take(take), b["label"].take(take), b["v"].take(take), pa.array(to.astype(np.int32))], ["rep", "label", "v", "group"])
+
+    held = index.mapInArrow(grouped, f"rep {kind}, label {label}, times long, v array<double>, list int, codes binary, far double, error double, group int")
+    blocks = written(held.groupBy("label", "group").agg(F.ceil(F.count("*") / rows).cast("int").alias("blocks")))
+    held = held.join(blocks, ["label", "group"]).select("label", "group", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), F.lit(0).alias("role"), "rep", "times", "v", "list", "codes", "far", "error")
+    asked = index.select("rep", "label", "v").mapInArrow(probed, f"rep {kind}, label {label}, v array<double>, group int").join(blocks, ["label", "group"])
+    asked = asked.select(
+        "label", "group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "rep", F.lit(0).cast("long").alias("times"), "v",
+        F.lit(0).alias("list"), F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("far"), F.lit(0.0).alias("error"),
+    )
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quant, key, block = shared.value, None, None
         for whole in batches:
-            for k in range(0, whole.num_rows, 256):
-                b = whole.slice(k, 256)
-                keys = list(zip(*(b[c].to_pylist() for c in ("label", "list", "block", "role")), strict=True))
+            for k in range(0, whole.num_rows, 1024):
+                b = whole.slice(k, 1024)
+                keys = list(zip(*(b[c].to_pylist() for c in ("label", "group", "block", "role")), strict=True))
                 begin = 0
                 while begin < len(keys):
                     end = begin
@@ -165,7 +192,7 @@ def _search(entries: DataFrame, n: int, kind: str, cosine: float, sample_rows: i
                         end += 1
                     run = b.slice(begin, end - begin)
                     if keys[begin][:3] != key:
-                        key, block = keys[begin][:3], _Block(quant, keys[begin][1])
+                        key, block = keys[begin][:3], _Block(quant)
                     if keys[begin][3] == 0:
                         block.add(run)
                     else:
@@ -174,26 +201,39 @@ def _search(entries: DataFrame, n: int, kind: str, cosine: float, sample_rows: i
                         yield pa.RecordBatch.from_arrays([pa.array(src, kind_of), pa.array(dst, kind_of), pa.array([key[0]] * len(src), label_of), pa.array(times, pa.int64())], ["src", "dst", "label", "times"])
                     begin = end
 
-    dealt = held.unionByName(asked).repartition("label", "list", "block").sortWithinPartitions("label", "list", "block", "role")
+    dealt = held.unionByName(asked).repartition("label", "group", "block").sortWithinPartitions("label", "group", "block", "role")
     return dealt.mapInArrow(searched, f"src {kind}, dst {kind}, label {label}, times long")
 
 
 class _Block:
-    """Rows of one list; all of them are added before the first search."""
+    """Rows of neighbouring lists; all of them are added before the first search."""
 
-    def __init__(self, quant: Quantiser, at: int):
-        self.quant, self.at = quant, at
+    def __init__(self, quant: Quantiser):
+        self.quant = quant
         self.reps: list = []
-        self.times, self.error, self.codes, self.x = [], [], [], []
+        self.times, self.far, self.error, self.at, self.codes, self.x = [], [], [], [], [], []
         self.parent: list[int] = []
 
     def add(self, b: pa.RecordBatch) -> None:
         self.reps += b["rep"].to_pylist()
-        self.times.append(b["times"].to_numpy())
-        self.error.append(b["error"].to_numpy())
+        for to, name in ((self.times, "times"), (self.far, "far"), (self.error, "error"), (self.at, "list")):
+            to.append(b[name].to_numpy())
         self.codes.append(np.frombuffer(b"".join(b["codes"].to_pylist()), np.uint8).reshape(b.num_rows, -1))
         self.x.append(_matrix(b["v"]))
 
+    def close(self) -> None:
+        self.times, self.far, self.error, self.at, self.codes, self.x = (np.concatenate(v) for v in (self.times, self.far, self.error, self.at, self.codes, self.x))
+        self.norm = np.linalg.norm(self.x, axis=1)
+        self.parent = list(range(len(self.reps)))
+        by = np.argsort(self.at, kind="stable")
+        lists, cut = np.unique(self.at[by], return_index=True)
+        self.lists = dict(zip(lists.tolist(), np.split(by, cut[1:]), strict=True))
+        self.radius = np.full(len(self.quant.centres), -1.0)
+        np.maximum.at(self.radius, self.at, self.far)
+        # |x - c - r|^2 = |x - c|^2 + |r|^2 + 2 c r - 2 x r: what doesn't hang on the query
+        r = self.quant.decoded(self.codes)
+        self.own = (r**2).sum(1) + 2 * (self.quant.centres[self.at] * r).sum(1)
+
     def root(self, k: int) -> int:
         while self.parent[k] != k:
             self.parent[k] = self.parent[self.parent[k]]
@@ -202,16 +242,28 @@ class _Block:
 
     def search(self, b: pa.RecordBatch, cosine: float, reach: float) -> tuple[list, list, list]:
         if isinstance(self.x, list):
-            self.times, self.error, self.codes, self.x = (np.concatenate(v) for v in (self.times, self.error, self.codes, self.x))
-            self.norm = np.linalg.norm(self.x, axis=1)
-            self.parent = list(range(len(self.reps)))
+            self.close()
         raw = _matrix(b["v"])
         norm = np.linalg.norm(raw, axis=1)
-        tables = self.quant.tables(raw / norm[:, None], self.at)
-        near = sum(t[:, self.codes[:, k]] for k, t in enumerate(tables))
-        ask, hold = np.nonzero(np.sqrt(near) <= reach + self.error + 1e-7)
-        exact = np.einsum("ij,ij->i", raw[ask], self.x[hold]) / (norm[ask] * self.norm[hold])
-        ask, hold = ask[exact >= cosine], hold[exact >= cosine]
+        x = raw / norm[:, None]
+        d2, products = self.quant.distances(x), self.quant.products(x)
+        probed = self.quant.probes(d2, self.radius, reach)
+        asks, holds, pairs = [], [], max(1, AT_ONCE // raw.shape[1])
+        for at, rows in self.lists.items():
+            queries = np.flatnonzero(probed[:, at])
+            step = max(1, AT_ONCE // len(rows))
+            for k in range(0, len(queries), step):
+                part = queries[k : k + step]
+                near = d2[part, at][:, None] + self.own[rows] - 2 * sum(t[part][:, self.codes[rows, j]] for j, t in enumerate(products))
+                ask, hold = np.nonzero(np.sqrt(np.maximum(near, 0)) <= reach + self.error[rows] + 1e-7)
+                ask, hold = part[ask], rows[hold]
+                for i in range(0, len(ask), pairs):
+                    a, h = ask[i : i + pairs], hold[i : i + pairs]
+                    keep = np.einsum("ij,ij->i", raw[a], self.x[h]) / (norm[a] * self.norm[h]) >= cosine
+                    asks.append(a[keep]), holds.append(h[keep])
+        ask, hold = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (asks, holds))
+        by = np.argsort(ask, kind="stable")
+        ask, hold = ask[by], hold[by]
         src, dst, times = [], [], []
         for k, rep in enumerate(b["rep"].to_pylist()):
             mine = [h for h in hold[np.searchsorted(ask, k) : np.searchsorted(ask, k, "right")].tolist() if self.reps[h] != rep]

@@ -192,3 +192,16 @@ def test_embedding_recall(spark):
     df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
     got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df).collect()}
     assert all(got[k] <= n for k, n in enumerate(want)) and sum(got.values()) >= 0.99 * want.sum() > 0
+
+
+def test_embedding_recall_low_rank(spark):
+    """Vectors that spread in few of their dimensions: links across planes between lists too."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(2500, 3)) @ rng.normal(size=(3, 64)) + 0.01 * rng.normal(size=(2500, 64))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cosines = unit @ unit.T
+    want = (cosines >= 0.98).sum(1) - 1
+    assert not (abs(cosines - 0.98) < 1e-12).any() and want.sum() > 10_000
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df).collect()}
+    assert [got[k] for k in range(len(x))] == want.tolist()
