@@ -1,7 +1,8 @@
 """Chat formatting: links tool calls to their results, orders them, checks arguments and writes canonical JSON.
 
 DataFrame functions only. Calls and results meet in a join on (conversation, identifier), so neither a long conversation nor a
-common identifier is gathered in one task: of several results for a call the first is taken by an aggregate before the join.
+common identifier is gathered in one task: of several results for a call the first is taken by an aggregate before the join, and
+the others are rows of their own.
 """
 
 from __future__ import annotations
@@ -78,23 +79,44 @@ def levels(calls: DataFrame) -> DataFrame:
     return step.join(known, ["conv_id", "up"]).select(*keys, (F.col("level") + F.col("far")).cast("int").alias("level"))
 
 
+def _repeats(rows: DataFrame, one: DataFrame, cols: list[str]) -> DataFrame:
+    """(conv_id, call_id, *cols): those of ``rows`` that ``one``, the first of each identifier and their count n, doesn't hold."""
+    keys = ["conv_id", "call_id"]
+    many = written(one.where("n > 1").select(*keys, F.struct(*cols).alias("first")))
+    copies = rows.join(many, keys).groupBy(*keys, *cols).agg(F.count("*").alias("n"), F.first("first").alias("first"))
+    is_first = F.lit(True)
+    for c in cols:
+        is_first = is_first & F.col(c).eqNullSafe(F.col("first")[c])
+    left = F.col("n") - is_first.cast("long")
+    return copies.where(left > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), left))).select(*keys, *cols)
+
+
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """(conv_id, call_id, turn, level, status, problems, json), one row for each call and each result without one.
+    """(conv_id, call_id, turn, level, status, problems, json), one row for each call and each result that no call has taken.
 
     ``calls``: conv_id, call_id, turn, name, arguments (JSON text), after (identifiers it waits for); ``results``: conv_id,
-    call_id, turn, content. Of calls or results with one identifier the first by turn, then by text, counts. status: linked,
-    unanswered, early (the result stands before its call), invalid (arguments don't meet the schema), cycle, or orphan (a
-    result without a call). Rows without an identifier are their own orphans or unanswered calls. ``json``: one object with
+    call_id, turn, content. Of calls or results with one identifier the first by turn, then by text, counts; each other one is a
+    row with the level of its identifier. status: linked, unanswered, early (the result stands before its call), invalid
+    (arguments don't meet the schema), cycle, orphan (a result without a call), or duplicate (not the first call or result of its
+    identifier). Rows without an identifier are each their own orphans or unanswered calls. ``json``: one object with
     sorted keys and no white space; canonical arguments if they are JSON. Order: conv_id, level, turn, call_id.
     """
     keys = ["conv_id", "call_id"]
-    first = lambda df, *cols: df.groupBy(*keys).agg(F.min(F.struct("turn", *cols)).alias("x")).select(*keys, "x.*")
-    one = first(calls.select(*keys, "turn", "name", "arguments", "after"), "name", "arguments", "after")
-    answer = first(results.select(*keys, "turn", "content"), "content").withColumnRenamed("turn", "result_turn").withColumn("answered", F.lit(True))
-    both = one.withColumn("called", F.lit(True)).join(answer, keys, "full_outer").join(levels(one), keys, "left")
+    of_call, of_result = ["turn", "name", "arguments", "after"], ["turn", "content"]
+    known = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+    calls, results = calls.select(*keys, *of_call), results.select(*keys, *of_result)
+    first = lambda df, cols: df.where(known).groupBy(*keys).agg(F.min(F.struct(*cols)).alias("x"), F.count("*").alias("n")).select(*keys, "x.*", "n")
+    one, answer = first(calls, of_call), first(results, of_result)
+    called = lambda df: df.withColumn("called", F.lit(True))
+    answered = lambda df: df.withColumnRenamed("turn", "result_turn").withColumn("answered", F.lit(True))
+    both = called(one.drop("n")).join(answered(answer.drop("n")), keys, "full_outer").withColumn("repeat", F.lit(False))
+    for repeat, some, other in ((True, _repeats(calls, one, of_call), _repeats(results, answer, of_result)), (False, calls.where(~known), results.where(~known))):
+        for rows in (called(some), answered(other)):
+            both = both.unionByName(rows.withColumn("repeat", F.lit(repeat)), allowMissingColumns=True)
+    both = both.join(levels(one), keys, "left")
     both = both.withColumn("problems", F.when(F.col("called"), problems(F.col("arguments"), F.col("name"), schemas)).otherwise(F.array().cast("array<string>")))
     status = (
-        F.when(F.col("called").isNull(), "orphan").when(F.size("problems") > 0, "invalid").when(F.col("level").isNull() & F.col("conv_id").isNotNull() & F.col("call_id").isNotNull(), "cycle")
+        F.when(F.col("repeat"), "duplicate").when(F.col("called").isNull(), "orphan").when(F.size("problems") > 0, "invalid").when(F.col("level").isNull() & F.col("conv_id").isNotNull() & F.col("call_id").isNotNull(), "cycle")
         .when(F.col("answered").isNull(), "unanswered").when(F.col("result_turn") < F.col("turn"), "early").otherwise("linked")
     )
     canonical = F.coalesce(F.to_json(F.try_parse_json("arguments")), F.to_json(F.struct(F.col("arguments").alias("text"))))
@@ -109,7 +131,7 @@ def exchanges(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A user's turn is a call of the tool ``reply`` with the identifier of its turn, which waits for the user's turn two before;
     an assistant's or tool's turn is the result for the turn before it. Other roles are no part of an exchange. Turns whose
-    number is null have no identifier and are left out.
+    number is null have no identifier and are left out. The query's SQL leaves out both, too.
     """
     t = conversations.select("conv_id", "turn", "role", "text").where("turn is not null")
     name = lambda c: F.concat(F.lit("t"), c.cast("string"))

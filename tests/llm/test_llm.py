@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fundlake.llm import chat_format, embedding_dedup, jaccard_join, packing, quality_classifier, quality_rules, reuse_encoding, secret_scan, token_counts, toxicity
+from fundlake.llm import chat_format, embedding_dedup, jaccard_join, packing, quality_classifier, quality_rules, queries, reuse_encoding, secret_scan, token_counts, toxicity
 from fundlake.llm.byte_bpe import tokenizer_path
 
 RND = random.Random(3)
@@ -205,3 +205,17 @@ def test_embedding_recall_low_rank(spark):
     df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
     got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df).collect()}
     assert [got[k] for k in range(len(x))] == want.tolist()
+
+
+def test_chat_repeats(spark, tmp_path):
+    """Each call and each result is in a row: repeats, equal ones too, and those without a conversation."""
+    turns = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 0, "user", "b"), (1, 1, "assistant", "x"), (1, 1, "tool", "y"), (1, 2, "user", None)]
+    turns += [(None, 0, "user", "a"), (None, 0, "user", "c"), (None, 1, "assistant", "x"), (None, 1, "assistant", "x"), (2, 5, "assistant", "p"), (2, 5, "assistant", "p")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = queries.op5_chat_format(spark, str(tmp_path)).collect()
+    got = sorted(((r.conv_id, r.call_id, r.turn, r.level, r.status) for r in rows), key=str)
+    want = [(1, "t0", 0, 0, "linked"), (1, "t0", 0, 0, "duplicate"), (1, "t0", 0, 0, "duplicate"), (1, "t0", 1, 0, "duplicate"), (1, "t2", 2, 1, "unanswered")]
+    want += [(None, "t0", 0, None, "unanswered")] * 2 + [(None, "t0", 1, None, "orphan")] * 2 + [(2, "t4", 5, None, "orphan"), (2, "t4", 5, None, "duplicate")]
+    assert got == sorted(want, key=str)
+    texts = sorted(r.json for r in rows if r.status == "duplicate")
+    assert texts == sorted([f'{{"arguments":{{"prompt":"{t}","turn":0}},"id":"t0","name":"reply","status":"duplicate"}}' for t in "ab"] + ['{"id":"t0","result":"y","status":"duplicate"}', '{"id":"t4","result":"p","status":"duplicate"}'])
