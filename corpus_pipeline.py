@@ -15,15 +15,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that aren't predicted to be toxic; rows of one id go together."""
-    bad = toxicity.score(docs, read_table(spark, sf_dir, "labels")).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """The documents that aren't predicted to be toxic, each row by its own text."""
+    return toxicity.score(docs, read_table(spark, sf_dir, "labels"), carry=tuple(docs.columns)).where("predicted = 0").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id. Rows without an id stay."""
-    kept = jaccard_join.join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One row of each group of near duplicates: the one with the smallest id and text hash, null ids last."""
+    return jaccard_join.distinct(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

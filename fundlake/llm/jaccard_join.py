@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, written
@@ -84,8 +84,8 @@ def frequent(docs: DataFrame, max_docs: int = 4_000, least: int = 3, most: int =
     return np.array([r[0] for r in found], np.int64).view(np.uint64), np.array([r[1] for r in found], np.int64)
 
 
-def sets(docs: DataFrame, *cols: str, order: tuple[np.ndarray, np.ndarray] | None = None, percent: int = 80) -> DataFrame:
-    """(doc_id, n, sig) of every row and of ``cols`` what is asked: members, sketch (how many members fall into each of SKETCH
+def sets(docs: DataFrame, *cols: str, order: tuple[np.ndarray, np.ndarray] | None = None, percent: int = 80, carry: tuple[Column, ...] = ()) -> DataFrame:
+    """(doc_id, n, sig, the columns ``carry``) of every row and of ``cols`` what is asked: members, sketch (how many members fall into each of SKETCH
     classes), prefix (first members in the common order)."""
     keys, often = order if order is not None else (np.empty(0, np.uint64), np.empty(0, np.int64))
     by = np.argsort(keys)
@@ -111,10 +111,13 @@ def sets(docs: DataFrame, *cols: str, order: tuple[np.ndarray, np.ndarray] | Non
                             s = s[np.argsort(np.where(keys[at] == s, often[at], 0), kind="stable")]
                         first.append(s[: prefix_length(len(s), percent) if len(s) else 0].view(np.int64))
                     out.append(pa.array(first, pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays(out, ["doc_id", "n", "sig", *(c for c in ("members", "sketch", "prefix") if c in cols)])
+                yield pa.RecordBatch.from_arrays([*out, *(b[c] for c in kept)], ["doc_id", "n", "sig", *(c for c in ("members", "sketch", "prefix") if c in cols), *kept])
 
+    rows = docs.select("doc_id", "text", *carry)
+    kept = rows.columns[2:]
     more = "".join(f", {c} array<{t}>" for c, t in (("members", "long"), ("sketch", "int"), ("prefix", "long")) if c in cols)
-    return docs.select("doc_id", "text").mapInArrow(made, f"doc_id {kind}, n long, sig binary{more}")
+    more += "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in kept)
+    return rows.mapInArrow(made, f"doc_id {kind}, n long, sig binary{more}")
 
 
 def divide_skip(query: np.ndarray, others: list[np.ndarray], percent: int = 80) -> np.ndarray:
@@ -155,13 +158,16 @@ def divide_skip(query: np.ndarray, others: list[np.ndarray], percent: int = 80)
     return out
 
 
-def linked(docs: DataFrame, pairs: DataFrame, percent: int = 80) -> DataFrame:
-    """Those of ``pairs`` (src, dst; distinct) that link. A source's others are dealt into blocks of about BLOCK."""
+def linked(docs: DataFrame, names: DataFrame, pairs: DataFrame, percent: int = 80) -> DataFrame:
+    """Those of ``pairs`` (src, dst; distinct nodes of ``names``: sig, rep, node) that link. A source's others are dealt into
+    blocks of about BLOCK."""
     many = pairs.groupBy("src").agg(F.count("*").alias("k"))
     dealt = pairs.join(many, "src").select("src", "dst", F.pmod(F.xxhash64("dst"), F.ceil(F.col("k") / BLOCK)).cast("int").alias("block"))
     dealt = written(dealt)
-    wanted = dealt.select(F.col("src").alias("doc_id")).union(dealt.select("dst")).distinct()
-    members = written(sets(docs.join(wanted, "doc_id", "left_semi"), "members").groupBy("doc_id").agg(F.min("members").alias("members")))
+    wanted = names.join(dealt.select(F.col("src").alias("node")).union(dealt.select("dst")).distinct(), "node")
+    texts = docs.join(wanted.select("rep").distinct(), docs["doc_id"].eqNullSafe(F.col("rep")), "left_semi")  # of other classes, too, where ids repeat
+    members = sets(texts, "members").join(wanted.select("sig", F.col("node").alias("of")), "sig").groupBy(F.col("of").alias("doc_id")).agg(F.min("members").alias("members"))
+    members = written(members)
     query = dealt.select("src", "block").distinct().join(members.withColumnRenamed("doc_id", "src"), "src").select("src", "block", F.col("src").alias("doc"), F.lit(0).alias("role"), "members")
     other = dealt.join(members.withColumnRenamed("doc_id", "dst"), "dst").select("src", "block", F.col("dst").alias("doc"), F.lit(1).alias("role"), "members")
     kind = pairs.schema["src"].dataType.simpleString()
@@ -288,13 +294,38 @@ def join(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of ``docs``.
 
     component_id: the smallest doc_id that links reach. Null and empty texts and those without words have no shingles and link
-    with nothing, each its own component. Rows with one id and equal texts fall together, rows with one id and other texts are
-    looked at each by its own text. A null id is kept, its component is the smallest id of its class, if any. Other columns are
-    not read; an empty table gives no rows.
+    with nothing, each its own component. Each row is looked at by its own text, whatever rows share its id. A null id is kept,
+    its component is the smallest id that links reach, if any. Other columns are not read; an empty table gives no rows.
     """
-    all_sets = written(sets(docs, "sketch", "prefix", order=frequent(docs), percent=percent))
-    classes = all_sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    reps = all_sets.join(classes, (all_sets["sig"] == classes["sig"]) & (all_sets["doc_id"] == classes["rep"]), "left_semi").dropDuplicates(["doc_id"])
+    all_sets, named = _classes(docs, percent)
+    out = all_sets.select("doc_id", "n", "sig").join(named, "sig", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def distinct(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """One row of each component of ``docs``, whole, and all rows without words: the one with the smallest (doc_id, md5 of the
+    text, other columns), null ids last."""
+    key = F.md5(F.col("text").cast("binary")).alias("key")
+    all_sets, named = _classes(docs, percent, key)
+    rows = all_sets.where("n > 0").select("doc_id", "key", "sig").join(named.select("sig", "component"), "sig")
+    rows = rows.groupBy("component", "doc_id", "key").agg(F.count("*").alias("m"))
+    best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "m")).alias("x")).select(F.col("x.doc_id").alias("best_id"), F.col("x.key").alias("best_key"), "x.m")
+    hit = docs.withColumn("_key", key).join(best, F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("_key") == F.col("best_key")))
+    once = hit.where("m = 1").select(*docs.columns)
+    more = hit.where("m > 1").groupBy("best_id", "best_key").agg(F.min(F.struct(*docs.columns)).alias("x")).select("x.*")
+    empty = docs.where(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    return once.unionByName(more).unionByName(empty)
+
+
+def _classes(docs: DataFrame, percent: int, *carry: Column) -> tuple[DataFrame, DataFrame]:
+    """(``sets`` of all rows with ``carry``, (sig, component, component_id) of each set with members).
+
+    A class of equal sets is a node with a number of its own, since rows with one id may have other texts and null ids none.
+    """
+    all_sets = written(sets(docs, "sketch", "prefix", order=frequent(docs), percent=percent, carry=carry))
+    names = written(all_sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep")).withColumn("node", F.monotonically_increasing_id()))
+    reps = all_sets.withColumnRenamed("sig", "of").join(names, (F.col("of") == F.col("sig")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    reps = reps.select(F.col("node").alias("doc_id"), "n", "sketch", "prefix").dropDuplicates(["doc_id"])  # equal sets
     sketches = reps.select("doc_id", "n", "sketch")
     lists = reps.select("doc_id", "n", F.posexplode("prefix").alias("pos", "h"))
     over = Window.partitionBy("h")
@@ -309,7 +340,7 @@ def join(docs: DataFrame, percent: int = 80) -> DataFrame:
     first = lists.where(F.col("doc_id") != head["doc_id"]).where((100 * F.least("n", head["n"])) >= percent * F.greatest("n", head["n"])).where(could(F.col("n"), head["n"], F.col("pos"), head["pos"]))
     tried = written(first.select(head["doc_id"].alias("src"), F.col("doc_id").alias("dst")).distinct())
     pairs = written(promising(tried, sketches, percent))
-    edges = written(linked(docs, pairs, percent))
+    edges = written(linked(docs, names, pairs, percent))
     found = components(edges)
 
     # members of a list in different components so far, but for those just compared
@@ -318,9 +349,9 @@ def join(docs: DataFrame, percent: int = 80) -> DataFrame:
     mixed = written(mixed)
     rest = written(met(mixed, sketches, percent).distinct().join(tried, ["src", "dst"], "left_anti"))
     if not rest.isEmpty():
-        more = written(linked(docs, rest, percent))
+        more = written(linked(docs, names, rest, percent))
         if not more.isEmpty():
             found = components(edges.unionByName(more))
-    out = all_sets.select("doc_id", "n", "sig").join(classes, "sig", "left")
-    out = out.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    whole = names.join(found, "node", "left").select("sig", "rep", F.coalesce("component", "node").alias("component"))
+    lowest = whole.groupBy("component").agg(F.min("rep").alias("component_id"))
+    return all_sets, whole.drop("rep").join(lowest, "component")

@@ -184,9 +184,9 @@ def offsets(text: str, marginals: np.ndarray, least: float = 0.5) -> list[tuple[
     return out
 
 
-def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_rows: int = 6_000) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_rows: int = 6_000, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(doc_id, held_out, score, predicted, spans), one row for each row of ``docs``; spans: array of (start, end) of
-    toxic tokens in code points, end exclusive.
+    toxic tokens in code points, end exclusive. With other columns to ``carry`` they are a struct ``row`` in place of doc_id.
 
     Null and empty texts have no tokens and get the score of a document without toxic marginals. Repeated rows are scored
     alike; other columns are not read; without labels of both classes the score is the smoothed share of toxic ones.
@@ -205,9 +205,9 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_rows:
                 marginals = model.marginals(words)
                 scores += model.scores(marginals).tolist()
                 spans += [[{"start": s, "end": e} for s, e in offsets(t, m)] if len(m) and m.max() >= 0.5 and len(t.split()) == len(m) else [] for t, m in zip(texts, marginals, strict=True)]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], pa.array(scores, pa.float64()), pa.array(spans, span)], ["doc_id", "held_out", "score", "spans"])
+            yield pa.RecordBatch.from_arrays([b[name], b["held_out"], pa.array(scores, pa.float64()), pa.array(spans, span)], [name, "held_out", "score", "spans"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", held_out().alias("held_out"), "text")
-    out = rows.mapInArrow(scored, f"doc_id {kind}, held_out boolean, score double, spans array<struct<start:int,end:int>>")
-    return out.select("doc_id", "held_out", "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), "spans")
+    name = "doc_id" if tuple(carry) == ("doc_id",) else "row"
+    rows = docs.select(F.col("doc_id") if name == "doc_id" else F.struct(*carry).alias("row"), held_out().alias("held_out"), "text")
+    out = rows.mapInArrow(scored, f"{name} {rows.schema[name].dataType.simpleString()}, held_out boolean, score double, spans array<struct<start:int,end:int>>")
+    return out.select(name, "held_out", "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), "spans")

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from fundlake.llm import chat_format, embedding_dedup, jaccard_join, packing, quality_classifier, quality_rules, queries, reuse_encoding, secret_scan, token_counts, toxicity
 from fundlake.llm.byte_bpe import tokenizer_path
 
@@ -219,3 +220,23 @@ def test_chat_repeats(spark, tmp_path):
     assert got == sorted(want, key=str)
     texts = sorted(r.json for r in rows if r.status == "duplicate")
     assert texts == sorted([f'{{"arguments":{{"prompt":"{t}","turn":0}},"id":"t0","name":"reply","status":"duplicate"}}' for t in "ab"] + ['{"id":"t0","result":"y","status":"duplicate"}', '{"id":"t4","result":"p","status":"duplicate"}'])
+
+
+def test_rows_that_share_an_id(spark, tmp_path):
+    """op9 and the pipeline decide by row: repeated ids with equal and other texts, null ids."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(5, a, "x"), (5, a, "x"), (5, a, "w"), (5, b, "x"), (3, a + " tail", "x"), (7, b + " tail", "x"), (None, a, "x"), (None, c, "x"), (None, c + " tail", "x"), (None, c, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join(df).collect()), key=str)
+    assert got == sorted([(5, 56, 3)] * 3 + [(5, 56, 5), (3, 57, 3), (7, 57, 5), (None, 56, 3), (None, 56, None), (None, 57, None), (None, 56, None)], key=str)
+    left = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, df, "").collect()]
+    assert sorted(r[:2] for r in left if r[0]) == [(3, a + " tail"), (5, b)] and len(left) == 3 and left.count((None, c, "x")) + left.count((None, c + " tail", "x")) == 1
+    again = spark.createDataFrame([(1, a, "z"), (1, a, "y"), (1, a, "y"), (2, a, "x"), (None, " ", "x"), (None, None, "x")], "doc_id long, text string, lang string")
+    assert {tuple(r) for r in corpus_pipeline.near_duplicates(spark, again, "").collect()} == {(1, a, "y"), (None, " ", "x"), (None, None, "x")}
+
+    words = [(k, " ".join(RND.choices(WORDS, k=40)) + (" idiot scum" if k % 3 == 0 else "")) for k in range(300)]
+    spark.createDataFrame([(k, int(k % 3 == 0)) for k, _ in words], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    bad, clean = words[0][1], words[1][1]
+    rows = [*words, (None, bad), (None, clean), (1, bad), (1, clean), (0, clean)]
+    left = [tuple(r) for r in corpus_pipeline.toxic(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()]
+    assert sorted(left, key=str) == sorted([r for r in rows if "idiot" not in r[1]], key=str)
