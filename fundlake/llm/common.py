@@ -81,19 +81,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
     return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that links reach, for every node of ``edges`` (src, dst).
 
-    Each round takes the neighbours' minimum, hooks a root onto the lowest label that its members see, and jumps to the
-    root's root, until nothing changes. Minima are aggregated before they are dealt out, and each round's labels are written to
-    the shared folder.
+    Each round takes the neighbours' minimum, hooks a root onto the lowest label that its members see, and jumps to the root's
+    root, until nothing changes; labels only fall, so that it ends, whatever the number of rounds. Minima are aggregated before
+    they are dealt out, and each round's labels are written to the shared folder.
     """
     both = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     links = written(both)
     ids = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     label = written(ids.select("node", F.col("node").alias("component")))
     sym = links.select("a", "b").union(links.select(F.col("b"), F.col("a")))
-    for _ in range(rounds):
+    while True:
         near = sym.join(label.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         low = label.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
         # hook the old root onto the lowest label seen by any of its members, then jump to the root's root
@@ -104,4 +104,3 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         label = new.select("node", "component")
         if new.where("was <> component").isEmpty():
             return label
-    raise RuntimeError(f"links are not resolved after {rounds} rounds")

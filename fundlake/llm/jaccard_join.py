@@ -1,32 +1,38 @@
 """N-gram Jaccard join: sets of 5-word shingles, exact links, by T-occurrence search.
 
-Two sets that link share one of the first shingles of each in any common order (a fifth of a set and one more), so only those
-are dealt out by shingle. Shingles that a sample shows to be frequent come last in the order, which keeps common passages out
-of the lists; that changes the work, never the result. Equal sets are one class from the start. A list's members are compared
-with its smallest first; members of one list that are then still unconnected are searched for in blocks of that list, which
-leaves those whose sketches allow the overlap that a link needs. Comparing is a T-occurrence search for one set in a block of others: short inverted lists are merged, long ones probed (DivideSkip).
+Equal sets are one class from the start. Two sets that link share one of the first shingles of each in any common order (a fifth
+of a set and one more), so only those are dealt out, as inverted lists. Shingles that a sample shows to be frequent come last in
+the order, which keeps common passages out of the lists; that changes the work, never the result. Lists with the same members
+are one. Members of a list become candidates where sizes, places and parity bitmaps leave room for a link: two sets differ in at
+least as many members as their bitmaps do in bits. Candidates are dealt into blocks of sets. A block's inverted lists are built
+once and searched with each of its queries: the short lists are merged by a heap, the long ones probed by bisection (DivideSkip).
+
+Candidates come in two rounds. The first takes from each list what connects its members, the second, of the lists that this
+leaves open, the members that the links found so far have not connected.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, ship, written
 
 WIDTH = 5
-#: Sets in a block of a search, as expected; words whose hashes a worker remembers.
-BLOCK, KEPT = 256, 400_000
-#: Members of one list in a block, as expected.
-LIST_BLOCK = 1024
-#: Classes of members in a sketch; sets share no more than the sum of the smaller counts of each class.
-SKETCH = 256
+#: Sets in a block of a search, as expected; words whose hashes a worker remembers; sets that a task remembers to have emitted.
+BLOCK, KEPT, SEEN = 256, 400_000, 100_000
+#: Members of one list in a block, as expected, and those up to which bitmaps are compared one by one.
+LIST_BLOCK, FEW = 1024, 8
+#: What a step of a bisection costs against one of a merge.
+PROBE = 0.01
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -67,8 +73,15 @@ def prefix_length(n: int, percent: int = 80) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def frequent(docs: DataFrame, max_docs: int = 4_000, least: int = 3, most: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, how often) of shingles that about ``max_docs`` documents share; at most ``most`` of them."""
+def bitmap(members: np.ndarray) -> bytes:
+    """Whether an odd number of members falls on each bit; at least as many bits as members, a power of two."""
+    bits = 1 << max(6, int(len(members) - 1).bit_length())
+    counts = np.bincount((members & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def frequent(docs: DataFrame, max_docs: int = 16_000, least: int = 4, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, how often) of shingles that several of about ``max_docs`` texts share; at most ``most`` of them."""
     n = docs.count()
     rows = docs.select("text")
     if n > max_docs:
@@ -79,215 +92,324 @@ def frequent(docs: DataFrame, max_docs: int = 4_000, least: int = 3, most: int =
             for t in b["text"].to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(t).view(np.int64))], ["h"])
 
-    found = rows.mapInArrow(emitted, "h long").groupBy("h").count().where(F.col("count") >= least).orderBy(F.desc("count"), "h").limit(most).collect()
+    counts = rows.distinct().mapInArrow(emitted, "h long").groupBy("h").count().where(F.col("count") >= least)
+    found = counts.orderBy(F.desc("count"), "h").limit(most).collect()
     found.sort()
     return np.array([r[0] for r in found], np.int64).view(np.uint64), np.array([r[1] for r in found], np.int64)
 
 
-def sets(docs: DataFrame, *cols: str, order: tuple[np.ndarray, np.ndarray] | None = None, percent: int = 80, carry: tuple[Column, ...] = ()) -> DataFrame:
-    """(doc_id, n, sig, the columns ``carry``) of every row and of ``cols`` what is asked: members, sketch (how many members fall into each of SKETCH
-    classes), prefix (first members in the common order)."""
-    keys, often = order if order is not None else (np.empty(0, np.uint64), np.empty(0, np.int64))
-    by = np.argsort(keys)
-    keys, often = keys[by], often[by]
-    kind = docs.schema["doc_id"].dataType.simpleString()
+#: The columns that ``sets`` makes on request, and their types.
+_KINDS = {"members": "array<long>", "bits": "binary", "prefix": "array<long>"}
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, 512):
-                b = whole.slice(k, 512)
-                all_sets = [shingles(t) for t in b["text"].to_pylist()]
-                sig = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in all_sets]
-                out = [b["doc_id"], pa.array([len(s) for s in all_sets], pa.int64()), pa.array(sig, pa.binary())]
-                if "members" in cols:
-                    out.append(pa.array([s.view(np.int64) for s in all_sets], pa.list_(pa.int64())))
-                if "sketch" in cols:
-                    out.append(pa.array([np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.int32) for s in all_sets], pa.list_(pa.int32())))
-                if "prefix" in cols:
-                    first = []
-                    for s in all_sets:
-                        if len(keys):
-                            at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-                            s = s[np.argsort(np.where(keys[at] == s, often[at], 0), kind="stable")]
-                        first.append(s[: prefix_length(len(s), percent) if len(s) else 0].view(np.int64))
-                    out.append(pa.array(first, pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays([*out, *(b[c] for c in kept)], ["doc_id", "n", "sig", *(c for c in ("members", "sketch", "prefix") if c in cols), *kept])
 
+def sets(
+    docs: DataFrame, *cols: str, order: tuple[np.ndarray, np.ndarray] | None = None, percent: int = 80, carry: tuple[Column, ...] = ()
+) -> DataFrame:
+    """(doc_id, n, sig, short, the columns ``carry``) of every row, and of ``cols`` what is asked: members, bits (``bitmap``),
+    prefix (first members in the common order). sig: 128-bit digest of the set, short: its first half; both null without
+    members. A set that a task has met before has its other columns null from then on.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(order or (np.empty(0, np.uint64), np.empty(0, np.int64)))  # bounded by ``frequent``
     rows = docs.select("doc_id", "text", *carry)
     kept = rows.columns[2:]
-    more = "".join(f", {c} array<{t}>" for c, t in (("members", "long"), ("sketch", "int"), ("prefix", "long")) if c in cols)
-    more += "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in kept)
-    return rows.mapInArrow(made, f"doc_id {kind}, n long, sig binary{more}")
+    more = [c for c in _KINDS if c in cols]
 
+    def first(s: np.ndarray) -> np.ndarray:
+        keys, often = shared.value
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+            s = s[np.argsort(np.where(keys[at] == s, often[at], 0), kind="stable")]
+        return s[: prefix_length(len(s), percent)].view(np.int64)
 
-def divide_skip(query: np.ndarray, others: list[np.ndarray], percent: int = 80) -> np.ndarray:
-    """True for each of ``others`` (sorted sets) that links with ``query`` (sorted).
+    make = {"members": lambda s: s.view(np.int64), "bits": bitmap, "prefix": first}
+    types = {"members": pa.list_(pa.int64()), "bits": pa.binary(), "prefix": pa.list_(pa.int64())}
 
-    Inverted lists of the query's members over the others; the longest ones are kept apart. Merging the short lists leaves the
-    sets that reach the least required overlap less the number of long lists; these are probed in the long lists by bisection.
-    """
-    sizes = np.array([len(o) for o in others])
-    need = required(len(query), sizes, percent)
-    flat = np.concatenate(others) if others else np.empty(0, np.uint64)
-    owner = np.repeat(np.arange(len(others)), sizes)
-    at = np.minimum(np.searchsorted(query, flat), len(query) - 1)
-    hit = query[at] == flat
-    member, owner = at[hit], owner[hit]
-    by = np.argsort(member, kind="stable")  # lists in the order of the query's members, owners ascending within each
-    member, owner = member[by], owner[by]
-    length = np.bincount(member, minlength=len(query))
-    least = int(need.min()) if len(need) else 0
-    n_long = min(least - 1, int(least / (0.01 * math.log2(max(2, int(length.max(initial=1)))) * 10 + 1))) if least > 1 else 0
-    long = np.argsort(-length, kind="stable")[:n_long]
-    is_long = np.zeros(len(query), bool)
-    is_long[long] = True
-    count = np.bincount(owner[~is_long[member]], minlength=len(others))
-    left = np.flatnonzero(count >= need - n_long)
-    ends = length.cumsum()
-    for k in long.tolist():
-        if not len(left):
-            break
-        inverted = owner[ends[k] - length[k] : ends[k]]
-        if len(inverted):
-            pos = np.minimum(np.searchsorted(inverted, left), len(inverted) - 1)
-            count[left] += inverted[pos] == left
-        n_long -= 1
-        left = left[count[left] >= need[left] - n_long]  # what the rest of the lists can't make up for is given up
-    out = np.zeros(len(others), bool)
-    out[left] = count[left] >= need[left]
-    return out
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for whole in batches:
+            for k in range(0, whole.num_rows, 256):
+                b = whole.slice(k, 256)
+                all_sets = [shingles(t) for t in b["text"].to_pylist()]
+                sig = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in all_sets]
+                short = [None if d is None else int.from_bytes(d[:8], "little", signed=True) for d in sig]
+                new = []
+                for d in sig:
+                    new.append(d is not None and d not in seen)
+                    if new[-1]:
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(d)
+                sizes = pa.array([len(s) for s in all_sets], pa.int64())
+                out = [b["doc_id"], sizes, pa.array(sig, pa.binary()), pa.array(short, pa.int64())]
+                out += [pa.array([make[c](s) if x else None for s, x in zip(all_sets, new, strict=True)], types[c]) for c in more]
+                yield pa.RecordBatch.from_arrays([*out, *(b[c] for c in kept)], ["doc_id", "n", "sig", "short", *more, *kept])
 
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    made_cols = "".join(f", {c} {_KINDS[c]}" for c in more) + "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in kept)
+    return rows.mapInArrow(made, f"doc_id {kind}, n long, sig binary, short long{made_cols}")
+
+
+class InvertedLists:
+    """The inverted lists of some sets: for each member the sets, by number, that hold it."""
+
+    def __init__(self, members: list[np.ndarray], percent: int = 80):
+        self.percent = percent
+        self.sizes = np.array([len(s) for s in members], np.int64)
+        flat, owner = np.concatenate(members), np.repeat(np.arange(len(members)), self.sizes)
+        by = np.argsort(flat, kind="stable")  # so owners ascend in each list
+        self.owner = owner[by].tolist()
+        self.keys, start = np.unique(flat[by], return_index=True)
+        self.start, self.end = start, np.append(start[1:], len(flat))
+
+    def search(self, query: np.ndarray) -> list[int]:
+        """The sets that link with ``query`` (sorted), itself too if it is one of them."""
+        n, need = len(query), required(len(query), self.sizes, self.percent)
+        fits = 100 * np.minimum(n, self.sizes) >= self.percent * np.maximum(n, self.sizes)
+        at = np.minimum(np.searchsorted(self.keys, query), len(self.keys) - 1)
+        at = at[self.keys[at] == query]
+        least = int(need[fits].min()) if fits.any() else n + 1
+        if len(at) < least:
+            return []
+        length = self.end[at] - self.start[at]
+        by = np.argsort(length, kind="stable")
+        lists = list(zip(self.start[at[by]].tolist(), self.end[at[by]].tolist(), strict=True))
+        n_long = min(least - 1, int(least / (PROBE * math.log2(int(length.max()) + 1) + 1)))
+        cut = len(lists) - n_long
+        out = []
+        for k, count in self._merged(lists[:cut], least - n_long):
+            enough, left = int(need[k]), n_long
+            for start, end in lists[cut:]:
+                if count >= enough or count + left < enough:
+                    break
+                place = bisect_left(self.owner, k, start, end)
+                count += place < end and self.owner[place] == k
+                left -= 1
+            if count >= enough:
+                out.append(k)
+        return out
+
+    def _merged(self, lists: list[tuple[int, int]], least: int) -> Iterator[tuple[int, int]]:
+        """(set, count) of those in ``least`` of ``lists`` or more. Where the lists in front hold a set less often, as many as
+        can't reach ``least`` alone skip to the set in front of the others."""
+        owner, place = self.owner, [start for start, _ in lists]
+        heap = [(owner[start], k) for k, (start, _) in enumerate(lists)]
+        heapify(heap)
+        while len(heap) >= least:
+            front, popped = heap[0][0], []
+            while heap and heap[0][0] == front:
+                popped.append(heappop(heap)[1])
+            if len(popped) >= least:
+                yield front, len(popped)
+                to = front + 1
+            else:
+                while heap and len(popped) < least - 1:
+                    popped.append(heappop(heap)[1])
+                if not heap:
+                    return
+                to = heap[0][0]
+            for k in popped:
+                place[k] = bisect_left(owner, to, place[k], lists[k][1])
+                if place[k] < lists[k][1]:
+                    heappush(heap, (owner[place[k]], k))
 
-def linked(docs: DataFrame, names: DataFrame, pairs: DataFrame, percent: int = 80) -> DataFrame:
-    """Those of ``pairs`` (src, dst; distinct nodes of ``names``: sig, rep, node) that link. A source's others are dealt into
-    blocks of about BLOCK."""
-    many = pairs.groupBy("src").agg(F.count("*").alias("k"))
-    dealt = pairs.join(many, "src").select("src", "dst", F.pmod(F.xxhash64("dst"), F.ceil(F.col("k") / BLOCK)).cast("int").alias("block"))
-    dealt = written(dealt)
-    wanted = names.join(dealt.select(F.col("src").alias("node")).union(dealt.select("dst")).distinct(), "node")
-    texts = docs.join(wanted.select("rep").distinct(), docs["doc_id"].eqNullSafe(F.col("rep")), "left_semi")  # of other classes, too, where ids repeat
-    members = sets(texts, "members").join(wanted.select("sig", F.col("node").alias("of")), "sig").groupBy(F.col("of").alias("doc_id")).agg(F.min("members").alias("members"))
-    members = written(members)
-    query = dealt.select("src", "block").distinct().join(members.withColumnRenamed("doc_id", "src"), "src").select("src", "block", F.col("src").alias("doc"), F.lit(0).alias("role"), "members")
-    other = dealt.join(members.withColumnRenamed("doc_id", "dst"), "dst").select("src", "block", F.col("dst").alias("doc"), F.lit(1).alias("role"), "members")
-    kind = pairs.schema["src"].dataType.simpleString()
 
-    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, query, names, others = None, None, [], []
+def linked(docs: DataFrame, names: DataFrame, pairs: DataFrame, percent: int = 80) -> DataFrame:
+    """(src, dst): the nodes of ``names`` (sig, short, rep, node) that link, of ``pairs`` (src, dst: shorts) or met on the way.
 
-        def found() -> pa.RecordBatch:
-            keep = divide_skip(query, others, percent) if query is not None and others else []
-            dst = [n for n, k in zip(names, keep, strict=False) if k]
-            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(dst), kind_of), pa.array(dst, kind_of)], ["src", "dst"])
+    Each pair's dst is held in one block, by the least of its sources, and asked for by its sources there; the many of one
+    source are dealt into blocks of about BLOCK.
+    """
+    hubs = pairs.groupBy("dst").agg(F.min("src").alias("hub"))
+    many = hubs.groupBy("hub").agg(F.count("*").alias("k"))
+    units = max(1, -(-hubs.count() // BLOCK))
+    part = F.pmod(F.xxhash64("dst"), F.ceil(F.col("k") / BLOCK))
+    home = written(hubs.join(many, "hub").select("dst", F.pmod(F.xxhash64("hub", part), F.lit(units)).alias("unit")))
+    rows = home.select("unit", F.lit(0).alias("role"), F.col("dst").alias("short"))
+    rows = rows.unionByName(pairs.join(home, "dst").select("unit", F.lit(1).alias("role"), F.col("src").alias("short")).distinct())
+    wanted = names.join(rows.select("short").distinct(), "short")  # each set of that short
+    texts = docs.join(wanted.select("rep").distinct(), docs["doc_id"].eqNullSafe(F.col("rep")), "left_semi")
+    found = sets(texts.select("doc_id", "text"), "members").where("members is not null").select("sig", "members")
+    members = wanted.select("sig", "short", "node").join(found, "sig").groupBy("node", "short").agg(F.first("members").alias("members"))
+    rows = rows.join(written(members), "short").select("unit", "role", "node", "members")
 
-        kind_of = None
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, nodes, held, index = None, [], [], None
         for b in batches:
-            kind_of = kind_of or b.schema.field("src").type
             flat, cut = b["members"].flatten().to_numpy().view(np.uint64), b["members"].offsets.to_numpy()
-            cut = cut - cut[0]
-            for k, (src, block, doc, role) in enumerate(zip(*(b[c].to_pylist() for c in ("src", "block", "doc", "role")), strict=True)):
+            cut, src, dst = cut - cut[0], [], []
+            for k, (at, role, node) in enumerate(zip(*(b[c].to_pylist() for c in ("unit", "role", "node")), strict=True)):
+                if at != unit:
+                    unit, nodes, held, index = at, [], [], None
                 s = flat[cut[k] : cut[k + 1]]
-                if key != (src, block):
-                    if key is not None:
-                        yield found()
-                    key, query, names, others = (src, block), None, [], []
                 if role == 0:
-                    query = s.copy()
-                else:
-                    names.append(doc), others.append(s.copy())
-        if key is not None:
-            yield found()
-
-    rows = query.unionByName(other).repartition("src", "block").sortWithinPartitions("src", "block", "role")
-    return rows.mapInArrow(searched, f"src {kind}, dst {kind}")
-
+                    nodes.append(node), held.append(s.copy())
+                    continue
+                index = index or InvertedLists(held, percent)
+                hits = [nodes[i] for i in index.search(s) if nodes[i] != node]
+                src += [node] * len(hits)
+                dst += hits
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
+    return rows.repartition("unit").sortWithinPartitions("unit", "role").mapInArrow(searched, "src long, dst long")
+
+
+class _Members:
+    """Members of a list (short, n, rest: from the place on, part: the component) and their bitmaps, compared at a common width."""
+
+    def __init__(self, rows: list[tuple], percent: int):
+        self.percent = percent
+        self.short, n, rest, part, self.bits = (list(c) for c in zip(*rows, strict=True))
+        self.n, self.rest, self.part = (np.array(c, np.int64) for c in (n, rest, part))
+        size = np.array([len(x) for x in self.bits])
+        self.widths = {int(w): np.flatnonzero(size == w) for w in np.unique(size)} if len(rows) > FEW else {}
+        self.maps = {w: np.frombuffer(b"".join(self.bits[k] for k in at), np.uint64).reshape(len(at), -1) for w, at in self.widths.items()}
+
+    def near(self, n: int, rest: int, bits: bytes, open_: np.ndarray) -> np.ndarray:
+        """Those of ``open_`` (bool) whose sizes, places and bitmaps leave room for a link; numbers, ascending."""
+        could = open_ & ((100 + self.percent) * np.minimum(rest, self.rest) >= self.percent * (n + self.n))
+        if not self.widths:
+            return np.array([k for k in np.flatnonzero(could).tolist() if apart(bits, self.bits[k]) <= self.room(n, int(self.n[k]))], np.int64)
+        out, mine = [], np.frombuffer(bits, np.uint64)
+        for w, at in self.widths.items():
+            rows = np.flatnonzero(could[at])
+            if len(rows):
+                a, b = mine, self.maps[w][rows]
+                while a.shape[-1] > b.shape[-1]:
+                    a = folded(a)
+                while b.shape[-1] > a.shape[-1]:
+                    b = folded(b)
+                out.append(at[rows[np.bitwise_count(a ^ b).sum(-1) <= self.room(n, self.n[at[rows]])]])
+        return np.sort(np.concatenate(out)) if out else np.empty(0, np.int64)
+
+    def room(self, n: int, m: int | np.ndarray):
+        """In how many members linked sets of n and m differ at most."""
+        return n + m - 2 * required(n, m, self.percent)
+
+    def others(self, part: int) -> np.ndarray:
+        """Who isn't of the component ``part``; none is of the component -1."""
+        return (self.part != part) | (self.part < 0)
+
+    def pairs(self, connect: bool) -> tuple[list[tuple[int, int]], bool]:
+        """(candidates among the members, whether pairs are left open): with ``connect`` until all are connected that can be."""
+        found, left, number = [], False, np.arange(len(self.n))
+        label = number.copy()
+        for i in number[:-1].tolist():
+            other = self.others(self.part[i]) & (number > i)
+            if connect:
+                left |= bool((label[i + 1 :] == label[i]).any())
+                other &= label != label[i]
+            for j in self.near(int(self.n[i]), int(self.rest[i]), self.bits[i], other).tolist():
+                if connect and label[j] == label[i]:
+                    left = True
+                    continue
+                label[label == label[j]] = label[i]
+                found.append((self.short[i], self.short[j]))
+        return found, left
+
+
+def folded(bits: np.ndarray) -> np.ndarray:
+    """Bitmaps at half their width."""
+    half = bits.shape[-1] // 2
+    return bits[..., :half] ^ bits[..., half:]
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """In how many bits two bitmaps differ, the wider one folded."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, y, width = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 8 * len(a)
+    while width > 8 * len(b):
+        width //= 2
+        x = (x & ((1 << width) - 1)) ^ (x >> width)
+    return (x ^ y).bit_count()
+
+
+#: The name of a list: how many members it has, and two numbers made of them.
+_LIST = ["k", "s", "x"]
+
+
+def inverted(rows: DataFrame) -> DataFrame:
+    """(k, s, x, short, place, head): the members of each list of two or more, of ``rows`` (short, n, prefix). Lists with the same
+    members are one, with each member's earliest place (n << 32 | place in the prefix). head: one member of each list."""
+    posts = rows.where("prefix is not null").select("short", "n", F.posexplode("prefix").alias("pos", "h"))
+    posts = posts.select("h", "short", F.shiftleft(F.col("n"), 32).bitwiseOR(F.col("pos").cast("long")).alias("place"))
+    posts = posts.repartition("h").groupBy("h", "short").agg(F.min("place").alias("place"))  # tasks repeat equal sets
+    name = F.count("*").alias("k"), F.bit_xor(F.xxhash64("short", F.lit(1))).alias("s"), F.bit_xor(F.xxhash64("short", F.lit(2))).alias("x")
+    names = posts.groupBy("h").agg(*name, F.min("short").alias("first")).where("k > 1")
+    members = posts.join(names.hint("shuffle_hash"), "h")
+    return members.groupBy(*_LIST, "short").agg(F.min("place").alias("place"), F.first(F.col("short") == F.col("first")).alias("head"))
+
+
+def candidates(lists: DataFrame, bits: DataFrame, connect: bool, percent: int = 80) -> DataFrame:
+    """(k, s, x, src, dst), src before dst: candidates among the members of each list (k, s, x, short, place, head).
+
+    With ``connect``: in each block what connects its members as far as they can be, and pairs with the list's head; a row without
+    src says that pairs of the list are left open. Without: all pairs of members of different components (``part``, -1: of
+    none; ``main``: the head's, -2: none). ``bits``: (short, bits).
+
+    A list is dealt into blocks of about LIST_BLOCK members, so that none is held whole by a task. In other blocks than its own
+    a member is asked if it is the head or, without ``connect``, if it isn't of the head's component.
+    """
+    if connect:
+        lists = lists.withColumn("part", F.lit(-1).cast("long")).withColumn("main", F.lit(-2).cast("long"))
+    cols = [*_LIST, "short", "place", "part", "main"]
+    blocks = F.ceil(F.col("k") / LIST_BLOCK).cast("int")
+    rows = lists.withColumn("own", F.pmod(F.xxhash64("short"), blocks).cast("int"))
+    asking = F.col("head") if connect else F.col("part") != F.col("main")
+    held = rows.select(*cols, "own", F.col("own").alias("block"), F.lit(0).alias("role"))
+    asked = rows.where((F.col("k") > LIST_BLOCK) & asking).select(*cols, "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(1).alias("role"))
+    dealt = held.unionByName(asked.where("own <> block")).join(bits, "short")
+    order = [*_LIST, "block", "role", "short", "place", "part", "bits", "main", "own"]
 
-def promising(pairs: DataFrame, sketches: DataFrame, percent: int = 80) -> DataFrame:
-    """Those of ``pairs`` (src, dst) whose sketches (doc_id, n, sketch) leave room for the overlap that a link needs."""
-    a, b = (sketches.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in ("src", "dst"))
-    most = F.aggregate(F.zip_with("s_src", "s_dst", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
-    return pairs.join(a, "src").join(b, "dst").where((100 + percent) * most >= percent * (F.col("n_src") + F.col("n_dst"))).select("src", "dst")
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, members, out = None, [], None, []
 
+        def add(found: list[tuple[int, int]]) -> None:
+            out.extend((*key[:3], min(a, b), max(a, b)) for a, b in found if a != b)
 
-def met(mixed: DataFrame, sketches: DataFrame, percent: int = 80) -> DataFrame:
-    """(src, dst), src before dst: members of one list (h, doc_id, n, pos, component) in different components whose sizes, places
-    and sketches leave room for a link. Pairs come once for each list at most.
+        def close() -> None:
+            nonlocal members
+            members = _Members(held, percent)
+            found, left = members.pairs(connect)
+            add(found)
+            if connect and (left or key[0] > LIST_BLOCK):
+                out.append((*key[:3], None, None))
 
-    A list is dealt into blocks of about LIST_BLOCK members. A block is searched for its own members and for those of the
-    blocks before it, so a long list is spread over tasks and none holds more than a block.
-    """
-    blocks = mixed.groupBy("h").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    rows = mixed.join(blocks, "h").withColumn("own", own).join(sketches.select("doc_id", "sketch"), "doc_id")
-    cols = ["h", "doc_id", "n", "pos", "component", "sketch"]
-    held = rows.select(*cols, F.col("own").alias("block"), F.lit(0).alias("role"))
-    later = F.sequence(F.col("own") + 1, F.col("blocks") - 1)
-    asked = rows.where("own + 1 < blocks").select(*cols, F.explode(later).alias("block"), F.lit(1).alias("role"))
-    kind = mixed.schema["doc_id"].dataType.simpleString()
-
-    def columns(b: pa.RecordBatch) -> list[np.ndarray]:
-        ids, component = (np.array(b[c].to_pylist(), object) if kind == "string" else b[c].to_numpy() for c in ("doc_id", "component"))
-        return [ids, b["n"].to_numpy(), b["pos"].to_numpy().astype(np.int64), component, b["sketch"].flatten().to_numpy().reshape(len(b), -1)]
-
-    def found(query: list[np.ndarray], block: list[np.ndarray], within: bool, src: list, dst: list) -> None:
-        ids, n, pos, component, sketch = block
-        for k in range(len(query[0])):
-            name, size, place, part, mine = (c[k] for c in query)
-            need = percent * (size + n)
-            could = ((100 + percent) * np.minimum(size - place, n - pos) >= need) & (100 * np.minimum(size, n) >= percent * np.maximum(size, n)) & (component != part)
-            if within:
-                could[: k + 1] = False
-            at = np.flatnonzero(could)
-            if len(at):
-                at = at[(100 + percent) * np.minimum(sketch[at], mine).sum(1) >= need[at]]
-                for other in ids[at].tolist():
-                    src.append(min(name, other)), dst.append(max(name, other))
-
-    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, block, whole, src, dst, id_type = None, [], None, [], [], None
-
-        def own_pairs() -> list[np.ndarray] | None:
-            if not block:
-                return None
-            out = [np.concatenate(c) for c in zip(*block, strict=True)]
-            found(out, out, True, src, dst)
-            return out
-
-        def batch() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(src, id_type), pa.array(dst, id_type)], ["src", "dst"])
-            src.clear(), dst.clear()
-            return out
-
-        for big in batches:
-            id_type = big.schema.field("doc_id").type
-            for at in range(0, len(big), 256):
-                b = big.slice(at, 256)
-                keys = list(zip(*(b[c].to_pylist() for c in ("h", "block", "role")), strict=True))
-                cols, begin = columns(b), 0
-                for end in range(1, len(keys) + 1):
-                    if end < len(keys) and keys[end] == keys[begin]:
+        for whole in batches:
+            for at in range(0, len(whole), 1024):
+                b = whole.slice(at, 1024)
+                for r in zip(*(b[c].to_pylist() for c in order), strict=True):
+                    if r[:4] != key:
+                        if held and members is None:
+                            close()
+                        key, held, members = r[:4], [], None
+                    short, n, rest, part, mine, main = r[5], r[6] >> 32, (r[6] >> 32) - (r[6] & 0xFFFFFFFF), r[7], r[8], r[9]
+                    if r[4] == 0:
+                        held.append((short, n, rest, part, mine))
+                        continue
+                    if not held:
                         continue
-                    run = [c[begin:end] for c in cols]
-                    if keys[begin][:2] != key:
-                        if whole is None:
-                            own_pairs()
-                        key, block, whole = keys[begin][:2], [], None
-                    if keys[begin][2] == 0:
-                        block.append(run)
-                    else:
-                        whole = whole or own_pairs()
-                        if whole:
-                            found(run, whole, False, src, dst)
-                    begin = end
-                    if len(src) > 10_000:
-                        yield batch()
-        if whole is None:
-            own_pairs()
-        if src:
-            yield batch()
-
-    dealt = held.unionByName(asked).repartition("h", "block").sortWithinPartitions("h", "block", "role")
-    return dealt.mapInArrow(searched, f"src {kind}, dst {kind}")
+                    if members is None:
+                        close()
+                    other = members.others(part)
+                    if not connect and r[10] > r[3]:  # two that both ask meet once
+                        other &= members.part == main
+                    add([(short, members.short[j]) for j in members.near(n, rest, mine, other).tolist()])
+                if len(out) > 5_000:
+                    yield batch(out)
+                    out.clear()
+        if held and members is None:
+            close()
+        yield batch(out)
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        made = list(zip(*out, strict=True)) if out else [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in made], [*_LIST, "src", "dst"])
+
+    dealt = dealt.repartition(*_LIST, "block").sortWithinPartitions(*_LIST, "block", "role")
+    return dealt.select(*order).mapInArrow(searched, "k long, s long, x long, src long, dst long")
 
 
 def join(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -297,61 +419,69 @@ def join(docs: DataFrame, percent: int = 80) -> DataFrame:
     with nothing, each its own component. Each row is looked at by its own text, whatever rows share its id. A null id is kept,
     its component is the smallest id that links reach, if any. Other columns are not read; an empty table gives no rows.
     """
-    all_sets, named = _classes(docs, percent)
-    out = all_sets.select("doc_id", "n", "sig").join(named, "sig", "left")
+    rows, classes = _classes(docs, percent)
+    out = _with_class(rows.select("doc_id", "n", "sig"), classes)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def distinct(docs: DataFrame, percent: int = 80) -> DataFrame:
     """One row of each component of ``docs``, whole, and all rows without words: the one with the smallest (doc_id, md5 of the
     text, other columns), null ids last."""
-    key = F.md5(F.col("text").cast("binary")).alias("key")
-    all_sets, named = _classes(docs, percent, key)
-    rows = all_sets.where("n > 0").select("doc_id", "key", "sig").join(named.select("sig", "component"), "sig")
-    rows = rows.groupBy("component", "doc_id", "key").agg(F.count("*").alias("m"))
-    best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "m")).alias("x")).select(F.col("x.doc_id").alias("best_id"), F.col("x.key").alias("best_key"), "x.m")
+    key = F.md5(F.col("text").cast("binary")).alias("_key")
+    rows, classes = _classes(docs, percent, key)
+    rows = rows.where("n > 0").groupBy("sig", "doc_id", "_key").agg(F.count("*").alias("m"))
+    rows = _with_class(rows, classes).groupBy("component", "doc_id", "_key").agg(F.sum("m").alias("m"))
+    lowest = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_key", "m")).alias("x")
+    best = rows.groupBy("component").agg(lowest).select(F.col("x.doc_id").alias("best_id"), F.col("x._key").alias("best_key"), F.col("x.m").alias("best_m"))
     hit = docs.withColumn("_key", key).join(best, F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("_key") == F.col("best_key")))
-    once = hit.where("m = 1").select(*docs.columns)
-    more = hit.where("m > 1").groupBy("best_id", "best_key").agg(F.min(F.struct(*docs.columns)).alias("x")).select("x.*")
+    once = hit.where("best_m = 1").select(*docs.columns)
+    more = hit.where("best_m > 1").groupBy("best_id", "best_key").agg(F.min(F.struct(*docs.columns)).alias("x")).select("x.*")
     empty = docs.where(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
     return once.unionByName(more).unionByName(empty)
 
 
+def _with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``rows`` with component and component_id by sig. Sets that a thousandth of all rows or more have, a thousand at most, are
+    looked up in a broadcast table, so that no task gets all of their rows."""
+    cols = ["sig", "component", "component_id"]
+    hot = F.broadcast(classes.where("hot").select(F.col("sig").alias("hot_sig"), F.col("component").alias("c"), F.col("component_id").alias("i")))
+    rows = rows.join(hot, F.col("sig") == F.col("hot_sig"), "left")
+    common = rows.where("hot_sig is not null").withColumns({"component": F.col("c"), "component_id": F.col("i")}).drop("c", "i", "hot_sig")
+    rest = rows.where("hot_sig is null").drop("c", "i", "hot_sig").join(classes.where("not hot").select(*cols), "sig", "left")
+    return common.unionByName(rest)
+
+
 def _classes(docs: DataFrame, percent: int, *carry: Column) -> tuple[DataFrame, DataFrame]:
-    """(``sets`` of all rows with ``carry``, (sig, component, component_id) of each set with members).
+    """(``sets`` of all rows with ``carry``; sig, hot, component, component_id of each set with members).
 
     A class of equal sets is a node with a number of its own, since rows with one id may have other texts and null ids none.
+    Lists and candidates go by the digest's first half; sets that share it, if there are any, are compared each.
     """
-    all_sets = written(sets(docs, "sketch", "prefix", order=frequent(docs), percent=percent, carry=carry))
-    names = written(all_sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep")).withColumn("node", F.monotonically_increasing_id()))
-    reps = all_sets.withColumnRenamed("sig", "of").join(names, (F.col("of") == F.col("sig")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-    reps = reps.select(F.col("node").alias("doc_id"), "n", "sketch", "prefix").dropDuplicates(["doc_id"])  # equal sets
-    sketches = reps.select("doc_id", "n", "sketch")
-    lists = reps.select("doc_id", "n", F.posexplode("prefix").alias("pos", "h"))
-    over = Window.partitionBy("h")
-    lists = lists.select("*", F.count("*").over(over).alias("k"), F.min(F.struct("doc_id", "n", "pos")).over(over).alias("head")).where("k > 1")
-    lists = written(lists.drop("k"))
-
-    def could(n, m, i, j):  # noqa: ANN001, ANN202
-        most = 1 + F.least(n - i, m - j) - 1  # what the sets can share from their places on
-        return (100 + percent) * most >= percent * (n + m)
-
-    head = F.col("head")
-    first = lists.where(F.col("doc_id") != head["doc_id"]).where((100 * F.least("n", head["n"])) >= percent * F.greatest("n", head["n"])).where(could(F.col("n"), head["n"], F.col("pos"), head["pos"]))
-    tried = written(first.select(head["doc_id"].alias("src"), F.col("doc_id").alias("dst")).distinct())
-    pairs = written(promising(tried, sketches, percent))
-    edges = written(linked(docs, names, pairs, percent))
+    rows = written(sets(docs, "bits", "prefix", order=frequent(docs), percent=percent, carry=carry))
+    names = rows.where("sig is not null").groupBy("sig").agg(F.min("short").alias("short"), F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    names = written(names.withColumn("node", F.monotonically_increasing_id()))
+    lists = written(inverted(rows))
+    members = lists.select("short").distinct()
+    bits = written(rows.where("bits is not null").join(members, "short", "left_semi").groupBy("sig", "short").agg(F.first("bits").alias("bits")).drop("sig"))
+
+    first = written(candidates(lists, bits, True, percent))
+    tried = written(first.where("src is not null").select("src", "dst").distinct())
+    edges = written(linked(docs, names, tried, percent))
     found = components(edges)
-
-    # members of a list in different components so far, but for those just compared
-    named = lists.drop("head").join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = named.select("*", F.min("component").over(over).alias("low"), F.max("component").over(over).alias("high")).where("low < high").drop("low", "high")
-    mixed = written(mixed)
-    rest = written(met(mixed, sketches, percent).distinct().join(tried, ["src", "dst"], "left_anti"))
-    if not rest.isEmpty():
-        more = written(linked(docs, names, rest, percent))
-        if not more.isEmpty():
-            found = components(edges.unionByName(more))
-    whole = names.join(found, "node", "left").select("sig", "rep", F.coalesce("component", "node").alias("component"))
+    # the lists left open, by components so far
+    parts = names.join(found, "node").groupBy("short").agg(F.when(F.count("*") == 1, F.min("component")).alias("part"))
+    lists = lists.join(first.where("src is null").select(*_LIST).distinct(), _LIST).join(parts, "short", "left")
+    lists = lists.withColumn("part", F.coalesce("part", F.lit(-1).cast("long")))
+    heads = lists.groupBy(*_LIST).agg(F.max(F.when(F.col("head") & (F.col("part") >= 0), F.col("part"))).alias("main"), F.min("part").alias("low"), F.max("part").alias("high"))
+    heads = heads.where("low < high or low < 0").select(*_LIST, F.coalesce("main", F.lit(-2).cast("long")).alias("main"))
+    lists = written(lists.join(heads, _LIST))
+    if not lists.isEmpty():
+        rest = written(candidates(lists, bits, False, percent).select("src", "dst").distinct().join(tried, ["src", "dst"], "left_anti"))
+        if not rest.isEmpty():
+            more = written(linked(docs, names, rest, percent))
+            if not more.isEmpty():
+                found = components(edges.unionByName(more))
+    total = rows.count()
+    whole = names.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = whole.groupBy("component").agg(F.min("rep").alias("component_id"))
-    return all_sets, whole.drop("rep").join(lowest, "component")
+    return rows, written(whole.select("sig", (F.col("n") * 1000 >= total).alias("hot"), "component").join(lowest, "component"))

@@ -93,9 +93,11 @@ def test_jaccard(spark, docs, empty):
     assert jaccard_join.join(empty).count() == 0 and jaccard_join.join(docs).count() == docs.count()
 
 
-def test_jaccard_lists(spark, monkeypatch):
+@pytest.mark.parametrize("blocks", [4, 16, 256])
+def test_jaccard_lists(spark, monkeypatch, blocks):
     """Many texts with a shared head, near the threshold and on both sides of it; lists of several blocks."""
-    monkeypatch.setattr(jaccard_join, "LIST_BLOCK", 4)
+    monkeypatch.setattr(jaccard_join, "LIST_BLOCK", blocks)
+    monkeypatch.setattr(jaccard_join, "BLOCK", blocks)
     head = [f"w{k}" for k in range(44)]
     texts = [" ".join(head + [f"t{k % 13}.{j}" if j >= k % 3 * 3 else f"u{k % 5}.{j}" for j in range(8)]) for k in range(40)]
     sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
@@ -107,11 +109,26 @@ def test_jaccard_lists(spark, monkeypatch):
                     comp[a] = comp[b] = min(comp[a], comp[b])
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r.component_id for r in jaccard_join.join(df).orderBy("doc_id").collect()] == comp and len(set(comp)) > 1
-    members = spark.createDataFrame([(h, d, len(sets[d]), 0, d) for h in (1, 2) for d in range(40)], "h long, doc_id long, n long, pos int, component long")
-    sketches = jaccard_join.sets(df, "sketch")
-    got = {tuple(r) for r in jaccard_join.met(members, sketches).collect()}
-    links = {(a, b) for a in range(40) for b in range(a + 1, 40) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
-    assert links and links <= got
+
+
+def test_inverted_lists():
+    """T-occurrence search against plain counting: short and long lists, repeated sets, no common members."""
+    rng = np.random.default_rng(2)
+    for trial in range(60):
+        base = [np.unique(rng.integers(0, 1 << 40, rng.integers(1, 120)).astype(np.uint64)) for _ in range(4)]
+        held = []
+        for b in base * 10:
+            keep = b[rng.random(len(b)) > rng.choice([0, 0.05, 0.1, 0.3])]
+            held.append(np.union1d(keep, rng.integers(0, 1 << 40, rng.integers(0, 6)).astype(np.uint64)))
+        held = [h for h in held if len(h)]
+        index = jaccard_join.InvertedLists(held)
+        for query in (*base, held[trial % len(held)], np.array([3], np.uint64)):
+            overlap = [len(np.intersect1d(query, h)) for h in held]
+            want = [k for k, (o, h) in enumerate(zip(overlap, held, strict=True)) if 100 * o >= 80 * (len(query) + len(h) - o)]
+            assert sorted(index.search(query)) == want
+        for x, y in zip(held, held[1:], strict=False):
+            differ = len(np.setxor1d(x, y))
+            assert jaccard_join.apart(jaccard_join.bitmap(x), jaccard_join.bitmap(y)) <= differ
 
 
 def test_embeddings(spark):
