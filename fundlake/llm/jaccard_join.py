@@ -216,7 +216,8 @@ class InvertedLists:
 
 
 def linked(docs: DataFrame, names: DataFrame, pairs: DataFrame, percent: int = 80) -> DataFrame:
-    """(src, dst): the nodes of ``names`` (sig, short, rep, node) that link, of ``pairs`` (src, dst: shorts) or met on the way.
+    """(src, dst): nodes of ``names`` (sig, short, rep, node) that link, of ``pairs`` (src, dst: shorts) or met on the way; of
+    the links of a block no more than connect what its links connect.
 
     Each pair's dst is held in one block, by the least of its sources, and asked for by its sources there; the many of one
     source are dealt into blocks of about BLOCK.
@@ -235,32 +236,40 @@ def linked(docs: DataFrame, names: DataFrame, pairs: DataFrame, percent: int = 8
     rows = rows.join(written(members), "short").select("unit", "role", "node", "members")
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, nodes, held, index = None, [], [], None
+        unit, nodes, held, index, up = None, [], [], None, {}
+
+        def root(node: int) -> int:
+            while up.setdefault(node, node) != node:
+                up[node] = node = up[up[node]]
+            return node
+
         for b in batches:
             flat, cut = b["members"].flatten().to_numpy().view(np.uint64), b["members"].offsets.to_numpy()
             cut, src, dst = cut - cut[0], [], []
             for k, (at, role, node) in enumerate(zip(*(b[c].to_pylist() for c in ("unit", "role", "node")), strict=True)):
                 if at != unit:
-                    unit, nodes, held, index = at, [], [], None
+                    unit, nodes, held, index, up = at, [], [], None, {}
                 s = flat[cut[k] : cut[k + 1]]
                 if role == 0:
                     nodes.append(node), held.append(s.copy())
                     continue
                 index = index or InvertedLists(held, percent)
-                hits = [nodes[i] for i in index.search(s) if nodes[i] != node]
-                src += [node] * len(hits)
-                dst += hits
+                for other in (nodes[i] for i in index.search(s)):
+                    if root(other) != root(node):
+                        up[root(other)] = root(node)
+                        src.append(node), dst.append(other)
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
     return rows.repartition("unit").sortWithinPartitions("unit", "role").mapInArrow(searched, "src long, dst long")
 
 
 class _Members:
-    """Members of a list (short, n, rest: from the place on, part: the component) and their bitmaps, compared at a common width."""
+    """Members of a list (short, n, rest: from the place on, part: the component, bitmap, whether it asks)."""
 
     def __init__(self, rows: list[tuple], percent: int):
         self.percent = percent
-        self.short, n, rest, part, self.bits = (list(c) for c in zip(*rows, strict=True))
+        self.short, n, rest, part, self.bits, asks = (list(c) for c in zip(*rows, strict=True))
+        self.asks = np.array(asks, bool)
         self.n, self.rest, self.part = (np.array(c, np.int64) for c in (n, rest, part))
         size = np.array([len(x) for x in self.bits])
         self.widths = {int(w): np.flatnonzero(size == w) for w in np.unique(size)} if len(rows) > FEW else {}
@@ -330,38 +339,52 @@ def apart(a: bytes, b: bytes) -> int:
 _LIST = ["k", "s", "x"]
 
 
-def inverted(rows: DataFrame) -> DataFrame:
-    """(k, s, x, short, place, head): the members of each list of two or more, of ``rows`` (short, n, prefix). Lists with the same
-    members are one, with each member's earliest place (n << 32 | place in the prefix). head: one member of each list."""
+def strong(n: Column, pos: Column, percent: int = 80) -> Column:
+    """Whether a set of n may link, from its place on, with one of its own size. The smaller set of a link, or either of two of one
+    size, always is strong where the two first meet."""
+    return (100 + percent) * (n - pos) >= 2 * percent * n
+
+
+def inverted(rows: DataFrame, percent: int = 80) -> DataFrame:
+    """(k, s, x, short, place, head): the members of each list of two or more, of ``rows`` (short, n, prefix), but for members that
+    can link with no other one from their places on. Lists with the same members are one, with each member's earliest place
+    (n << 32 | place in the prefix). head: one member of each list."""
     posts = rows.where("prefix is not null").select("short", "n", F.posexplode("prefix").alias("pos", "h"))
     posts = posts.select("h", "short", F.shiftleft(F.col("n"), 32).bitwiseOR(F.col("pos").cast("long")).alias("place"))
     posts = posts.repartition("h").groupBy("h", "short").agg(F.min("place").alias("place"))  # tasks repeat equal sets
+    n, pos = _size(F.col("place")), _pos(F.col("place"))
+    least = posts.groupBy("h").agg(F.count("*").alias("many"), F.min(F.when(strong(n, pos, percent), n)).alias("least")).where("many > 1 and least is not null")
+    posts = posts.join(least.hint("shuffle_hash"), "h").where(strong(n, pos, percent) | ((100 + percent) * (n - pos) >= percent * (n + F.col("least"))))
     name = F.count("*").alias("k"), F.bit_xor(F.xxhash64("short", F.lit(1))).alias("s"), F.bit_xor(F.xxhash64("short", F.lit(2))).alias("x")
     names = posts.groupBy("h").agg(*name, F.min("short").alias("first")).where("k > 1")
-    members = posts.join(names.hint("shuffle_hash"), "h")
+    members = posts.select("h", "short", "place").join(names.hint("shuffle_hash"), "h")
     return members.groupBy(*_LIST, "short").agg(F.min("place").alias("place"), F.first(F.col("short") == F.col("first")).alias("head"))
 
 
+def _size(place: Column) -> Column:
+    return F.shiftright(place, 32)
+
+
+def _pos(place: Column) -> Column:
+    return place.bitwiseAND(F.lit(0xFFFFFFFF))
+
+
 def candidates(lists: DataFrame, bits: DataFrame, connect: bool, percent: int = 80) -> DataFrame:
-    """(k, s, x, src, dst), src before dst: candidates among the members of each list (k, s, x, short, place, head).
+    """(k, s, x, src, dst), src before dst: candidates among the members of each list (k, s, x, short, place, part, asks).
 
-    With ``connect``: in each block what connects its members as far as they can be, and pairs with the list's head; a row without
-    src says that pairs of the list are left open. Without: all pairs of members of different components (``part``, -1: of
-    none; ``main``: the head's, -2: none). ``bits``: (short, bits).
+    With ``connect``: in each block what connects its members as far as they can be; a row without src says that pairs of the
+    list are left open. Without: all pairs of members of different components (``part``, -1: of none). ``bits``: (short, bits).
 
-    A list is dealt into blocks of about LIST_BLOCK members, so that none is held whole by a task. In other blocks than its own
-    a member is asked if it is the head or, without ``connect``, if it isn't of the head's component.
+    A list is dealt into blocks of about LIST_BLOCK members, so that none is held whole by a task. Members that ``ask`` meet
+    those of other blocks, too.
     """
-    if connect:
-        lists = lists.withColumn("part", F.lit(-1).cast("long")).withColumn("main", F.lit(-2).cast("long"))
-    cols = [*_LIST, "short", "place", "part", "main"]
+    cols = [*_LIST, "short", "place", "part", "asks"]
     blocks = F.ceil(F.col("k") / LIST_BLOCK).cast("int")
     rows = lists.withColumn("own", F.pmod(F.xxhash64("short"), blocks).cast("int"))
-    asking = F.col("head") if connect else F.col("part") != F.col("main")
     held = rows.select(*cols, "own", F.col("own").alias("block"), F.lit(0).alias("role"))
-    asked = rows.where((F.col("k") > LIST_BLOCK) & asking).select(*cols, "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(1).alias("role"))
+    asked = rows.where((F.col("k") > LIST_BLOCK) & F.col("asks")).select(*cols, "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(1).alias("role"))
     dealt = held.unionByName(asked.where("own <> block")).join(bits, "short")
-    order = [*_LIST, "block", "role", "short", "place", "part", "bits", "main", "own"]
+    order = [*_LIST, "block", "role", "short", "place", "part", "bits", "own", "asks"]
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, members, out = None, [], None, []
@@ -385,17 +408,17 @@ def candidates(lists: DataFrame, bits: DataFrame, connect: bool, percent: int =
                         if held and members is None:
                             close()
                         key, held, members = r[:4], [], None
-                    short, n, rest, part, mine, main = r[5], r[6] >> 32, (r[6] >> 32) - (r[6] & 0xFFFFFFFF), r[7], r[8], r[9]
+                    short, n, rest, part, mine = r[5], r[6] >> 32, (r[6] >> 32) - (r[6] & 0xFFFFFFFF), r[7], r[8]
                     if r[4] == 0:
-                        held.append((short, n, rest, part, mine))
+                        held.append((short, n, rest, part, mine, r[10]))
                         continue
                     if not held:
                         continue
                     if members is None:
                         close()
                     other = members.others(part)
-                    if not connect and r[10] > r[3]:  # two that both ask meet once
-                        other &= members.part == main
+                    if r[9] > r[3]:  # two that both ask meet once
+                        other &= ~members.asks
                     add([(short, members.short[j]) for j in members.near(n, rest, mine, other).tolist()])
                 if len(out) > 5_000:
                     yield batch(out)
@@ -460,11 +483,12 @@ def _classes(docs: DataFrame, percent: int, *carry: Column) -> tuple[DataFrame,
     rows = written(sets(docs, "bits", "prefix", order=frequent(docs), percent=percent, carry=carry))
     names = rows.where("sig is not null").groupBy("sig").agg(F.min("short").alias("short"), F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     names = written(names.withColumn("node", F.monotonically_increasing_id()))
-    lists = written(inverted(rows))
+    lists = written(inverted(rows, percent))
     members = lists.select("short").distinct()
     bits = written(rows.where("bits is not null").join(members, "short", "left_semi").groupBy("sig", "short").agg(F.first("bits").alias("bits")).drop("sig"))
 
-    first = written(candidates(lists, bits, True, percent))
+    alone = lists.select("*", F.lit(-1).cast("long").alias("part"), F.col("head").alias("asks"))
+    first = written(candidates(alone, bits, True, percent))
     tried = written(first.where("src is not null").select("src", "dst").distinct())
     edges = written(linked(docs, names, tried, percent))
     found = components(edges)
@@ -472,9 +496,12 @@ def _classes(docs: DataFrame, percent: int, *carry: Column) -> tuple[DataFrame,
     parts = names.join(found, "node").groupBy("short").agg(F.when(F.count("*") == 1, F.min("component")).alias("part"))
     lists = lists.join(first.where("src is null").select(*_LIST).distinct(), _LIST).join(parts, "short", "left")
     lists = lists.withColumn("part", F.coalesce("part", F.lit(-1).cast("long")))
-    heads = lists.groupBy(*_LIST).agg(F.max(F.when(F.col("head") & (F.col("part") >= 0), F.col("part"))).alias("main"), F.min("part").alias("low"), F.max("part").alias("high"))
-    heads = heads.where("low < high or low < 0").select(*_LIST, F.coalesce("main", F.lit(-2).cast("long")).alias("main"))
-    lists = written(lists.join(heads, _LIST))
+    heads = lists.groupBy(*_LIST).agg(F.max(F.when(F.col("head"), F.col("part"))).alias("main"), F.min("part").alias("low"), F.max("part").alias("high"))
+    lists = lists.join(heads.where("low < high or low < 0").drop("low", "high"), _LIST)
+    # a pair has one that is strong, and one that isn't of the head's component: the fewer ask
+    is_strong, other = strong(_size(F.col("place")), _pos(F.col("place")), percent), (F.col("part") != F.col("main")) | (F.col("part") < 0)
+    fewer = lists.groupBy(*_LIST).agg((F.count_if(is_strong) <= F.count_if(other)).alias("by_strong"))
+    lists = written(lists.join(fewer, _LIST).withColumn("asks", F.when(F.col("by_strong"), is_strong).otherwise(other)))
     if not lists.isEmpty():
         rest = written(candidates(lists, bits, False, percent).select("src", "dst").distinct().join(tried, ["src", "dst"], "left_anti"))
         if not rest.isEmpty():
