@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, with_hot, written
 
 #: Numbers in the vectors of a block of a search, as expected, and distances that are looked up at once.
 BLOCK, AT_ONCE = 1 << 18, 1 << 20
@@ -93,116 +93,150 @@ def _matrix(values: pa.Array) -> np.ndarray:
     return values.flatten().to_numpy().reshape(len(values), -1)  # of one length, without nulls
 
 
+def _by_size(b: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of a batch (with a column size) for each length of vector."""
+    sizes = b["size"].to_numpy()
+    for d in np.unique(sizes).tolist():
+        yield d, b.take(pa.array(np.flatnonzero(sizes == d)))
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = 0.98, sample_rows: int = 20_000, max_lists: int = 4096) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row for each row of ``vectors`` (vec_id, embedding, label).
 
-    Rows link if their labels are equal and the cosine is ``cosine`` or more; null, zero or non-finite vectors, those with null
-    components or labels, and those of another length than the most frequent link with nothing. n_links: other rows linked
-    directly; component_id: the smallest vec_id that links reach; kept: vec_id = component_id. Rows with one id count each and
-    share a component. Index of about sqrt(n) / 5 lists, fitted on about
-    ``sample_rows`` vectors; every vector is in it. An empty table gives no rows.
+    Rows link if their labels and lengths are equal and the cosine is ``cosine`` or more; null, zero or non-finite vectors and
+    those with a null component, label or vec_id link with nothing. n_links: other rows linked directly; component_id: the
+    smallest vec_id that links reach; kept: vec_id = component_id. Rows with one id share a component and the larger count.
+    For each length of vector an index of about sqrt(n) / 5 lists, fitted on about ``sample_rows`` vectors of all lengths
+    together; every vector is in one. An empty table gives no rows.
     """
-    spark = vectors.sparkSession
     rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    clean = rows.where("vec_id is not null and label is not null and v is not null").where(
-        (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
-    )
-    usual = [r[0] for r in clean.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()]
-    entries = written(clean.where(F.size("v") == (usual[0] if usual else 0)).groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times")))
+    good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0)
+    good &= ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
+    plain = F.transform("v", lambda x: x + 0.0)  # no negative zeros, so that equal vectors have equal digests
+    clean = rows.where(good).select("vec_id", "label", plain.alias("v"))
+    clean = clean.select("*", F.xxhash64("label", "v", F.lit(1)).alias("a"), F.xxhash64("v", "label", F.lit(2)).alias("b"))
+    equal = clean.groupBy("a", "b").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times"), F.first("label").alias("label"), F.first("v").alias("v"))
+    entries = written(equal.withColumn("size", F.size("v")))
     n = entries.count()
     kind = vectors.schema["vec_id"].dataType.simpleString()
-    ids = rows.select("vec_id", "label", "v")
     if n:
         links = written(_search(entries, n, kind, cosine, sample_rows, max_lists))
-        direct = links.where("times > 0").groupBy(F.col("src").alias("rep"), "label").agg(F.sum("times").alias("n"))
-        member = ids.join(entries, ["label", "v"]).join(direct, ["rep", "label"], "left").select("vec_id", "rep", (F.col("times") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+        direct = links.where("times > 0").groupBy(F.col("src").alias("rep"), "label", "size").agg(F.sum("times").alias("n"))
         found = components(links.where("dst is not null").select("src", "dst"))
-        member = member.join(found.withColumnRenamed("node", "rep"), "rep", "left").groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min(F.coalesce("component", "rep")).alias("component_id"))
+        total = entries.agg(F.sum("times")).first()[0]
+        many = F.col("times") - 1 + F.coalesce("n", F.lit(0))
+        known = entries.drop("v").join(direct, ["rep", "label", "size"], "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+        # a thousandth of all vectors or more are equal to a hot one, so there are a thousand at most
+        known = known.select("a", "b", many.alias("n_links"), F.coalesce("component", "rep").alias("component_id"), (F.col("times") * 1000 >= total).alias("hot"))
+        member = with_hot(clean.select("vec_id", "a", "b"), written(known), ["a", "b"], ["n_links", "component_id"])
+        member = member.groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     else:
-        member = spark.createDataFrame([], f"vec_id {kind}, n_links long, component_id {kind}")
-    out = ids.select("vec_id").join(member, "vec_id", "left")
+        member = vectors.sparkSession.createDataFrame([], f"vec_id {kind}, n_links long, component_id {kind}")
+    out = rows.select("vec_id").join(member, "vec_id", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(True)).alias("kept"))
 
 
+def _fitted(entries: DataFrame, n: int, sample_rows: int, max_lists: int) -> dict[int, Quantiser]:
+    """The quantiser of each length of vector. Lengths that the sample misses get one list around their first vector."""
+    part = entries if n <= sample_rows else entries.where(F.pmod(F.xxhash64("rep", "v"), F.lit(1 << 20)) < int(sample_rows / n * (1 << 20)))
+    samples: dict[int, list] = {}
+    for r in part.select("v").toLocalIterator():
+        samples.setdefault(len(r[0]), []).append(r[0])
+    sizes = {r["size"]: (r["n"], r["v"]) for r in entries.groupBy("size").agg(F.count("*").alias("n"), F.min("v").alias("v")).toLocalIterator()}
+    out = {}
+    for d, (many, one) in sorted(sizes.items()):
+        sample = np.array(sorted(samples.get(d) or [one]), np.float64)
+        sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+        out[d] = Quantiser(sample, int(np.clip(np.sqrt(many) / 5, 1, max(1, max_lists * many // n))))
+    return out
+
+
 def _search(entries: DataFrame, n: int, kind: str, cosine: float, sample_rows: int, max_lists: int) -> DataFrame:
-    """(src, dst, label, times): for each query and block with links one row with its linked rows, and links that connect what
-    a query has found."""
+    """(src, dst, label, size, times): for each query and block with links one row with its linked rows, and links that connect
+    what a query has found."""
     spark = entries.sparkSession
-    part = entries.where(F.pmod(F.xxhash64("rep", "v"), F.lit(1 << 20)) < int(min(1, sample_rows / n) * (1 << 20))).select("v") if n > sample_rows else entries.select("v")
-    sample = np.array(sorted(r[0] for r in part.toLocalIterator()), np.float64)
-    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
-    q = Quantiser(sample, int(np.clip(np.sqrt(n) / 5, 1, max_lists)))
-    shared = spark.sparkContext.broadcast(q)  # at most max_lists centres and a few code vectors
+    fitted = _fitted(entries, n, sample_rows, max_lists)
+    shared = spark.sparkContext.broadcast(fitted)  # max_lists centres at most and one for each length, and a few code vectors
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + 1e-7
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = _matrix(b["v"])
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            at, codes, far, error = shared.value.code(x)
-            yield pa.RecordBatch.from_arrays([b["rep"], b["label"], b["times"], b["v"], pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(far), pa.array(error)], ["rep", "label", "times", "v", "list", "codes", "far", "error"])
+        for whole in batches:
+            for d, b in _by_size(whole):
+                x = _matrix(b["v"])
+                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                at, codes, far, error = shared.value[d].code(x)
+                made = [pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(far), pa.array(error)]
+                yield pa.RecordBatch.from_arrays([*(b[c] for c in of_entry), *made], [*of_entry, "list", "codes", "far", "error"])
 
+    of_entry = ["rep", "label", "size", "times", "v"]
     label = entries.schema["label"].dataType.simpleString()
-    index = written(entries.select("rep", "label", "times", "v").mapInArrow(coded, f"rep {kind}, label {label}, times long, v array<double>, list int, codes binary, far double, error double"))
-    radius = np.full(len(q.centres), -1.0)
-    for at, far in index.groupBy("list").agg(F.max("far")).collect():  # one row for each list, of which there are max_lists at most
-        radius[at] = far
-    rows = max(256, BLOCK // sample.shape[1])
-    size = np.zeros(len(q.centres))
-    for at, most in index.groupBy("label", "list").count().groupBy("list").agg(F.max("count")).collect():
-        size[at] = most  # of the label that has most
-    group = q.groups(size, rows)
+    kinds = f"rep {kind}, label {label}, size int, times long, v array<double>, list int, codes binary, far double, error double"
+    index = written(entries.select(*of_entry).mapInArrow(coded, kinds))
+    # one row for each list, of which there are max_lists at most and one for each length; counts are of the label that has most
+    radius = {d: np.full(len(q.centres), -1.0) for d, q in fitted.items()}
+    size = {d: np.zeros(len(q.centres)) for d, q in fitted.items()}
+    for d, at, far in index.groupBy("size", "list").agg(F.max("far")).toLocalIterator():
+        radius[d][at] = far
+    for d, at, most in index.groupBy("label", "size", "list").count().groupBy("size", "list").agg(F.max("count")).toLocalIterator():
+        size[d][at] = most
+    rows = {d: max(256, BLOCK // d) for d in fitted}
+    group = {d: q.groups(size[d], rows[d]) for d, q in fitted.items()}
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(group[b["list"].to_numpy()])], [*b.schema.names, "group"])
+        for whole in batches:
+            for d, b in _by_size(whole):
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(group[d][b["list"].to_numpy()])], [*b.schema.names, "group"])
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 1024):
-                b = whole.slice(k, 1024)
-                x = _matrix(b["v"])
-                lists = shared.value.probes(shared.value.distances(x / np.linalg.norm(x, axis=1, keepdims=True)), radius, reach)
-                hit = np.zeros((len(x), group.max() + 1), bool)
-                at, to = np.nonzero(lists)
-                hit[at, group[to]] = True
-                at, to = np.nonzero(hit)
-                take = pa.array(at)
-                yield pa.RecordBatch.from_arrays([b["rep"].take(take), b["label"].take(take), b["v"].take(take), pa.array(to.astype(np.int32))], ["rep", "label", "v", "group"])
-
-    held = index.mapInArrow(grouped, f"rep {kind}, label {label}, times long, v array<double>, list int, codes binary, far double, error double, group int")
-    blocks = written(held.groupBy("label", "group").agg(F.ceil(F.count("*") / rows).cast("int").alias("blocks")))
-    held = held.join(blocks, ["label", "group"]).select("label", "group", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), F.lit(0).alias("role"), "rep", "times", "v", "list", "codes", "far", "error")
-    asked = index.select("rep", "label", "v").mapInArrow(probed, f"rep {kind}, label {label}, v array<double>, group int").join(blocks, ["label", "group"])
+                for d, b in _by_size(whole.slice(k, 1024)):
+                    x, quant = _matrix(b["v"]), shared.value[d]
+                    lists = quant.probes(quant.distances(x / np.linalg.norm(x, axis=1, keepdims=True)), radius[d], reach)
+                    hit = np.zeros((len(x), group[d].max() + 1), bool)
+                    at, to = np.nonzero(lists)
+                    hit[at, group[d][to]] = True
+                    at, to = np.nonzero(hit)
+                    asked = [b[c].take(pa.array(at)) for c in ("rep", "label", "size", "v")]
+                    yield pa.RecordBatch.from_arrays([*asked, pa.array(to.astype(np.int32))], ["rep", "label", "size", "v", "group"])
+
+    key = ["label", "size", "group"]
+    held = index.mapInArrow(grouped, f"{kinds}, group int")
+    blocks = written(held.groupBy(*key).agg(F.ceil(F.count("*") / F.greatest(F.lit(256), F.floor(F.lit(BLOCK) / F.col("size")))).cast("int").alias("blocks")))
+    held = held.join(blocks, key).select(*key, F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), F.lit(0).alias("role"), "rep", "times", "v", "list", "codes", "far", "error")
+    asked = index.select("rep", "label", "size", "v").mapInArrow(probed, f"rep {kind}, label {label}, size int, v array<double>, group int").join(blocks, key)
     asked = asked.select(
-        "label", "group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "rep", F.lit(0).cast("long").alias("times"), "v",
+        *key, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "rep", F.lit(0).cast("long").alias("times"), "v",
         F.lit(0).alias("list"), F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("far"), F.lit(0.0).alias("error"),
     )
+    key = [*key, "block"]
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        quant, key, block = shared.value, None, None
+        at, block = None, None
         for whole in batches:
             for k in range(0, whole.num_rows, 1024):
                 b = whole.slice(k, 1024)
-                keys = list(zip(*(b[c].to_pylist() for c in ("label", "group", "block", "role")), strict=True))
+                keys = list(zip(*(b[c].to_pylist() for c in (*key, "role")), strict=True))
                 begin = 0
                 while begin < len(keys):
                     end = begin
                     while end < len(keys) and keys[end] == keys[begin]:
                         end += 1
                     run = b.slice(begin, end - begin)
-                    if keys[begin][:3] != key:
-                        key, block = keys[begin][:3], _Block(quant)
-                    if keys[begin][3] == 0:
+                    if keys[begin][:4] != at:
+                        at = keys[begin][:4]
+                        block = _Block(shared.value[at[1]])
+                    if keys[begin][4] == 0:
                         block.add(run)
                     else:
                         src, dst, times = block.search(run, cosine, reach)
                         kind_of, label_of = b.schema.field("rep").type, b.schema.field("label").type
-                        yield pa.RecordBatch.from_arrays([pa.array(src, kind_of), pa.array(dst, kind_of), pa.array([key[0]] * len(src), label_of), pa.array(times, pa.int64())], ["src", "dst", "label", "times"])
+                        made = [pa.array(src, kind_of), pa.array(dst, kind_of), pa.array([at[0]] * len(src), label_of), pa.array([at[1]] * len(src), pa.int32()), pa.array(times, pa.int64())]
+                        yield pa.RecordBatch.from_arrays(made, ["src", "dst", "label", "size", "times"])
                     begin = end
 
-    dealt = held.unionByName(asked).repartition("label", "group", "block").sortWithinPartitions("label", "group", "block", "role")
-    return dealt.mapInArrow(searched, f"src {kind}, dst {kind}, label {label}, times long")
+    dealt = held.unionByName(asked).repartition(*key).sortWithinPartitions(*key, "role")
+    return dealt.mapInArrow(searched, f"src {kind}, dst {kind}, label {label}, size int, times long")
 
 
 class _Block:
