@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import os
-from functools import lru_cache
+import re
+from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -13,14 +15,21 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Units that a worker remembers before it forgets them all.
 KEPT = 500_000
 _ENDS = frozenset(",.!?;:")
+#: What the pattern knows as white space, but spaces and new lines (fixed values).
+_OTHER = "\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Runs of white space, single characters of it but spaces and new lines, and those at an end of a text.
+_RUNS = re.compile(f"([ \n{_OTHER}]{{2,}}|[{_OTHER}]|^[ \n]|[ \n]\\Z)")
+#: Characters that the splitting of str knows as white space and the pattern does not (fixed values).
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
 class ByteBpe:
     """Encodes as the tokenizers library does with the file at ``path`` and add_special_tokens=False.
 
     No pre-token crosses the place before a single space or new line between other characters, so a text is cut
-    there. Each unit of a batch that the worker doesn't know yet is encoded once, all in one call. Texts with runs
-    of white space are encoded whole, those that hold a special string by the library itself.
+    there. A run of white space is a pre-token up to its last character, which, if it is a space, leads the next one;
+    at the end of a text all of it is one. Each unit of a batch that the worker doesn't know yet is encoded once, all
+    in one call. Texts that hold a special string are encoded by the library itself.
     """
 
     def __init__(self, path: str):
@@ -38,27 +47,47 @@ class ByteBpe:
         self.library.no_truncation()
         self.library.no_padding()
         self.newline = ranks[b"\n"]
-        self.whole = self._whole(ranks)
-        self._ids: dict[str, bytes] = {}
-        self._counts: dict[str, int] = {}
-
-    def _whole(self, ranks: dict[bytes, int]) -> frozenset[str]:
-        """The vocabulary strings proven to be one token when encoded alone: each is encoded and must give its id."""
-        texts = [(raw.decode("utf-8"), i) for raw, i in ranks.items() if raw.decode("utf-8", "ignore").encode() == raw]
-        return frozenset(s for s, i in texts if self.encode(s) == [i])
-
-    def _units(self, texts: list[str]) -> list[list[str] | list[int]]:
-        """For each text its units, each after one space or beginning with a new line, or its ids in an int list."""
+        self.ranks = ranks
+        self._ids: dict[str, bytes] = {"\n": np.array([self.newline], np.uint32).tobytes()}
+        self._counts: dict[str, int] = {"\n": 1}
+
+    @cached_property
+    def whole(self) -> frozenset[str]:
+        """The vocabulary strings proven to be one token when encoded alone: the library must give their ids for each."""
+        texts = [(raw.decode("utf-8"), i) for raw, i in self.ranks.items() if raw.decode("utf-8", "ignore").encode() == raw]
+        found = self.library.encode_batch_fast([s for s, _ in texts], add_special_tokens=False)
+        return frozenset(s for (s, i), e in zip(texts, found, strict=True) if e.ids == [i])
+
+    def _units(self, texts: list[str]) -> list[list[str] | list[int] | tuple]:
+        """For each text its units, each after one space or beginning with a new line, or its ids in an int list, or a tuple
+        of such lists of units and of ids."""
         out: list = []
         for t in texts:
             if any(s in t for s in self.special):
                 out.append(self.library.encode(t, add_special_tokens=False).ids)
             elif t and " ".join(t.split()) == t.replace("\n", " "):  # single spaces and new lines only, none at an end
-                out.append(("\n" + t).replace("\n", " \n").split(" ")[1:])
-            else:
+                out.append(_cut(t))
+            elif any(c in t for c in _ODD):
                 out.append(self.encode(t))
+            else:
+                out.append(tuple(self._stretches(t)))
         return out
 
+    def _stretches(self, t: str) -> Iterator[list[str] | list[int]]:
+        """Units of the stretches between runs of white space, and ids of the runs."""
+        at, parts = 0, _RUNS.split(t)
+        for stretch, run in zip(parts[::2], [*parts[1::2], None], strict=True):
+            lead, at = t[at - 1 : at] if at and t[at - 1] in " \n" else "", at + len(stretch) + len(run or "")
+            if stretch:
+                yield _cut(lead + stretch)
+            if run:
+                led = run[-1] in " \n" and at < len(t)
+                inner = run[:-1] if at < len(t) else run
+                if inner:
+                    yield self.encode(inner)
+                if at < len(t) and not led:
+                    yield self.encode(run[-1])
+
     def _merged(self, units: list[str]) -> list[bytes]:
         """The ids of each unit; all are encoded in one call, each behind a new line, which is a token of its own."""
         ids = np.array(self.encode("".join(u if u[0] == "\n" else "\n " + u for u in units)), np.uint32)
@@ -69,11 +98,15 @@ class ByteBpe:
     @staticmethod
     def _pending(units: list, known: dict) -> list[str]:
         if len(known) >= KEPT:
+            kept = known["\n"]
             known.clear()
+            known["\n"] = kept
         new = set()
         for x in units:
-            if x and isinstance(x[0], str):
-                new.update(x)
+            for part in x if isinstance(x, tuple) else (x,):
+                if part and isinstance(part[0], str):
+                    new.update(part)
+        new.discard("\n")  # alone only behind white space; it would form a run with the next unit
         return list(new.difference(known))
 
     def ids(self, texts: list[str]) -> list[bytes]:
@@ -89,11 +122,11 @@ class ByteBpe:
             known.update(zip(plain, self._merged(plain), strict=True))
         marks = {m: np.array(self.encode(m), np.uint32).tobytes() for m in _ENDS} if cut else {}
         known.update((u, known[u[:-1]] + marks[u[-1]]) for u in cut)
+        def raw(x: list) -> bytes:
+            return b"".join(map(known.__getitem__, x))[4:] if x and isinstance(x[0], str) else np.array(x, np.uint32).tobytes()
+
         for x in units:
-            if x and isinstance(x[0], str):
-                out.append(b"".join(map(known.__getitem__, x))[4:])
-            else:
-                out.append(np.array(x, np.uint32).tobytes())
+            out.append(b"".join(map(raw, x)) if isinstance(x, tuple) else raw(x))
         return out
 
     def counts(self, texts: list[str]) -> list[int]:
@@ -109,7 +142,16 @@ class ByteBpe:
                 rest.append(u)
         if rest:
             known.update(zip(rest, (len(x) // 4 for x in self._merged(rest)), strict=True))
-        return [sum(map(known.__getitem__, x)) - 1 if x and isinstance(x[0], str) else len(x) for x in units]
+
+        def size(x: list) -> int:
+            return sum(map(known.__getitem__, x)) - 1 if x and isinstance(x[0], str) else len(x)
+
+        return [sum(map(size, x)) if isinstance(x, tuple) else size(x) for x in units]
+
+
+def _cut(t: str) -> list[str]:
+    """The units of a text with single spaces and new lines only, behind the unit of a new line."""
+    return ("\n" + t).replace("\n", " \n").split(" ")[1:]
 
 
 def byte_chars() -> dict[str, int]:

@@ -41,10 +41,11 @@ def pieces(docs: DataFrame, size: int = 2048, end_id: int = 0, path: str | None
                         to = at + ((n - 1) % size + 1 if k == 0 else size)
                         rows.append((doc_id, k, at, to - at, zlib.crc32(ids[4 * at : 4 * to])))
                         at, k = to, k + 1
-            yield pa.RecordBatch.from_pylist([], schema=out) if not rows else pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), out.types, strict=True)], schema=out)
+            types = [b.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = pa.schema([("doc_id", pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
     return docs.select("doc_id", "text").mapInArrow(cut, ", ".join((f"doc_id {kind}", *PIECES)))
 
 
@@ -52,7 +53,8 @@ def best_two_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray
     """(bin, offset) of each length, all of them from 1 to ``size``.
 
     A bin takes the longest unpacked length that fits until none does. Then its smallest length is taken out if two
-    unpacked ones fit its gap, so expanded, more tightly, which is repeated until no pair does better.
+    unpacked ones fit its gap, so expanded, more tightly, which is repeated until no pair does better. In the end the loosest
+    bins are emptied and packed anew, longest length first, each into the fullest bin that holds it, if that needs fewer bins.
     """
     order = np.argsort(-lengths, kind="stable")
     stock: list[list[int]] = [[] for _ in range(size + 1)]
@@ -94,7 +96,49 @@ def best_two_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray
             bins[k], offsets[k] = n, at
             at += length
         n += 1
-    return bins, offsets
+    return _repacked(bins, lengths, offsets, size)
+
+
+def best_fit(lengths: np.ndarray, size: int) -> np.ndarray:
+    """The bin of each length, longest first, each into the fullest bin that holds it."""
+    bins, gaps = np.zeros(len(lengths), np.int64), [[] for _ in range(size + 1)]
+    some, n = np.zeros(size + 1, bool), 0
+    for k in np.argsort(-lengths, kind="stable").tolist():
+        length = int(lengths[k])
+        gap = length + int(some[length:].argmax())
+        if some[gap]:
+            bins[k] = gaps[gap].pop()
+            some[gap] = bool(gaps[gap])
+        else:
+            gap, bins[k], n = size, n, n + 1
+        gaps[gap - length].append(int(bins[k]))
+        some[gap - length] = True
+    return bins
+
+
+def _repacked(bins: np.ndarray, lengths: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """``bins`` and ``offsets`` with the loosest bins packed by ``best_fit``, if fewer come out of it."""
+    n = int(bins.max(initial=-1)) + 1
+    loosest = np.argsort(np.bincount(bins, lengths, n), kind="stable")
+    best = None
+    for share in (0.05, 0.25, 1):
+        loose = loosest[: int(np.ceil(n * share))]
+        rows = np.flatnonzero(np.isin(bins, loose))
+        new = best_fit(lengths[rows], size)
+        saved = len(loose) - (int(new.max(initial=-1)) + 1)
+        if saved > (best[0] if best else 0):
+            best = saved, loose, rows, new
+    if not best:
+        return bins, offsets
+    _, loose, rows, new = best
+    bins = bins.copy()
+    bins[rows] = loose[new]
+    by = np.argsort(bins, kind="stable")
+    ends, first = lengths[by].cumsum(), np.r_[True, np.diff(bins[by]) > 0]
+    starts = ends - lengths[by]
+    out = np.empty(len(bins), np.int64)
+    out[by] = starts - starts[first][first.cumsum() - 1]
+    return bins, out
 
 
 def pack(docs: DataFrame, size: int = 2048, group_rows: int = 40_000, path: str | None = None) -> DataFrame:
