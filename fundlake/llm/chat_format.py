@@ -7,36 +7,67 @@ the others are rows of their own.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
 #: JSON schema type -> pattern of Spark's name for a variant's type (fixed values).
-_TYPES = {"string": "^STRING", "integer": "^(BIGINT|DECIMAL\\(\\d+,0\\))", "number": "^(BIGINT|DOUBLE|DECIMAL)", "boolean": "^BOOLEAN", "array": "^ARRAY", "object": "^OBJECT"}
+_TYPES = {
+    "string": "^STRING", "integer": "^(BIGINT|DECIMAL\\(\\d+,0\\))", "number": "^(BIGINT|DOUBLE|DECIMAL)", "boolean": "^BOOLEAN",
+    "array": "^ARRAY", "object": "^OBJECT", "null": "^VOID",
+}
+
+
+def _faults(value: Column, name: str, spec: dict) -> list[Column]:
+    """What is wrong with a variant, as texts or nulls, by ``type`` (a name or several), ``enum``, ``properties``, ``required``,
+    ``additionalProperties`` and ``items``. A type without a meaning here is an error of the schema."""
+    kinds = spec.get("type", [])
+    kinds = [kinds] if isinstance(kinds, str) else list(kinds)
+    if unknown := [k for k in kinds if k not in _TYPES]:
+        raise ValueError(f"no such type in the schema of {name}: {', '.join(map(str, unknown))}")
+    out = []
+    if kinds:
+        wrong = ~F.schema_of_variant(value).rlike("|".join(_TYPES[k] for k in kinds))
+        out.append(F.when(value.isNotNull() & wrong, F.lit(f"{name} is no {' or '.join(kinds)}")))
+    if "enum" in spec:
+        allowed = [json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False) for x in spec["enum"]]
+        out.append(F.when(value.isNotNull() & ~F.to_json(value).isin(allowed), F.lit(f"{name} is none of {', '.join(allowed)}")))
+    if "items" in spec:
+        items = F.try_variant_get(value, "$", "array<variant>")
+        bad = lambda x: F.coalesce(*_faults(x, "item", spec["items"]), F.lit(None).cast("string")).isNotNull()
+        out.append(F.when(F.coalesce(F.exists(items, bad), F.lit(False)), F.lit(f"{name} has a wrong item")))
+    return out + _members(value, f"{name}.", spec)
+
+
+def _members(value: Column, prefix: str, spec: dict) -> list[Column]:
+    """The faults of an object's members."""
+    out = []
+    for key, inner in spec.get("properties", {}).items():
+        out += _faults(F.try_variant_get(value, f"$['{key}']", "variant"), prefix + key, inner)
+    is_object = F.schema_of_variant(value).rlike("^OBJECT")
+    for key in spec.get("required", []):
+        out.append(F.when(is_object & F.try_variant_get(value, f"$['{key}']", "variant").isNull(), F.lit(f"{prefix}{key} is missing")))
+    if spec.get("additionalProperties") is False:
+        keys = F.map_keys(F.from_json(F.to_json(value), "map<string,string>"))
+        extra = F.array_except(keys, F.array(*map(F.lit, spec.get("properties", {}))).cast("array<string>"))
+        out.append(F.when(is_object & (F.size(extra) > 0), F.concat(F.lit(f"{prefix}unknown: " if prefix else "unknown: "), F.array_join(F.array_sort(extra), ","))))
+    return out
 
 
 def problems(arguments: Column, name: Column, schemas: dict[str, dict]) -> Column:
     """array<string> of what is wrong with a call's arguments, in the order of its schema; empty if nothing is.
 
-    Schemas give ``properties`` (name -> {"type": ...}), ``required`` and ``additionalProperties``. An unknown name gives
-    ["unknown tool"]; text that is no JSON object ["not an object"].
+    Of JSON Schema: ``type`` (one or several), ``enum``, ``properties``, ``required``, ``additionalProperties`` (false) and ``items``,
+    at any depth. An unknown name gives ["unknown tool"]; text that is no JSON object ["not an object"].
     """
     parsed = F.try_parse_json(arguments)
     out = F.array(F.lit("unknown tool"))
     for tool, schema in schemas.items():
-        found = []
-        for key, spec in schema.get("properties", {}).items():
-            value = F.try_variant_get(parsed, f"$['{key}']", "variant")
-            wrong = value.isNotNull() & ~F.schema_of_variant(value).rlike(_TYPES[spec["type"]])
-            found.append(F.when(wrong, F.lit(f"{key} is no {spec['type']}")))
-        for key in schema.get("required", []):
-            found.append(F.when(F.try_variant_get(parsed, f"$['{key}']", "variant").isNull(), F.lit(f"{key} is missing")))
-        if schema.get("additionalProperties") is False:
-            keys = F.map_keys(F.from_json(arguments, "map<string,string>"))
-            extra = F.array_except(keys, F.array(*map(F.lit, schema.get("properties", {}))).cast("array<string>"))
-            found.append(F.when(F.size(extra) > 0, F.concat(F.lit("unknown: "), F.array_join(F.array_sort(extra), ","))))
-        out = F.when(name == tool, F.filter(F.array(*found).cast("array<string>"), lambda x: x.isNotNull())).otherwise(out)
+        found = F.array(*_members(parsed, "", schema)).cast("array<string>")
+        out = F.when(name == tool, F.filter(found, lambda x: x.isNotNull())).otherwise(out)
     return F.when(F.schema_of_variant(parsed).rlike("^OBJECT"), out).otherwise(F.array(F.lit("not an object")))
 
 
@@ -130,18 +161,17 @@ def exchanges(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The calls and results in a table of turns (conv_id, turn, role, text).
 
     A user's turn is a call of the tool ``reply`` with the identifier of its turn, which waits for the user's turn two before;
-    an assistant's or tool's turn is the result for the turn before it. Other roles are no part of an exchange. Turns whose
-    number is null have no identifier and are left out. The query's SQL leaves out both, too.
+    an assistant's or tool's turn is the result for the turn before it. A turn of any other role, such as system, is a result
+    without an identifier, so that it has a row of its own as an orphan. Turns whose number is null have no identifier either.
     """
-    t = conversations.select("conv_id", "turn", "role", "text").where("turn is not null")
+    t = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     name = lambda c: F.concat(F.lit("t"), c.cast("string"))
-    user = t.where("role = 'user'")
-    calls = user.select(
+    calls = t.where("role = 'user'").select(
         "conv_id", name(F.col("turn")).alias("call_id"), "turn", F.lit("reply").alias("name"),
-        F.to_json(F.struct(F.col("turn").alias("turn"), F.coalesce("text", F.lit("")).alias("prompt"))).alias("arguments"),
-        F.array(name(F.col("turn") - 2)).alias("after"),
+        F.to_json(F.struct(F.col("turn").alias("turn"), F.col("text").alias("prompt"))).alias("arguments"), F.array(name(F.col("turn") - 2)).alias("after"),
     )
-    results = t.where("role in ('assistant', 'tool')").select("conv_id", name(F.col("turn") - 1).alias("call_id"), "turn", F.coalesce("text", F.lit("")).alias("content"))
+    answers = F.when(F.col("role").isin("assistant", "tool"), name(F.col("turn") - 1))
+    results = t.where("role is null or role <> 'user'").select("conv_id", answers.alias("call_id"), "turn", F.col("text").alias("content"))
     return calls, results
 
 

@@ -80,7 +80,8 @@ SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, comp.component_id, v.vec_i
 FROM v JOIN comp USING (vec_id) LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM pairs GROUP BY a) n USING (vec_id)
 """,
     "op5_chat_format": """
-WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations WHERE turn IS NOT NULL),
+WITH every AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+t AS (SELECT * FROM every WHERE turn IS NOT NULL),
 c AS (SELECT conv_id, turn, text FROM t WHERE role = 'user'),
 r AS (SELECT conv_id, turn - 1 AS call, turn AS result_turn, text AS content FROM t WHERE role IN ('assistant', 'tool')),
 chain AS (SELECT conv_id, turn, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS grp FROM c),
@@ -95,6 +96,12 @@ SELECT conv_id, 't' || id AS call_id, turn, level, status, 0::BIGINT AS n_proble
   || '"id":"t' || id || '"' || CASE WHEN called IS NULL THEN '' ELSE ',"name":"reply"' END
   || CASE WHEN content IS NULL THEN '' ELSE ',"result":' || to_json(content)::VARCHAR END || ',"status":"' || status || '"}' AS json
 FROM j
+UNION ALL
+SELECT conv_id, NULL, turn, NULL, 'orphan', 0, '{"result":' || to_json(text)::VARCHAR || ',"status":"orphan"}'
+FROM every WHERE role IS NULL OR role NOT IN ('user', 'assistant', 'tool') OR (turn IS NULL AND role <> 'user')
+UNION ALL
+SELECT conv_id, NULL, turn, NULL, 'invalid', 1, '{"arguments":{"prompt":' || to_json(text)::VARCHAR || '},"name":"reply","status":"invalid"}'
+FROM every WHERE turn IS NULL AND role = 'user'
 """,
     "op9_jaccard_join": r"""
 WITH RECURSIVE w AS (
