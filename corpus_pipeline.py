@@ -26,10 +26,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by a mark and n_chars, if there is one, counted anew."""
-    found = secret_scan.scan(docs, *docs.columns)
-    out = found.withColumn("text", secret_scan.redacted(F.col("text"), F.col("spans")))
+    name = "spans"
+    while name in docs.columns:
+        name += "_"
+    out = secret_scan.scan(docs, *docs.columns, name=name).withColumn("text", secret_scan.redacted(F.col("text"), F.col(name)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        counted = F.when(F.size(name) > 0, F.char_length("text")).otherwise(F.col("n_chars"))
+        out = out.withColumn("n_chars", counted.cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 

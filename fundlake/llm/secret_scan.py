@@ -98,8 +98,8 @@ def train(docs: DataFrame, max_docs: int = 20_000, alpha: float = 0.5) -> list[f
     return [math.log(r / o) for r, o in zip(share[1], share[0], strict=True)]
 
 
-def scan(docs: DataFrame, *keep: str, table: list[float] | None = None, least: float = 0.8) -> DataFrame:
-    """``keep`` and ``spans`` (start, end, kind, value), one row for each row of ``docs``; places in code points of the text.
+def scan(docs: DataFrame, *keep: str, table: list[float] | None = None, least: float = 0.8, name: str = "spans") -> DataFrame:
+    """``keep`` and as column ``name`` the spans (start, end, kind, value), one row for each row of ``docs``; places in code points of the text.
 
     All base spans, and as kind markov each candidate of 16 characters or more with a digit and a letter that overlaps none
     and whose mean log-likelihood ratio is ``least`` or more. Null texts are empty and have none. Repeated rows are scanned
@@ -113,11 +113,13 @@ def scan(docs: DataFrame, *keep: str, table: list[float] | None = None, least: f
         total = F.aggregate(_pairs(value), F.lit(0.0), lambda a, p: a + F.get(llr, p))
         return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (total / F.char_length(value) >= least)
 
-    rows = docs.select(*keep, text.alias("_text"))
-    found = rows.select("*", base_spans(F.col("_text")).alias("_base"), F.exists(F.regexp_extract_all("_text", F.lit(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}"), F.lit(0)), random).alias("_some"))
-    more = F.filter(_spans(F.col("_text"), CANDIDATE, 0, "markov"), lambda x: random(x["value"]))
-    apart = F.filter(more, lambda x: ~F.exists(F.col("_base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return found.select(*keep, F.when(F.col("_some"), _sorted(F.concat("_base", apart))).otherwise(F.col("_base")).alias("spans"))
+    rows = docs.select(F.struct(*keep).alias("row"), text.alias("text"))  # nested, so that no name of ``keep`` clashes
+    likely = F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}"), F.lit(0))
+    found = rows.select("*", base_spans(F.col("text")).alias("base"), F.exists(likely, random).alias("some"))
+    more = F.filter(_spans(F.col("text"), CANDIDATE, 0, "markov"), lambda x: random(x["value"]))
+    apart = F.filter(more, lambda x: ~F.exists(F.col("base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    spans = F.when(F.col("some"), _sorted(F.concat("base", apart))).otherwise(F.col("base"))
+    return found.select("row", spans.alias("found")).select(*(F.col("row").getField(c).alias(c) for c in keep), F.col("found").alias(name))
 
 
 def listed(spans: Column) -> Column:
