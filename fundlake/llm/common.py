@@ -47,9 +47,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which every executor sees; a temporary one only where that is unset."""
+    """A new folder under spark.checkpoint.dir, which every executor sees; a temporary one only where that is unset and Spark runs
+    in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="fundlake-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/fundlake-{uuid.uuid4().hex}"
@@ -68,7 +71,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
 
     Rows without an id or a label and those of the held-out fold never enter; of several labels for one id the
     largest counts. The sample is by a hash of the id, so that it doesn't depend on the order of rows. Its bound
-    is also what bounds the broadcast.
+    is also what bounds the broadcast. Where ids repeat, equal rows count once, and more than twice the bound are thinned by a
+    hash of the text.
     """
     rows = (
         labels.select("doc_id", F.col(label).cast("int").alias("y"))
@@ -78,7 +82,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
     n = rows.count()
     if n > bound:
         rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < int(bound / n * (1 << 20)))
-    return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
+    if (many := chosen.select("doc_id").count()) > 2 * bound:
+        chosen = chosen.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(seed + 1)), F.lit(1 << 20)) < int(bound / many * (1 << 20)))
+    return chosen.distinct()
+
+
+def with_hot(rows: DataFrame, table: DataFrame, on: list[str], cols: list[str]) -> DataFrame:
+    """``rows`` left-joined with ``cols`` of ``table``, which has one row for each key ``on``. Its rows marked ``hot``, whose number
+    must be bounded, are looked up in a broadcast table, so that no task gets all rows of such a key."""
+    mine = [c for c in rows.columns if c not in cols]
+    hot = table.where("hot").select(*(F.col(c).alias(f"_hot_{c}") for c in (*on, *cols)))
+    match = [F.col(c) == F.col(f"_hot_{c}") for c in on]
+    seen = rows.select(*mine).join(F.broadcast(hot), match, "left")
+    common = seen.where(F.col(f"_hot_{on[0]}").isNotNull()).select(*mine, *(F.col(f"_hot_{c}").alias(c) for c in cols))
+    rest = seen.where(F.col(f"_hot_{on[0]}").isNull()).select(*mine).join(table.where("not hot").select(*on, *cols), on, "left")
+    return common.unionByName(rest)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, ship, written
+from .common import components, ship, with_hot, written
 
 WIDTH = 5
 #: Sets in a block of a search, as expected; words whose hashes a worker remembers; sets that a task remembers to have emitted.
@@ -443,7 +443,7 @@ def join(docs: DataFrame, percent: int = 80) -> DataFrame:
     its component is the smallest id that links reach, if any. Other columns are not read; an empty table gives no rows.
     """
     rows, classes = _classes(docs, percent)
-    out = _with_class(rows.select("doc_id", "n", "sig"), classes)
+    out = with_hot(rows.select("doc_id", "n", "sig"), classes, ["sig"], ["component", "component_id"])
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -451,31 +451,22 @@ def distinct(docs: DataFrame, percent: int = 80) -> DataFrame:
     """One row of each component of ``docs``, whole, and all rows without words: the one with the smallest (doc_id, md5 of the
     text, other columns), null ids last."""
     key = F.md5(F.col("text").cast("binary")).alias("_key")
-    rows, classes = _classes(docs, percent, key)
+    rows, classes = _classes(docs.select("doc_id", "text"), percent, key)
     rows = rows.where("n > 0").groupBy("sig", "doc_id", "_key").agg(F.count("*").alias("m"))
-    rows = _with_class(rows, classes).groupBy("component", "doc_id", "_key").agg(F.sum("m").alias("m"))
+    rows = with_hot(rows, classes, ["sig"], ["component", "component_id"]).groupBy("component", "doc_id", "_key").agg(F.sum("m").alias("m"))
     lowest = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_key", "m")).alias("x")
     best = rows.groupBy("component").agg(lowest).select(F.col("x.doc_id").alias("best_id"), F.col("x._key").alias("best_key"), F.col("x.m").alias("best_m"))
-    hit = docs.withColumn("_key", key).join(best, F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("_key") == F.col("best_key")))
-    once = hit.where("best_m = 1").select(*docs.columns)
-    more = hit.where("best_m > 1").groupBy("best_id", "best_key").agg(F.min(F.struct(*docs.columns)).alias("x")).select("x.*")
+    nested = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), key)  # so that no name clashes
+    hit = nested.join(best, F.col("id").eqNullSafe(F.col("best_id")) & (F.col("_key") == F.col("best_key")))
+    once = hit.where("best_m = 1").select("row.*")
+    more = hit.where("best_m > 1").groupBy("best_id", "best_key").agg(F.min("row").alias("row")).select("row.*")
     empty = docs.where(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
     return once.unionByName(more).unionByName(empty)
 
 
-def _with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """``rows`` with component and component_id by sig. Sets that a thousandth of all rows or more have, a thousand at most, are
-    looked up in a broadcast table, so that no task gets all of their rows."""
-    cols = ["sig", "component", "component_id"]
-    hot = F.broadcast(classes.where("hot").select(F.col("sig").alias("hot_sig"), F.col("component").alias("c"), F.col("component_id").alias("i")))
-    rows = rows.join(hot, F.col("sig") == F.col("hot_sig"), "left")
-    common = rows.where("hot_sig is not null").withColumns({"component": F.col("c"), "component_id": F.col("i")}).drop("c", "i", "hot_sig")
-    rest = rows.where("hot_sig is null").drop("c", "i", "hot_sig").join(classes.where("not hot").select(*cols), "sig", "left")
-    return common.unionByName(rest)
-
-
 def _classes(docs: DataFrame, percent: int, *carry: Column) -> tuple[DataFrame, DataFrame]:
-    """(``sets`` of all rows with ``carry``; sig, hot, component, component_id of each set with members).
+    """(``sets`` of all rows with ``carry``; sig, hot, component, component_id of each set with members). hot: a thousandth of all
+    rows or more have the set, so that a thousand sets at most are.
 
     A class of equal sets is a node with a number of its own, since rows with one id may have other texts and null ids none.
     Lists and candidates go by the digest's first half; sets that share it, if there are any, are compared each.

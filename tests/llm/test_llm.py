@@ -229,11 +229,17 @@ def test_chat_repeats(spark, tmp_path):
     """Each call and each result is in a row: repeats, equal ones too, and those without a conversation."""
     turns = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 0, "user", "b"), (1, 1, "assistant", "x"), (1, 1, "tool", "y"), (1, 2, "user", None)]
     turns += [(None, 0, "user", "a"), (None, 0, "user", "c"), (None, 1, "assistant", "x"), (None, 1, "assistant", "x"), (2, 5, "assistant", "p"), (2, 5, "assistant", "p")]
+    turns += [(3, 0, "system", "be kind"), (3, 1, None, "who"), (3, None, "user", "late"), (3, None, "tool", None)]  # no exchange, but a row each
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     rows = queries.op5_chat_format(spark, str(tmp_path)).collect()
     got = sorted(((r.conv_id, r.call_id, r.turn, r.level, r.status) for r in rows), key=str)
     want = [(1, "t0", 0, 0, "linked"), (1, "t0", 0, 0, "duplicate"), (1, "t0", 0, 0, "duplicate"), (1, "t0", 1, 0, "duplicate"), (1, "t2", 2, 1, "unanswered")]
     want += [(None, "t0", 0, None, "unanswered")] * 2 + [(None, "t0", 1, None, "orphan")] * 2 + [(2, "t4", 5, None, "orphan"), (2, "t4", 5, None, "duplicate")]
+    want += [(3, None, 0, None, "orphan"), (3, None, 1, None, "orphan"), (3, None, None, None, "invalid"), (3, None, None, None, "orphan")]
+    assert {r.json for r in rows if r.conv_id == 3} == {
+        '{"result":"be kind","status":"orphan"}', '{"result":"who","status":"orphan"}', '{"result":"","status":"orphan"}',
+        '{"arguments":{"prompt":"late"},"name":"reply","status":"invalid"}',
+    }
     assert got == sorted(want, key=str)
     texts = sorted(r.json for r in rows if r.status == "duplicate")
     assert texts == sorted([f'{{"arguments":{{"prompt":"{t}","turn":0}},"id":"t0","name":"reply","status":"duplicate"}}' for t in "ab"] + ['{"id":"t0","result":"y","status":"duplicate"}', '{"id":"t4","result":"p","status":"duplicate"}'])
@@ -257,3 +263,166 @@ def test_rows_that_share_an_id(spark, tmp_path):
     rows = [*words, (None, bad), (None, clean), (1, bad), (1, clean), (0, clean)]
     left = [tuple(r) for r in corpus_pipeline.toxic(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()]
     assert sorted(left, key=str) == sorted([r for r in rows if "idiot" not in r[1]], key=str)
+
+
+def test_chat_schemas(spark):
+    """Types that are lists, null, enumerations, nested objects and items; an unknown type is an error of the schema."""
+    schema = {"f": {
+        "properties": {
+            "a": {"type": ["string", "null"]}, "b": {"enum": ["x", 2]}, "c": {"type": "array", "items": {"type": "integer"}},
+            "d": {"type": "object", "properties": {"e": {"type": "boolean"}}, "required": ["e"], "additionalProperties": False},
+        }, "required": ["a"],
+    }}
+    cases = {
+        '{"a": null, "b": 2, "c": [1, 2], "d": {"e": true}}': [], '{"a": "s", "b": "x", "c": []}': [], '{"a": 1}': ["a is no string or null"],
+        '{"a": "s", "b": "y"}': ['b is none of "x", 2'], '{"a": "s", "c": [1, "2"]}': ["c has a wrong item"], "{}": ["a is missing"],
+        '{"a": "s", "d": {}}': ["d.e is missing"], '{"a": "s", "d": {"e": 1, "z": 0}}': ["d.e is no boolean", "d.unknown: z"], "[1]": ["not an object"], "no": ["not an object"],
+    }
+    df = spark.createDataFrame([(t, "f") for t in cases], "t string, name string")
+    got = {r.t: r.p for r in df.select("t", chat_format.problems(F.col("t"), F.col("name"), schema).alias("p")).collect()}
+    assert got == cases
+    with pytest.raises(ValueError):
+        chat_format.problems(F.lit("{}"), F.lit("f"), {"f": {"properties": {"a": {"type": "text"}}}})
+    no_rows = spark.createDataFrame([], "conv_id long, turn long, role string, text string, level string, json int, answered int")
+    assert chat_format.link(*chat_format.exchanges(no_rows), chat_format.REPLY).count() == 0
+
+
+def test_embedding_lengths(spark):
+    """Vectors of several lengths are searched each; extra columns, repeated ids and null ids."""
+    rows = [(k, [1.0, 0.001 * k], 1, "x") for k in range(6)] + [(10 + k, [1.0, 0.0, 0.001 * k], 1, "x") for k in range(3)]
+    rows += [(20, [5.0], 1, "x"), (21, [-0.0, 0.0, 2.0, 0.0], 1, "x"), (22, [0.0, 0.0, 1.0, -0.0], 1, "x"), (0, [0.0, 1.0], 1, "x"), (None, [1.0, 0.0], 1, "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, size string")
+    got = sorted(((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()), key=str)
+    want = [(0, 5, 0)] * 2 + [(k, 5, 0) for k in range(1, 6)] + [(10 + k, 2, 10) for k in range(3)] + [(20, 0, 20), (21, 1, 21), (22, 1, 21), (None, 0, None)]
+    assert got == sorted(want, key=str)
+
+
+def test_marginals():
+    """Forward-backward against the sum over all taggings; whole texts without tokens leave the prior."""
+    rng = np.random.default_rng(4)
+    field = toxicity.Field({f"w{k}": float(x) for k, x in enumerate(rng.normal(size=6))}, -1.0, rng.normal(size=(2, 2)), np.zeros(4))
+    docs = [[f"w{k}" for k in rng.integers(0, 8, n)] for n in (1, 4, 0, 7, 2)]
+    for d, m in zip(docs, field.marginals(docs), strict=True):
+        weight = np.zeros(len(d))
+        total = 0.0
+        for tags in np.ndindex(*[2] * len(d)):
+            w = np.exp(sum(field.emission.get(x, field.other) for x, t in zip(d, tags, strict=True) if t) + sum(field.pair[a, b] for a, b in zip(tags, tags[1:], strict=False)))
+            total += w
+            weight += w * np.array(tags, float)
+        assert np.allclose(m, weight / total)
+    empty = toxicity.fit([[], [], []], np.array([1.0, 0, 0]))
+    assert np.allclose(empty.scores([np.empty(0)]), 0.4)
+    words = [["kind", "words", "only"] * 400 + (["vile"] if k % 2 else []) for k in range(80)]  # the last word of long texts
+    field = toxicity.fit(words, np.array([k % 2 for k in range(80)], float))
+    scores = field.scores(field.marginals(words))
+    assert (scores[1::2] > 0.5).all() and (scores[::2] < 0.5).all()
+
+
+def test_trees():
+    """Flattened traversal against a walk down each tree, row by row; the trees learn an interaction."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(500, 4))
+    y = (x[:, 0] * x[:, 1] > 0).astype(float)
+    model = quality_classifier.fit(x, y)
+    got = model.score(x)
+    for row, p in zip(x[:50], got, strict=False):
+        raw = model.base
+        for feature, threshold, leaf in zip(model.feature, model.threshold, model.leaf, strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            raw += leaf[node - len(feature)]
+        assert abs(p - 1 / (1 + np.exp(-raw))) < 1e-12
+    assert ((got > 0.5) == (y == 1)).mean() > 0.95
+
+
+def test_packing_bins(spark):
+    """Each bin holds what it can, gapless; never more bins than best-fit decreasing."""
+    rng = np.random.default_rng(8)
+    for lengths in (rng.integers(1, 2049, 3000), rng.integers(600, 800, 2000), rng.choice([683, 682, 1024, 500], 1500), np.array([2048] * 3), np.empty(0, np.int64)):
+        bins, offsets = packing.best_two_fit(lengths, 2048)
+        for b in np.unique(bins):
+            at = np.flatnonzero(bins == b)
+            at = at[np.argsort(offsets[at])]
+            assert (offsets[at] == np.r_[0, lengths[at].cumsum()[:-1]]).all() and lengths[at].sum() <= 2048
+        assert len(np.unique(bins)) <= len(np.unique(packing.best_fit(lengths, 2048)))
+    for kind in ("decimal(20,0)", "date", "smallint", "string"):
+        df = spark.createDataFrame([("2024-01-01" if kind == "date" else "7", "a b"), (None, None)], "doc_id string, text string")
+        assert packing.pack(df.withColumn("doc_id", F.col("doc_id").cast(kind))).count() == 2
+
+
+def test_white_space():
+    """Runs, tabs, odd characters and white space at both ends, as the library has them."""
+    from fundlake.llm.byte_bpe import byte_bpe
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    library, bpe = Tokenizer.from_file(path), byte_bpe(path)
+    library.no_truncation()
+    gaps = [" ", " ", "  ", "\n", "\n\n", "\t", " \t", "\t ", "\r\n", "\n ", "   \n", "\u3000", "\x85", " \x0b", "\xa0 ", "\x1c", ""]
+    texts = ["".join(RND.choice(gaps) + RND.choice([*WORDS, "", "12", "'s", "!?"]) for _ in range(RND.randrange(12))) + RND.choice(gaps) for _ in range(1500)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, np.uint32).tolist() for x in bpe.ids(texts)] == want and bpe.counts(texts) == list(map(len, want))
+
+
+def test_reuse():
+    """Runs that are cut inside give the library's ids; a passage in two texts is encoded once."""
+    path = tokenizer_path("word_bpe_49k.json")
+    enc = reuse_encoding.ReusingEncoder(path)
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    runs = ["".join(RND.choices(["ab", "x1", "-", "qu", "9", "it's", "Z."], k=20_000)), "a" * 50_000 + "1" * 100, "é日" * 15_000, "w-" * 25_000]
+    for run in runs:
+        assert len(run) > reuse_encoding.LONG and enc.whole(run) == enc.run(run)
+        assert enc.encode([f"a {run} b"])[0][0] == len(library.encode(f"a {run} b", add_special_tokens=False).ids)
+    passage = " ".join(RND.choices([f"w{k}" for k in range(500)], k=3000))
+    enc = reuse_encoding.ReusingEncoder(path)
+    enc.encode([passage])
+    first = enc.encoded
+    enc.encode(["other words " + passage + " and more"])
+    assert first > 20 and enc.encoded - first <= 3 and enc.reused >= first - 3
+
+
+def test_markov(spark):
+    """Random strings are told from identifiers; the score is the mean ratio of the transitions, by hand."""
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    make = lambda: "".join(RND.choices(alphabet, k=40))
+    rows = [(k, f"token={make()} end") for k in range(300)] + [(300 + k, f"call get_user_name_{k % 10} and max_value_count here") for k in range(300)]
+    table = secret_scan.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    words = [make() for _ in range(8)] + [f"get_user_name_{k}_count" for k in range(8)]
+    step = lambda w: [0, *(secret_scan.ALPHABET.index(c) + 1 for c in w)]
+    mean = [sum(table[a * secret_scan._STATES + b] for a, b in zip(step(w), step(w)[1:], strict=False)) / len(w) for w in words]
+    least = (min(mean[:8]) + max(mean[8:])) / 2
+    assert min(mean[:8]) > max(mean[8:])
+    df = spark.createDataFrame([*((k, f"see {w} now") for k, w in enumerate(words)), (99, None)], "doc_id long, text string")
+    got = {r.doc_id: [(x.kind, x.start, x.end) for x in r.spans] for r in secret_scan.scan(df, "doc_id", table=table, least=least).collect()}
+    assert got == {k: [("markov", 4, 4 + len(w))] if k < 8 and re.search("[0-9]", w) else [] for k, w in enumerate(words)} | {99: []}
+
+
+def test_decision_list():
+    """The rules found reject the planted rows alone, as an exhaustive search over single thresholds does."""
+    rng = np.random.default_rng(9)
+    x = {"p": rng.random(600), "q": rng.random(600)}
+    bad = (x["p"] > 0.8) | (x["q"] <= 0.1)
+    rules = quality_rules.learn(x, bad)
+    met = np.zeros(600, bool)
+    for r in rules:
+        met |= r.matches(x)
+    best = max(((x["p"] > a) | (x["q"] <= b)) @ np.where(bad, 1, -1) for a in np.linspace(0, 1, 51) for b in np.linspace(0, 1, 51))
+    assert met @ np.where(bad, 1, -1) >= 0.97 * best and (met & ~bad).sum() <= 3
+
+
+def test_pipeline(spark, tmp_path):
+    """All stages on a small table with clashing columns: each decision takes effect, clean rows stay."""
+    clean = {k: " ".join(f"w{RND.randrange(4000)}" for _ in range(120)) for k in range(60)}
+    rows = [(k, t) for k, t in clean.items()] + [(100, clean[1] + " tail"), (101, "short"), (102, " ".join(f"v{k}" for k in range(90)) + " " + SECRET), (103, None)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1, 2, 3) for k, t in rows], "doc_id long, text string, lang string, spans string, _text int, base int, row int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in clean], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.schema.names == docs.schema.names
+    left = {r.doc_id: r.text for r in kept.collect()}
+    assert set(left) == set(clean) | {102} and "[SECRET]" in left[102] and left[5] == clean[5]
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in pieces} == set(left)
