@@ -81,7 +81,7 @@ def summary(m: np.ndarray) -> list[float]:
     return [float(np.log1p(m.sum())), float(m.max()), float(m.mean())] if len(m) else [0.0, 0.0, 0.0]
 
 
-def fit(docs: list[list[str]], y: np.ndarray, min_docs: int = 3, steps: int = 40, l2: float = 1e-2, reach: int = 64) -> Field:
+def fit(docs: list[list[str]], y: np.ndarray, min_docs: int = 3, steps: int = 20, l2: float = 1e-2, reach: int = 64) -> Field:
     """The field and its logistic layer from tokenised documents and their labels; a class or all tokens absent: the prior alone.
 
     Every token of every document counts. Texts enter as stretches of ``reach`` tokens, so that recursions run over many at once.
@@ -103,7 +103,8 @@ def fit(docs: list[list[str]], y: np.ndarray, min_docs: int = 3, steps: int = 40
         q = a / (a + b)
         return 2 * (a * np.log(q / share) + (b * np.log((1 - q) / (1 - share)) if b else 0.0)) if q > share else 0.0
 
-    toxic = {w for w in vocab if seen[1][w] * n0 > 8 * (seen[0][w] + 0.1) * n1 and surprise(w) > 20}
+    least = 20 + 2 * np.log(max(1, len(vocab)))  # the more words are looked at, the more stand out by chance
+    toxic = {w for w in vocab if seen[1][w] * n0 > 8 * (seen[0][w] + 0.1) * n1 and surprise(w) > least}
     index = {w: k + 1 for k, w in enumerate(vocab)}  # 0: any other word
     # whole texts, in stretches of ``reach`` tokens
     ids, tags = [], []
