@@ -300,22 +300,26 @@ class _Members:
         """Who isn't of the component ``part``; none is of the component -1."""
         return (self.part != part) | (self.part < 0)
 
-    def pairs(self, connect: bool) -> tuple[list[tuple[int, int]], bool]:
-        """(candidates among the members, whether pairs are left open): with ``connect`` until all are connected that can be."""
-        found, left, number = [], False, np.arange(len(self.n))
-        label = number.copy()
+    def pairs(self, connect: bool) -> list[tuple[int, int]]:
+        """Candidates among the members. With ``connect`` only until all are connected that can be: ``label`` is then the same for
+        connected members, ``skipped`` holds the labels of those of which pairs are left out."""
+        found, number = [], np.arange(len(self.n))
+        self.label, left = number.copy(), []
         for i in number[:-1].tolist():
             other = self.others(self.part[i]) & (number > i)
             if connect:
-                left |= bool((label[i + 1 :] == label[i]).any())
-                other &= label != label[i]
+                if (self.label[i + 1 :] == self.label[i]).any():
+                    left.append(i)
+                other &= self.label != self.label[i]
             for j in self.near(int(self.n[i]), int(self.rest[i]), self.bits[i], other).tolist():
-                if connect and label[j] == label[i]:
-                    left = True
+                if connect and self.label[j] == self.label[i]:
+                    left.append(i)
                     continue
-                label[label == label[j]] = label[i]
+                if connect:
+                    self.label[self.label == self.label[j]] = self.label[i]
                 found.append((self.short[i], self.short[j]))
-        return found, left
+        self.skipped = set(self.label[left].tolist())
+        return found
 
 
 def folded(bits: np.ndarray) -> np.ndarray:
@@ -346,19 +350,19 @@ def strong(n: Column, pos: Column, percent: int = 80) -> Column:
 
 
 def inverted(rows: DataFrame, percent: int = 80) -> DataFrame:
-    """(k, s, x, short, place, head): the members of each list of two or more, of ``rows`` (short, n, prefix), but for members that
+    """(k, s, x, short, place, many, head): the members of each list of two or more, of ``rows`` (short, n, prefix), but for members that
     can link with no other one from their places on. Lists with the same members are one, with each member's earliest place
-    (n << 32 | place in the prefix). head: one member of each list."""
+    (n << 32 | place in the prefix). many: whether more than LIST_BLOCK members are ``strong``; head: one member of each."""
     posts = rows.where("prefix is not null").select("short", "n", F.posexplode("prefix").alias("pos", "h"))
     posts = posts.select("h", "short", F.shiftleft(F.col("n"), 32).bitwiseOR(F.col("pos").cast("long")).alias("place"))
     posts = posts.repartition("h").groupBy("h", "short").agg(F.min("place").alias("place"))  # tasks repeat equal sets
     n, pos = _size(F.col("place")), _pos(F.col("place"))
-    least = posts.groupBy("h").agg(F.count("*").alias("many"), F.min(F.when(strong(n, pos, percent), n)).alias("least")).where("many > 1 and least is not null")
+    least = posts.groupBy("h").agg(F.count("*").alias("all"), F.min(F.when(strong(n, pos, percent), n)).alias("least")).where("all > 1 and least is not null")
     posts = posts.join(least.hint("shuffle_hash"), "h").where(strong(n, pos, percent) | ((100 + percent) * (n - pos) >= percent * (n + F.col("least"))))
     name = F.count("*").alias("k"), F.bit_xor(F.xxhash64("short", F.lit(1))).alias("s"), F.bit_xor(F.xxhash64("short", F.lit(2))).alias("x")
-    names = posts.groupBy("h").agg(*name, F.min("short").alias("first")).where("k > 1")
+    names = posts.groupBy("h").agg(*name, (F.count_if(strong(n, pos, percent)) > LIST_BLOCK).alias("many"), F.min("short").alias("first")).where("k > 1")
     members = posts.select("h", "short", "place").join(names.hint("shuffle_hash"), "h")
-    return members.groupBy(*_LIST, "short").agg(F.min("place").alias("place"), F.first(F.col("short") == F.col("first")).alias("head"))
+    return members.groupBy(*_LIST, "short").agg(F.min("place").alias("place"), F.max("many").alias("many"), F.max(F.col("short") == F.col("first")).alias("head"))
 
 
 def _size(place: Column) -> Column:
@@ -370,10 +374,11 @@ def _pos(place: Column) -> Column:
 
 
 def candidates(lists: DataFrame, bits: DataFrame, connect: bool, percent: int = 80) -> DataFrame:
-    """(k, s, x, src, dst), src before dst: candidates among the members of each list (k, s, x, short, place, part, asks).
+    """(k, s, x, grp, src, dst), src before dst: candidates among the members of each list (k, s, x, short, place, part, asks).
 
-    With ``connect``: in each block what connects its members as far as they can be; a row without src says that pairs of the
-    list are left open. Without: all pairs of members of different components (``part``, -1: of none). ``bits``: (short, bits).
+    With ``connect``: in each block what connects its members as far as they can be; of connected members pairs may be left out:
+    these have rows with the number ``grp`` of their group, their short as src and their place as dst. Without: all pairs of
+    members of different components (``part``, -1: of none). ``bits``: (short, bits).
 
     A list is dealt into blocks of about LIST_BLOCK members, so that none is held whole by a task. Members that ``ask`` meet
     those of other blocks, too.
@@ -390,23 +395,31 @@ def candidates(lists: DataFrame, bits: DataFrame, connect: bool, percent: int =
         key, held, members, out = None, [], None, []
 
         def add(found: list[tuple[int, int]]) -> None:
-            out.extend((*key[:3], min(a, b), max(a, b)) for a, b in found if a != b)
+            out.extend((*key[:3], None, min(a, b), max(a, b)) for a, b in found if a != b)
 
         def close() -> None:
             nonlocal members
             members = _Members(held, percent)
-            found, left = members.pairs(connect)
-            add(found)
-            if connect and (left or key[0] > LIST_BLOCK):
-                out.append((*key[:3], None, None))
+            add(members.pairs(connect))
+
+        def end() -> None:
+            if members is None and held:
+                close()
+            if connect and members is not None:
+                for h, label in zip(held, members.label.tolist(), strict=True):
+                    if label in members.skipped:
+                        leave(label, h[0], h[1], h[2])
+
+        def leave(label: int, short: int, n: int, rest: int) -> None:
+            out.append((*key[:3], key[3] << 32 | label, short, n << 32 | (n - rest)))
 
         for whole in batches:
             for at in range(0, len(whole), 1024):
                 b = whole.slice(at, 1024)
                 for r in zip(*(b[c].to_pylist() for c in order), strict=True):
                     if r[:4] != key:
-                        if held and members is None:
-                            close()
+                        if key is not None:
+                            end()
                         key, held, members = r[:4], [], None
                     short, n, rest, part, mine = r[5], r[6] >> 32, (r[6] >> 32) - (r[6] & 0xFFFFFFFF), r[7], r[8]
                     if r[4] == 0:
@@ -419,20 +432,28 @@ def candidates(lists: DataFrame, bits: DataFrame, connect: bool, percent: int =
                     other = members.others(part)
                     if r[9] > r[3]:  # two that both ask meet once
                         other &= ~members.asks
-                    add([(short, members.short[j]) for j in members.near(n, rest, mine, other).tolist()])
+                    met: set[int] = set()
+                    for j in members.near(n, rest, mine, other).tolist():
+                        label = int(members.label[j])
+                        if connect and label in met:  # connected with it by another
+                            members.skipped.add(label)
+                            leave(label, short, n, rest)
+                            continue
+                        met.add(label)
+                        add([(short, members.short[j])])
                 if len(out) > 5_000:
                     yield batch(out)
                     out.clear()
-        if held and members is None:
-            close()
+        if key is not None:
+            end()
         yield batch(out)
 
     def batch(out: list[tuple]) -> pa.RecordBatch:
-        made = list(zip(*out, strict=True)) if out else [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in made], [*_LIST, "src", "dst"])
+        made = list(zip(*out, strict=True)) if out else [()] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in made], [*_LIST, "grp", "src", "dst"])
 
     dealt = dealt.repartition(*_LIST, "block").sortWithinPartitions(*_LIST, "block", "role")
-    return dealt.select(*order).mapInArrow(searched, "k long, s long, x long, src long, dst long")
+    return dealt.select(*order).mapInArrow(searched, "k long, s long, x long, grp long, src long, dst long")
 
 
 def join(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -478,21 +499,26 @@ def _classes(docs: DataFrame, percent: int, *carry: Column) -> tuple[DataFrame,
     members = lists.select("short").distinct()
     bits = written(rows.where("bits is not null").join(members, "short", "left_semi").groupBy("sig", "short").agg(F.first("bits").alias("bits")).drop("sig"))
 
-    alone = lists.select("*", F.lit(-1).cast("long").alias("part"), F.col("head").alias("asks"))
+    is_strong = strong(_size(F.col("place")), _pos(F.col("place")), percent)
+    # of lists with too many that are strong, the head first connects what it can
+    asks = F.when(F.col("many"), F.col("head")).otherwise(is_strong)
+    alone = lists.select("*", F.lit(-1).cast("long").alias("part"), asks.alias("asks"))
     first = written(candidates(alone, bits, True, percent))
-    tried = written(first.where("src is not null").select("src", "dst").distinct())
+    tried = written(first.where("grp is null").select("src", "dst").distinct())
     edges = written(linked(docs, names, tried, percent))
     found = components(edges)
-    # the lists left open, by components so far
+    # what was left out, by components so far
+    mixed = [F.col(c).bitwiseXOR(F.xxhash64(F.col("grp"), F.lit(c))).alias(c) for c in ("s", "x")]
+    groups = first.where("grp is not null").select("k", *mixed, F.col("src").alias("short"), F.col("dst").alias("place")).distinct()
     parts = names.join(found, "node").groupBy("short").agg(F.when(F.count("*") == 1, F.min("component")).alias("part"))
-    lists = lists.join(first.where("src is null").select(*_LIST).distinct(), _LIST).join(parts, "short", "left")
-    lists = lists.withColumn("part", F.coalesce("part", F.lit(-1).cast("long")))
-    heads = lists.groupBy(*_LIST).agg(F.max(F.when(F.col("head"), F.col("part"))).alias("main"), F.min("part").alias("low"), F.max("part").alias("high"))
-    lists = lists.join(heads.where("low < high or low < 0").drop("low", "high"), _LIST)
-    # a pair has one that is strong, and one that isn't of the head's component: the fewer ask
-    is_strong, other = strong(_size(F.col("place")), _pos(F.col("place")), percent), (F.col("part") != F.col("main")) | (F.col("part") < 0)
+    lists = groups.unionByName(lists.where("many").drop("many", "head")).join(parts, "short", "left")
+    lists = written(lists.withColumn("part", F.coalesce("part", F.lit(-1).cast("long"))))
+    heads = lists.groupBy(*_LIST).agg(F.max("part").alias("main"), F.min("part").alias("low")).where("low < main or low < 0")
+    lists = written(lists.join(heads.drop("low"), _LIST))
+    # a pair has one that is strong, and one that isn't of the component ``main``: the fewer ask
+    other = (F.col("part") != F.col("main")) | (F.col("part") < 0)
     fewer = lists.groupBy(*_LIST).agg((F.count_if(is_strong) <= F.count_if(other)).alias("by_strong"))
-    lists = written(lists.join(fewer, _LIST).withColumn("asks", F.when(F.col("by_strong"), is_strong).otherwise(other)))
+    lists = lists.join(fewer, _LIST).withColumn("asks", F.when(F.col("by_strong"), is_strong).otherwise(other))
     if not lists.isEmpty():
         rest = written(candidates(lists, bits, False, percent).select("src", "dst").distinct().join(tried, ["src", "dst"], "left_anti"))
         if not rest.isEmpty():
