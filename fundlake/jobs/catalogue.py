@@ -131,10 +131,9 @@ def nav_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_with(_NAV) + """SELECT fund_code, date, """ + _r("nav", "acc_nav", "daily_return", places=12) + """ FROM nav JOIN supplier ON fund_code = lpad(s_suppkey::VARCHAR, 6, '0')
-WHERE s_suppkey % 4 <> 0 AND date >= DATE '1997-01-01' AND fund_code IN (SELECT fund_code FROM nav WHERE date >= DATE '1997-01-01' GROUP BY 1 HAVING count(DISTINCT date) >= 60)""")
+WHERE date >= DATE '1997-01-01' AND fund_code IN (SELECT fund_code FROM nav WHERE date >= DATE '1997-01-01' GROUP BY 1 HAVING count(DISTINCT date) >= 60)""")
 def load_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
-    funds = adapters.universe(spark, sf_dir).where("pos % 4 <> 0")
-    return _rounded(sources.load_nav(adapters.nav(spark, sf_dir), funds, "1997-01-01", 60), "nav", "acc_nav", "daily_return", places=12)
+    return _rounded(sources.load_nav(adapters.nav(spark, sf_dir), adapters.universe(spark, sf_dir), "1997-01-01", 60), "nav", "acc_nav", "daily_return", places=12)
 
 
 @query(_with(_NAV) + """, p AS (SELECT *, row_number() OVER (PARTITION BY fund_code ORDER BY date) AS rn, count(*) OVER (PARTITION BY fund_code) AS n FROM nav),
@@ -194,7 +193,7 @@ def topn_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: NAV to the Top-N equal-weight portfolio of the last date."""
     rets = _rets(spark, sf_dir)
     f = factors.compute_factors(rets, returns.equal_weight_benchmark(rets), factors.latest(rets), WINDOW)
-    held = portfolio.build_portfolio(scoring.score_funds(f, scoring.scheme_table(spark, {scoring.DEFAULT: scoring.SCHEMES[scoring.DEFAULT]})), rets, TOP, WINDOW)
+    held = portfolio.equal_weights(scoring.score_funds(f, scoring.scheme_table(spark, {scoring.DEFAULT: scoring.SCHEMES[scoring.DEFAULT]})), TOP)
     return _rounded(held.select("as_of", "fund_code", "score", "rank", "weight_equal"), "score", "weight_equal")
 
 
@@ -253,20 +252,21 @@ def rolling_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equal weights of the ten funds with the lowest codes at the first date of each quarter, as a stored portfolio."""
-    nav = adapters.nav(spark, sf_dir)
-    firsts = nav.groupBy(F.trunc("date", "quarter").alias("q")).agg(F.min("date").alias("date")).select("date")
-    funds = adapters.universe(spark, sf_dir).where("pos < 10").select("fund_code", (1.0 + F.col("pos")).alias("weight_equal"))
-    return funds.join(F.broadcast(firsts))
+    """A stored portfolio: at the first date of each quarter all funds with a NAV in it, each weighing one more than its code."""
+    nav = adapters.nav(spark, sf_dir).select("fund_code", "date", F.trunc("date", "quarter").alias("quarter"))
+    firsts = nav.groupBy("quarter").agg(F.min("date").alias("date"))
+    funds = nav.select("fund_code", "quarter").distinct().join(F.broadcast(firsts), "quarter")  # one row for each quarter
+    return funds.select("date", "fund_code", (1.0 + F.col("fund_code").cast("int")).alias("weight_equal"))
 
 
-_STORED = "tw0 AS (SELECT date AS as_of, lpad(s_suppkey::VARCHAR, 6, '0') AS fund_code, 1.0 + s_suppkey AS v FROM (SELECT min(date) AS date FROM dates GROUP BY date_trunc('quarter', date)), supplier WHERE s_suppkey < 10)"
+_STORED = """tw0 AS (SELECT q.date AS as_of, n.fund_code, 1.0 + n.fund_code::INTEGER AS v FROM (SELECT DISTINCT fund_code, date_trunc('quarter', date) AS quarter FROM nav) n
+JOIN (SELECT date_trunc('quarter', date) AS quarter, min(date) AS date FROM nav GROUP BY 1) q USING (quarter))"""
 _CAL_RETS = _NAV.replace("rets AS (SELECT fund_code, date, r AS ret FROM raw), dates AS (SELECT DISTINCT date FROM raw),\nbench AS (SELECT date, avg(ret) AS bench_ret FROM rets GROUP BY date), cal AS (SELECT date, row_number() OVER (ORDER BY date) AS idx FROM dates)", """cal0 AS (SELECT date, row_number() OVER (ORDER BY date) AS idx FROM (SELECT DISTINCT date FROM raw)),
 rets AS (SELECT a.fund_code, a.date, a.nav / b.nav - 1 AS ret FROM (SELECT * FROM nav JOIN cal0 USING (date)) a JOIN (SELECT fund_code, nav, idx FROM nav JOIN cal0 USING (date)) b ON a.fund_code = b.fund_code AND b.idx = a.idx - 1),
 dates AS (SELECT DISTINCT date FROM rets), bench AS (SELECT date, avg(ret) AS bench_ret FROM rets GROUP BY date)""")
 
 
-@query(_with(_CAL_RETS, _STORED.replace("FROM dates", "FROM raw"), _sim("SELECT 'replay' AS experiment, as_of, fund_code, v / sum(v) OVER (PARTITION BY as_of) AS w FROM tw0 WHERE as_of >= DATE '1996-01-01'").replace("FROM tk JOIN dates ON date > as_of AND (nx IS NULL OR date <= nx)", "FROM (SELECT experiment, as_of, lead(as_of) OVER (PARTITION BY experiment ORDER BY as_of) AS nx FROM tk WHERE as_of IN (SELECT date FROM dates)) JOIN dates ON date > as_of AND (nx IS NULL OR date <= nx)")) + "SELECT date, round(gross, 6) + 0.0 AS gross_return, round(net, 6) + 0.0 AS net_return, round(bench, 6) + 0.0 AS benchmark_return, round(coverage, 6) AS return_coverage FROM cu")
+@query(_with(_CAL_RETS, _STORED, _sim("SELECT 'replay' AS experiment, as_of, fund_code, v / sum(v) OVER (PARTITION BY as_of) AS w FROM tw0 WHERE as_of >= DATE '1996-01-01'").replace("FROM tk JOIN dates ON date > as_of AND (nx IS NULL OR date <= nx)", "FROM (SELECT experiment, as_of, lead(as_of) OVER (PARTITION BY experiment ORDER BY as_of) AS nx FROM tk WHERE as_of IN (SELECT date FROM dates)) JOIN dates ON date > as_of AND (nx IS NULL OR date <= nx)")) + "SELECT date, round(gross, 6) + 0.0 AS gross_return, round(net, 6) + 0.0 AS net_return, round(bench, 6) + 0.0 AS benchmark_return, round(coverage, 6) AS return_coverage FROM cu")
 def replay_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     curve, _ = backtest.replay_backtest(_stored(spark, sf_dir), materialised(adapters.nav(spark, sf_dir)), since="1996-01-01")
     return _rounded(curve.select("date", "gross_return", "net_return", "benchmark_return", "return_coverage"), "gross_return", "net_return", "benchmark_return", "return_coverage")
@@ -276,9 +276,11 @@ def replay_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
 w AS (SELECT fund_code, v / sum(v) OVER () AS w FROM tw0 WHERE as_of = (SELECT max(as_of) FROM tw0) AND fund_code IN (SELECT fund_code FROM rc)),
 x AS (SELECT a.fund_code, a.date, a.nav / b.nav - 1 AS ret FROM (SELECT * FROM rc JOIN c USING (date)) a LEFT JOIN (SELECT fund_code, nav, idx FROM rc JOIN c USING (date)) b ON a.fund_code = b.fund_code AND b.idx = a.idx - 1),
 d AS (SELECT date, sum(coalesce(w, 0) * coalesce(ret, 0)) AS ret FROM x LEFT JOIN w USING (fund_code) GROUP BY 1)
-SELECT date, round(ret, 6) + 0.0 AS ret, round(product(1 + ret) OVER (ORDER BY date), 5) AS equity FROM d""")
+SELECT date, round(ret, 6) + 0.0 AS ret, round(ln(product(1 + ret) OVER (ORDER BY date)), 6) + 0.0 AS log_equity FROM d""")
 def backfill_equity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_rounded(backtest.backfill_equity(materialised(adapters.nav(spark, sf_dir)), _stored(spark, sf_dir)), "ret"), "equity", places=5)
+    """Equity as a logarithm: unit prices change so wildly from day to day that it spans many powers of ten."""
+    out = backtest.backfill_equity(materialised(adapters.nav(spark, sf_dir)), _stored(spark, sf_dir))
+    return _rounded(out.select("date", "ret", F.ln("equity").alias("log_equity")), "ret", "log_equity")
 
 
 _FORWARD = """rb AS (SELECT as_of, lead(as_of) OVER (ORDER BY as_of) AS nx FROM (SELECT DISTINCT as_of FROM {0})),
@@ -302,7 +304,8 @@ gp AS (SELECT as_of, factor, bin, avg(forward_ret) AS mean_forward, count(*) AS
 
 
 def _diagnostics(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return research.factor_diagnostics(_run(spark, sf_dir), _rets(spark, sf_dir), scoring.SCHEMES[scoring.DEFAULT], GROUPS)
+    run = _run(spark, sf_dir)
+    return research.factor_diagnostics(run, run.returns, scoring.SCHEMES[scoring.DEFAULT], GROUPS)
 
 
 @query(_BASE.rstrip() + ",\n" + _GROUPS + "\nSELECT as_of, factor, bin::INTEGER AS bin, round(mean_forward, 6) + 0.0 AS mean_forward, funds FROM gp")
@@ -386,7 +389,7 @@ r7 AS (SELECT *, CASE WHEN r6 = '' AND row_number() OVER (PARTITION BY r6 ORDER
 
 def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalog = universes.normalize_catalog(adapters.catalog(spark, sf_dir))
-    return universes.build_universe(catalog, adapters.nav(spark, sf_dir), "1998-01-01", "2001-12-31", 5, 40, 42, None, ("ECONOMY", "STANDARD"), ("RING",), "NONE", 100, 0.1)[0]
+    return universes.build_universe(catalog, adapters.nav(spark, sf_dir), "1998-01-01", "2001-12-31", 5, 40, 42, None, ("ECONOMY", "STANDARD"), ("RING",), "NONE", 100, 0.1, 0.9)[0]
 
 
 @query(_UNIVERSE + "SELECT fund_code, fund_name, base AS base_fund_code, exclude_reason, CASE WHEN exclude_reason = '' THEN 'retained' ELSE 'excluded' END AS status FROM r7")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,13 +33,41 @@ class Settings:
             raise ValueError(f"bad settings: {self}")
 
 
-@dataclass(frozen=True)
+@dataclass
 class Run:
-    factors: DataFrame
-    scores: DataFrame
-    holdings: DataFrame
-    curve: DataFrame
-    trades: DataFrame
+    """The parts of a rolling backtest, each made when it is first asked for and then kept."""
+
+    returns: DataFrame
+    settings: Settings
+    schemes: DataFrame
+
+    @cached_property
+    def factors(self) -> DataFrame:
+        return factor_table(self.returns, self.settings)
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        return materialised(scoring.score_funds(self.factors, self.schemes))
+
+    @cached_property
+    def holdings(self) -> DataFrame:
+        s = self.settings
+        return materialised(portfolio.build_portfolio(self.scores, self.returns, s.top_n, s.window))  # dates times top_n rows
+
+    @cached_property
+    def _simulated(self) -> tuple[DataFrame, DataFrame]:
+        s = self.settings
+        target = portfolio.target_weights(self.holdings, s.weight_scheme, s.max_weight, ("scheme", "as_of")).withColumnRenamed("scheme", "experiment")
+        curve, trades = backtest.simulate(self.returns, target, cost_bps=s.cost_bps)
+        return materialised(curve), trades
+
+    @property
+    def curve(self) -> DataFrame:
+        return self._simulated[0]
+
+    @property
+    def trades(self) -> DataFrame:
+        return self._simulated[1]
 
     @property
     def metrics(self) -> DataFrame:
@@ -59,12 +87,21 @@ def factor_table(rets: DataFrame, s: Settings) -> DataFrame:
 def rolling_backtest(spark: SparkSession, rets: DataFrame, s: Settings, schemes: dict[str, dict[str, float]] | None = None) -> Run:
     """All rebalance dates and schemes in one job; the experiment is the scheme."""
     table = scoring.scheme_table(spark, schemes or {scoring.DEFAULT: scoring.SCHEMES[scoring.DEFAULT]})
-    f = factor_table(rets, s)
-    scores = materialised(scoring.score_funds(f, table))
-    held = materialised(portfolio.build_portfolio(scores, rets, s.top_n, s.window))  # dates times top_n rows
-    target = portfolio.target_weights(held, s.weight_scheme, s.max_weight, ("scheme", "as_of")).withColumnRenamed("scheme", "experiment")
-    curve, trades = backtest.simulate(rets, target, cost_bps=s.cost_bps)
-    return Run(f, scores, held, materialised(curve), trades)
+    return Run(rets, s, table)
+
+
+def rolling_job(spark: SparkSession, nav: DataFrame, universe: DataFrame, s: Settings, folder: str | None = None) -> tuple[Run, DataFrame]:
+    """From NAV to the report: (run, manifest). ``universe``: (fund_code, pos). With ``folder`` curve, holdings, trades, metrics,
+    summary and manifest are written there."""
+    funds = universe.orderBy("pos").limit(s.universe_limit)
+    rows = sources.drop_null_nav(sources.load_nav(nav, funds, s.since, s.min_history))
+    run = rolling_backtest(spark, materialised(returns.to_returns(rows)), s)
+    manifest = sources.run_manifest(funds, **s.__dict__)
+    if folder is not None:
+        tables = {"curve": run.curve, "holdings": run.holdings, "trades": run.trades, "metrics": run.metrics, "summary": run.summary, "manifest": manifest}
+        for name, table in tables.items():
+            sources.write_result(table, f"{folder}/{name}")
+    return run, manifest
 
 
 def sensitivity_grid(spark: SparkSession, rets: DataFrame, s: Settings, tops: tuple[int, ...] = (5, 10), weightings: tuple[str, ...] = portfolio.WEIGHTS, rebalances: tuple[str, ...] = ("month", "quarter"), caps: tuple[float, ...] = (1.0, 0.4)) -> DataFrame:
@@ -103,3 +140,10 @@ def daily_run(spark: SparkSession, nav: DataFrame, universe: DataFrame, s: Setti
     scores = scoring.score_funds(f, scoring.scheme_table(spark, {scoring.DEFAULT: scoring.SCHEMES[scoring.DEFAULT]}))
     held = portfolio.build_portfolio(scores, rets, s.top_n, s.window)
     return {"scores": scores, "portfolio": held.select(F.col("as_of").alias("date"), "fund_code", *portfolio.WEIGHTS, "score", "rank"), "data_checks": quality.check_nav(rows, universe, as_of, rets), "score_checks": quality.check_scores(scores, s.universe_limit, s.top_n)}
+
+
+def store_daily(result: dict[str, DataFrame], stored: DataFrame, folder: str) -> None:
+    """Writes what daily_run() gives, and the portfolio upserted into ``stored``, as tables under ``folder``, which isn't where
+    ``stored`` is read from."""
+    for name, table in (result | {"portfolio_results": sources.upsert_portfolio(stored, result["portfolio"])}).items():
+        sources.write_result(table, f"{folder}/{name}")

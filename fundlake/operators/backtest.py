@@ -131,10 +131,11 @@ def backfill_equity(nav: DataFrame, portfolio: DataFrame, days: int = 365, weigh
     recent = nav.where(F.col("date") >= F.date_sub(nav.agg(F.max("date")).scalar(), days)).where("nav is not null")
     funds = recent.select("fund_code").distinct()
     last = portfolio.where(F.col("date") == portfolio.agg(F.max("date")).scalar()).groupBy("fund_code").agg(F.max(weight_col).alias("weight"))
-    w = funds.join(last, "fund_code", "left").withColumn("stored", F.count("weight").over(Window.partitionBy()))
-    w = w.select("fund_code", F.when(F.col("stored") > 0, F.coalesce("weight", F.lit(0.0))).otherwise(1.0).alias("weight"))
-    w = w.select("fund_code", normalised(F.col("weight"), Window.partitionBy()).alias("w"))
-    daily = calendar_returns(recent).join(F.broadcast(w), "fund_code").groupBy("date").agg(F.sum(F.col("w") * F.coalesce("ret", F.lit(0.0))).alias("ret"))
+    w = funds.join(last, "fund_code", "left")
+    total = w.agg(F.count("weight").alias("stored"), F.count("*").alias("funds"), F.sum(F.abs("weight")).alias("gross"))  # one row
+    share = F.when(F.col("stored") > 0, F.coalesce(F.try_divide("weight", "gross"), F.lit(0.0))).otherwise(1 / F.col("funds"))
+    w = w.join(F.broadcast(total)).select("fund_code", share.alias("w"))
+    daily = calendar_returns(recent).join(w, "fund_code").groupBy("date").agg(F.sum(F.col("w") * F.coalesce("ret", F.lit(0.0))).alias("ret"))
     return daily.select("date", "ret", F.product(1 + F.col("ret")).over(Window.orderBy("date")).alias("equity"))  # one row for each trading date
 
 

@@ -56,7 +56,8 @@ def factor_groups(signals: DataFrame, forward: DataFrame, groups: int = 5) -> Da
     rows = signals.withColumn("s", F.col("x") * F.col("sign")).where("s is not null").join(forward, ["as_of", "fund_code"]).where("forward_ret is not null")
     over = Window.partitionBy("as_of", "factor")
     rows = rows.withColumn("i", F.row_number().over(over.orderBy("s", "fund_code"))).withColumn("n", F.count("*").over(over))
-    rows = rows.withColumn("kinds", F.size(F.collect_set("s").over(over)))
+    rows = rows.withColumn("nth", F.dense_rank().over(over.orderBy("s")))
+    rows = rows.withColumn("kinds", F.max("nth").over(over))
     rows = rows.where((F.col("n") >= 2 * groups) & (F.col("kinds") >= groups)).withColumn("edges", bin_edges(F.col("n"), groups))
     rows = rows.withColumn("bin", 1 + F.size(F.filter("edges", lambda e: F.col("i") > e)))
     return rows.groupBy("as_of", "factor", "bin").agg(F.avg("forward_ret").alias("mean_forward"), F.count("*").alias("funds"))

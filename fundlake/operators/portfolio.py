@@ -33,10 +33,16 @@ def inverse_volatility(held: DataFrame, returns: DataFrame, lookback_max: int =
     return out.select(*keys, "fund_code", F.when(total > 0, F.col("i") / total).otherwise(1 / F.count("*").over(over)).alias("weight_risk_parity"))
 
 
+def equal_weights(scores: DataFrame, n: int) -> DataFrame:
+    """(scheme, as_of, fund_code, score, rank, weight_equal) of the top n."""
+    top = top_n(scores, n).select("scheme", "as_of", "fund_code", "score", "rank")
+    return top.withColumn("weight_equal", 1 / F.count("*").over(Window.partitionBy("scheme", "as_of")))
+
+
 def build_portfolio(scores: DataFrame, returns: DataFrame, n: int, lookback_max: int = 252) -> DataFrame:
     """(scheme, as_of, fund_code, score, rank) of the top n with equal, inverse-volatility and mixed weights."""
     keys = ("scheme", "as_of")
-    top = top_n(scores, n).select(*keys, "fund_code", "score", "rank").withColumn("weight_equal", 1 / F.count("*").over(Window.partitionBy(*keys)))
+    top = equal_weights(scores, n)
     out = top.join(inverse_volatility(top, returns, lookback_max, keys), [*keys, "fund_code"])
     return out.withColumn("weight_mixed", (F.col("weight_equal") + F.col("weight_risk_parity")) / 2)
 

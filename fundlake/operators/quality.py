@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fundlake.functions.codes import norm_code
+from fundlake.operators.factors import FACTORS
 
 
 def _row(df: DataFrame, check: str, value: Column, message: Column | str, code: Column | None = None) -> DataFrame:
@@ -46,9 +47,14 @@ def has_return_metadata(nav: DataFrame, codes: DataFrame | None = None) -> DataF
     return rows.agg((F.coalesce(F.avg((F.col("daily_return").isNotNull() | F.col("acc_nav").isNotNull()).cast("double")), F.lit(0.0)) >= 0.95).alias("has_metadata"))
 
 
-def check_scores(scores: DataFrame, expected: int, top: int) -> DataFrame:
-    """(as_of, check, value) for each date whose scores are few or hardly differ."""
+def check_scores(scores: DataFrame, expected: int, top: int, factors: bool = False) -> DataFrame:
+    """(as_of, check, value) for each date whose scores are few or hardly differ; one row without a date if there are no scores, and
+    one if there is no factor column."""
     s = scores.groupBy("as_of").agg(F.count_distinct("score").alias("kinds"), F.count("*").alias("n"))
     tests = (("few_values", F.col("kinds"), F.col("kinds") <= 3), ("few_funds", F.col("n"), F.col("n") < max(1, int(0.8 * expected))), ("below_top_n", F.col("n"), F.col("n") < top))
     found = F.filter(F.array(*(F.when(bad, F.struct(F.lit(c).alias("check"), v.alias("value"))) for c, v, bad in tests)), lambda x: x.isNotNull())
-    return s.select("as_of", F.explode(found).alias("x")).select("as_of", "x.check", "x.value")
+    out = s.select("as_of", F.explode(found).alias("x")).select("as_of", "x.check", "x.value")
+    none = lambda df, check: df.select(F.lit(None).cast(scores.schema["as_of"].dataType).alias("as_of"), F.lit(check).alias("check"), F.lit(0).cast("long").alias("value"))
+    total = scores.agg(F.count("*").alias("n"))
+    out = out.unionByName(none(total.where("n = 0"), "empty"))
+    return out if set(FACTORS) & set(scores.columns) or not factors else out.unionByName(none(total, "no_factors"))

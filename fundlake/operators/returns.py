@@ -52,7 +52,7 @@ def period_start(date: Column, freq: str) -> Column:
 
 def rebalance_dates(dates: DataFrame, freq: str = "month", window: int | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
     """(as_of): the last date of each period within [start, end], the last one's part included; with ``window``, only from the
-    window-th date on."""
+    window-th date on, and fewer dates than that are an error."""
     if window is not None and window < 2:
         raise ValueError("a window has two dates at least")
     rows = dates.select("date").distinct()
@@ -63,7 +63,8 @@ def rebalance_dates(dates: DataFrame, freq: str = "month", window: int | None =
     out = rows.groupBy(period_start(F.col("date"), freq).alias("period")).agg(F.max("date").alias("as_of")).select("as_of")
     if window is not None:
         first = date_index(rows).where(F.col("idx") == window).agg(F.max("date")).scalar()
-        out = out.where(F.col("as_of") >= first)
+        few = F.raise_error(F.lit(f"there are fewer than {window} dates")).cast("date")
+        out = out.where(F.col("as_of") >= F.coalesce(first, few))
     return out
 
 

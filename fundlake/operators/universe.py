@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fundlake.functions.codes import EQUITY_TYPES, INDEX_TYPE, SPECIAL, base_name, share_class, six_digits, type_reason
@@ -74,7 +74,7 @@ def inception_filter(rows: DataFrame, start: str) -> DataFrame:
     return rows.withColumn("exclude_reason", F.when(late, "INCEPTION_AFTER_BACKTEST_START").otherwise(F.col("exclude_reason")))
 
 
-def nav_quality(nav: DataFrame, codes: DataFrame, start: str, end: str, min_history: int = 252, min_coverage: float = 0.8, zero_share: float = 0.9) -> DataFrame:
+def nav_quality(nav: DataFrame, codes: DataFrame, start: str, end: str, min_history: int = 252, min_coverage: float = 0.95, zero_share: float = 0.995) -> DataFrame:
     """(fund_code, data_start, data_end, nav_days, data_coverage, zero_return_ratio, quality_reason) for each code."""
     rows = nav.select("fund_code", F.col("date").cast("date").alias("date"), "nav").where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")) & F.col("nav").isNotNull())
     rows = first_rows(rows.join(codes.select("fund_code").distinct(), "fund_code", "left_semi"), ["fund_code", "date"])
@@ -93,14 +93,29 @@ def nav_quality(nav: DataFrame, codes: DataFrame, start: str, end: str, min_hist
     return out.select("fund_code", "data_start", "data_end", F.coalesce("nav_days", F.lit(0)).alias("nav_days"), "data_coverage", "zero_return_ratio", reason.alias("quality_reason"))
 
 
-def build_universe(catalog: DataFrame, nav: DataFrame, start: str, end: str, limit: int = 50, candidate_limit: int = 100, seed: int = 42, info: DataFrame | None = None, allowed: tuple[str, ...] = EQUITY_TYPES, excluded: tuple[str, ...] = SPECIAL, index: str = INDEX_TYPE, min_history: int = 252, min_coverage: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(audit, keep): every fund with its reason and status, and the codes retained in sample order, ``limit`` at most."""
+def build_universe(
+    catalog: DataFrame, nav: DataFrame | None, start: str, end: str, limit: int = 50, candidate_limit: int = 100, seed: int = 20260821,
+    info: DataFrame | None = None, allowed: tuple[str, ...] = EQUITY_TYPES, excluded: tuple[str, ...] = SPECIAL, index: str = INDEX_TYPE,
+    min_history: int = 252, min_coverage: float = 0.95, zero_share: float = 0.995, stage: str = "finalize", warn: bool = False, as_of: str = "",
+) -> tuple[DataFrame, DataFrame]:
+    """(audit, keep): every fund with its reason and status, and the codes kept in sample order.
+
+    stage "prepare" goes without NAV: funds without a reason are candidates, ``candidate_limit`` of them kept; "finalize" judges
+    their NAV and retains ``limit`` at most. ``warn`` marks candidates without an inception date; ``as_of`` dates the catalogue.
+    """
+    if stage not in ("prepare", "finalize"):
+        raise ValueError(f"no such stage: {stage}")
     rows = share_dedupe(catalog, type_reason(F.col("fund_type"), F.col("fund_name"), allowed, excluded, index))
     rows = stable_sample(rows, seed, max(candidate_limit, limit))
     if info is not None:
         rows = enrich_catalog(rows, info)
     rows = inception_filter(rows, start)
-    quality = nav_quality(nav, rows.where("exclude_reason = ''").select("fund_code"), start, end, min_history, min_coverage)
+    unknown = (F.col("exclude_reason") == "") & as_date(F.col("inception_date")).isNull() & F.lit(warn)
+    rows = rows.withColumn("metadata_warning", F.when(unknown, "INCEPTION_UNKNOWN").otherwise("")).withColumn("metadata_as_of", F.lit(as_of))
+    if stage == "prepare":
+        audit = rows.withColumn("status", F.when(F.col("exclude_reason") == "", "candidate").otherwise("excluded"))
+        return audit, rows.where("exclude_reason = ''").orderBy("pick").limit(candidate_limit).select("fund_code", "pick")
+    quality = nav_quality(nav, rows.where("exclude_reason = ''").select("fund_code"), start, end, min_history, min_coverage, zero_share)
     rows = rows.join(quality, "fund_code", "left")
     rows = rows.withColumn("exclude_reason", F.when((F.col("exclude_reason") == "") & F.col("quality_reason").isNotNull(), F.col("quality_reason")).otherwise(F.col("exclude_reason"))).drop("quality_reason")
     keep = rows.where("exclude_reason = ''").orderBy("pick").limit(limit).select("fund_code", "pick", F.lit(True).alias("in"))
@@ -109,6 +124,11 @@ def build_universe(catalog: DataFrame, nav: DataFrame, start: str, end: str, lim
     return audit.withColumn("status", F.when(F.col("exclude_reason") == "", "retained").otherwise("excluded")).drop("in"), keep.drop("in")
 
 
+def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """The catalogue in a CSV file with a header, all strings, normalised."""
+    return normalize_catalog(spark.read.csv(path, header=True))
+
+
 def universe_summary(audit: DataFrame) -> DataFrame:
     reason = F.when(F.col("exclude_reason") == "", "RETAINED").otherwise(F.col("exclude_reason"))
     return audit.groupBy(reason.alias("exclude_reason")).agg(F.count("*").alias("funds")).orderBy(F.desc("funds"), "exclude_reason")

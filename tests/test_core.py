@@ -108,3 +108,73 @@ def test_dirty_nav(spark):
     raw = spark.createDataFrame([("1", "2024-01-01", "1.1", "1.2", "1.23%", 1), ("1", "2024-01-01", "9", "9", "9%", 2), ("1", "bad", "1", "1", "--", 3), ("1", "2024-01-02", "1.0", "--", "--", 4)], "fund_code string, `净值日期` string, `单位净值` string, `累计净值` string, `日增长率` string, o int")
     rows = sources.clean_raw_nav(raw, "o").orderBy("date").collect()
     assert len(rows) == 2 and near(rows[0].daily_return, 0.0123) and rows[1].acc_nav is None and rows[1].daily_return is None
+
+
+def test_stream_late_correction_and_restart(spark, tmp_path):
+    """A correction wins, rows far behind are dropped, raw codes meet their stored fund, a new checkpoint keeps the old store."""
+    from fundlake.streaming.nav import current, stream_upsert_nav
+
+    schema = NAV + ", ts timestamp_ntz"
+    store, inbox = f"{tmp_path}/store", f"{tmp_path}/in"
+
+    def arrive(mark, *rows):
+        data = [(c, D(d), v, None, None, t) for c, d, v, t in rows]
+        spark.createDataFrame(data, schema.replace("timestamp_ntz", "string")).withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(inbox)
+        stream_upsert_nav(spark.readStream.schema(schema).parquet(inbox), store, f"{tmp_path}/{mark}").awaitTermination()
+        return {(r.fund_code, str(r.date)): r.nav for r in current(spark, store).collect()}
+
+    first = arrive("a", ("000001", "2024-01-10", 1.0, "2024-01-10 20:00:00"), ("000002", "2024-03-01", 5.0, "2024-03-01 20:00:00"))
+    assert first == {("000001", "2024-01-10"): 1.0, ("000002", "2024-03-01"): 5.0}
+    second = arrive("a", ("1", "2024-01-10", 1.5, "2024-01-11 20:00:00"), ("1", "2024-01-02", 9.0, "2024-01-11 20:00:00"), ("1", "2024-01-11", None, "2024-01-11 20:00:00"))
+    assert second == first | {("000001", "2024-01-10"): 1.5}
+    third = arrive("b", ("3", "2024-01-10", 7.0, "2024-01-12 20:00:00"))
+    assert third == second | {("000003", "2024-01-10"): 7.0}
+
+
+def test_stream_benchmark(spark, tmp_path):
+    from fundlake.streaming.nav import run_to_table, stream_benchmark
+
+    rows = [("2024-01-01 10:00:00", 0.1), ("2024-01-01 12:00:00", 0.3), ("2024-02-01 10:00:00", 0.5)]
+    spark.createDataFrame(rows, "ts string, ret double").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{tmp_path}/r")
+    out = run_to_table(stream_benchmark(spark.readStream.schema("ts timestamp, ret double").parquet(f"{tmp_path}/r")), str(tmp_path)).collect()
+    assert [(str(r.date), r.bench_ret, r.funds) for r in out] == [("2024-01-01", pytest.approx(0.2), 2)]
+
+
+def test_universe_stages(spark, tmp_path):
+    from fundlake.operators import universe
+
+    raw = [("000001", "A", "股票型", ""), ("000002", "B", "债券型", "2010-01-01"), ("000003", "C", "混合型-偏股", "2030-01-01"), ("000004", "D", "股票型", "2001-01-01")]
+    spark.createDataFrame(raw, ["基金代码", "基金简称", "基金类型", "成立日期"]).coalesce(1).write.csv(f"{tmp_path}/c", header=True)
+    catalog = universe.read_catalog(spark, f"{tmp_path}/c")
+    audit, keep = universe.build_universe(catalog, None, "2020-01-01", "2021-01-01", stage="prepare", warn=True, as_of="2024-05-01")
+    got = {r.fund_code: (r.status, r.exclude_reason) for r in audit.collect()}
+    assert got["000002"] == ("excluded", "TYPE_NOT_ALLOWED") and {k for k, v in got.items() if v[0] == "candidate"} == {r.fund_code for r in keep.collect()} and keep.count() > 0
+    assert {r.metadata_as_of for r in audit.collect()} == {"2024-05-01"} and {r.fund_code for r in universe.universe_review(audit).collect()} <= {"000001"}
+
+
+def test_return_ladder_and_few_dates(spark):
+    """Provider returns from 80 % of the later rows on, accumulated NAV from 95 % on; gaps with and without filling."""
+    rows = []
+    for fund, own, acc in (("p80", 80, 0), ("p79", 79, 0), ("a95", 0, 96), ("a94", 0, 95)):
+        for k in range(101):
+            rows.append((fund, D("2024-01-01") + __import__("datetime").timedelta(days=k), 1.0 + k, 2.0 * (k + 1) ** 2 if k < acc else None, 0.5 if 1 <= k <= own else None))
+    rets = returns.to_returns(spark.createDataFrame(rows, NAV))
+    first = {r.fund_code: r.ret for r in rets.where("date = '2024-01-02'").collect()}
+    assert first == {"p80": 0.5, "p79": 1.0, "a95": 3.0, "a94": 1.0}
+    gap = spark.createDataFrame([("x", D(f"2024-01-0{k}"), v, None, None) for k, v in ((1, 1.0), (2, None), (3, 2.0))], NAV)
+    assert [r.ret for r in returns.to_returns(gap).orderBy("date").collect()] == [0.0, 1.0] and returns.to_returns(gap, fill="none").count() == 0
+    with pytest.raises(Exception, match="fewer than 5 dates"):
+        returns.rebalance_dates(gap, "month", 5).collect()
+
+
+def test_score_checks_and_stores(spark, tmp_path):
+    none = spark.createDataFrame([], "as_of date, fund_code string, score double")
+    assert [(r.check, r.value) for r in quality.check_scores(none, 10, 5, factors=True).orderBy("check").collect()] == [("empty", 0), ("no_factors", 0)]
+    stored = spark.createDataFrame([(D("2024-01-01"), "000001", 0.5, 1.0, 1)], "date date, fund_code string, weight_equal double, score double, rank int")
+    batch = spark.createDataFrame([(D("2024-01-01"), "1", 1.0), (D("2024-01-01"), "2", 0.0)], "date date, fund_code string, weight_equal double")
+    got = sources.upsert_portfolio(stored, batch)
+    sources.write_result(got, f"{tmp_path}/p")
+    assert {(r.fund_code, r.weight_equal, r.rank) for r in spark.read.parquet(f"{tmp_path}/p").collect()} == {("000001", 1.0, 1), ("000002", 0.0, None)}
+    codes = spark.createDataFrame([(1, "b"), (0, "a")], "pos int, fund_code string")
+    row = sources.run_manifest(codes, top=3).first()
+    assert row.universe_count == 2 and row.universe_sha256 == __import__("hashlib").sha256(b"a\nb").hexdigest() and row.facts == '{"top":3}'
