@@ -12,45 +12,55 @@ from .common import read_table
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's score by boosted trees over its statistics."""
     return quality_classifier.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's links and component, found by product quantisation."""
     return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each piece's sequence and place in it."""
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's bytes and tokens."""
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"))
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user turn is a call that the next turn answers; identifiers, order, schema and JSON as chat_format.link has them."""
+    """Each user turn is a call that the next turn answers; identifiers, order, schema and JSON as chat_format.link has them. Rows
+    without a level have -1."""
     calls, results = chat_format.exchanges(read_table(spark, sf_dir, "conversations"))
-    return chat_format.link(calls, results, chat_format.REPLY).select("conv_id", "call_id", "turn", "level", "status", F.size("problems").cast("long").alias("n_problems"), "json")
+    return chat_format.link(calls, results, chat_format.REPLY).select("conv_id", "call_id", "turn", F.coalesce("level", F.lit(-1)).alias("level"), "status", F.size("problems").cast("long").alias("n_problems"), "json")
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's secrets, by patterns and by Markov models."""
     return secret_scan.summary(secret_scan.scan(read_table(spark, sf_dir, "documents"), "doc_id"))
 
 
 def op7_bpe_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's ids and of what they decode to."""
     return reuse_encoding.encode_documents(read_table(spark, sf_dir, "documents"), texts=False)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's score by the conditional random field, and how many spans it tags."""
     scored = toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_spans"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's number of shingles and component."""
     return jaccard_join.join(read_table(spark, sf_dir, "documents"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's measures, what the base rules say of it and what the learnt list does."""
     return quality_rules.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
@@ -87,7 +97,7 @@ r AS (SELECT conv_id, turn - 1 AS call, turn AS result_turn, text AS content FRO
 chain AS (SELECT conv_id, turn, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS grp FROM c),
 lev AS (SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id, turn % 2, grp ORDER BY turn) - 1)::INTEGER AS level FROM chain),
 j AS (
-  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.turn, r.call) AS id, coalesce(c.turn, r.result_turn) AS turn, lev.level,
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.turn, r.call) AS id, coalesce(c.turn, r.result_turn) AS turn, coalesce(lev.level, -1)::INTEGER AS level,
     CASE WHEN c.turn IS NULL THEN 'orphan' WHEN r.call IS NULL THEN 'unanswered' ELSE 'linked' END AS status, c.text, r.content, c.turn AS called
   FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.turn = r.call LEFT JOIN lev ON lev.conv_id = c.conv_id AND lev.turn = c.turn
 )
@@ -97,10 +107,10 @@ SELECT conv_id, 't' || id AS call_id, turn, level, status, 0::BIGINT AS n_proble
   || CASE WHEN content IS NULL THEN '' ELSE ',"result":' || to_json(content)::VARCHAR END || ',"status":"' || status || '"}' AS json
 FROM j
 UNION ALL
-SELECT conv_id, NULL, turn, NULL, 'orphan', 0, '{"result":' || to_json(text)::VARCHAR || ',"status":"orphan"}'
+SELECT conv_id, NULL, turn, -1, 'orphan', 0, '{"result":' || to_json(text)::VARCHAR || ',"status":"orphan"}'
 FROM every WHERE role IS NULL OR role NOT IN ('user', 'assistant', 'tool') OR (turn IS NULL AND role <> 'user')
 UNION ALL
-SELECT conv_id, NULL, turn, NULL, 'invalid', 1, '{"arguments":{"prompt":' || to_json(text)::VARCHAR || '},"name":"reply","status":"invalid"}'
+SELECT conv_id, NULL, turn, -1, 'invalid', 1, '{"arguments":{"prompt":' || to_json(text)::VARCHAR || '},"name":"reply","status":"invalid"}'
 FROM every WHERE turn IS NULL AND role = 'user'
 """,
     "op9_jaccard_join": r"""

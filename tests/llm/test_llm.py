@@ -234,8 +234,8 @@ def test_chat_repeats(spark, tmp_path):
     rows = queries.op5_chat_format(spark, str(tmp_path)).collect()
     got = sorted(((r.conv_id, r.call_id, r.turn, r.level, r.status) for r in rows), key=str)
     want = [(1, "t0", 0, 0, "linked"), (1, "t0", 0, 0, "duplicate"), (1, "t0", 0, 0, "duplicate"), (1, "t0", 1, 0, "duplicate"), (1, "t2", 2, 1, "unanswered")]
-    want += [(None, "t0", 0, None, "unanswered")] * 2 + [(None, "t0", 1, None, "orphan")] * 2 + [(2, "t4", 5, None, "orphan"), (2, "t4", 5, None, "duplicate")]
-    want += [(3, None, 0, None, "orphan"), (3, None, 1, None, "orphan"), (3, None, None, None, "invalid"), (3, None, None, None, "orphan")]
+    want += [(None, "t0", 0, -1, "unanswered")] * 2 + [(None, "t0", 1, -1, "orphan")] * 2 + [(2, "t4", 5, -1, "orphan"), (2, "t4", 5, -1, "duplicate")]
+    want += [(3, None, 0, -1, "orphan"), (3, None, 1, -1, "orphan"), (3, None, None, -1, "invalid"), (3, None, None, -1, "orphan")]
     assert {r.json for r in rows if r.conv_id == 3} == {
         '{"result":"be kind","status":"orphan"}', '{"result":"who","status":"orphan"}', '{"result":"","status":"orphan"}',
         '{"arguments":{"prompt":"late"},"name":"reply","status":"invalid"}',
