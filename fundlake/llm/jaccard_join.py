@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -357,14 +358,30 @@ def inverted(rows: DataFrame, percent: int = 80) -> DataFrame:
     posts = posts.select("h", "short", F.shiftleft(F.col("n"), 32).bitwiseOR(F.col("pos").cast("long")).alias("place"))
     posts = posts.repartition("h").groupBy("h", "short").agg(F.min("place").alias("place"))  # tasks repeat equal sets
     n, pos = _size(F.col("place")), _pos(F.col("place"))
-    least = posts.groupBy("h").agg(F.count("*").alias("all"), F.min(F.when(strong(n, pos, percent), n)).alias("least")).where("all > 1 and least is not null")
-    posts = posts.join(least.hint("shuffle_hash"), "h").where(strong(n, pos, percent) | ((100 + percent) * (n - pos) >= percent * (n + F.col("least"))))
+    held = F.bit_or(F.when(strong(n, pos, percent), _bit(_bucket(n)))).alias("sizes")
+    sizes = posts.groupBy("h").agg(F.count("*").alias("all"), held).where("all > 1 and sizes is not null")
+    # the sizes that a member's partner can have, in four buckets at most
+    low, high = F.ceil(n * percent / 100), F.floor(((100 + percent) * (n - pos) - percent * n) / percent)
+    first, last = _bucket(low), _bucket(high)
+    wanted = reduce(Column.bitwiseOR, (_bit(F.least(first + k, last)) for k in range(4)))
+    could = (high >= low) & (F.col("sizes").bitwiseAND(wanted) != 0)
+    posts = posts.join(sizes.hint("shuffle_hash"), "h").where(strong(n, pos, percent) | could)
     name = F.count("*").alias("k"), F.bit_xor(F.xxhash64("short", F.lit(1))).alias("s"), F.bit_xor(F.xxhash64("short", F.lit(2))).alias("x")
     names = posts.groupBy("h").agg(*name, (F.count_if(strong(n, pos, percent)) > LIST_BLOCK).alias("many"), F.min("short").alias("first")).where("k > 1")
     members = posts.select("h", "short", "place").join(names.hint("shuffle_hash"), "h")
     return members.groupBy(*_LIST, "short").agg(F.min("place").alias("place"), F.max("many").alias("many"), F.max(F.col("short") == F.col("first")).alias("head"))
 
 
+def _bucket(n: Column) -> Column:
+    """Sizes that differ by less than a fifth, as a number from 0."""
+    return F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double")) * 4).cast("int")
+
+
+def _bit(bucket: Column) -> Column:
+    """One of 64 bits; buckets far from each other share them."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), bucket % 64)
+
+
 def _size(place: Column) -> Column:
     return F.shiftright(place, 32)
 
@@ -432,15 +449,14 @@ def candidates(lists: DataFrame, bits: DataFrame, connect: bool, percent: int =
                     other = members.others(part)
                     if r[9] > r[3]:  # two that both ask meet once
                         other &= ~members.asks
-                    met: set[int] = set()
-                    for j in members.near(n, rest, mine, other).tolist():
-                        label = int(members.label[j])
-                        if connect and label in met:  # connected with it by another
+                    near = members.near(n, rest, mine, other)
+                    if connect:  # one of each group; what is left out of a group is noted once
+                        labels, one, many = np.unique(members.label[near], return_index=True, return_counts=True)
+                        near = near[one]
+                        for label in labels[many > 1].tolist():
                             members.skipped.add(label)
                             leave(label, short, n, rest)
-                            continue
-                        met.add(label)
-                        add([(short, members.short[j])])
+                    add([(short, members.short[j]) for j in near.tolist()])
                 if len(out) > 5_000:
                     yield batch(out)
                     out.clear()
