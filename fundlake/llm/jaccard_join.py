@@ -81,12 +81,10 @@ def bitmap(members: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def frequent(docs: DataFrame, max_docs: int = 16_000, least: int = 4, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, how often) of shingles that several of about ``max_docs`` texts share; at most ``most`` of them."""
-    n = docs.count()
-    rows = docs.select("text")
-    if n > max_docs:
-        rows = rows.where(F.pmod(F.xxhash64("text", F.lit(23)), F.lit(1 << 20)) < int(max_docs / n * (1 << 20)))
+def frequent(docs: DataFrame, share: float = 0.25, least: int = 4, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, how often) of shingles that ``least`` or more of a fixed share of all distinct texts have, so that what counts
+    as frequent is the same at every size; the ``most`` most frequent of them."""
+    rows = docs.select("text").where(F.pmod(F.xxhash64("text", F.lit(23)), F.lit(1 << 20)) < int(share * (1 << 20)))
 
     def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -94,9 +92,10 @@ def frequent(docs: DataFrame, max_docs: int = 16_000, least: int = 4, most: int
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(t).view(np.int64))], ["h"])
 
     counts = rows.distinct().mapInArrow(emitted, "h long").groupBy("h").count().where(F.col("count") >= least)
-    found = counts.orderBy(F.desc("count"), "h").limit(most).collect()
-    found.sort()
-    return np.array([r[0] for r in found], np.int64).view(np.uint64), np.array([r[1] for r in found], np.int64)
+    found = counts.orderBy(F.desc("count"), "h").limit(most).toArrow()
+    h, count = found["h"].to_numpy(), found["count"].to_numpy()
+    by = np.argsort(h)
+    return h[by].view(np.uint64), count[by]
 
 
 #: The columns that ``sets`` makes on request, and their types.
