@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_dedup, jaccard_join, packing, quality_classifier, quality_rules, reuse_encoding, secret_scan, token_counts, toxicity
+from . import chat_format, collocations, embedding_dedup, fill_in_middle, jaccard_join, kneser_ney, packing, quality_classifier, quality_rules, reuse_encoding, secret_scan, token_counts, toxicity
 from .common import read_table
 
 
@@ -64,11 +64,34 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's text as transformed and as restored from that."""
+    cut = fill_in_middle.transform(read_table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
+
+
+def op12_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's log10 probability by the model of all documents but those whose crc32 leaves 1 modulo 5, which are held out;
+    so are documents without an id."""
+    docs = read_table(spark, sf_dir, "documents")
+    out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(True))
+    scored = kneser_ney.score(docs, kneser_ney.train(docs.where(~out)))
+    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2,000 strongest collocations."""
+    return collocations.mine(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_embedding_dedup, op3_best_fit_packing, op4_token_counts, op5_chat_format,
         op6_secret_scan, op7_bpe_reuse, op8_toxicity, op9_jaccard_join, op10_quality_rules,
+        op11_fill_in_middle, op12_kneser_ney, op13_collocations,
     )
 }
 
@@ -126,5 +149,37 @@ pairs AS (
   JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * o >= 80 * (na.n_shingles + nb.n_shingles - o)
 ), reach(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON p.a = r.b)
 SELECT n.doc_id, n.n_shingles, c.component_id FROM n JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = n.doc_id
+""",
+    "op11_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+h AS (SELECT *, ('0x' || h[1:8])::UBIGINT AS h1, ('0x' || h[9:16])::UBIGINT AS h2, ('0x' || h[17:24])::UBIGINT AS h3, ('0x' || h[25:32])::UBIGINT AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1))::BIGINT AS a, greatest(h1 % (n + 1), h2 % (n + 1))::BIGINT AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p
+""",
+    "op13_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY 1),
+grams AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS p FROM w, range(1, 6) r(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, p, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+cand AS (SELECT * FROM f WHERE k >= 2),
+inside AS (
+  SELECT DISTINCT s.lang, s.p FROM (SELECT lang, f, k, unnest(list_transform(range(1, k - j + 2), lambda i: p[i:i + j - 1])) AS part FROM cand, range(2, 5) g(j) WHERE j < k) q
+  JOIN cand s ON s.lang = q.lang AND s.p = q.part WHERE 100 * q.f >= 100 * s.f
+),
+cuts AS (
+  SELECT c.lang, c.p, c.f AS a, j, l.f AS l, r.f AS r, n.n, (1000::HUGEINT * c.f * n.n) // (l.f::HUGEINT * r.f) AS score
+  FROM cand c, range(1, 5) g(j), f l, f r, n WHERE j < c.k AND l.lang = c.lang AND r.lang = c.lang AND n.lang = c.lang AND l.p = c.p[1:j] AND r.p = c.p[j + 1:c.k]
+    AND NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = c.lang AND i.p = c.p)
+), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1),
+named AS (SELECT *, array_to_string(p, ' ') AS phrase FROM best)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM named
+QUALIFY rank <= 2000
 """,
 }
