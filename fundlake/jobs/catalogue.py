@@ -11,7 +11,8 @@ from fundlake.jobs import adapters, research
 from fundlake.operators import backtest, diagnostics, factors, portfolio, quality, returns, scoring
 from fundlake.operators import universe as universes
 from fundlake.sources import nav as sources
-from fundlake.sources.tables import materialised
+from fundlake.sources.store import MonthlyStore
+from fundlake.sources.tables import materialised, shared_folder
 
 WINDOW, TOP, GROUPS = 60, 5, 5
 SETTINGS = research.Settings(top_n=TOP, window=WINDOW)
@@ -359,15 +360,44 @@ def score_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.check_scores(_run(spark, sf_dir).scores, 100, 90)
 
 
-@query(_with(_NAV) + """, t AS (SELECT * FROM nav WHERE date < DATE '2000-01-01'), b AS (SELECT fund_code, date, nav * 2 AS nav, NULL::DOUBLE AS acc_nav FROM nav WHERE date >= DATE '1999-06-01')
+_UPSERTED = _with(_NAV) + """, t AS (SELECT * FROM nav WHERE date < DATE '2000-01-01'), b AS (SELECT fund_code, date, nav * 2 AS nav, NULL::DOUBLE AS acc_nav FROM nav WHERE date >= DATE '1999-06-01')
 SELECT coalesce(t.fund_code, b.fund_code) AS fund_code, coalesce(t.date, b.date) AS date, round(CASE WHEN b.date IS NULL THEN t.nav ELSE b.nav END, 12) AS nav, round(CASE WHEN b.date IS NULL THEN t.acc_nav END, 12) AS acc_nav, round(t.daily_return, 12) + 0.0 AS daily_return
-FROM t FULL JOIN b ON t.fund_code = b.fund_code AND t.date = b.date""")
+FROM t FULL JOIN b ON t.fund_code = b.fund_code AND t.date = b.date"""
+
+
+@query(_UPSERTED)
 def upsert_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
     nav = adapters.nav(spark, sf_dir)
     batch = nav.where("date >= '1999-06-01'").select("fund_code", "date", (F.col("nav") * 2).alias("nav"), F.lit(None).cast("double").alias("acc_nav"))
     return _rounded(sources.upsert_nav(nav.where("date < '2000-01-01'"), batch), "nav", "acc_nav", "daily_return", places=12)
 
 
+def _store(spark: SparkSession, sf_dir: str) -> MonthlyStore:
+    """A store of the NAV before 2000 with a later batch that overlaps it by seven months."""
+    nav, store = materialised(adapters.nav(spark, sf_dir)), MonthlyStore(spark, shared_folder(spark))
+    store.upsert(nav.where("date < '2000-01-01'"))
+    store.upsert(nav.where("date >= '1999-06-01'").select("fund_code", "date", (F.col("nav") * 2).alias("nav"), F.lit(None).cast("double").alias("acc_nav")))
+    return store
+
+
+@query(_UPSERTED)
+def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same upsert through the monthly store, which leaves the months before June 1999 as they are."""
+    return _rounded(_store(spark, sf_dir).read(), "nav", "acc_nav", "daily_return", places=12)
+
+
+@query(f"SELECT * FROM ({_UPSERTED}) WHERE date BETWEEN DATE '1999-03-15' AND DATE '1999-09-15'")
+def store_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half a year of the store; the other months aren't opened."""
+    return _rounded(_store(spark, sf_dir).read("1999-03-15", "1999-09-15"), "nav", "acc_nav", "daily_return", places=12)
+
+
+@query(_with(_NAV) + "SELECT fund_code, max(date) AS latest FROM nav GROUP BY 1")
+def store_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each fund's latest date as the store keeps it from batch to batch."""
+    return _store(spark, sf_dir).marks()
+
+
 @query(_with(_NAV) + "SELECT lpad(p_partkey::VARCHAR, 6, '0') AS fund_code, coalesce(max(date) - 5, DATE '2022-01-01')::DATE AS since FROM part LEFT JOIN nav ON fund_code = lpad(p_partkey::VARCHAR, 6, '0') GROUP BY 1")
 def incremental_since(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = adapters.table(spark, sf_dir, "part").select(F.lpad(F.col("p_partkey").cast("string"), 6, "0").alias("fund_code"))

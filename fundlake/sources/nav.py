@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -113,6 +115,8 @@ def load_nav(nav: DataFrame, universe: DataFrame | None = None, since: str | Non
     rows = nav.select(norm_code(F.col("fund_code")).alias("fund_code"), F.col("date").cast("date").alias("date"), *(as_double(F.col(c)).alias(c) for c in ("nav", "acc_nav", "daily_return")), *([F.col(order).alias("_order")] if order else []))
     if since is not None:
         start = F.lit(since).cast("date")
+        # a bound that the scan knows beforehand; which of the two counts is decided above it
+        rows = rows.where(F.col("date") >= F.lit(date.fromisoformat(since) - timedelta(days=365)))
         fresh = nav.agg((F.max(F.col("date").cast("date")) >= start).alias("fresh")).scalar()
         rows = rows.where(F.col("date") >= F.when(fresh, start).otherwise(F.date_sub(start, 365)))
     if universe is not None:

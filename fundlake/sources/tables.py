@@ -1,21 +1,36 @@
-"""Intermediate tables in the shared folder."""
+"""Intermediate tables in the shared folder, and what may be broadcast."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Rows up to which a table of a few columns counts as small: some tens of MB.
+SMALL = 500_000
 
-def materialised(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet under spark.checkpoint.dir and read again: later steps start from a short plan, share the work
-    and survive lost executors. A temporary folder serves only where the setting is absent, as in tests."""
-    spark = df.sparkSession
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir. A temporary one serves only where that is unset and Spark runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="fundlake-")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/fundlake-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/fundlake-{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: later steps start from a short plan, share the work and
+    survive lost executors."""
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """``df``, a stored table, marked for broadcast if it has ``rows`` rows at most; Spark shuffles it otherwise."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

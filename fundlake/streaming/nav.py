@@ -4,61 +4,36 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fundlake.functions.codes import norm_code
-from fundlake.operators.returns import incremental_since
-from fundlake.sources.nav import upsert_nav
+from fundlake.sources.store import MonthlyStore
 
 
 def stream_upsert_nav(source: DataFrame, store: str, checkpoint: str, lookback: int = 5, fallback: str = "1900-01-01") -> StreamingQuery:
-    """Upserts arriving (fund_code, date, nav, acc_nav, daily_return, ts) rows into the versions of a table under ``store``.
+    """Upserts arriving (fund_code, date, nav, acc_nav, daily_return, ts) rows into the MonthlyStore under ``store``.
 
     Codes are normalised and rows without a date or NAV dropped. Rows more than ``lookback`` days before a fund's latest stored
-    date are dropped; the last row by ts wins, so a correction does. A batch starts from the last version that an earlier batch
-    left, also one of another checkpoint, and writes a version of its own; one that is run again replaces itself. Of each month
-    that a batch doesn't touch the version keeps the stored rows as they are; ``current(store)`` reads the last one.
+    date are dropped; the last row by ts wins, so a correction does. A batch reads the marks, one row for each fund, and the
+    months that it touches. Each stores its number under the checkpoint's name: one that is run again after a restart changes
+    nothing, and a stream with a new checkpoint goes on from what the store has.
     """
-    spark = source.sparkSession
-    base = last_version(spark, store)
 
     def apply(batch: DataFrame, number: int) -> None:
-        here = f"{store}/v={base + 1 + number}"
+        kept = MonthlyStore(batch.sparkSession, store)
         clean = batch.withColumn("fund_code", norm_code(F.col("fund_code"))).dropna(subset=["date", "nav"])
-        before = last_version(batch.sparkSession, store, base + 1 + number)
-        if before < 0:
-            upsert_nav(clean.drop("ts").limit(0), clean, "ts").write.mode("overwrite").parquet(here)
-            return
-        target = batch.sparkSession.read.parquet(f"{store}/v={before}")
-        since = incremental_since(clean, target, lookback, fallback)
-        fresh = clean.join(since, "fund_code").where(F.col("date") >= F.col("since")).drop("since").persist()
-        touched = F.broadcast(fresh.select(F.trunc("date", "month").alias("month")).distinct())  # one row for each month
-        months = target.withColumn("month", F.trunc("date", "month"))
-        kept = months.join(touched, "month", "left_anti").drop("month")
-        new = upsert_nav(months.join(touched, "month", "left_semi").drop("month"), fresh, "ts")
-        kept.unionByName(new).write.mode("overwrite").parquet(here)
-        fresh.unpersist()
+        since = F.coalesce(F.date_sub("latest", lookback), F.lit(fallback).cast("date"))
+        fresh = clean.join(kept.marks(), "fund_code", "left").where(F.col("date") >= since).drop("latest")
+        kept.upsert(fresh, "ts", writer=checkpoint, number=number)
 
     return source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def last_version(spark, store: str, below: int | None = None) -> int:  # noqa: ANN001
-    """The number of the last version under ``store``, of those below ``below``; -1 if there is none."""
-    try:
-        versions = spark.read.parquet(store).select("v").distinct()
-    except AnalysisException:  # no such folder yet
-        return -1
-    found = versions.where(F.col("v") < below) if below is not None else versions
-    return int(found.agg(F.coalesce(F.max("v"), F.lit(-1))).first()[0])
-
-
-def current(spark, store: str) -> DataFrame:  # noqa: ANN001
-    """The last version of a table under ``store``."""
-    versions = spark.read.parquet(store)
-    return versions.where(F.col("v") == versions.agg(F.max("v")).scalar()).drop("v")
+def current(spark: SparkSession, store: str) -> DataFrame:
+    """What a store has now."""
+    return MonthlyStore(spark, store).read()
 
 
 def stream_benchmark(returns: DataFrame, delay: str = "7 days") -> DataFrame:
