@@ -176,7 +176,18 @@ def factors_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_with(_NAV, _reb(), _FACTORS) + "SELECT as_of, fund_code, " + _r(*factors.FACTORS) + " FROM fac")
 def factors_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(research.factor_table(_rets(spark, sf_dir), SETTINGS), *factors.FACTORS)
+    return _rounded(research.factor_table(_rets(spark, sf_dir), SETTINGS, in_order=True), *factors.FACTORS)
+
+
+_TIED = "SELECT as_of, fund_code, " + _r(*(f for f in factors.FACTORS if f != "mdd")) + ", round(mdd + 1e-12, 6) + 0.0 AS mdd FROM fac"
+
+
+@query(_with(_NAV, _reb("week"), _FACTORS) + _TIED)
+def factors_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Factors at every week's end: five times as many windows as monthly ones over the same segments. Drawdowns are compared a
+    little above, since exact decimals tie."""
+    out = research.factor_table(_rets(spark, sf_dir), research.Settings(top_n=TOP, window=WINDOW, rebalance="week"))
+    return _rounded(out.withColumn("mdd", F.col("mdd") + 1e-12), *factors.FACTORS)
 
 
 @query(_with(_NAV, _reb(), _FACTORS, _SCORES) + f"SELECT as_of, fund_code, round(score, 6) + 0.0 AS score, rank::INTEGER AS rank FROM rk WHERE scheme = '{scoring.DEFAULT}'")
@@ -193,7 +204,7 @@ def score_schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def topn_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: NAV to the Top-N equal-weight portfolio of the last date."""
     rets = _rets(spark, sf_dir)
-    f = factors.compute_factors(rets, returns.equal_weight_benchmark(rets), factors.latest(rets), WINDOW)
+    f = materialised(factors.compute_factors(rets, returns.equal_weight_benchmark(rets), factors.latest(rets), WINDOW))
     held = portfolio.equal_weights(scoring.score_funds(f, scoring.scheme_table(spark, {scoring.DEFAULT: scoring.SCHEMES[scoring.DEFAULT]})), TOP)
     return _rounded(held.select("as_of", "fund_code", "score", "rank", "weight_equal"), "score", "weight_equal")
 

@@ -78,10 +78,10 @@ class Run:
         return backtest.rolling_summary(self.curve, self.trades)
 
 
-def factor_table(rets: DataFrame, s: Settings) -> DataFrame:
+def factor_table(rets: DataFrame, s: Settings, in_order: bool = False) -> DataFrame:
     """Factors at every rebalance date from the window-th date on; kept, since scores, groups and correlations share them."""
     dates = returns.rebalance_dates(rets, s.rebalance, s.window)
-    return materialised(factors.compute_factors(rets, returns.equal_weight_benchmark(rets), dates, s.window))
+    return materialised(factors.compute_factors(rets, returns.equal_weight_benchmark(rets), dates, s.window, in_order=in_order))
 
 
 def rolling_backtest(spark: SparkSession, rets: DataFrame, s: Settings, schemes: dict[str, dict[str, float]] | None = None) -> Run:
@@ -134,12 +134,12 @@ def factor_diagnostics(run: Run, rets: DataFrame, weights: dict[str, float], gro
 
 def daily_run(spark: SparkSession, nav: DataFrame, universe: DataFrame, s: Settings, as_of: str) -> dict[str, DataFrame]:
     """Loads NAV, scores the latest date, checks data and scores and builds the portfolio to store."""
-    rows = sources.load_nav(nav, universe, s.since, s.min_history)
-    rets = returns.to_returns(rows)
-    f = factors.compute_factors(rets, returns.equal_weight_benchmark(rets), factors.latest(rets), s.window)
+    rows = materialised(sources.load_nav(nav, universe, s.since, s.min_history))
+    rets = materialised(returns.to_returns(rows))
+    f = materialised(factors.compute_factors(rets, returns.equal_weight_benchmark(rets), factors.latest(rets), s.window))
     scores = scoring.score_funds(f, scoring.scheme_table(spark, {scoring.DEFAULT: scoring.SCHEMES[scoring.DEFAULT]}))
     held = portfolio.build_portfolio(scores, rets, s.top_n, s.window)
-    return {"scores": scores, "portfolio": held.select(F.col("as_of").alias("date"), "fund_code", *portfolio.WEIGHTS, "score", "rank"), "data_checks": quality.check_nav(rows, universe, as_of, rets), "score_checks": quality.check_scores(scores, s.universe_limit, s.top_n)}
+    return {"scores": scores, "portfolio": held.select(F.col("as_of").alias("date"), "fund_code", *portfolio.WEIGHTS, "score", "rank"), "data_checks": quality.check_nav(rows, universe, as_of, rets), "score_checks": quality.check_scores(scores, universe.count(), s.top_n, factors=True)}
 
 
 def store_daily(result: dict[str, DataFrame], stored: DataFrame, folder: str) -> None:

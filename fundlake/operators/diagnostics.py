@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundlake.operators.factors import FACTORS, long_factors
+from fundlake.sources.tables import materialised
 
 
 def average_rank(x: str, *keys: str) -> Column:
@@ -22,11 +23,37 @@ def rank_correlation(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def factor_correlation(factors: DataFrame) -> DataFrame:
-    """(as_of, factor_a, factor_b, correlation, n) of all pairs in the order of FACTORS; values alike to ten places are ties."""
-    place = F.array_position(F.array(*map(F.lit, FACTORS)), F.col("factor"))
-    long = long_factors(factors).where("x is not null").withColumn("x", F.round("x", 10) + F.lit(0.0)).withColumn("i", place)
-    a, b = (long.select("as_of", "fund_code", F.col("factor").alias(f"factor_{s}"), F.col("x").alias(s), F.col("i").alias(f"i{s}")) for s in "ab")
-    return rank_correlation(a.join(b, ["as_of", "fund_code"]).where("ia < ib"), ["as_of", "factor_a", "factor_b"])
+    """(as_of, factor_a, factor_b, correlation, n) of all pairs in the order of FACTORS; values alike to ten places are ties.
+
+    Each factor is ranked once for each date, ties at their mean, less the mean rank; then one aggregation sums the products of
+    all pairs. Pairs of which a fund has one value and not the other are ranked anew among the funds that have both.
+    """
+    names = [f for f in FACTORS if f in factors.columns]
+    pairs = [(a, b) for k, a in enumerate(names) for b in names[k + 1 :]]
+    if not pairs:
+        raise ValueError("a correlation takes two factors")
+    wide = factors.select("as_of", "fund_code", *((F.round(f, 10) + F.lit(0.0)).alias(f) for f in names))
+    date = Window.partitionBy("as_of")
+
+    def centred(f: str) -> Column:
+        by = date.orderBy(F.col(f).asc_nulls_last())
+        ties = F.count("*").over(by.rangeBetween(Window.currentRow, Window.currentRow))
+        return F.when(F.col(f).isNotNull(), F.rank().over(by) + (ties - 1) / 2 - (F.count(f).over(date) + 1) / 2).alias(f)
+
+    ranks = wide.select("as_of", *map(centred, names))
+    sums = ranks.groupBy("as_of").agg(
+        *(F.struct(F.count(f).alias("n"), F.coalesce(F.sum(F.col(f) * F.col(f)), F.lit(0.0)).alias("s")).alias(f) for f in names),
+        *(F.struct(F.count(F.col(a) * F.col(b)).alias("n"), F.coalesce(F.sum(F.col(a) * F.col(b)), F.lit(0.0)).alias("s")).alias(f"{a}*{b}") for a, b in pairs),
+    )
+    entry = lambda a, b: F.struct(F.lit(a).alias("factor_a"), F.lit(b).alias("factor_b"), F.col(a)["n"].alias("na"), F.col(b)["n"].alias("nb"), F.col(f"`{a}*{b}`")["n"].alias("n"), F.col(a)["s"].alias("saa"), F.col(b)["s"].alias("sbb"), F.col(f"`{a}*{b}`")["s"].alias("sab"))
+    gram = materialised(sums.select("as_of", F.inline(F.array(*(entry(a, b) for a, b in pairs)))))  # a row for each date and pair
+    whole = (F.col("na") == F.col("n")) & (F.col("nb") == F.col("n"))
+    usual = gram.where(whole & (F.col("n") >= 3) & (F.col("saa") > 0) & (F.col("sbb") > 0))
+    usual = usual.select("as_of", "factor_a", "factor_b", (F.col("sab") / F.sqrt(F.col("saa") * F.col("sbb"))).alias("correlation"), "n")
+    apart = wide.join(F.broadcast(gram.where(~whole).select("as_of", "factor_a", "factor_b")), "as_of")
+    value = lambda c: F.coalesce(*(F.when(F.col(c) == f, F.col(f)) for f in names))
+    ranked = rank_correlation(apart.select("as_of", "factor_a", "factor_b", value("factor_a").alias("a"), value("factor_b").alias("b")), ["as_of", "factor_a", "factor_b"])
+    return usual.unionByName(ranked)
 
 
 def correlation_summary(correlations: DataFrame) -> DataFrame:

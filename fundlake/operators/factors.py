@@ -42,25 +42,115 @@ def trailing(rows: DataFrame, windows: DataFrame, width: int) -> DataFrame:
     return rows.withColumn("bucket", F.floor((F.col("rn") - 1) / width)).join(touched, ["fund_code", "bucket"]).where((F.col("rn") > F.col("lo")) & (F.col("rn") <= F.col("hi"))).drop("bucket")
 
 
-def compute_factors(returns: DataFrame, benchmark: DataFrame, rebalances: DataFrame, window: int = 126, min_observations: int | None = None) -> DataFrame:
+_MOMENTS = {"n": F.count, "mean": F.avg, "var": F.var_pop, "min": F.min, "max": F.max}
+
+
+def _moments(series: dict[str, Column], over) -> list[Column]:  # noqa: ANN001
+    """_MOMENTS of each series so far in the order of ``over``; Spark's running variance doesn't cancel."""
+    return [f(x).over(over).alias(f"{name}_{k}") for name, x in series.items() for k, f in _MOMENTS.items()]
+
+
+def _together(a: Column, b: Column, name: str) -> tuple[Column, Column, Column]:
+    """Count, mean and standard deviation of a series over two neighbouring segments, from those of each; either may be null.
+    Values that are all alike have a deviation of exactly 0."""
+    part = lambda s, k: F.coalesce(s[f"{name}_{k}"], F.lit(0)).cast("double")
+    na, ma, va, nb, mb, vb = (part(s, k) for s in (a, b) for k in ("n", "mean", "var"))
+    n = F.nullif(na + nb, F.lit(0.0))
+    apart = F.when((na > 0) & (nb > 0), (mb - ma) * (mb - ma) * na * nb / n).otherwise(0.0)
+    alike = F.least(a[f"{name}_min"], b[f"{name}_min"]) == F.greatest(a[f"{name}_max"], b[f"{name}_max"])
+    return n, (na * ma + nb * mb) / n, F.when(alike, 0.0).otherwise(F.sqrt((na * va + nb * vb + apart) / n))
+
+
+def window_segments(rows: DataFrame, window: int) -> DataFrame:
+    """``rows`` (fund_code, date, rn, ret, excess, ...) with ``early`` and ``late``, structs of what is needed of two segments.
+
+    Each fund's rows fall into buckets of ``window``. Its last ``window`` rows up to any row are the end of one bucket and the
+    beginning of the next, or one whole bucket: ``late`` sums up the row's bucket up to the row, ``early`` the bucket before from
+    ``window`` - 1 rows back to its end (null where ``late`` is all). So every window is two segments, whatever its length, and no
+    row is copied to the windows that hold it. A segment has moments, the product of 1 + ret, the highest and lowest product of
+    its first rows, and its deepest drawdown; these merge, see drawdown(). All is by fund: one shuffle.
+    """
+    bucket = F.floor((F.col("rn") - 1) / window)
+    series = {"ret": F.col("ret"), "loss": F.when(F.col("ret") < 0, F.col("ret")), "excess": F.col("excess")}
+    keep = [*rows.columns]
+    names = [f"{s}_{k}" for s in series for k in _MOMENTS]
+    down = Window.partitionBy("fund_code", "_bucket").orderBy("rn")
+    up = Window.partitionBy("fund_code", "_bucket").orderBy(F.desc("rn"))
+    out = rows.withColumn("_bucket", bucket).withColumn("_w", F.product(1 + F.col("ret")).over(down))
+    out = out.select("*", F.max("_w").over(down).alias("high"), F.min("_w").over(down).alias("low"), *_moments(series, down))
+    out = out.withColumn("deep", F.min(F.try_divide(F.col("_w"), F.col("high"))).over(down))
+    out = out.select(*keep, "_bucket", "_w", F.struct(F.col("_w").alias("product"), "high", "low", "deep", *names).alias("late"))
+    # from a row to the end of its bucket: products of first rows are those of the bucket over that before the row
+    out = out.select("*", F.product(1 + F.col("ret")).over(up).alias("product"), F.max("_w").over(up).alias("_high"), F.min("_w").over(up).alias("_low"), *_moments(series, up))
+    before = F.try_divide(F.col("_w"), 1 + F.col("ret"))
+    out = out.withColumn("deep", F.min(F.try_divide(F.col("_low"), F.col("_w"))).over(up)).withColumn("high", F.try_divide(F.col("_high"), before)).withColumn("low", F.try_divide(F.col("_low"), before))
+    rest = F.struct("product", "high", "low", "deep", *names)
+    fund = Window.partitionBy("fund_code").orderBy("rn")
+    inside = (F.col("rn") > window) & (F.col("rn") % window != 0)
+    return out.withColumn("early", F.when(inside, F.lag(rest, window - 1).over(fund))).select(*keep, "early", "late")
+
+
+def drawdown(early: Column, late: Column) -> Column:
+    """The deepest drawdown over two neighbouring segments: within either, or from the first's peak to the second's lowest. For
+    returns above -100 %. Rounded to twelve places, so that it doesn't show where the segments meet."""
+    across = F.try_divide(early["product"] * late["low"], early["high"])
+    return F.round(F.least(early["deep"], late["deep"], across) - 1, 12)
+
+
+def drawdowns_in_order(rows: DataFrame, window: int, wanted: Column) -> DataFrame:
+    """(fund_code, hi, direct): the deepest drawdown of the last ``window`` rows up to each row ``wanted``, by products taken in
+    the order of the rows. A fund's history is one array, bounded by its days, and a window a slice of it: no row is copied."""
+    history = rows.groupBy("fund_code").agg(F.sort_array(F.collect_list(F.struct("rn", "ret"))).alias("all"), F.collect_list(F.when(wanted, F.col("rn"))).alias("ends"))
+    start = F.struct(F.lit(1.0).alias("w"), F.lit(float("-inf")).alias("top"), F.lit(None).cast("double").alias("deep"))
+
+    def step(state: Column, x: Column) -> Column:
+        w = state["w"] * (1 + x["ret"])
+        top = F.greatest(state["top"], w)
+        return F.struct(w.alias("w"), top.alias("top"), F.least(state["deep"], F.try_divide(w, top)).alias("deep"))
+
+    held = lambda hi: F.slice("all", F.greatest(hi - window, F.lit(0)) + 1, window - F.greatest(window - hi, F.lit(0)))
+    deepest = F.transform("ends", lambda hi: F.struct(hi.alias("hi"), (F.aggregate(held(hi), start, step, lambda z: z["deep"]) - 1).alias("direct")))
+    return history.select("fund_code", F.inline(deepest))
+
+
+def compute_factors(returns: DataFrame, benchmark: DataFrame, rebalances: DataFrame, window: int = 126, min_observations: int | None = None, in_order: bool = False) -> DataFrame:
     """(as_of, fund_code) and FACTORS over each fund's last ``window`` rows up to as_of; funds with fewer than the required rows
-    are left out, those that stopped reporting are not. A ratio over a zero deviation is null."""
+    are left out, those that stopped reporting are not. A ratio over a zero deviation is null.
+
+    Drawdowns are merged of two segments; with ``in_order`` they are those of products from each window's first row on, which
+    differ in the last bits. ``returns`` should be a stored table: its dates are read first, and whether a return is -100 % or
+    less, for then products don't merge and such funds' drawdowns are taken in order.
+    """
     required = window if min_observations is None else min_observations
     if not 2 <= required <= window:
         raise ValueError("2 <= min_observations <= window is required")
-    rows = numbered(returns).join(F.broadcast(benchmark), "date", "left").select("fund_code", "date", "rn", "ret", (F.col("ret") - F.col("bench_ret")).alias("excess"))
-    windows = positions(rows, rebalances).where(F.col("end_rn") >= required).select("as_of", "fund_code", (F.col("end_rn") - window).alias("lo"), F.col("end_rn").alias("hi"))
-    held = trailing(rows, windows, window)
-    by = Window.partitionBy("as_of", "fund_code").orderBy("rn")
-    held = held.withColumn("wealth", F.product(1 + F.col("ret")).over(by))
-    held = held.withColumn("drawdown", F.try_divide(F.col("wealth"), F.max("wealth").over(by)) - 1)
+    # dates and rebalances: some thousand rows; each date belongs to the first rebalance on or after it
+    place = Window.orderBy("as_of")
+    numbers = rebalances.select("as_of").distinct().withColumn("k", F.row_number().over(place)).withColumn("after", F.coalesce(F.lag("as_of").over(place), F.lit("0001-01-01").cast("date")))
+    dates = returns.select("date").distinct().join(benchmark, "date", "left")
+    dates = dates.join(F.broadcast(numbers), (F.col("date") > F.col("after")) & (F.col("date") <= F.col("as_of")), "left").select("date", "bench_ret", "k")
+    last = numbers.agg(F.max("k")).scalar()
+    rows = numbered(returns).join(F.broadcast(dates), "date", "left")
+    fund = Window.partitionBy("fund_code").orderBy("rn")
+    # a fund's last row of a period stands for the periods after it too, until its next row
+    rows = rows.select("fund_code", "date", "rn", "ret", (F.col("ret") - F.col("bench_ret")).alias("excess"), "k", (F.coalesce(F.lead("k").over(fund), last + 1) - 1).alias("until"))
+    wanted = (F.col("until") >= F.col("k")) & (F.col("rn") >= required)
+    ends = window_segments(rows, window).where(wanted)
+    early, late = F.col("early"), F.col("late")
     year = math.sqrt(TRADING_DAYS)
     ratio = lambda m, s: F.try_divide(m, F.nullif(s, F.lit(0.0))) * year
-    return held.groupBy("as_of", "fund_code").agg(
-        (F.avg("ret") * TRADING_DAYS).alias("ann_return"), (F.stddev_pop("ret") * year).alias("ann_vol"),
-        (F.stddev_pop(F.when(F.col("ret") < 0, F.col("ret"))) * year).alias("down_vol"), F.min("drawdown").alias("mdd"),
-        ratio(F.avg("ret"), F.stddev_pop("ret")).alias("sharpe"), ratio(F.avg("excess"), F.stddev_pop("excess")).alias("ir"),
+    (_, mean, sd), (_, _, loss_sd), (_, excess, excess_sd) = (_together(early, late, x) for x in ("ret", "loss", "excess"))
+    values = ends.select(
+        "fund_code", F.col("rn").alias("hi"), F.explode(F.sequence("k", "until")).alias("k"), (mean * TRADING_DAYS).alias("ann_return"), (sd * year).alias("ann_vol"),
+        (loss_sd * year).alias("down_vol"), drawdown(early, late).alias("mdd"), ratio(mean, sd).alias("sharpe"), ratio(excess, excess_sd).alias("ir"),
     )
+    out = values.join(F.broadcast(numbers.select("k", "as_of")), "k")
+    ruined = returns.where("ret <= -1").select("fund_code").distinct()
+    if in_order or not ruined.isEmpty():
+        own = rows if in_order else rows.join(ruined, "fund_code", "left_semi")
+        direct = drawdowns_in_order(own, window, wanted).withColumn("taken", F.lit(True))
+        out = out.join(direct, ["fund_code", "hi"], "left").withColumn("mdd", F.when(F.col("taken"), F.col("direct")).otherwise(F.col("mdd")))
+    return out.select("as_of", "fund_code", *FACTORS)
 
 
 def rename_factor_columns(df: DataFrame) -> DataFrame:
@@ -74,7 +164,3 @@ def long_factors(factors: DataFrame, names: tuple[str, ...] = FACTORS) -> DataFr
 
 def latest(dates: DataFrame) -> DataFrame:
     return dates.agg(F.max("date").alias("as_of"))
-
-
-def column_or_null(df: DataFrame, name: str) -> Column:
-    return F.col(name) if name in df.columns else F.lit(None).cast("double")

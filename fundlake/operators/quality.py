@@ -48,8 +48,8 @@ def has_return_metadata(nav: DataFrame, codes: DataFrame | None = None) -> DataF
 
 
 def check_scores(scores: DataFrame, expected: int, top: int, factors: bool = False) -> DataFrame:
-    """(as_of, check, value) for each date whose scores are few or hardly differ; one row without a date if there are no scores, and
-    one if there is no factor column."""
+    """(as_of, check, value) for each date whose scores are few or hardly differ; one row without a date if there are no scores,
+    and with ``factors`` one if no factor's column is there, by its own name or as z_<name>, with a value in it."""
     s = scores.groupBy("as_of").agg(F.count_distinct("score").alias("kinds"), F.count("*").alias("n"))
     tests = (("few_values", F.col("kinds"), F.col("kinds") <= 3), ("few_funds", F.col("n"), F.col("n") < max(1, int(0.8 * expected))), ("below_top_n", F.col("n"), F.col("n") < top))
     found = F.filter(F.array(*(F.when(bad, F.struct(F.lit(c).alias("check"), v.alias("value"))) for c, v, bad in tests)), lambda x: x.isNotNull())
@@ -57,4 +57,8 @@ def check_scores(scores: DataFrame, expected: int, top: int, factors: bool = Fal
     none = lambda df, check: df.select(F.lit(None).cast(scores.schema["as_of"].dataType).alias("as_of"), F.lit(check).alias("check"), F.lit(0).cast("long").alias("value"))
     total = scores.agg(F.count("*").alias("n"))
     out = out.unionByName(none(total.where("n = 0"), "empty"))
-    return out if set(FACTORS) & set(scores.columns) or not factors else out.unionByName(none(total, "no_factors"))
+    if not factors:
+        return out
+    named = [c for f in FACTORS for c in (f, f"z_{f}") if c in scores.columns]
+    known = F.max(F.coalesce(*named).isNotNull()) if named else F.lit(False)
+    return out.unionByName(none(scores.agg(F.count("*").alias("n"), known.alias("known")).where("not coalesce(known, false)"), "no_factors"))
