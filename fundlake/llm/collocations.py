@@ -20,13 +20,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .common import shared_dir, ship, written
-from .hash_arrays import PACK, HashArrays, combine, key_of, merged, of_group, packs, save, table, unpacked
+from .hash_arrays import PACK, HashArrays, combine, key_of, merged, of_group, packs, pieces, save, table, unpacked
 
 #: Between pieces; no byte of UTF-8.
 _GAP = b"\xff"
 _PIECES = bytes(32 if c == 9 else 255 if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
-#: A block: its languages and their word counts; for each word its language, bytes and list length; all positions, list by list.
-_BLOCK = "langs array<string>, n array<long>, lang binary, words binary, m int, lengths binary, positions binary"
+#: A block: its languages and their word counts; for each word its language, bytes, key and list length; all positions, list by list.
+_BLOCK = "langs array<string>, n array<long>, lang binary, words binary, keys binary, lengths binary, positions binary"
 
 
 class _Ids(dict):
@@ -51,80 +51,105 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int, schema: pa.Schema) ->
         positions = np.argsort(flat, kind="stable")[lengths[0] :]
         lang = np.array([w[0] for w in words[1:]], np.uint32)
         n = np.bincount(lang, lengths[1:], len(langs)).astype(np.int64)
-        row = {"langs": list(langs), "n": n.tolist(), "lang": lang.tobytes(), "words": b"\n".join(w[1] for w in words[1:]), "m": len(lang), "lengths": lengths[1:].astype(np.uint32).tobytes(), "positions": positions.astype(np.uint32).tobytes()}
+        seeds = [xxhash.xxh3_64_intdigest(x.encode()) for x in langs]
+        keys = np.fromiter((xxhash.xxh3_64_intdigest(w, seeds[k]) for k, w in words[1:]), np.uint64, len(lang))
+        row = {"langs": list(langs), "n": n.tolist(), "lang": lang.tobytes(), "words": b"\n".join(w[1] for w in words[1:]), "keys": keys.tobytes(), "lengths": lengths[1:].astype(np.uint32).tobytes(), "positions": positions.astype(np.uint32).tobytes()}
         yield from table([row], schema).to_batches()
 
-    for b in batches:
-        for name, text in zip(b["lang"].to_pylist(), b["text"].to_pylist(), strict=True):
-            ids = langs.get(name)
-            if ids is None:
-                ids = langs[name] = _Ids(len(langs), words)
-            tokens = text.lower().translate(_PIECES).replace(_GAP, b" \xff ").split()
-            tokens.append(_GAP)
-            held.append(np.fromiter(map(ids.__getitem__, tokens), np.int32, len(tokens)))
-            filled += len(tokens)
-            if filled >= size:
-                if len(words) > 1:
-                    yield from emit()
-                langs, words, held, filled = {}, [(0, _GAP)], [], 0
+    for name, text in (x for b in batches for p in pieces(b, "text") for x in zip(p["lang"].to_pylist(), p["text"].to_pylist(), strict=True)):
+        ids = langs.get(name)
+        if ids is None:
+            ids = langs[name] = _Ids(len(langs), words)
+        tokens = text.lower().translate(_PIECES).replace(_GAP, b" \xff ").split()
+        tokens.append(_GAP)
+        held.append(np.fromiter(map(ids.__getitem__, tokens), np.int32, len(tokens)))
+        filled += len(tokens)
+        if filled >= size:
+            if len(words) > 1:
+                yield from emit()
+            langs, words, held, filled = {}, [(0, _GAP)], [], 0
     if len(words) > 1:
         yield from emit()
 
 
-def blocks(docs: DataFrame, size: int = 1 << 20) -> DataFrame:
+def blocks(docs: DataFrame, size: int = 1 << 18) -> DataFrame:
     """The texts as blocks of inverted lists, of about ``size`` words each, written to the shared folder."""
     schema = to_arrow_schema(StructType.fromDDL(_BLOCK))
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     return written(rows.mapInArrow(partial(_blocks, size=size, schema=schema), _BLOCK))
 
 
-def _keys(langs: list[str], lang: np.ndarray, words: list[bytes]) -> np.ndarray:
-    """The words' hashes, seeded by their language."""
-    seeds = [xxhash.xxh3_64_intdigest(x.encode()) for x in langs]
-    return np.fromiter((xxhash.xxh3_64_intdigest(w, seeds[k]) for k, w in zip(lang.tolist(), words, strict=True)), np.uint64, len(words))
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The blocks one by one."""
+    return (row for b in batches for k in range(b.num_rows) for row in b.slice(k, 1).to_pylist())
 
 
-def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, word, key, f) of each block's words."""
-    for b in batches:
-        for r in b.to_pylist():
-            lang, words = np.frombuffer(r["lang"], np.uint32), r["words"].split(b"\n")
-            columns = [pa.array(r["langs"]).take(pa.array(lang)), pa.array(words, pa.binary()), pa.array(_keys(r["langs"], lang, words).view(np.int64)), pa.array(np.frombuffer(r["lengths"], np.uint32).astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "word", "key", "f"])
+def _single(batches: Iterator[pa.RecordBatch], flush: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """(lang, word, key, f) of the words of several blocks, each once for about ``flush`` distinct words of a block."""
 
+    def emit(parts: list[tuple]) -> pa.RecordBatch:
+        keys, lengths = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        order = np.argsort(keys)
+        starts = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
+        one = pa.array(order[starts])
+        lang, word = (pa.chunked_array([p[k] for p in parts]).take(one).combine_chunks() for k in (2, 3))
+        return pa.RecordBatch.from_arrays([lang, word, pa.array(keys[order[starts]].view(np.int64)), pa.array(np.add.reduceat(lengths[order], starts))], ["lang", "word", "key", "f"])
 
-def _extended(batches: Iterator[pa.RecordBatch], level: int, folder: str, shards: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Packs of each block's phrases of ``level`` words whose parts are frequent.
+    held, size = [], 0
+    for r in _rows(batches):
+        keys, lang = np.frombuffer(r["keys"], np.uint64), pa.array(np.frombuffer(r["lang"], np.uint32))
+        held.append((keys, np.frombuffer(r["lengths"], np.uint32).astype(np.int64), pa.array(r["langs"]).take(lang), pa.array(r["words"].split(b"\n"), pa.binary())))
+        size += len(keys)
+        if size >= flush:
+            yield emit(held)
+            held, size = [], 0
+    if held:
+        yield emit(held)
 
-    All postings of frequent words lie in the order of their positions. A phrase's occurrence is the place of its first word
-    there; as the list of occurrences has that order too, the merge with adjacent words looks at the posting that follows.
+
+def _extended(batches: Iterator[pa.RecordBatch], level: int, folder: str, shards: int, schema: pa.Schema, flush: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Packs of the phrases of ``level`` words whose parts are frequent, each once for about ``flush`` occurrences.
+
+    All postings of a block's frequent words lie in the order of their positions. A phrase's occurrence is the place of its first
+    word there; as the list of occurrences has that order too, the merge with adjacent words looks at the posting that follows.
     """
     known = [HashArrays(folder, str(k), shards) for k in range(1, level)]
-    for b in batches:
-        for r in b.to_pylist():
-            keys = _keys(r["langs"], np.frombuffer(r["lang"], np.uint32), r["words"].split(b"\n"))
-            lengths, positions = np.frombuffer(r["lengths"], np.uint32), np.frombuffer(r["positions"], np.uint32)
-            order = np.argsort(keys)
-            frequent = np.zeros(len(keys), bool)
-            frequent[order] = known[0].find(keys[order])[0]
-            keep = np.repeat(frequent, lengths)
-            position, word = positions[keep], np.repeat(keys[frequent], lengths[frequent])
-            order = np.argsort(position)
-            position, word = position[order], word[order]
-            at, key = np.arange(len(word)), word
-            for k in range(1, level):  # from occurrences of k words to such of k + 1
-                alive = np.zeros(len(word) + 1, bool)
-                alive[at] = True
-                nxt = np.minimum(at + k, len(word) - 1)
-                adjacent = (at + k < len(word)) & (position[nxt] == position[at] + k) & alive[at + 1]
-                at, key, nxt = at[adjacent], key[adjacent], nxt[adjacent]
+
+    def occurrences(r: dict) -> list[np.ndarray]:
+        keys, lengths, positions = np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["lengths"], np.uint32), np.frombuffer(r["positions"], np.uint32)
+        order = np.argsort(keys)
+        frequent = np.zeros(len(keys), bool)
+        frequent[order] = known[0].find(keys[order])[0]
+        position, word = positions[np.repeat(frequent, lengths)], np.repeat(keys[frequent], lengths[frequent])
+        order = np.argsort(position)
+        position, word = position[order], word[order]
+        at, key = np.arange(len(word)), word
+        for k in range(1, level):  # from occurrences of k words to such of k + 1
+            alive = np.zeros(len(word) + 1, bool)
+            alive[at] = True
+            nxt = np.minimum(at + k, len(word) - 1)
+            adjacent = (at + k < len(word)) & (position[nxt] == position[at] + k) & alive[at + 1]
+            at, key, nxt = at[adjacent], key[adjacent], nxt[adjacent]
+            if k + 1 < level:
                 key = combine(key, word[nxt])
-                if k + 1 < level:
-                    distinct, place = np.unique(key, return_inverse=True)
-                    seen = known[k].find(distinct)[0][place]
-                    at, key = at[seen], key[seen]
-            found = merged([word[at + k] for k in range(level)], [np.ones(len(at), np.int64)])
-            yield from table(list(packs(*found, shards)), schema).to_batches()
+                distinct, place = np.unique(key, return_inverse=True)
+                seen = known[k].find(distinct)[0][place]
+                at, key = at[seen], key[seen]
+        return [word[at + k] for k in range(level)]
+
+    def emit(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        found = merged([np.concatenate(x) for x in zip(*parts, strict=True)])
+        return iter(table(list(packs(*found, shards)), schema).to_batches())
+
+    held, size = [], 0
+    for r in _rows(batches):
+        held.append(occurrences(r))
+        size += len(held[-1][0])
+        if size >= flush:
+            yield from emit(held)
+            held, size = [], 0
+    if held:
+        yield from emit(held)
 
 
 def _frequent(group: pa.Table, level: int, least: int, schema: pa.Schema) -> pa.Table:
@@ -151,7 +176,7 @@ def _share(df: DataFrame, level: int, folder: str, shards: int) -> int:
     return df.count()
 
 
-def frequent_phrases(docs: DataFrame, longest: int = 5, least: int = 100, block: int = 1 << 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, longest: int = 5, least: int = 100, block: int = 1 << 18) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(words, phrases, sizes): the frequent words (lang, word, key, f); the frequent phrases of two words or more (key, words, f,
     firsts, rests), all by keys; the number of words of each language (lang, n). All are written to the shared folder."""
     spark = docs.sparkSession
@@ -160,8 +185,8 @@ def frequent_phrases(docs: DataFrame, longest: int = 5, least: int = 100, block:
     lists = blocks(docs, block)
     sizes = written(lists.select(F.explode(F.arrays_zip("langs", "n")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.n").alias("n")))
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shards = max(1, -(-total // block))
-    single = lists.select("langs", "lang", "words", "lengths").mapInArrow(_single, "lang string, word binary, key long, f long")
+    shards = max(1, -(-total // 1_000_000))
+    single = lists.select("langs", "lang", "words", "keys", "lengths").mapInArrow(_single, "lang string, word binary, key long, f long")
     words = written(single.groupBy("lang", "word").agg(F.first("key").alias("key"), F.sum("f").alias("f")).where(F.col("f") >= least).withColumn("word", F.col("word").cast("string")))
     left = _share(words, 1, folder, shards)
     kind = "key long, words array<long>, f long, firsts array<long>, rests array<long>"
@@ -170,14 +195,14 @@ def frequent_phrases(docs: DataFrame, longest: int = 5, least: int = 100, block:
     for level in range(2, longest + 1):
         if not left:
             break
-        candidates = lists.mapInArrow(partial(_extended, level=level, folder=folder, shards=shards, schema=pack_schema), PACK)
+        candidates = lists.select("keys", "lengths", "positions").mapInArrow(partial(_extended, level=level, folder=folder, shards=shards, schema=pack_schema), PACK)
         found = written(candidates.groupBy("bucket").applyInArrow(of_group(_frequent, level=level, least=least, schema=schema), kind))
         phrases = phrases.unionByName(found)
         left = _share(found, level, folder, shards)
     return words, phrases, sizes
 
 
-def mine(docs: DataFrame, longest: int = 5, least: int = 100, top: int = 2000, block: int = 1 << 20) -> DataFrame:
+def mine(docs: DataFrame, longest: int = 5, least: int = 100, top: int = 2000, block: int = 1 << 18) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``top`` phrases of two to ``longest`` words.
 
     Texts, A-Z in lower case, are split at ``.,;:!?`` and line ends into pieces, these at spaces and tabs into words; a null text

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyarrow import fs
 
@@ -23,7 +24,7 @@ PACK = "bucket long, m int, words binary, at binary, counts array<binary>"
 class WordHashes(dict):
     """Hashes of words (bytes), computed once each; forgets them all when it holds ``limit``."""
 
-    def __init__(self, seed: int = 0, limit: int = 400_000) -> None:
+    def __init__(self, seed: int = 0, limit: int = 200_000) -> None:
         super().__init__()
         self.seed, self.limit = seed, limit
 
@@ -39,9 +40,14 @@ class WordHashes(dict):
 
 def combine(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     """The keys of n-grams, from those of their first n - 1 words and the last words' hashes."""
-    x = (context ^ (context >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + word
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(29))
+    x = context >> np.uint64(29)
+    x ^= context
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    x += word
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(29)
+    return x
 
 
 def key_of(cols: list[np.ndarray]) -> np.ndarray:
@@ -52,15 +58,26 @@ def key_of(cols: list[np.ndarray]) -> np.ndarray:
     return key
 
 
-def merged(cols: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """(keys, cols, counts) with each n-gram once, by rising key, counts added up."""
+def merged(cols: list[np.ndarray], counts: list[np.ndarray] | None = None) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """(keys, cols, counts) with each n-gram once, by rising key, counts added up; without ``counts``, how often it is there."""
     key = key_of(cols)
+    if not len(key):
+        return key, cols, counts or [np.zeros(0, np.int64)]
     order = np.argsort(key)
     key = key[order]
-    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
-    if not len(starts):
-        return key, cols, counts
-    return key[starts], [c[order[starts]] for c in cols], [np.add.reduceat(c[order], starts) for c in counts]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    sums = [np.diff(starts, append=len(key))] if counts is None else [np.add.reduceat(c[order], starts) for c in counts]
+    key, order = key[starts], order[starts]
+    return key, [c[order] for c in cols], sums
+
+
+def pieces(batch: pa.RecordBatch, column: str, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts with about ``size`` bytes of a binary column each, so that no more of it becomes Python objects at once."""
+    end = np.cumsum(np.asarray(pc.binary_length(batch[column]))) // size
+    cuts = [0, *(np.flatnonzero(end[1:] != end[:-1]) + 1).tolist(), batch.num_rows]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)
 
 
 def edges(buckets: int) -> np.ndarray:

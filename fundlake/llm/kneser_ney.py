@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .common import shared_dir, ship
-from .hash_arrays import PACK, HashArrays, WordHashes, combine, merged, of_group, packs, save, smallest, table, unpacked
+from .hash_arrays import PACK, HashArrays, WordHashes, combine, merged, of_group, packs, pieces, save, smallest, table, unpacked
 
 #: What stands before the first token and what ends a text: no words, since words have a character and no white space.
 BOS, END = b"\n", b""
@@ -66,37 +66,24 @@ def _tokens(texts: list[bytes], pad: int) -> list[bytes]:
     return out
 
 
-def _parts(texts: list[bytes], size: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``size`` bytes."""
-    lo = held = 0
-    for k, t in enumerate(texts):
-        held += len(t)
-        if held >= size:
-            yield lo, k + 1
-            lo, held = k + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
-
-
-def _counted(batches: Iterator[pa.RecordBatch], order: int, shards: int, schema: pa.Schema, flush: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], order: int, shards: int, schema: pa.Schema, flush: int = 2_500_000) -> Iterator[pa.RecordBatch]:
     """Packs of the distinct n-grams of about ``flush`` tokens each."""
     hashes = WordHashes()
     bos = hashes.of([BOS])[0]
 
     def emit(flat: np.ndarray) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(flat != bos)
-        found = merged([flat[at - k] for k in range(order - 1, -1, -1)], [np.ones(len(at), np.int64)])
+        found = merged([flat[at - k] for k in range(order - 1, -1, -1)])
         yield from table(list(packs(*found, shards)), schema).to_batches()
 
     held, size = [], 0
     for b in batches:
-        texts = b["text"].to_pylist()
-        for lo, hi in _parts(texts):
-            held.append(hashes.of(_tokens(texts[lo:hi], order - 1)))
+        for part in pieces(b, "text"):
+            held.append(hashes.of(_tokens(part["text"].to_pylist(), order - 1)))
             size += len(held[-1])
             if size >= flush:
-                yield from emit(np.concatenate(held))
-                held, size = [], 0
+                flat, held, size = np.concatenate(held), [], 0
+                yield from emit(flat)
     if held:
         yield from emit(np.concatenate(held))
 
@@ -184,15 +171,14 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
     hashes = WordHashes()
     bos = hashes.of([BOS])[0]
     for b in batches:
-        texts = b["text"].to_pylist()
-        for lo, hi in _parts(texts):
-            flat = hashes.of(_tokens(texts[lo:hi], model.order - 1))
+        for part in pieces(b, "text"):
+            flat = hashes.of(_tokens(part["text"].to_pylist(), model.order - 1))
             log_p, raw = _log10_p(flat, model, tables)
             own = flat != bos
             doc = (np.cumsum(~own) - 1)[own] // (model.order - 1)  # each text has as many marks
             base = np.log10((raw + 0.5) / (model.tokens + 0.5 * (model.vocabulary + 1)))
-            sums = [np.bincount(doc, w, hi - lo) for w in (np.ones(len(doc)), raw[own] > 0, base[own], log_p[own])]
-            columns = [b["doc_id"].slice(lo, hi - lo), *(pa.array(x.astype(np.int64)) for x in sums[:2]), *map(pa.array, sums[2:])]
+            sums = [np.bincount(doc, w, part.num_rows) for w in (np.ones(len(doc)), raw[own] > 0, base[own], log_p[own])]
+            columns = [part["doc_id"], *(pa.array(x.astype(np.int64)) for x in sums[:2]), *map(pa.array, sums[2:])]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
 
