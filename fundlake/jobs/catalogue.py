@@ -452,10 +452,34 @@ def nav_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return universes.nav_quality(adapters.nav(spark, sf_dir), adapters.universe(spark, sf_dir), "1998-01-01", "2001-12-31", 290, 0.2, 0.9)
 
 
-@query()
+_GRID_TOPS, _GRID_RETURNS = (3, 5), ("net_total_return", "net_cagr", "net_annual_volatility", "net_sharpe", "net_max_drawdown", "benchmark_total_return", "benchmark_cagr", "benchmark_sharpe", "excess_total_return", "excess_cagr", "annualized_turnover", "total_transaction_cost")
+_GRID = _with(_NAV, _reb().replace("reb AS", "month_reb AS"), _reb("quarter").replace("reb AS", "quarter_reb AS"), f"""rf AS (SELECT 'month' AS rebalance, as_of FROM month_reb UNION ALL SELECT 'quarter', as_of FROM quarter_reb),
+reb AS (SELECT DISTINCT as_of FROM rf)""", _FACTORS, _SCORES, f"""hp AS (SELECT top_n, as_of, fund_code FROM rk, (VALUES {', '.join(f'({n})' for n in _GRID_TOPS)}) g(top_n) WHERE scheme = '{scoring.DEFAULT}' AND rank <= top_n),
+sp AS (SELECT top_n, as_of, least({WINDOW}, greatest(20, floor(median(e)))) AS span FROM hp JOIN ends USING (as_of, fund_code) GROUP BY ALL),
+vol AS (SELECT top_n, as_of, fund_code, 1 / (stddev_pop(ret) + 1e-8) AS i FROM hp JOIN sp USING (top_n, as_of) JOIN ends USING (as_of, fund_code) JOIN rn USING (fund_code) WHERE rn > e - span AND rn <= e GROUP BY ALL),
+eq AS (SELECT top_n, as_of, fund_code, 1.0::DOUBLE / count(*) OVER (PARTITION BY top_n, as_of) AS eq, i / sum(i) OVER (PARTITION BY top_n, as_of) AS rp FROM vol),
+lw AS (SELECT top_n, as_of, fund_code, 'weight_equal' AS weight_scheme, eq AS w0 FROM eq UNION ALL SELECT top_n, as_of, fund_code, 'weight_risk_parity', rp FROM eq UNION ALL SELECT top_n, as_of, fund_code, 'weight_mixed', (eq + rp) / 2 FROM eq),
+gp AS (SELECT 'top' || top_n || '_' || weight_scheme[8:] || '_' || rebalance || '_' || label AS experiment, lw.*, rebalance, max_weight FROM lw JOIN rf USING (as_of), (VALUES (1.0::DOUBLE, 'uncapped'), (0.4::DOUBLE, 'cap40')) c(max_weight, label)),
+gi AS (SELECT *, row_number() OVER (PARTITION BY experiment, as_of ORDER BY w0 DESC, fund_code) AS i, sum(w0) OVER (PARTITION BY experiment, as_of ORDER BY w0 DESC, fund_code ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM gp),
+gk AS (SELECT *, min(CASE WHEN w0 * (1 - (i - 1) * max_weight) / rest <= max_weight + 1e-15 THEN i - 1 END) OVER (PARTITION BY experiment, as_of) AS k FROM gi),
+gl AS (SELECT *, max(CASE WHEN i = k + 1 THEN rest END) OVER (PARTITION BY experiment, as_of) AS l FROM gk)""",
+    _sim("SELECT experiment, as_of, fund_code, CASE WHEN max_weight >= 1 THEN w0 WHEN i <= k THEN max_weight ELSE w0 * (1 - k * max_weight) / l END AS w FROM gl"), _metrics(_CURVES, "experiment, portfolio"), """grid AS (
+SELECT experiment, top_n::INTEGER AS top_n, weight_scheme, rebalance, max_weight, n.total_return AS net_total_return, n.cagr AS net_cagr, n.annual_volatility AS net_annual_volatility, n.sharpe AS net_sharpe, n.max_drawdown AS net_max_drawdown,
+  b.total_return AS benchmark_total_return, b.cagr AS benchmark_cagr, b.sharpe AS benchmark_sharpe, n.total_return - b.total_return AS excess_total_return, n.cagr - b.cagr AS excess_cagr, traded / 2 / n.years AS annualized_turnover, traded * 0.001 AS total_transaction_cost, n.total_return > b.total_return AS beat_benchmark
+FROM (SELECT DISTINCT experiment, top_n, weight_scheme, rebalance, max_weight FROM gp) JOIN me n USING (experiment) JOIN me b USING (experiment) JOIN (SELECT experiment, coalesce(sum(traded) FILTER (eff IS NOT NULL), 0) AS traded FROM tr GROUP BY 1) USING (experiment)
+WHERE n.portfolio = 'strategy_net' AND b.portfolio = 'equal_weight_benchmark')""")
+
+
+@query(_GRID + "SELECT * REPLACE (" + _r(*_GRID_RETURNS) + ") FROM grid")
 def sensitivity_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = research.sensitivity_grid(spark, _rets(spark, sf_dir), SETTINGS, tops=(3, 5))
-    return _rounded(out, "net_total_return", "net_cagr", "net_sharpe", "net_max_drawdown", "excess_total_return", "excess_cagr", "annualized_turnover", "total_transaction_cost")
+    """All combinations of two sizes, three weightings, two frequencies and two caps."""
+    return _rounded(research.sensitivity_grid(spark, _rets(spark, sf_dir), SETTINGS, tops=_GRID_TOPS), *_GRID_RETURNS)
+
+
+@query(_GRID + "SELECT * REPLACE (" + _r(*_GRID_RETURNS) + ") FROM (SELECT * FROM grid ORDER BY excess_cagr DESC, net_sharpe DESC, experiment LIMIT 10)")
+def sensitivity_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of these."""
+    return _rounded(research.sensitivity_grid(spark, _rets(spark, sf_dir), SETTINGS, tops=_GRID_TOPS, best=10), *_GRID_RETURNS)
 
 
 _PERIODS = (("early", "1990-01-01", "1998-12-31"), ("full", "1990-01-01", "2009-12-31"), ("late", "1999-01-01", "2009-12-31"))

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from functools import cached_property, reduce
 from itertools import product
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fundlake.operators import backtest, diagnostics, factors, portfolio, quality, returns, scoring
@@ -104,24 +104,50 @@ def rolling_job(spark: SparkSession, nav: DataFrame, universe: DataFrame, s: Set
     return run, manifest
 
 
-def sensitivity_grid(spark: SparkSession, rets: DataFrame, s: Settings, tops: tuple[int, ...] = (5, 10), weightings: tuple[str, ...] = portfolio.WEIGHTS, rebalances: tuple[str, ...] = ("month", "quarter"), caps: tuple[float, ...] = (1.0, 0.4)) -> DataFrame:
-    """One row for each combination, best excess CAGR first. Scores are made once for each frequency and shared by its runs;
-    all runs are simulated together."""
+def grid_table(spark: SparkSession, tops: tuple[int, ...], weightings: tuple[str, ...], rebalances: tuple[str, ...], caps: tuple[float, ...]) -> DataFrame:
+    """(experiment, top_n, weight_scheme, rebalance, max_weight): a row for each combination."""
+    label = lambda cap: "uncapped" if cap == 1 else f"cap{cap * 100:.0f}"
+    rows = [F.struct(*(F.lit(v).alias(k) for k, v in {"experiment": f"top{n}_{w.removeprefix('weight_')}_{freq}_{label(cap)}", "top_n": n, "weight_scheme": w, "rebalance": freq, "max_weight": float(cap)}.items())) for n, w, freq, cap in product(tops, weightings, rebalances, caps)]
+    return spark.range(1).select(F.inline(F.array(*rows)))
+
+
+def grid_targets(spark: SparkSession, rets: DataFrame, s: Settings, grid: DataFrame, tops: tuple[int, ...], rebalances: tuple[str, ...]) -> DataFrame:
+    """(experiment, as_of, fund_code, weight) of all rows of ``grid``: parameters are columns that rows are joined with, so the plan
+    is the same for any number of combinations. Factors and scores are made once for each date, whatever asks for it, portfolios
+    once for each date and size."""
     table = scoring.scheme_table(spark, {scoring.DEFAULT: scoring.SCHEMES[scoring.DEFAULT]})
-    targets = []
-    for freq in rebalances:
-        scores = materialised(scoring.score_funds(factor_table(rets, Settings(**{**s.__dict__, "rebalance": freq})), table))
-        for n in tops:
-            held = materialised(portfolio.build_portfolio(scores, rets, n, s.window))
-            for w, cap in product(weightings, caps):
-                name = f"top{n}_{w.removeprefix('weight_')}_{freq}_{'uncapped' if cap == 1 else f'cap{cap * 100:.0f}'}"
-                targets.append(portfolio.target_weights(held, w, cap).withColumn("experiment", F.lit(name)))
-    curve, trades = backtest.simulate(rets, reduce(DataFrame.unionByName, targets), cost_bps=s.cost_bps)
+    dates = materialised(reduce(DataFrame.unionByName, [returns.rebalance_dates(rets, f, s.window).withColumn("rebalance", F.lit(f)) for f in rebalances]))
+    found = materialised(factors.compute_factors(rets, returns.equal_weight_benchmark(rets), dates, s.window))
+    ranked = scoring.score_funds(found, table).where(F.col("rank") <= max(tops))
+    sizes = F.filter(F.array(*map(F.lit, sorted(set(tops)))), lambda n: n >= F.col("rank"))
+    held = materialised(ranked.select("as_of", "fund_code", F.explode(sizes).alias("top_n")))  # dates times sizes rows
+    keys = ("top_n", "as_of")
+    equal = held.withColumn("weight_equal", 1 / F.count("*").over(Window.partitionBy(*keys)))
+    both = equal.join(portfolio.inverse_volatility(held, rets, s.window, keys), [*keys, "fund_code"])
+    both = both.withColumn("weight_mixed", (F.col("weight_equal") + F.col("weight_risk_parity")) / 2)
+    weights = both.unpivot([*keys, "fund_code"], list(portfolio.WEIGHTS), "weight_scheme", "weight")
+    asked = F.broadcast(grid.join(dates, "rebalance"))  # a row for each combination and date
+    rows = weights.join(asked, [*keys, "weight_scheme"])
+    rows = rows.withColumn("weight", portfolio.normalised(F.col("weight"), Window.partitionBy("experiment", "as_of")))
+    return portfolio.cap_weights(rows, "max_weight", ("experiment", "as_of"))
+
+
+def sensitivity_grid(
+    spark: SparkSession, rets: DataFrame, s: Settings, tops: tuple[int, ...] = (5, 10), weightings: tuple[str, ...] = portfolio.WEIGHTS,
+    rebalances: tuple[str, ...] = ("month", "quarter"), caps: tuple[float, ...] = (1.0, 0.4), best: int | None = None,
+) -> DataFrame:
+    """One row for each combination with its parameters, metrics of it and of the benchmark, excess, turnover and costs, the best
+    excess CAGR first; with ``best`` only so many rows. All combinations are one parameter table, simulated together."""
+    grid = grid_table(spark, tops, weightings, rebalances, caps)
+    curve, trades = backtest.simulate(rets, grid_targets(spark, rets, s, grid, tops, rebalances), cost_bps=s.cost_bps)
     curve = materialised(curve)
-    m, t = backtest.performance_table(curve), backtest.rolling_summary(curve, trades)
-    net = m.where("portfolio = 'strategy_net'").select("experiment", F.col("total_return").alias("net_total_return"), F.col("cagr").alias("net_cagr"), F.col("sharpe").alias("net_sharpe"), F.col("max_drawdown").alias("net_max_drawdown"))
-    out = net.join(t.select("experiment", "excess_total_return", "excess_cagr", "annualized_turnover", "total_transaction_cost", "beat_benchmark"), "experiment")
-    return out.orderBy(F.desc("excess_cagr"), F.desc("net_sharpe"), "experiment")
+    m, t = materialised(backtest.performance_table(curve)), backtest.rolling_summary(curve, trades)
+    part = lambda name, to, *cols: m.where(F.col("portfolio") == name).select("experiment", *(F.col(c).alias(f"{to}_{c}") for c in cols))
+    out = grid.join(part("strategy_net", "net", "total_return", "cagr", "annual_volatility", "sharpe", "max_drawdown"), "experiment")
+    out = out.join(part("equal_weight_benchmark", "benchmark", "total_return", "cagr", "sharpe"), "experiment")
+    out = out.join(t.select("experiment", "excess_total_return", "excess_cagr", "annualized_turnover", "total_transaction_cost", "beat_benchmark"), "experiment")
+    out = out.orderBy(F.desc("excess_cagr"), F.desc("net_sharpe"), "experiment")
+    return out if best is None else out.limit(best)
 
 
 def factor_diagnostics(run: Run, rets: DataFrame, weights: dict[str, float], groups: int = 5) -> dict[str, DataFrame]:

@@ -52,27 +52,29 @@ def normalised(weight: Column, over) -> Column:  # noqa: ANN001
     return F.coalesce(F.try_divide(weight, F.sum(F.abs(weight)).over(over)), F.lit(0.0))
 
 
-def cap_weights(weights: DataFrame, cap: float, keys: tuple[str, ...] = ("as_of",)) -> DataFrame:
-    """``weights`` (keys, fund_code, weight) clipped at 0, summing to 1 with none above ``cap``.
+def cap_weights(weights: DataFrame, cap: float | str, keys: tuple[str, ...] = ("as_of",)) -> DataFrame:
+    """``weights`` (keys, fund_code, weight) clipped at 0, summing to 1 with none above ``cap``, a number or the name of a column
+    that has one for each of the keys; a cap of 1 or more changes nothing.
 
     In closed form: by falling weight, the first k are capped, k the smallest for which the next weight, with what the capped
     ones leave shared among the rest in proportion, stays within the cap. If no positive weight is left to take the excess, the
     final scaling exceeds the cap. Too few funds for the cap are an error.
     """
-    if cap >= 1:
+    if not isinstance(cap, str) and cap >= 1:
         return weights
     over = Window.partitionBy(*keys)
     by = over.orderBy(F.col("w").desc(), "fund_code")
-    rows = weights.withColumn("w", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)))
+    most = F.col("_cap")
+    rows = weights.withColumn("_cap", F.col(cap) if isinstance(cap, str) else F.lit(float(cap))).withColumn("w", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)))
     rows = rows.withColumn("w", F.coalesce(F.try_divide(F.col("w"), F.sum("w").over(over)), F.lit(0.0)))
     rows = rows.withColumn("i", F.row_number().over(by)).withColumn("rest", F.sum("w").over(by.rowsBetween(0, Window.unboundedFollowing))).withColumn("n", F.count("*").over(over))
-    rows = rows.withColumn("w", F.when(F.col("n") * cap < 1 - 1e-12, F.raise_error(F.lit("the cap is too low for the number of funds"))).otherwise(F.col("w")))
-    share = lambda w, k, rest: F.coalesce(F.try_divide(w * (1 - k * cap), rest), F.lit(0.0))
-    fits = share(F.col("w"), F.col("i") - 1, F.col("rest")) <= cap + 1e-15
+    rows = rows.withColumn("w", F.when(F.col("n") * most < 1 - 1e-12, F.raise_error(F.lit("the cap is too low for the number of funds"))).otherwise(F.col("w")))
+    share = lambda w, k, rest: F.coalesce(F.try_divide(w * (1 - k * most), rest), F.lit(0.0))
+    fits = share(F.col("w"), F.col("i") - 1, F.col("rest")) <= most + 1e-15
     rows = rows.withColumn("k", F.coalesce(F.min(F.when(fits, F.col("i") - 1)).over(over), F.col("n")))
     left = F.max(F.when(F.col("i") == F.col("k") + 1, F.col("rest"))).over(over)
-    rows = rows.withColumn("capped", F.when(F.col("i") <= F.col("k"), F.lit(cap)).otherwise(share(F.col("w"), F.col("k"), left)))
-    return rows.select(*keys, "fund_code", normalised(F.col("capped"), over).alias("weight"))
+    rows = rows.withColumn("capped", F.when(F.col("i") <= F.col("k"), most).otherwise(share(F.col("w"), F.col("k"), left)))
+    return rows.select(*keys, "fund_code", F.when(most >= 1, F.col("weight")).otherwise(normalised(F.col("capped"), over)).alias("weight"))
 
 
 def target_weights(portfolio: DataFrame, scheme: str = "weight_equal", max_weight: float = 1.0, keys: tuple[str, ...] = ("as_of",)) -> DataFrame:
