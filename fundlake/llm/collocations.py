@@ -3,7 +3,9 @@
 Texts become blocks of inverted lists: for each word of a block the sorted positions where it stands. Level by level the lists of
 frequent phrases are merge-joined with the postings of adjacent frequent words; the length of a list is the phrase's exact
 frequency in the block. Frequencies are added up over blocks by ranges of the phrases' keys, and the keys of frequent phrases,
-sorted arrays in the shared folder, tell the blocks which lists to extend further.
+sorted arrays in the shared folder, tell the blocks which lists to extend further. Most phrases occur once: before phrases are
+shuffled, their shortened keys are, two bytes or so each, and only phrases whose cell counts often enough follow. A cell counts
+all that share it, so that no frequent phrase is lost.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .common import shared_dir, ship, written
-from .hash_arrays import PACK, HashArrays, combine, key_of, merged, of_group, packs, pieces, save, table, unpacked
+from .hash_arrays import PACK, HashArrays, bounds, cells, combine, edges, in_bytes, key_of, merged, numbers, of_group, packs, pieces, save, table, unpacked
 
 #: Between pieces; no byte of UTF-8.
 _GAP = b"\xff"
@@ -28,6 +30,9 @@ _PIECES = bytes(32 if c == 9 else 255 if c in b".,;:!?\n\x0b\x0c\r" else c for c
 #: A block: its languages and their word counts; for each word its language, bytes, key and list length; all positions, list by list.
 _BLOCK = "langs array<string>, n array<long>, lang binary, words binary, keys binary, lengths binary, positions binary"
 
+#: ``m`` counts of the cells of a range, which are given by the steps from one to the next.
+_CELLS = "bucket long, m int, steps binary, n binary"
+
 
 class _Ids(dict):
     """Places of a language's words among all words of a block; the gap is 0 for every language."""
@@ -51,8 +56,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int, schema: pa.Schema) ->
         positions = np.argsort(flat, kind="stable")[lengths[0] :]
         lang = np.array([w[0] for w in words[1:]], np.uint32)
         n = np.bincount(lang, lengths[1:], len(langs)).astype(np.int64)
-        seeds = [xxhash.xxh3_64_intdigest(x.encode()) for x in langs]
-        keys = np.fromiter((xxhash.xxh3_64_intdigest(w, seeds[k]) for k, w in words[1:]), np.uint64, len(lang))
+        keys = _keys(list(langs), words[1:])
         row = {"langs": list(langs), "n": n.tolist(), "lang": lang.tobytes(), "words": b"\n".join(w[1] for w in words[1:]), "keys": keys.tobytes(), "lengths": lengths[1:].astype(np.uint32).tobytes(), "positions": positions.astype(np.uint32).tobytes()}
         yield from table([row], schema).to_batches()
 
@@ -85,7 +89,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def _single(batches: Iterator[pa.RecordBatch], flush: int = 1 << 18) -> Iterator[pa.RecordBatch]:
-    """(lang, word, key, f) of the words of several blocks, each once for about ``flush`` distinct words of a block."""
+    """(lang, word, f) of the words of several blocks, each once for about ``flush`` distinct words of a block."""
 
     def emit(parts: list[tuple]) -> pa.RecordBatch:
         keys, lengths = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
@@ -93,7 +97,7 @@ def _single(batches: Iterator[pa.RecordBatch], flush: int = 1 << 18) -> Iterator
         starts = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
         one = pa.array(order[starts])
         lang, word = (pa.chunked_array([p[k] for p in parts]).take(one).combine_chunks() for k in (2, 3))
-        return pa.RecordBatch.from_arrays([lang, word, pa.array(keys[order[starts]].view(np.int64)), pa.array(np.add.reduceat(lengths[order], starts))], ["lang", "word", "key", "f"])
+        return pa.RecordBatch.from_arrays([lang, word, pa.array(np.add.reduceat(lengths[order], starts))], ["lang", "word", "f"])
 
     held, size = [], 0
     for r in _rows(batches):
@@ -107,13 +111,33 @@ def _single(batches: Iterator[pa.RecordBatch], flush: int = 1 << 18) -> Iterator
         yield emit(held)
 
 
-def _extended(batches: Iterator[pa.RecordBatch], level: int, folder: str, shards: int, schema: pa.Schema, flush: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """Packs of the phrases of ``level`` words whose parts are frequent, each once for about ``flush`` occurrences.
+def _keys(langs: list[str], words: list[tuple[int, bytes]]) -> np.ndarray:
+    """The hashes of (place of its language, word), seeded by the language."""
+    seeds = [xxhash.xxh3_64_intdigest(x.encode()) for x in langs]
+    return np.fromiter((xxhash.xxh3_64_intdigest(w, seeds[k]) for k, w in words), np.uint64, len(words))
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, word, key, f) of (lang, word, f)."""
+    for b in batches:
+        langs = b["lang"].dictionary_encode()
+        keys = _keys(langs.dictionary.to_pylist(), list(zip(langs.indices.to_pylist(), b["word"].to_pylist(), strict=True)))
+        yield pa.RecordBatch.from_arrays([b["lang"], b["word"], pa.array(keys.view(np.int64)), b["f"]], ["lang", "word", "key", "f"])
+
+
+def _extended(batches: Iterator[pa.RecordBatch], level: int, folder: str, shards: int, schema: pa.Schema, counting: bool, flush: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """The phrases of ``level`` words whose parts are frequent, each once for about ``flush`` occurrences: the counts of their
+    cells if ``counting``, else packs of those whose cells count often enough.
 
     All postings of a block's frequent words lie in the order of their positions. A phrase's occurrence is the place of its first
     word there; as the list of occurrences has that order too, the merge with adjacent words looks at the posting that follows.
     """
     known = [HashArrays(folder, str(k), shards) for k in range(1, level)]
+    heavy = None if counting else HashArrays(folder, f"cells{level}", shards)
+
+    def among(keys: np.ndarray, stored: HashArrays) -> np.ndarray:
+        distinct, place = np.unique(keys, return_inverse=True)
+        return stored.find(distinct)[0][place]
 
     def occurrences(r: dict) -> list[np.ndarray]:
         keys, lengths, positions = np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["lengths"], np.uint32), np.frombuffer(r["positions"], np.uint32)
@@ -129,17 +153,24 @@ def _extended(batches: Iterator[pa.RecordBatch], level: int, folder: str, shards
             alive[at] = True
             nxt = np.minimum(at + k, len(word) - 1)
             adjacent = (at + k < len(word)) & (position[nxt] == position[at] + k) & alive[at + 1]
-            at, key, nxt = at[adjacent], key[adjacent], nxt[adjacent]
+            at, key = at[adjacent], combine(key[adjacent], word[nxt[adjacent]])
             if k + 1 < level:
-                key = combine(key, word[nxt])
-                distinct, place = np.unique(key, return_inverse=True)
-                seen = known[k].find(distinct)[0][place]
-                at, key = at[seen], key[seen]
+                seen = among(key, known[k])
+            elif not counting:
+                seen = among(cells(key, shards), heavy)
+            else:
+                return [cells(key, shards)]
+            at, key = at[seen], key[seen]
         return [word[at + k] for k in range(level)]
 
     def emit(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        found = merged([np.concatenate(x) for x in zip(*parts, strict=True)])
-        return iter(table(list(packs(*found, shards)), schema).to_batches())
+        cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        if not counting:
+            return iter(table(list(packs(*merged(cols), shards)), schema).to_batches())
+        cell, n = np.unique(cols[0], return_counts=True)
+        ends = bounds(cell, shards)
+        rows = ({"bucket": int(b), "m": int(hi - lo), "steps": in_bytes(np.diff(cell[lo:hi] & np.uint64(0xFFFFFFFF), prepend=np.uint64(0))), "n": in_bytes(n[lo:hi])} for b, (lo, hi) in enumerate(zip(ends, ends[1:], strict=False)) if hi > lo)
+        return iter(table(list(rows), schema).to_batches())
 
     held, size = [], 0
     for r in _rows(batches):
@@ -152,6 +183,17 @@ def _extended(batches: Iterator[pa.RecordBatch], level: int, folder: str, shards
         yield from emit(held)
 
 
+def _heavy(group: pa.Table, level: int, least: int, folder: str, shards: int) -> pa.Table:
+    """Writes the cells of a range that count ``least`` or more."""
+    rows = group.to_pylist()
+    cell = np.concatenate([np.cumsum(numbers(r["steps"], r["m"])) for r in rows])
+    cell, place = np.unique(cell, return_inverse=True)
+    n = np.bincount(place, np.concatenate([numbers(r["n"], r["m"]) for r in rows]))
+    bucket = rows[0]["bucket"]
+    save(folder, f"cells{level}-{bucket}", {"key": edges(shards).astype(np.uint64)[bucket] | cell[n >= least].astype(np.uint64)})
+    return pa.table({"bucket": pa.array([bucket], pa.int64())})
+
+
 def _frequent(group: pa.Table, level: int, least: int, schema: pa.Schema) -> pa.Table:
     """The frequent phrases of a range: key, word keys, frequency, keys of what stands before and after each cut."""
     key, cols, (f,) = merged(*unpacked(group.to_pylist(), level))
@@ -186,16 +228,20 @@ def frequent_phrases(docs: DataFrame, longest: int = 5, least: int = 100, block:
     sizes = written(lists.select(F.explode(F.arrays_zip("langs", "n")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.n").alias("n")))
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(1, -(-total // 1_000_000))
-    single = lists.select("langs", "lang", "words", "keys", "lengths").mapInArrow(_single, "lang string, word binary, key long, f long")
-    words = written(single.groupBy("lang", "word").agg(F.first("key").alias("key"), F.sum("f").alias("f")).where(F.col("f") >= least).withColumn("word", F.col("word").cast("string")))
+    single = lists.select("langs", "lang", "words", "keys", "lengths").mapInArrow(_single, "lang string, word binary, f long")
+    single = single.groupBy("lang", "word").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    words = written(single.mapInArrow(_keyed, "lang string, word binary, key long, f long").withColumn("word", F.col("word").cast("string")))
     left = _share(words, 1, folder, shards)
     kind = "key long, words array<long>, f long, firsts array<long>, rests array<long>"
     phrases = spark.createDataFrame([], kind)
-    pack_schema, schema = (to_arrow_schema(StructType.fromDDL(x)) for x in (PACK, kind))
+    pack_schema, cell_schema, schema = (to_arrow_schema(StructType.fromDDL(x)) for x in (PACK, _CELLS, kind))
     for level in range(2, longest + 1):
         if not left:
             break
-        candidates = lists.select("keys", "lengths", "positions").mapInArrow(partial(_extended, level=level, folder=folder, shards=shards, schema=pack_schema), PACK)
+        step = lambda counting, kind, schema, level=level: lists.select("keys", "lengths", "positions").mapInArrow(partial(_extended, level=level, folder=folder, shards=shards, schema=schema, counting=counting), kind)
+        counts = step(True, _CELLS, cell_schema).groupBy("bucket").applyInArrow(of_group(_heavy, level=level, least=least, folder=folder, shards=shards), "bucket long")
+        counts.write.format("noop").mode("overwrite").save()
+        candidates = step(False, PACK, pack_schema)
         found = written(candidates.groupBy("bucket").applyInArrow(of_group(_frequent, level=level, least=least, schema=schema), kind))
         phrases = phrases.unionByName(found)
         left = _share(found, level, folder, shards)

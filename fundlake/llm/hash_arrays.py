@@ -85,18 +85,25 @@ def edges(buckets: int) -> np.ndarray:
     return (np.arange(buckets, dtype=object) * (1 << 32) + buckets - 1) // buckets * (1 << 32)
 
 
+def cells(keys: np.ndarray, buckets: int, bits: int = 24) -> np.ndarray:
+    """Keys with fewer bits: that of the bucket's beginning and the last ``bits`` of each. As buckets grow in number with the
+    n-grams, so do cells, and few n-grams share one."""
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    return edges(buckets).astype(np.uint64)[bucket.astype(np.int64)] | (keys & np.uint64((1 << bits) - 1))
+
+
 def bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket's part of the sorted ``keys`` begins, and the end."""
     return np.append(np.searchsorted(keys, edges(buckets).astype(np.uint64)), len(keys))
 
 
-def _bytes(x: np.ndarray) -> bytes:
+def in_bytes(x: np.ndarray) -> bytes:
     """Unsigned numbers, each in as few bytes as the largest needs."""
     return x.astype(np.min_scalar_type(int(x.max()))).tobytes() if len(x) else b""
 
 
 def numbers(data: bytes, n: int) -> np.ndarray:
-    """What _bytes() made of ``n`` numbers."""
+    """What in_bytes() made of ``n`` numbers."""
     return np.frombuffer(data, f"<u{len(data) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
 
 
@@ -107,7 +114,7 @@ def packs(keys: np.ndarray, cols: list[np.ndarray], counts: list[np.ndarray], bu
         lo, hi = at[b], at[b + 1]
         part = [c[lo:hi] for c in cols]
         words, places = (part[0], np.zeros(0, np.int64)) if len(part) == 1 else np.unique(np.concatenate(part), return_inverse=True)
-        yield {"bucket": int(b), "m": int(hi - lo), "words": words.tobytes(), "at": _bytes(places), "counts": [_bytes(c[lo:hi]) for c in counts]}
+        yield {"bucket": int(b), "m": int(hi - lo), "words": words.tobytes(), "at": in_bytes(places), "counts": [in_bytes(c[lo:hi]) for c in counts]}
 
 
 def unpacked(rows: list[dict], width: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
