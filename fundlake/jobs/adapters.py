@@ -32,3 +32,11 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lpad(F.col("p_partkey").cast("string"), 6, "0").alias("fund_code"), F.concat("p_name", F.lit(" "), "p_brand", suffix).alias("fund_name"), F.col("p_type").alias("fund_type"),
         F.col("p_brand").alias("fund_company"), F.concat(1990 + F.col("p_size") % 12, F.lit("-06-30")).alias("inception_date"),
     )
+
+
+def nav_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of (fund_code, date, nav, acc_nav, daily_return, ts): a user is a fund, an event's value its NAV at that time."""
+    path = f"{sf_dir}/events.parquet"
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque[t]")  # a stream takes a file by a pattern only
+    missing = F.lit(None).cast("double")
+    return rows.select(F.lpad(F.col("user_id").cast("string"), 6, "0").alias("fund_code"), F.to_date("ts").alias("date"), F.col("value").alias("nav"), missing.alias("acc_nav"), missing.alias("daily_return"), "ts")

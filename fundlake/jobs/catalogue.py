@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fundlake.functions.codes import type_reason
 from fundlake.jobs import adapters, research
 from fundlake.operators import backtest, diagnostics, factors, portfolio, quality, returns, scoring
 from fundlake.operators import universe as universes
 from fundlake.sources import nav as sources
 from fundlake.sources.store import MonthlyStore
 from fundlake.sources.tables import materialised, shared_folder
+from fundlake.streaming.nav import current, run_to_table, stream_benchmark, stream_upsert_nav
 
 WINDOW, TOP, GROUPS = 60, 5, 5
 SETTINGS = research.Settings(top_n=TOP, window=WINDOW)
@@ -20,13 +22,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 # Parts of the SQL, each a common table expression that builds on the ones before.
-_NAV = """raw AS (
+_RAW = """raw AS (
   SELECT l_suppkey AS k, lpad(l_suppkey::VARCHAR, 6, '0') AS fund_code, l_shipdate::DATE AS date, avg(l_extendedprice / l_quantity) / 1000 AS nav,
     0.25 * sum(l_extendedprice * (l_discount - l_tax)) / sum(l_extendedprice) - 0.0025 AS r FROM lineitem GROUP BY ALL
 ), nav AS (
   SELECT fund_code, date, nav, CASE WHEN k % 3 = 1 THEN nav END AS acc_nav, CASE WHEN k % 3 = 0 THEN r END AS daily_return FROM raw
-), rets AS (SELECT fund_code, date, r AS ret FROM raw), dates AS (SELECT DISTINCT date FROM raw),
-bench AS (SELECT date, avg(ret) AS bench_ret FROM rets GROUP BY date), cal AS (SELECT date, row_number() OVER (ORDER BY date) AS idx FROM dates)"""
+)"""
+_OWN_RETURNS = "rets AS (SELECT fund_code, date, r AS ret FROM raw)"
+_CALENDAR_RETURNS = """cal0 AS (SELECT date, row_number() OVER (ORDER BY date) AS idx FROM (SELECT DISTINCT date FROM raw)),
+rets AS (SELECT a.fund_code, a.date, a.nav / b.nav - 1 AS ret FROM (SELECT * FROM nav JOIN cal0 USING (date)) a JOIN (SELECT fund_code, nav, idx FROM nav JOIN cal0 USING (date)) b ON a.fund_code = b.fund_code AND b.idx = a.idx - 1)"""
+
+
+def _dated(where: str = "true") -> str:
+    """Dates of returns, those with ``where`` alone, the benchmark of all dates, the calendar."""
+    return f"""dates AS (SELECT DISTINCT date FROM rets WHERE {where}), bench AS (SELECT date, avg(ret) AS bench_ret FROM rets GROUP BY date),
+cal AS (SELECT date, row_number() OVER (ORDER BY date) AS idx FROM dates)"""
+
+
+_NAV = ",\n".join((_RAW, _OWN_RETURNS, _dated()))
 
 
 def _reb(freq: str = "month") -> str:
@@ -59,14 +72,14 @@ vol AS (SELECT scheme, as_of, fund_code, 1 / (stddev_pop(ret) + 1e-8) AS i FROM
 pf AS (SELECT scheme, as_of, fund_code, score, rank, weight_equal, i / sum(i) OVER (PARTITION BY scheme, as_of) AS weight_risk_parity FROM tp JOIN vol USING (scheme, as_of, fund_code))"""
 
 
-def _sim(targets: str) -> str:
-    """Curve and trades of ``targets`` (experiment, as_of, fund_code, w)."""
+def _sim(targets: str, held: str = "tk") -> str:
+    """Curve and trades of ``targets`` (experiment, as_of, fund_code, w). ``held``: the dates (experiment, as_of, nx) that act."""
     return f"""tw AS ({targets}),
 tk AS (SELECT experiment, as_of, row_number() OVER (PARTITION BY experiment ORDER BY as_of) AS k, lead(as_of) OVER (PARTITION BY experiment ORDER BY as_of) AS nx FROM (SELECT DISTINCT experiment, as_of FROM tw)),
 mv AS (SELECT experiment, k, fund_code, sum(w) AS d FROM (SELECT experiment, k, fund_code, w FROM tw JOIN tk USING (experiment, as_of) UNION ALL SELECT experiment, k + 1, fund_code, -w FROM tw JOIN tk USING (experiment, as_of)) GROUP BY ALL),
 ef AS (SELECT as_of, min(date) AS eff FROM (SELECT DISTINCT as_of FROM tw) LEFT JOIN dates ON date > as_of GROUP BY 1),
 tr AS (SELECT experiment, as_of, CASE WHEN k > 1 THEN v ELSE 0 END AS traded, eff FROM (SELECT experiment, k, sum(abs(d)) AS v FROM mv GROUP BY ALL) JOIN tk USING (experiment, k) JOIN ef USING (as_of)),
-dy AS (SELECT experiment, as_of, date FROM tk JOIN dates ON date > as_of AND (nx IS NULL OR date <= nx)),
+dy AS (SELECT experiment, as_of, date FROM {held} JOIN dates ON date > as_of AND (nx IS NULL OR date <= nx)),
 gr AS (SELECT experiment, date, sum(w * coalesce(ret, 0)) AS gross, sum(CASE WHEN ret IS NOT NULL THEN abs(w) ELSE 0 END) / sum(abs(w)) AS coverage FROM dy JOIN tw USING (experiment, as_of) LEFT JOIN rets USING (fund_code, date) WHERE w <> 0 GROUP BY ALL),
 cu AS (SELECT experiment, date, gross, coalesce(c, 0) AS cost, gross - coalesce(c, 0) AS net, bench_ret AS bench, coverage FROM gr LEFT JOIN (SELECT experiment, eff AS date, sum(traded * 0.001) AS c FROM tr WHERE eff IS NOT NULL GROUP BY ALL) USING (experiment, date) JOIN bench USING (date))"""
 
@@ -273,12 +286,14 @@ def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _STORED = """tw0 AS (SELECT q.date AS as_of, n.fund_code, 1.0 + n.fund_code::INTEGER AS v FROM (SELECT DISTINCT fund_code, date_trunc('quarter', date) AS quarter FROM nav) n
 JOIN (SELECT date_trunc('quarter', date) AS quarter, min(date) AS date FROM nav GROUP BY 1) q USING (quarter))"""
-_CAL_RETS = _NAV.replace("rets AS (SELECT fund_code, date, r AS ret FROM raw), dates AS (SELECT DISTINCT date FROM raw),\nbench AS (SELECT date, avg(ret) AS bench_ret FROM rets GROUP BY date), cal AS (SELECT date, row_number() OVER (ORDER BY date) AS idx FROM dates)", """cal0 AS (SELECT date, row_number() OVER (ORDER BY date) AS idx FROM (SELECT DISTINCT date FROM raw)),
-rets AS (SELECT a.fund_code, a.date, a.nav / b.nav - 1 AS ret FROM (SELECT * FROM nav JOIN cal0 USING (date)) a JOIN (SELECT fund_code, nav, idx FROM nav JOIN cal0 USING (date)) b ON a.fund_code = b.fund_code AND b.idx = a.idx - 1),
-dates AS (SELECT DISTINCT date FROM rets), bench AS (SELECT date, avg(ret) AS bench_ret FROM rets GROUP BY date)""")
+_ON_CALENDAR = "(SELECT experiment, as_of, lead(as_of) OVER (PARTITION BY experiment ORDER BY as_of) AS nx FROM tk WHERE as_of IN (SELECT date FROM dates))"
+_REPLAYED = "SELECT 'replay' AS experiment, as_of, fund_code, v / sum(v) OVER (PARTITION BY as_of) AS w FROM tw0 WHERE as_of >= DATE '1996-01-01'"
 
 
-@query(_with(_CAL_RETS, _STORED, _sim("SELECT 'replay' AS experiment, as_of, fund_code, v / sum(v) OVER (PARTITION BY as_of) AS w FROM tw0 WHERE as_of >= DATE '1996-01-01'").replace("FROM tk JOIN dates ON date > as_of AND (nx IS NULL OR date <= nx)", "FROM (SELECT experiment, as_of, lead(as_of) OVER (PARTITION BY experiment ORDER BY as_of) AS nx FROM tk WHERE as_of IN (SELECT date FROM dates)) JOIN dates ON date > as_of AND (nx IS NULL OR date <= nx)")) + "SELECT date, round(gross, 6) + 0.0 AS gross_return, round(net, 6) + 0.0 AS net_return, round(bench, 6) + 0.0 AS benchmark_return, round(coverage, 6) AS return_coverage FROM cu")
+@query(
+    _with(_RAW, _CALENDAR_RETURNS, _dated(), _STORED, _sim(_REPLAYED, _ON_CALENDAR))
+    + "SELECT date, round(gross, 6) + 0.0 AS gross_return, round(net, 6) + 0.0 AS net_return, round(bench, 6) + 0.0 AS benchmark_return, round(coverage, 6) AS return_coverage FROM cu"
+)
 def replay_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     curve, _ = backtest.replay_backtest(_stored(spark, sf_dir), materialised(adapters.nav(spark, sf_dir)), since="1996-01-01")
     return _rounded(curve.select("date", "gross_return", "net_return", "benchmark_return", "return_coverage"), "gross_return", "net_return", "benchmark_return", "return_coverage")
@@ -496,3 +511,100 @@ def scheme_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     periods = spark.createDataFrame(list(_PERIODS), "period string, first string, last string").select("period", F.to_date("first").alias("first"), F.to_date("last").alias("last"))
     cols = ("net_total_return", "net_cagr", "net_sharpe", "net_max_drawdown", "excess_total_return", "excess_cagr", "annualized_turnover", "total_transaction_cost")
     return _rounded(backtest.period_metrics(run.curve, run.trades, periods).select("experiment", "period", *cols, "beat_benchmark"), *cols)
+
+
+_RANGE = ("1997-03-15", "2000-06-20")
+
+
+@query(
+    _with(_RAW, _OWN_RETURNS, _dated(f"date BETWEEN DATE '{_RANGE[0]}' AND DATE '{_RANGE[1]}'"), _reb(), _FACTORS, _SCORES, _TOP, _sim(_ALL_TARGETS), _metrics(_CURVES, "experiment, portfolio"))
+    + 'SELECT experiment, portfolio, start, "end", observations, ' + _r(*_METRIC_COLUMNS) + " FROM me"
+)
+def rolling_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rolling backtest from one date to another; factors look at the returns before."""
+    run = research.rolling_backtest(spark, _rets(spark, sf_dir), SETTINGS, scoring.SCHEMES, *_RANGE)
+    return _rounded(run.metrics, *_METRIC_COLUMNS)
+
+
+@query(
+    _BASE.rstrip() + ",\n" + _GROUPS + """, mb AS (SELECT factor, bin, avg(mean_forward) AS m FROM gp GROUP BY 1, 2),
+rb2 AS (SELECT factor, rank() OVER (PARTITION BY factor ORDER BY bin) AS ra, rank() OVER (PARTITION BY factor ORDER BY m) + (count(*) OVER (PARTITION BY factor, m) - 1) / 2 AS rb FROM mb)
+SELECT factor, round(corr(ra, rb), 6) + 0.0 AS monotonic FROM rb2 GROUP BY 1 HAVING count(*) >= 3"""
+)
+def factor_monotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the bins' mean forward returns rise with their numbers."""
+    return _rounded(_diagnostics(spark, sf_dir)["spread"].select("factor", "monotonic"), "monotonic")
+
+
+@query(_with(_RAW) + "SELECT u.fund_code, u.date, round(u.nav, 12) AS nav, round(a.acc_nav, 12) AS acc_nav, round(u.daily_return, 12) + 0.0 AS daily_return FROM nav u LEFT JOIN nav a ON a.fund_code = u.fund_code AND a.date = u.date AND a.acc_nav IS NOT NULL")
+def merged_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unit NAV and accumulated NAV as two feeds, joined."""
+    nav = materialised(adapters.nav(spark, sf_dir))
+    out = sources.merge_nav_feeds(nav.drop("acc_nav"), nav.where("acc_nav is not null").select("fund_code", "date", "acc_nav"))
+    return _rounded(out, "nav", "acc_nav", "daily_return", places=12)
+
+
+_SNAPSHOT = ("total_return", "annual_volatility", "max_drawdown")
+
+
+@query(
+    _with(_RAW, _metrics("SELECT fund_code, date, nav / lag(nav) OVER (PARTITION BY fund_code ORDER BY date) - 1 AS ret FROM nav", "fund_code"))
+    + 'SELECT fund_code, start, "end", observations, ' + ", ".join(f"round({c} + 1e-12, 6) AS {c}" for c in _SNAPSHOT) + " FROM me"
+)
+def return_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each fund's own NAV has earned."""
+    out = backtest.return_snapshot(adapters.nav(spark, sf_dir)).select("fund_code", "start", "end", "observations", *((F.col(c) + 1e-12).alias(c) for c in _SNAPSHOT))
+    return _rounded(out, *_SNAPSHOT)
+
+
+@query(_with(_RAW) + "SELECT fund_code, avg((acc_nav IS NOT NULL OR daily_return IS NOT NULL)::INTEGER) >= 0.95 AS has_metadata FROM nav GROUP BY 1 UNION ALL SELECT 'all', avg((acc_nav IS NOT NULL OR daily_return IS NOT NULL)::INTEGER) >= 0.95 FROM nav")
+def return_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether returns can be had of provider or accumulated data: for each fund, and for all together."""
+    nav = materialised(adapters.nav(spark, sf_dir))
+    return quality.has_return_metadata(nav, keys=("fund_code",)).unionByName(quality.has_return_metadata(nav).select(F.lit("all").alias("fund_code"), "has_metadata"))
+
+
+@query("""WITH a AS (SELECT lpad(s_suppkey::VARCHAR, 6, '0') AS fund_code, 0 AS source, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS nth FROM supplier UNION ALL
+SELECT lpad(p_partkey::VARCHAR, 6, '0'), 1, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) FROM part),
+f AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY fund_code ORDER BY source) = 1)
+SELECT fund_code, source, (row_number() OVER (ORDER BY source, nth) - 1)::INTEGER AS pos FROM f QUALIFY pos < 1200""")
+def universe_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers by balance, filled up with parts by price to 1,200 codes."""
+    source = lambda name, key, by: adapters.table(spark, sf_dir, name).select(F.lpad(F.col(key).cast("string"), 6, "0").alias("code"), F.struct((-F.col(by)).alias("by"), F.col(key).alias("key")).alias(sources.POSITION))
+    return sources.load_universe([source("supplier", "s_suppkey", "s_acctbal"), source("part", "p_partkey", "p_retailprice")], 1200)
+
+
+@query(_UNIVERSE + """SELECT r.fund_code, CASE WHEN pick <= 40 AND p_size % 3 <> 0 THEN 'new ' || p_name ELSE fund_name END AS fund_name, CASE WHEN pick <= 40 THEN 'house ' || p_brand ELSE p_brand END AS fund_company,
+  CASE WHEN pick <= 40 THEN (2000 + p_size % 10) || '-01-01' ELSE (1990 + p_size % 12) || '-06-30' END AS inception_date FROM r4 r JOIN part ON r.fund_code = lpad(p_partkey::VARCHAR, 6, '0')""")
+def catalog_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed facts, one of three with a blank name, override what the catalogue says of sampled funds."""
+    code, name = F.lpad(F.col("p_partkey").cast("string"), 6, "0").alias("code"), F.when(F.col("p_size") % 3 == 0, " ").otherwise(F.concat(F.lit("new "), "p_name"))
+    facts = (("基金名称", name), ("基金公司", F.concat(F.lit("house "), "p_brand")), ("成立时间", F.concat((2000 + F.col("p_size") % 10).cast("string"), F.lit("-01-01"))))
+    info = adapters.table(spark, sf_dir, "part").select(code, F.inline(F.array(*(F.struct(F.lit(i).alias("item"), v.alias("value")) for i, v in facts))))
+    rows = universes.share_dedupe(universes.normalize_catalog(adapters.catalog(spark, sf_dir)), type_reason(F.col("fund_type"), F.col("fund_name"), ("ECONOMY", "STANDARD"), ("RING",), "NONE"))
+    return universes.enrich_catalog(universes.stable_sample(rows, 42, 40), info).select("fund_code", "fund_name", "fund_company", "inception_date")
+
+
+@query(_UNIVERSE + """SELECT fund_code, r5 AS exclude_reason, CASE WHEN r5 = '' THEN 'candidate' ELSE 'excluded' END AS status, '' AS metadata_warning, '2001-12-31' AS metadata_as_of,
+  NULL::DATE AS data_start, NULL::BIGINT AS nav_days, NULL::DOUBLE AS data_coverage FROM r5""")
+def universe_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit before NAV is looked at."""
+    catalog = universes.normalize_catalog(adapters.catalog(spark, sf_dir))
+    audit = universes.build_universe(catalog, None, "1998-01-01", "2001-12-31", 5, 40, 42, None, ("ECONOMY", "STANDARD"), ("RING",), "NONE", stage="prepare", warn=True, as_of="2001-12-31")[0]
+    return audit.select("fund_code", "exclude_reason", "status", "metadata_warning", "metadata_as_of", "data_start", "nav_days", "data_coverage")
+
+
+@query("""SELECT lpad(user_id::VARCHAR, 6, '0') AS fund_code, ts::DATE AS date, round(arg_max(value, ts), 6) AS nav FROM events WHERE value IS NOT NULL GROUP BY ALL""")
+def stream_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as arriving NAV, streamed into a store: the last of a day counts."""
+    folder = shared_folder(spark)
+    stream_upsert_nav(adapters.nav_events(spark, sf_dir), f"{folder}/store", f"{folder}/mark").awaitTermination()
+    return _rounded(current(spark, f"{folder}/store").select("fund_code", "date", "nav"), "nav")
+
+
+@query("""SELECT date, round(avg(value), 6) AS bench_ret, count(*) AS funds FROM (SELECT ts::DATE AS date, value FROM events WHERE ts IS NOT NULL) GROUP BY 1
+HAVING date + 1 <= (SELECT max(ts) - INTERVAL 7 DAY FROM events)""")
+def stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean of each day's events as a stream: days that the watermark has closed."""
+    events = adapters.nav_events(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("ts"), F.col("nav").alias("ret"))
+    return _rounded(run_to_table(stream_benchmark(events), shared_folder(spark)), "bench_ret")

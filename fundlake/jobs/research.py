@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import cached_property, reduce
 from itertools import product
@@ -35,15 +36,18 @@ class Settings:
 
 @dataclass
 class Run:
-    """The parts of a rolling backtest, each made when it is first asked for and then kept."""
+    """The parts of a rolling backtest, each made when it is first asked for and then kept. Rebalances and the curve lie between
+    ``start`` and ``end``; factors and volatilities also look at the returns before."""
 
     returns: DataFrame
     settings: Settings
     schemes: DataFrame
+    start: str | None = None
+    end: str | None = None
 
     @cached_property
     def factors(self) -> DataFrame:
-        return factor_table(self.returns, self.settings)
+        return factor_table(self.returns, self.settings, start=self.start, end=self.end)
 
     @cached_property
     def scores(self) -> DataFrame:
@@ -58,7 +62,7 @@ class Run:
     def _simulated(self) -> tuple[DataFrame, DataFrame]:
         s = self.settings
         target = portfolio.target_weights(self.holdings, s.weight_scheme, s.max_weight, ("scheme", "as_of")).withColumnRenamed("scheme", "experiment")
-        curve, trades = backtest.simulate(self.returns, target, cost_bps=s.cost_bps)
+        curve, trades = backtest.simulate(within(self.returns, self.start, self.end), target, cost_bps=s.cost_bps)
         return materialised(curve), trades
 
     @property
@@ -78,25 +82,54 @@ class Run:
         return backtest.rolling_summary(self.curve, self.trades)
 
 
-def factor_table(rets: DataFrame, s: Settings, in_order: bool = False) -> DataFrame:
+def within(rows: DataFrame, start: str | None, end: str | None) -> DataFrame:
+    """``rows`` dated from ``start`` to ``end``, both included; None is open."""
+    if start is not None:
+        rows = rows.where(F.col("date") >= F.lit(start).cast("date"))
+    return rows if end is None else rows.where(F.col("date") <= F.lit(end).cast("date"))
+
+
+def factor_table(rets: DataFrame, s: Settings, in_order: bool = False, start: str | None = None, end: str | None = None) -> DataFrame:
     """Factors at every rebalance date from the window-th date on; kept, since scores, groups and correlations share them."""
-    dates = returns.rebalance_dates(rets, s.rebalance, s.window)
+    dates = returns.rebalance_dates(rets, s.rebalance, s.window, start, end)
     return materialised(factors.compute_factors(rets, returns.equal_weight_benchmark(rets), dates, s.window, in_order=in_order))
 
 
-def rolling_backtest(spark: SparkSession, rets: DataFrame, s: Settings, schemes: dict[str, dict[str, float]] | None = None) -> Run:
+def rolling_backtest(spark: SparkSession, rets: DataFrame, s: Settings, schemes: dict[str, dict[str, float]] | None = None, start: str | None = None, end: str | None = None) -> Run:
     """All rebalance dates and schemes in one job; the experiment is the scheme."""
     table = scoring.scheme_table(spark, schemes or {scoring.DEFAULT: scoring.SCHEMES[scoring.DEFAULT]})
-    return Run(rets, s, table)
+    return Run(rets, s, table, start, end)
+
+
+def _some(df: DataFrame, what: str) -> DataFrame:
+    if df.isEmpty():
+        raise ValueError(f"the backtest has {what}")
+    return df
+
 
+def rolling_job(spark: SparkSession, nav: DataFrame, universe: DataFrame, s: Settings, folder: str | None = None, start: str | None = None, end: str | None = None) -> tuple[Run, DataFrame]:
+    """From NAV to the report: (run, manifest). ``universe``: (fund_code, pos).
 
-def rolling_job(spark: SparkSession, nav: DataFrame, universe: DataFrame, s: Settings, folder: str | None = None) -> tuple[Run, DataFrame]:
-    """From NAV to the report: (run, manifest). ``universe``: (fund_code, pos). With ``folder`` curve, holdings, trades, metrics,
-    summary and manifest are written there."""
+    Rebalances lie from ``start`` (``since`` by default) to ``end`` (the last date). No NAV, no returns, fewer than two dates, no
+    rebalance date with enough history and no fund to hold are errors. With ``folder`` curve, holdings, trades, metrics, summary
+    and manifest are written there.
+    """
+    start = start or s.since
     funds = universe.orderBy("pos").limit(s.universe_limit)
-    rows = sources.drop_null_nav(sources.load_nav(nav, funds, s.since, s.min_history))
-    run = rolling_backtest(spark, materialised(returns.to_returns(rows)), s)
-    manifest = sources.run_manifest(funds, **s.__dict__)
+    rows = _some(materialised(sources.drop_null_nav(sources.load_nav(nav, funds, s.since, s.min_history))), "no NAV of its funds")
+    rets = _some(materialised(returns.to_returns(rows)), "no returns")
+    dates = materialised(within(rets.select("date").distinct(), start, end))
+    if dates.limit(2).count() < 2:
+        raise ValueError("the backtest has fewer than two dates")
+    first = returns.date_index(dates).where(F.col("idx") == s.window)
+    if first.isEmpty() or returns.rebalance_dates(dates, s.rebalance, s.window).isEmpty():
+        raise ValueError("the backtest has no rebalance date with enough history")
+    run = rolling_backtest(spark, rets, s, start=start, end=end)
+    _some(run.holdings, "no fund to hold")
+    _some(run.curve, "no day after a rebalance")
+    days = run.curve.agg(F.min("date"), F.max("date")).first()
+    asked = {"requested_start": start, "requested_end": end or str(rets.agg(F.max("date")).first()[0]), "effective_start": str(days[0]), "effective_end": str(days[1])}
+    manifest = sources.run_manifest(funds, **asked, **s.__dict__, nav_rows=rows.count(), holdings_count=run.holdings.count(), trades_count=run.trades.count())
     if folder is not None:
         tables = {"curve": run.curve, "holdings": run.holdings, "trades": run.trades, "metrics": run.metrics, "summary": run.summary, "manifest": manifest}
         for name, table in tables.items():
@@ -159,13 +192,20 @@ def factor_diagnostics(run: Run, rets: DataFrame, weights: dict[str, float], gro
 
 
 def daily_run(spark: SparkSession, nav: DataFrame, universe: DataFrame, s: Settings, as_of: str) -> dict[str, DataFrame]:
-    """Loads NAV, scores the latest date, checks data and scores and builds the portfolio to store."""
-    rows = materialised(sources.load_nav(nav, universe, s.since, s.min_history))
+    """Loads NAV, scores the latest date, checks data and scores, builds the portfolio to store, and says so in a manifest.
+    ``universe``: (fund_code, pos)."""
+    funds = materialised(universe)
+    rows = materialised(sources.load_nav(nav, funds, s.since, s.min_history))
     rets = materialised(returns.to_returns(rows))
     f = materialised(factors.compute_factors(rets, returns.equal_weight_benchmark(rets), factors.latest(rets), s.window))
-    scores = scoring.score_funds(f, scoring.scheme_table(spark, {scoring.DEFAULT: scoring.SCHEMES[scoring.DEFAULT]}))
-    held = portfolio.build_portfolio(scores, rets, s.top_n, s.window)
-    return {"scores": scores, "portfolio": held.select(F.col("as_of").alias("date"), "fund_code", *portfolio.WEIGHTS, "score", "rank"), "data_checks": quality.check_nav(rows, universe, as_of, rets), "score_checks": quality.check_scores(scores, universe.count(), s.top_n, factors=True)}
+    scores = materialised(scoring.score_funds(f, scoring.scheme_table(spark, {scoring.DEFAULT: scoring.SCHEMES[scoring.DEFAULT]})))
+    held = materialised(portfolio.build_portfolio(scores, rets, s.top_n, s.window))
+    checks = materialised(quality.check_nav(rows, funds, as_of, rets))
+    risks = materialised(quality.check_scores(scores, funds.count(), s.top_n, factors=True))
+    warnings = checks.groupBy("check").count().unionByName(risks.groupBy("check").count())
+    found = {r["check"]: r["count"] for r in warnings.collect()}  # one for each kind of check
+    manifest = sources.run_manifest(funds, run_date=as_of, **s.__dict__, nav_rows=rows.count(), scores_count=scores.count(), portfolio_count=held.count(), warnings=json.dumps(found, sort_keys=True))
+    return {"scores": scores, "portfolio": held.select(F.col("as_of").alias("date"), "fund_code", *portfolio.WEIGHTS, "score", "rank"), "data_checks": checks, "score_checks": risks, "manifest": manifest}
 
 
 def store_daily(result: dict[str, DataFrame], stored: DataFrame, folder: str) -> None:

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fundlake.sources.tables import materialised, ship_package
+
 TRADING_DAYS = 252
 FACTORS = ("ann_return", "ann_vol", "down_vol", "mdd", "sharpe", "ir")
 _OLD = {"annual_return": "ann_return", "annual_vol": "ann_vol", "downside_vol": "down_vol", "max_drawdown": "mdd", "information_ratio": "ir"}
@@ -42,115 +47,134 @@ def trailing(rows: DataFrame, windows: DataFrame, width: int) -> DataFrame:
     return rows.withColumn("bucket", F.floor((F.col("rn") - 1) / width)).join(touched, ["fund_code", "bucket"]).where((F.col("rn") > F.col("lo")) & (F.col("rn") <= F.col("hi"))).drop("bucket")
 
 
-_MOMENTS = {"n": F.count, "mean": F.avg, "var": F.var_pop, "min": F.min, "max": F.max}
-
-
-def _moments(series: dict[str, Column], over) -> list[Column]:  # noqa: ANN001
-    """_MOMENTS of each series so far in the order of ``over``; Spark's running variance doesn't cancel."""
-    return [f(x).over(over).alias(f"{name}_{k}") for name, x in series.items() for k, f in _MOMENTS.items()]
-
-
-def _together(a: Column, b: Column, name: str) -> tuple[Column, Column, Column]:
-    """Count, mean and standard deviation of a series over two neighbouring segments, from those of each; either may be null.
-    Values that are all alike have a deviation of exactly 0."""
-    part = lambda s, k: F.coalesce(s[f"{name}_{k}"], F.lit(0)).cast("double")
-    na, ma, va, nb, mb, vb = (part(s, k) for s in (a, b) for k in ("n", "mean", "var"))
-    n = F.nullif(na + nb, F.lit(0.0))
-    apart = F.when((na > 0) & (nb > 0), (mb - ma) * (mb - ma) * na * nb / n).otherwise(0.0)
-    alike = F.least(a[f"{name}_min"], b[f"{name}_min"]) == F.greatest(a[f"{name}_max"], b[f"{name}_max"])
-    return n, (na * ma + nb * mb) / n, F.when(alike, 0.0).otherwise(F.sqrt((na * va + nb * vb + apart) / n))
-
+class _Moments:
+    """Counts, means, sums of squared distances, lowest and highest values of the segments of one series.
 
-def window_segments(rows: DataFrame, window: int) -> DataFrame:
-    """``rows`` (fund_code, date, rn, ret, excess, ...) with ``early`` and ``late``, structs of what is needed of two segments.
+    ``x`` has a bucket for each row and nan where there is no value. Sums are taken of distances from a value that is always one
+    of those summed, the bucket's first for its beginnings and its last for its ends: nothing large is ever subtracted, and
+    nothing after a row bears on it.
+    """
 
-    Each fund's rows fall into buckets of ``window``. Its last ``window`` rows up to any row are the end of one bucket and the
-    beginning of the next, or one whole bucket: ``late`` sums up the row's bucket up to the row, ``early`` the bucket before from
-    ``window`` - 1 rows back to its end (null where ``late`` is all). So every window is two segments, whatever its length, and no
-    row is copied to the windows that hold it. A segment has moments, the product of 1 + ret, the highest and lowest product of
-    its first rows, and its deepest drawdown; these merge, see drawdown(). All is by fund: one shuffle.
+    def __init__(self, x: np.ndarray) -> None:
+        there = ~np.isnan(x)
+        filled = np.where(there, x, 0.0)
+        self.centres = filled[:, 0], filled[:, -1]
+        self.sums = []
+        for centre, turn in zip(self.centres, (slice(None), slice(None, None, -1)), strict=True):
+            y = np.where(there, filled - centre[:, None], 0.0)
+            self.sums.append([np.cumsum(p[:, turn], 1)[:, turn] for p in (there.astype(float), y, y * y)])
+        low, high = np.where(there, filled, np.inf), np.where(there, filled, -np.inf)
+        self.low = (np.minimum.accumulate(low, 1), np.minimum.accumulate(low[:, ::-1], 1)[:, ::-1])
+        self.high = (np.maximum.accumulate(high, 1), np.maximum.accumulate(high[:, ::-1], 1)[:, ::-1])
+
+    def of(self, late: tuple[np.ndarray, np.ndarray], early: tuple[np.ndarray, np.ndarray], both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(mean, deviation) of windows: the beginnings of buckets at ``late`` and, where ``both``, the ends at ``early``. Values that
+        are all alike have a deviation of exactly 0; no value gives nan."""
+        n, s, q = (x[late] for x in self.sums[0])
+        m, t, r = (np.where(both, x[early], 0.0) for x in self.sums[1])
+        mean_late, mean_early = self.centres[0][late[0]] + s / np.maximum(n, 1), self.centres[1][early[0]] + t / np.maximum(m, 1)
+        total = np.where(n + m > 0, n + m, np.nan)
+        apart = np.where((n > 0) & (m > 0), (mean_late - mean_early) ** 2 * n * m / total, 0.0)
+        squares = (q - s * s / np.maximum(n, 1)) + (r - t * t / np.maximum(m, 1)) + apart
+        lowest = np.minimum(self.low[0][late], np.where(both, self.low[1][early], np.inf))
+        highest = np.maximum(self.high[0][late], np.where(both, self.high[1][early], -np.inf))
+        return (n * mean_late + m * mean_early) / total, np.where(lowest == highest, 0.0, np.sqrt(np.maximum(squares, 0.0) / total))
+
+
+def merged_drawdowns(growth: np.ndarray, late: tuple[np.ndarray, np.ndarray], early: tuple[np.ndarray, np.ndarray], both: np.ndarray) -> np.ndarray:
+    """The deepest drawdown of windows of two segments: within either, or from the first's peak to the second's lowest.
+
+    ``growth``: 1 + ret by buckets, all positive. Rounded to twelve places, so that it doesn't show where segments meet.
+    """
+    w = np.cumprod(growth, 1)
+    deep = np.minimum.accumulate(w / np.maximum.accumulate(w, 1), 1)
+    high = np.maximum.accumulate(w[:, ::-1], 1)[:, ::-1]
+    low = np.minimum.accumulate(w[:, ::-1], 1)[:, ::-1]
+    rest = np.minimum.accumulate((low / w)[:, ::-1], 1)[:, ::-1]
+    # the end of a bucket from a row on, over the product before the row: what is common to product and peak falls out
+    across = w[early[0], -1] * np.minimum.accumulate(w, 1)[late] / high[early]
+    return np.round(np.minimum(deep[late], np.where(both, np.minimum(rest[early], across), np.inf)) - 1, 12)
+
+
+def drawdowns_in_order(growth: np.ndarray, ends: np.ndarray, window: int) -> np.ndarray:
+    """The deepest drawdown of the last ``window`` values up to each of ``ends``, by products taken in order; nan where no product
+    before is positive."""
+    out = np.empty(len(ends))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        w = np.cumprod(growth[:window])  # windows that begin with the series
+        deep = np.fmin.accumulate(w / _peak(w))
+        out[ends < window] = deep[ends[ends < window]]
+        for lo in range(0, len(ends), step := max(1, 2_000_000 // window)):
+            some = np.flatnonzero(ends[lo : lo + step] >= window) + lo
+            w = np.cumprod(growth[ends[some][:, None] + np.arange(1 - window, 1)], 1)
+            out[some] = np.fmin.reduce(w / _peak(w), 1)
+    return out - 1
+
+
+def _peak(w: np.ndarray) -> np.ndarray:
+    top = np.maximum.accumulate(w, -1)
+    return np.where(top == 0, np.nan, top)
+
+
+def fund_factors(ret: np.ndarray, excess: np.ndarray, ends: np.ndarray, window: int, in_order: bool) -> list[np.ndarray]:
+    """FACTORS of one fund over its last ``window`` rows up to each of ``ends``, places from 0.
+
+    Rows fall into buckets of ``window``: any window is the end of one bucket and the beginning of the next, or one bucket's
+    beginning alone. Sums, peaks and lows from both ends of the buckets so give every window, whatever their number.
     """
-    bucket = F.floor((F.col("rn") - 1) / window)
-    series = {"ret": F.col("ret"), "loss": F.when(F.col("ret") < 0, F.col("ret")), "excess": F.col("excess")}
-    keep = [*rows.columns]
-    names = [f"{s}_{k}" for s in series for k in _MOMENTS]
-    down = Window.partitionBy("fund_code", "_bucket").orderBy("rn")
-    up = Window.partitionBy("fund_code", "_bucket").orderBy(F.desc("rn"))
-    out = rows.withColumn("_bucket", bucket).withColumn("_w", F.product(1 + F.col("ret")).over(down))
-    out = out.select("*", F.max("_w").over(down).alias("high"), F.min("_w").over(down).alias("low"), *_moments(series, down))
-    out = out.withColumn("deep", F.min(F.try_divide(F.col("_w"), F.col("high"))).over(down))
-    out = out.select(*keep, "_bucket", "_w", F.struct(F.col("_w").alias("product"), "high", "low", "deep", *names).alias("late"))
-    # from a row to the end of its bucket: products of first rows are those of the bucket over that before the row
-    out = out.select("*", F.product(1 + F.col("ret")).over(up).alias("product"), F.max("_w").over(up).alias("_high"), F.min("_w").over(up).alias("_low"), *_moments(series, up))
-    before = F.try_divide(F.col("_w"), 1 + F.col("ret"))
-    out = out.withColumn("deep", F.min(F.try_divide(F.col("_low"), F.col("_w"))).over(up)).withColumn("high", F.try_divide(F.col("_high"), before)).withColumn("low", F.try_divide(F.col("_low"), before))
-    rest = F.struct("product", "high", "low", "deep", *names)
-    fund = Window.partitionBy("fund_code").orderBy("rn")
-    inside = (F.col("rn") > window) & (F.col("rn") % window != 0)
-    return out.withColumn("early", F.when(inside, F.lag(rest, window - 1).over(fund))).select(*keep, "early", "late")
-
-
-def drawdown(early: Column, late: Column) -> Column:
-    """The deepest drawdown over two neighbouring segments: within either, or from the first's peak to the second's lowest. For
-    returns above -100 %. Rounded to twelve places, so that it doesn't show where the segments meet."""
-    across = F.try_divide(early["product"] * late["low"], early["high"])
-    return F.round(F.least(early["deep"], late["deep"], across) - 1, 12)
-
-
-def drawdowns_in_order(rows: DataFrame, window: int, wanted: Column) -> DataFrame:
-    """(fund_code, hi, direct): the deepest drawdown of the last ``window`` rows up to each row ``wanted``, by products taken in
-    the order of the rows. A fund's history is one array, bounded by its days, and a window a slice of it: no row is copied."""
-    history = rows.groupBy("fund_code").agg(F.sort_array(F.collect_list(F.struct("rn", "ret"))).alias("all"), F.collect_list(F.when(wanted, F.col("rn"))).alias("ends"))
-    start = F.struct(F.lit(1.0).alias("w"), F.lit(float("-inf")).alias("top"), F.lit(None).cast("double").alias("deep"))
-
-    def step(state: Column, x: Column) -> Column:
-        w = state["w"] * (1 + x["ret"])
-        top = F.greatest(state["top"], w)
-        return F.struct(w.alias("w"), top.alias("top"), F.least(state["deep"], F.try_divide(w, top)).alias("deep"))
-
-    held = lambda hi: F.slice("all", F.greatest(hi - window, F.lit(0)) + 1, window - F.greatest(window - hi, F.lit(0)))
-    deepest = F.transform("ends", lambda hi: F.struct(hi.alias("hi"), (F.aggregate(held(hi), start, step, lambda z: z["deep"]) - 1).alias("direct")))
-    return history.select("fund_code", F.inline(deepest))
+    n = -(-len(ret) // window)
+    folded = lambda x, fill: np.concatenate([x, np.full(n * window - len(x), fill)]).reshape(n, window)
+    late = np.divmod(ends, window)
+    both = (ends >= window) & ((ends + 1) % window != 0)
+    early = np.divmod(np.maximum(ends - window + 1, 0), window)
+    at = (late, early, both)
+    (mean, sd), (_, loss), (more, spread) = (_Moments(folded(x, np.nan)).of(*at) for x in (ret, np.where(ret < 0, ret, np.nan), excess))
+    ruined = in_order or bool((ret <= -1).any())  # products don't merge then
+    mdd = drawdowns_in_order(1 + ret, ends, window) if ruined else merged_drawdowns(folded(1 + ret, 1.0), *at)
+    year = math.sqrt(TRADING_DAYS)
+    ratio = lambda a, b: np.where(b > 0, a / np.where(b > 0, b, 1.0), np.nan) * year
+    return [mean * TRADING_DAYS, sd * year, loss * year, mdd, ratio(mean, sd), ratio(more, spread)]
+
+
+def _by_fund(group: pa.Table, window: int, required: int, last: int, in_order: bool) -> pa.Table:
+    """(fund_code, k, FACTORS) of one fund's (fund_code, date, ret, bench_ret, k); its history is bounded by its days."""
+    group = group.take(pc.sort_indices(group, [("date", "ascending")]))
+    number = lambda c: group[c].to_numpy(zero_copy_only=False).astype(float)
+    ret, k = number("ret"), number("k")
+    # a row ends the periods from its own to the one before the next row's; rows after the last rebalance end none
+    k = np.where(np.isnan(k), last + 1, k).astype(np.int64)
+    until = np.append(k[1:], last + 1) - 1
+    ends = np.flatnonzero((until >= k) & (np.arange(len(k)) + 1 >= required))
+    values = fund_factors(ret, ret - number("bench_ret"), ends, window, in_order)
+    times = until[ends] - k[ends] + 1
+    at = np.repeat(np.arange(len(ends)), times)
+    periods = k[ends][at] + np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+    columns = [group["fund_code"].take(pa.array(np.zeros(len(at), np.int64))), pa.array(periods), *(pa.array(v[at], mask=np.isnan(v[at])) for v in values)]
+    return pa.table(columns, names=["fund_code", "k", *FACTORS])
 
 
 def compute_factors(returns: DataFrame, benchmark: DataFrame, rebalances: DataFrame, window: int = 126, min_observations: int | None = None, in_order: bool = False) -> DataFrame:
     """(as_of, fund_code) and FACTORS over each fund's last ``window`` rows up to as_of; funds with fewer than the required rows
     are left out, those that stopped reporting are not. A ratio over a zero deviation is null.
 
-    Drawdowns are merged of two segments; with ``in_order`` they are those of products from each window's first row on, which
-    differ in the last bits. ``returns`` should be a stored table: its dates are read first, and whether a return is -100 % or
-    less, for then products don't merge and such funds' drawdowns are taken in order.
+    One shuffle, by fund; no row is copied to the windows that hold it. Drawdowns are merged of two segments; with ``in_order``,
+    and for funds that once lost all, they are those of products from each window's first row on, which differ in the last bits.
     """
     required = window if min_observations is None else min_observations
     if not 2 <= required <= window:
         raise ValueError("2 <= min_observations <= window is required")
+    ship_package(returns.sparkSession)
     # dates and rebalances: some thousand rows; each date belongs to the first rebalance on or after it
     place = Window.orderBy("as_of")
-    numbers = rebalances.select("as_of").distinct().withColumn("k", F.row_number().over(place)).withColumn("after", F.coalesce(F.lag("as_of").over(place), F.lit("0001-01-01").cast("date")))
+    numbers = materialised(rebalances.select("as_of").distinct().withColumn("k", F.row_number().over(place)).withColumn("after", F.coalesce(F.lag("as_of").over(place), F.lit("0001-01-01").cast("date"))))
+    last = numbers.count()
     dates = returns.select("date").distinct().join(benchmark, "date", "left")
     dates = dates.join(F.broadcast(numbers), (F.col("date") > F.col("after")) & (F.col("date") <= F.col("as_of")), "left").select("date", "bench_ret", "k")
-    last = numbers.agg(F.max("k")).scalar()
-    rows = numbered(returns).join(F.broadcast(dates), "date", "left")
-    fund = Window.partitionBy("fund_code").orderBy("rn")
-    # a fund's last row of a period stands for the periods after it too, until its next row
-    rows = rows.select("fund_code", "date", "rn", "ret", (F.col("ret") - F.col("bench_ret")).alias("excess"), "k", (F.coalesce(F.lead("k").over(fund), last + 1) - 1).alias("until"))
-    wanted = (F.col("until") >= F.col("k")) & (F.col("rn") >= required)
-    ends = window_segments(rows, window).where(wanted)
-    early, late = F.col("early"), F.col("late")
-    year = math.sqrt(TRADING_DAYS)
-    ratio = lambda m, s: F.try_divide(m, F.nullif(s, F.lit(0.0))) * year
-    (_, mean, sd), (_, _, loss_sd), (_, excess, excess_sd) = (_together(early, late, x) for x in ("ret", "loss", "excess"))
-    values = ends.select(
-        "fund_code", F.col("rn").alias("hi"), F.explode(F.sequence("k", "until")).alias("k"), (mean * TRADING_DAYS).alias("ann_return"), (sd * year).alias("ann_vol"),
-        (loss_sd * year).alias("down_vol"), drawdown(early, late).alias("mdd"), ratio(mean, sd).alias("sharpe"), ratio(excess, excess_sd).alias("ir"),
-    )
-    out = values.join(F.broadcast(numbers.select("k", "as_of")), "k")
-    ruined = returns.where("ret <= -1").select("fund_code").distinct()
-    if in_order or not ruined.isEmpty():
-        own = rows if in_order else rows.join(ruined, "fund_code", "left_semi")
-        direct = drawdowns_in_order(own, window, wanted).withColumn("taken", F.lit(True))
-        out = out.join(direct, ["fund_code", "hi"], "left").withColumn("mdd", F.when(F.col("taken"), F.col("direct")).otherwise(F.col("mdd")))
-    return out.select("as_of", "fund_code", *FACTORS)
+    rows = returns.select("fund_code", "date", "ret").join(F.broadcast(dates), "date")
+    one = lambda group: _by_fund(group, window, required, last, in_order)
+    kind = "fund_code string, k long, " + ", ".join(f"{f} double" for f in FACTORS)
+    out = rows.groupBy("fund_code").applyInArrow(one, kind)
+    return out.join(F.broadcast(numbers.select("k", "as_of")), "k").select("as_of", "fund_code", *FACTORS)
 
 
 def rename_factor_columns(df: DataFrame) -> DataFrame:

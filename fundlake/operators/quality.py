@@ -41,10 +41,12 @@ def check_nav(nav: DataFrame, universe: DataFrame, as_of: str, returns: DataFram
     return out
 
 
-def has_return_metadata(nav: DataFrame, codes: DataFrame | None = None) -> DataFrame:
-    """One row: true if 95 % of the rows have a daily return or accumulated NAV; false without rows."""
+def has_return_metadata(nav: DataFrame, codes: DataFrame | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, has_metadata): true if 95 % of the rows, of ``codes`` if they are given, have a daily return or accumulated NAV; one
+    row without keys, false if there are no rows."""
     rows = nav if codes is None else nav.join(codes.select("fund_code").distinct(), "fund_code", "left_semi")
-    return rows.agg((F.coalesce(F.avg((F.col("daily_return").isNotNull() | F.col("acc_nav").isNotNull()).cast("double")), F.lit(0.0)) >= 0.95).alias("has_metadata"))
+    covered = F.avg((F.col("daily_return").isNotNull() | F.col("acc_nav").isNotNull()).cast("double"))
+    return rows.groupBy(*keys).agg((F.coalesce(covered, F.lit(0.0)) >= 0.95).alias("has_metadata"))
 
 
 def check_scores(scores: DataFrame, expected: int, top: int, factors: bool = False) -> DataFrame:

@@ -111,8 +111,8 @@ def score_funds(factors: DataFrame, weights: DataFrame, pure_sharpe_only: bool =
     parts = ("n", "differ", "lo", "hi", "med", "mean", "sd", "mad")
     found = cross_section(long_factors(factors), held=held).where("n > 1 and differ")
     found = found.groupBy("as_of").agg(*(F.max(F.when(F.col("factor") == f, F.struct(*parts))).alias(f"_{f}") for f in names))  # a row for each date
-    schemes = weights.groupBy("scheme").agg(F.map_from_entries(F.collect_list(F.struct("factor", "weight"))).alias("_by"))
-    schemes = schemes.agg(F.collect_list(F.struct("scheme", "_by"))).scalar()
+    by = (F.max(F.when(F.col("factor") == f, F.col("weight"))).alias(f"w_{f}") for f in names)
+    schemes = weights.groupBy("scheme").agg(*by).agg(F.collect_list(F.struct("scheme", *(f"w_{f}" for f in names)))).scalar()
 
     def z(f: str) -> Column:
         s = F.col(f"_{f}")
@@ -121,7 +121,8 @@ def score_funds(factors: DataFrame, weights: DataFrame, pure_sharpe_only: bool =
 
     rows = factors.join(F.broadcast(found), "as_of").select("as_of", "fund_code", *map(z, names), *(F.col(f"_{f}").isNotNull().alias(f"_{f}") for f in names))
     rows = rows.select("*", F.inline(schemes))
-    weight = {f: F.when(F.col(f"_{f}"), F.try_element_at("_by", F.lit(f))) for f in names}  # null where it isn't used
+    rows = rows.withColumns({f"w_{f}": F.when(F.col(f"_{f}"), F.col(f"w_{f}")) for f in names})  # null where it isn't used
+    weight = {f: F.col(f"w_{f}") for f in names}
     sums = lambda xs: reduce(lambda a, b: a + b, xs)
     counts = {f: F.coalesce(w != 0, F.lit(False)) for f, w in weight.items()}
     total = sums(F.when(counts[f], weight[f] * F.coalesce(F.col(f"z_{f}"), F.lit(0.0))).otherwise(0.0) for f in names)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fundlake.functions.codes import EQUITY_TYPES, INDEX_TYPE, SPECIAL, base_name, share_class, six_digits, type_reason
-from fundlake.sources.nav import as_date, first_rows
+from fundlake.sources.nav import POSITION, as_date, first_rows, with_position, write_result
+from fundlake.sources.tables import materialised
 
 #: Catalogue column -> candidate names, any case, then as a part of a name (fixed values).
 ALIASES = {
@@ -20,14 +21,27 @@ ALIASES = {
 ITEMS = {"基金名称": "fund_name", "基金类型": "fund_type", "基金公司": "fund_company", "成立时间": "inception_date"}
 
 
+#: What nav_quality() adds to the audit, null before NAV is looked at.
+NAV_FACTS = {"data_start": "date", "data_end": "date", "nav_days": "long", "data_coverage": "double", "zero_return_ratio": "double"}
+#: Columns of the audit and of the list of retained funds as they are written (fixed values).
+AUDIT_COLUMNS = (
+    "fund_code", "fund_name", "fund_type", "base_fund_code", "share_class", "fund_company", "inception_date", "data_start", "data_end",
+    "data_coverage", "nav_days", "zero_return_ratio", "metadata_warning", "status", "exclude_reason", "metadata_as_of",
+)
+RETAINED_COLUMNS = AUDIT_COLUMNS[:12]
+
+
 def _column(df: DataFrame, names: tuple[str, ...]) -> str | None:
-    lower = {c.strip().lower(): c for c in df.columns}
+    columns = [c for c in df.columns if c != POSITION]
+    lower = {c.strip().lower(): c for c in columns}
     exact = next((lower[n] for n in names if n in lower), None)
-    return exact or next((c for c in df.columns if any(n in c.lower() for n in names)), None)
+    return exact or next((c for c in columns if any(n in c.lower() for n in names)), None)
 
 
 def normalize_catalog(raw: DataFrame, order: str | None = None) -> DataFrame:
-    """Strings (fund_code, fund_name, fund_type, fund_company, inception_date); the first row of a six-digit code stays."""
+    """Strings (fund_code, fund_name, fund_type, fund_company, inception_date); the first row of a six-digit code stays, by
+    ``order``, or by POSITION where it is, or by all columns."""
+    order = order or (POSITION if POSITION in raw.columns else None)
     found = {new: _column(raw, names) for new, names in ALIASES.items()}
     if found["fund_code"] is None:
         raise ValueError("the catalogue has no code column")
@@ -114,6 +128,7 @@ def build_universe(
     rows = rows.withColumn("metadata_warning", F.when(unknown, "INCEPTION_UNKNOWN").otherwise("")).withColumn("metadata_as_of", F.lit(as_of))
     if stage == "prepare":
         audit = rows.withColumn("status", F.when(F.col("exclude_reason") == "", "candidate").otherwise("excluded"))
+        audit = audit.withColumns({c: F.lit(None).cast(t) for c, t in NAV_FACTS.items()})
         return audit, rows.where("exclude_reason = ''").orderBy("pick").limit(candidate_limit).select("fund_code", "pick")
     quality = nav_quality(nav, rows.where("exclude_reason = ''").select("fund_code"), start, end, min_history, min_coverage, zero_share)
     rows = rows.join(quality, "fund_code", "left")
@@ -125,8 +140,8 @@ def build_universe(
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """The catalogue in a CSV file with a header, all strings, normalised."""
-    return normalize_catalog(spark.read.csv(path, header=True))
+    """The catalogue in CSV files with a header, all strings, normalised; a code's first row stays."""
+    return normalize_catalog(with_position(spark.read.csv(path, header=True)))
 
 
 def universe_summary(audit: DataFrame) -> DataFrame:
@@ -137,3 +152,19 @@ def universe_summary(audit: DataFrame) -> DataFrame:
 def universe_review(audit: DataFrame) -> DataFrame:
     odd = F.col("exclude_reason").isin("UNKNOWN_SHARE_CLASS", "METADATA_MISSING", "NAME_COLLISION")
     return audit.where(odd | (F.col("metadata_warning") != "") if "metadata_warning" in audit.columns else odd)
+
+
+def retained_funds(audit: DataFrame) -> DataFrame:
+    """RETAINED_COLUMNS of the funds that a finalised audit retains, by code."""
+    return audit.where("status = 'retained'").select(*RETAINED_COLUMNS).orderBy("fund_code")
+
+
+def write_universe(audit: DataFrame, keep: DataFrame, folder: str) -> None:
+    """The audit, the kept codes, what is to be reviewed, the summary and, once finalised, the retained funds, as tables under
+    ``folder``."""
+    audit = materialised(audit)
+    tables = {"audit": audit.select(*AUDIT_COLUMNS), "pool": keep.select("fund_code"), "review": universe_review(audit).select(*AUDIT_COLUMNS), "summary": universe_summary(audit)}
+    if audit.where("status = 'candidate'").isEmpty():
+        tables["retained"] = retained_funds(audit)
+    for name, table in tables.items():
+        write_result(table, f"{folder}/{name}")

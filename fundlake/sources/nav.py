@@ -33,9 +33,20 @@ def pick(columns: list[str], aliases: tuple[str, ...]) -> str | None:
     return next((a for a in aliases if a in columns), None)
 
 
+#: A row's place in its files, where it has been kept: files by name, their parts in order, rows as they come in a part.
+POSITION = "_position"
+
+
+def with_position(df: DataFrame) -> DataFrame:
+    """``df``, just read from files, with POSITION. A file's parts may be read anywhere: a number that Spark gives to rows orders
+    those of one part only, so the file and where its part begins come first."""
+    return df.withColumn(POSITION, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("row")))
+
+
 def resolve_nav_source(tables: dict[str, DataFrame]) -> DataFrame:
     """The first table, preferred names first, with a fund, a date and a NAV column, as (fund_code, date, nav, acc_nav,
-    daily_return) strings and numbers as they are; absent optional columns are null. No such table is an error."""
+    daily_return) strings and numbers as they are, and POSITION where it is; absent optional columns are null. No such table is an
+    error."""
     names = [n for n in PREFERRED_TABLES if n in tables] + [n for n in tables if n not in PREFERRED_TABLES]
     for name in names:
         df = tables[name]
@@ -43,18 +54,21 @@ def resolve_nav_source(tables: dict[str, DataFrame]) -> DataFrame:
         if all(found):
             acc = pick(df.columns, ACC_NAV_COLUMNS)
             optional = [F.col(f"`{acc}`") if acc else F.lit(None), F.col("daily_return") if "daily_return" in df.columns else F.lit(None)]
-            return df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(found, ("fund_code", "date", "nav"), strict=True)), optional[0].cast("double").alias("acc_nav"), optional[1].cast("double").alias("daily_return"))
+            named = [F.col(f"`{c}`").alias(n) for c, n in zip(found, ("fund_code", "date", "nav"), strict=True)]
+            place = [POSITION] if POSITION in df.columns else []
+            return df.select(*named, as_double(optional[0]).alias("acc_nav"), as_double(optional[1]).alias("daily_return"), *place)
     raise ValueError("no table holds a fund, a date and a NAV column")
 
 
 def read_nav(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """NAV rows of files, with POSITION, which is an order for load_nav()."""
     reader = spark.read.format(fmt)
-    return resolve_nav_source({"input": (reader.option("header", True) if fmt == "csv" else reader).load(path)})
+    return resolve_nav_source({"input": with_position((reader.option("header", True) if fmt == "csv" else reader).load(path))})
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list[Column | str] | None = None) -> DataFrame:
     """The first row for each key by ``order``; without an order, by all other columns, since Spark has no row order."""
-    order = order or [c for c in df.columns if c not in keys]
+    order = order or [c for c in df.columns if c not in keys] or [F.lit(1)]
     rn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rn", rn).where("_rn = 1").drop("_rn")
 
@@ -85,26 +99,37 @@ def merge_nav_feeds(unit: DataFrame, accumulated: DataFrame) -> DataFrame:
 
 
 def extract_codes(df: DataFrame, order: str | None = None) -> DataFrame:
-    """Distinct six-digit codes of the likeliest column, with ``pos``, the place of the first."""
-    column = pick(df.columns, UNIVERSE_COLUMNS)
+    """Distinct six-digit codes of the likeliest column, with ``pos``, the place of the first by ``order``, or by POSITION, or else
+    by the code itself, since rows have no order of their own."""
+    order = order or (POSITION if POSITION in df.columns else None)
+    df, place = (df.withColumn("_pos", F.col(order)).drop(POSITION), F.col("_pos")) if order else (df, None)
+    names = [c for c in df.columns if c != "_pos"]
+    column = pick(names, UNIVERSE_COLUMNS)
     if column is None:
-        has = df.agg(*(F.max(six_digits(F.col(f"`{c}`")) != "").alias(str(k)) for k, c in enumerate(df.columns))).first()
-        column = next((c for k, c in enumerate(df.columns) if has[k]), df.columns[0])
-    rows = df.select(six_digits(F.col(f"`{column}`")).alias("fund_code"), (F.col(order) if order else F.monotonically_increasing_id()).alias("pos"))
+        has = df.agg(*(F.max(six_digits(F.col(f"`{c}`")) != "").alias(str(k)) for k, c in enumerate(names))).first()
+        column = next((c for k, c in enumerate(names) if has[k]), names[0])
+    code = six_digits(F.col(f"`{column}`"))
+    rows = df.select(code.alias("fund_code"), (code if place is None else place).alias("pos"))
     return rows.where("fund_code <> ''").groupBy("fund_code").agg(F.min("pos").alias("pos"))
 
 
 def read_universe(spark: SparkSession, path: str) -> DataFrame:
-    return extract_codes(spark.read.option("header", True).csv(path))
+    """The codes of CSV files with a header, in the order of their rows."""
+    return extract_codes(with_position(spark.read.option("header", True).csv(path)))
 
 
 def load_universe(sources: list[DataFrame], limit: int) -> DataFrame:
-    """Codes of the sources in priority order, each code once, ``limit`` at most: a later source only fills up."""
-    parts = [extract_codes(s).withColumn("source", F.lit(k)) for k, s in enumerate(sources)]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return first_rows(rows, ["fund_code"], ["source", "pos"]).orderBy("source", "pos").limit(limit)
+    """(fund_code, source, pos): codes of the sources in priority order, each code once, ``limit`` at most: a later source only fills
+    up. ``pos`` counts from 0 in the order of all."""
+    parts = [extract_codes(s).select("fund_code", F.lit(k).alias("source"), "pos") for k, s in enumerate(sources)]
+    # places of different sources differ in type: each source's codes are numbered, ``limit`` of them at most
+    first = [p.orderBy("pos", "fund_code").limit(limit) for p in parts]
+    rows = None
+    for p in first:
+        numbered = p.withColumn("nth", F.row_number().over(Window.orderBy("pos", "fund_code"))).select("fund_code", "source", "nth")
+        rows = numbered if rows is None else rows.unionByName(numbered)
+    rows = first_rows(rows, ["fund_code"], ["source", "nth"]).orderBy("source", "nth").limit(limit)
+    return rows.select("fund_code", "source", (F.row_number().over(Window.orderBy("source", "nth")) - 1).alias("pos"))
 
 
 def load_nav(nav: DataFrame, universe: DataFrame | None = None, since: str | None = None, min_history: int = 0, order: str | None = None) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,20 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/fundlake-{uuid.uuid4().hex}"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Gives executors this package, once for a session, where they were not started with it on their path."""
+    context = spark.sparkContext
+    if getattr(context, "_fundlake_shipped", False):
+        return
+    context._fundlake_shipped = True
+    package = Path(__file__).resolve().parent.parent
+    target = Path(tempfile.mkdtemp(prefix="fundlake-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    context.addPyFile(str(target))
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: later steps start from a short plan, share the work and
     survive lost executors."""

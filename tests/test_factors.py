@@ -5,6 +5,7 @@ import random
 import statistics
 from datetime import date, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,11 +80,25 @@ def test_no_look_ahead(spark):
 
 
 def test_one_shuffle_of_the_returns(spark):
-    """The windows by fund and bucket need no exchange beside that by fund."""
+    """Returns are dealt by fund, and not again: the other exchanges are of dates and rebalances."""
     df, _ = _returns(spark, False)
-    rows = factors.numbered(df).withColumn("excess", F.col("ret"))
-    plan = factors.window_segments(rows, 20)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+    bench = returns.equal_weight_benchmark(df)
+    out = factors.compute_factors(df, bench, spark.createDataFrame([(DAY,)], "as_of date"), 20)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(fund_code") == 1
+
+
+def test_no_large_value_spoils_later_windows():
+    """A return of a million before a window leaves no trace in it, also in the same bucket."""
+    rng = np.random.default_rng(1)
+    ret = rng.normal(0, 0.01, 95)
+    ends = np.arange(19, 95)
+    clean = factors.fund_factors(ret, ret, ends, 20, False)
+    spoilt = ret.copy()
+    spoilt[3] = 1e6
+    got = factors.fund_factors(spoilt, spoilt, ends, 20, False)
+    for x, y in zip(clean, got, strict=True):
+        assert np.allclose(x[ends >= 23], y[ends >= 23], rtol=1e-9, atol=1e-12)
 
 
 def _rank(xs):
