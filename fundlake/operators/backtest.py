@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fundlake.operators.portfolio import WEIGHTS, normalised
 from fundlake.operators.returns import calendar_returns, date_index, equal_weight_benchmark
-from fundlake.sources.tables import materialised
+from fundlake.sources.tables import broadcast_if_small, materialised
 
 CURVES = {"strategy_gross": "gross_return", "strategy_net": "net_return", "equal_weight_benchmark": "benchmark_return"}
 
@@ -53,7 +53,11 @@ def simulate(returns: DataFrame, weights: DataFrame, benchmark: DataFrame | None
     targets = w.select("experiment", "as_of").distinct().join(F.broadcast(calendar.withColumnRenamed("date", "as_of")), "as_of")
     until = F.coalesce(F.lead("idx").over(Window.partitionBy("experiment").orderBy("idx")), calendar.agg(F.max("idx")).scalar())
     days = targets.withColumn("until", until).where("until > idx").select("experiment", "as_of", F.explode(F.sequence(F.col("idx") + 1, F.col("until"))).alias("idx")).join(F.broadcast(calendar), "idx")
-    held = days.join(w.where("w <> 0"), ["experiment", "as_of"]).join(returns.select("fund_code", "date", "ret"), ["fund_code", "date"], "left")
+    acting = w.where("w <> 0")
+    # only held funds' returns are dealt: a few, unless portfolios hold the whole universe
+    funds = broadcast_if_small(materialised(acting.select("fund_code").distinct()))
+    known = returns.select("fund_code", "date", "ret").join(funds, "fund_code", "left_semi")
+    held = days.join(acting, ["experiment", "as_of"]).join(known, ["fund_code", "date"], "left")
     daily = held.groupBy("experiment", "date").agg(
         F.sum(F.col("w") * F.coalesce("ret", F.lit(0.0))).alias("gross_return"),
         F.try_divide(F.sum(F.when(F.col("ret").isNotNull(), F.abs("w")).otherwise(0.0)), F.sum(F.abs("w"))).alias("return_coverage"),

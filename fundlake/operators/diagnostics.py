@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundlake.operators.factors import FACTORS, long_factors
+from fundlake.operators.ranks import HELD, row_numbers
 from fundlake.sources.tables import materialised
 
 
@@ -74,20 +75,21 @@ def bin_edges(n: Column, groups: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(groups - 1)), edge)
 
 
-def factor_groups(signals: DataFrame, forward: DataFrame, groups: int = 5) -> DataFrame:
+def factor_groups(signals: DataFrame, forward: DataFrame, groups: int = 5, held: int = HELD) -> DataFrame:
     """(as_of, factor, bin, mean_forward, funds) of ``signals`` (as_of, fund_code, factor, x, sign).
 
     Only dates with forward returns; a factor needs 2 * groups rows and as many distinct values as groups there. Ranks go by
-    x times sign, ties by code; bins are cut at the ranks' quantiles.
+    x times sign, ties by code; bins are cut at the ranks' quantiles. Cross-sections of more than ``held`` funds are ranked by
+    ranges instead of by one task each.
     """
+    keys = ["as_of", "factor"]
     rows = signals.withColumn("s", F.col("x") * F.col("sign")).where("s is not null").join(forward, ["as_of", "fund_code"]).where("forward_ret is not null")
-    over = Window.partitionBy("as_of", "factor")
-    rows = rows.withColumn("i", F.row_number().over(over.orderBy("s", "fund_code"))).withColumn("n", F.count("*").over(over))
-    rows = rows.withColumn("nth", F.dense_rank().over(over.orderBy("s")))
-    rows = rows.withColumn("kinds", F.max("nth").over(over))
-    rows = rows.where((F.col("n") >= 2 * groups) & (F.col("kinds") >= groups)).withColumn("edges", bin_edges(F.col("n"), groups))
+    rows = materialised(rows.select(*keys, "fund_code", "s", "forward_ret"))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct("s").alias("kinds")).where((F.col("n") >= 2 * groups) & (F.col("kinds") >= groups))
+    sizes = sizes.withColumn("edges", bin_edges(F.col("n"), groups))  # a row for each date and factor
+    rows = row_numbers(rows, keys, ["s", "fund_code"], "i", held).join(F.broadcast(sizes), keys)
     rows = rows.withColumn("bin", 1 + F.size(F.filter("edges", lambda e: F.col("i") > e)))
-    return rows.groupBy("as_of", "factor", "bin").agg(F.avg("forward_ret").alias("mean_forward"), F.count("*").alias("funds"))
+    return rows.groupBy(*keys, "bin").agg(F.avg("forward_ret").alias("mean_forward"), F.count("*").alias("funds"))
 
 
 def signals(factors: DataFrame, scores: DataFrame, weights: dict[str, float]) -> DataFrame:
