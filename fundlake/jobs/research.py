@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fundlake.operators import backtest, diagnostics, factors, portfolio, quality, returns, scoring
 from fundlake.sources import nav as sources
-from fundlake.sources.tables import materialised
+from fundlake.sources.tables import materialised, stored_by_fund
 
 
 @dataclass(frozen=True)
@@ -116,8 +116,8 @@ def rolling_job(spark: SparkSession, nav: DataFrame, universe: DataFrame, s: Set
     """
     start = start or s.since
     funds = universe.orderBy("pos").limit(s.universe_limit)
-    rows = _some(materialised(sources.drop_null_nav(sources.load_nav(nav, funds, s.since, s.min_history))), "no NAV of its funds")
-    rets = _some(materialised(returns.to_returns(rows)), "no returns")
+    rows = _some(stored_by_fund(sources.drop_null_nav(sources.load_nav(nav, funds, s.since, s.min_history))), "no NAV of its funds")
+    rets = _some(stored_by_fund(returns.to_returns(rows)), "no returns")
     dates = materialised(within(rets.select("date").distinct(), start, end))
     if dates.limit(2).count() < 2:
         raise ValueError("the backtest has fewer than two dates")

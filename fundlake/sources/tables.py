@@ -50,3 +50,14 @@ def materialised(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, rows: int = SMALL) -> DataFrame:
     """``df``, a stored table, marked for broadcast if it has ``rows`` rows at most; Spark shuffles it otherwise."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def stored_by_fund(df: DataFrame, buckets: int | None = None) -> DataFrame:
+    """``df`` as materialised() has it, in buckets of its funds, each sorted by fund and date: whatever works by fund afterwards,
+    windows, groups and joins, reads it without a shuffle. ``buckets``: as many as shuffles have partitions, unless told."""
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = shared_folder(spark)
+    name = "fundlake_" + path.rpartition("-")[2]
+    df.repartition(n, "fund_code").write.bucketBy(n, "fund_code").sortBy("fund_code", "date").option("path", path).saveAsTable(name)
+    return spark.table(name)

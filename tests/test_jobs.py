@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fundlake.jobs import research
-from fundlake.operators import backtest, portfolio, quality
+from fundlake.operators import backtest, factors, portfolio, quality, returns
+from fundlake.sources.tables import stored_by_fund
 
 D = date.fromisoformat
 NAV = "fund_code string, date date, nav double, acc_nav double, daily_return double"
@@ -61,6 +62,20 @@ def test_rolling_errors(spark, nav, funds, change, said):
         research.rolling_job(spark, nav.where(change.get("nav", "true")), funds, s, start=change.get("start"), end=change.get("end"))
 
 
+def test_work_by_fund_reads_buckets_without_a_shuffle(spark, nav):
+    """Returns, factors and the rows' numbers of a table in buckets of its funds: no exchange by fund, the same results."""
+    held = stored_by_fund(nav, 4)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rets = returns.to_returns(held)
+    assert "Exchange hashpartitioning(fund_code" not in plan(rets) and "Exchange hashpartitioning(fund_code" in plan(returns.to_returns(nav))
+    assert sorted(rets.collect()) == sorted(returns.to_returns(nav).collect())
+    kept = stored_by_fund(rets, 4)
+    bench, dates = returns.equal_weight_benchmark(kept), returns.rebalance_dates(kept, "month", 20)
+    found = factors.compute_factors(kept, bench, dates, 20)
+    assert "Exchange hashpartitioning(fund_code" not in plan(found) and "Exchange hashpartitioning(fund_code" not in plan(factors.numbered(kept))
+    assert sorted(map(str, found.collect())) == sorted(map(str, factors.compute_factors(rets, bench, dates, 20).collect()))
+
+
 def test_daily_run(spark, nav, funds, tmp_path):
     out = research.daily_run(spark, nav.where("fund_code <> '000003' or date < '2023-05-01'"), funds, SETTINGS, "2023-07-30")
     facts = json.loads(out["manifest"].first().facts)
