@@ -89,8 +89,14 @@ class Quantiser:
         return out
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows over the power of two above their largest component: cosines stay as they are to the last bit, and no square is too
+    large or too small for a double, however long or short a vector is."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def _matrix(values: pa.Array) -> np.ndarray:
-    return values.flatten().to_numpy().reshape(len(values), -1)  # of one length, without nulls
+    return scaled(values.flatten().to_numpy().reshape(len(values), -1))  # of one length, without nulls
 
 
 def _by_size(b: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -145,7 +151,7 @@ def _fitted(entries: DataFrame, n: int, sample_rows: int, max_lists: int) -> dic
     sizes = {r["size"]: (r["n"], r["v"]) for r in entries.groupBy("size").agg(F.count("*").alias("n"), F.min("v").alias("v")).toLocalIterator()}
     out = {}
     for d, (many, one) in sorted(sizes.items()):
-        sample = np.array(sorted(samples.get(d) or [one]), np.float64)
+        sample = scaled(np.array(sorted(samples.get(d) or [one]), np.float64))
         sample /= np.linalg.norm(sample, axis=1, keepdims=True)
         out[d] = Quantiser(sample, int(np.clip(np.sqrt(many) / 5, 1, max(1, max_lists * many // n))))
     return out
