@@ -54,7 +54,8 @@ def best_two_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray
 
     A bin takes the longest unpacked length that fits until none does. Then its smallest length is taken out if two
     unpacked ones fit its gap, so expanded, more tightly, which is repeated until no pair does better. In the end the loosest
-    bins are emptied and packed anew, longest length first, each into the fullest bin that holds it, if that needs fewer bins.
+    twentieth of the bins, which took what the others had left, is emptied and packed anew, longest length first, each into the
+    fullest bin that holds it, if that needs fewer bins.
     """
     order = np.argsort(-lengths, kind="stable")
     stock: list[list[int]] = [[] for _ in range(size + 1)]
@@ -116,21 +117,14 @@ def best_fit(lengths: np.ndarray, size: int) -> np.ndarray:
     return bins
 
 
-def _repacked(bins: np.ndarray, lengths: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def _repacked(bins: np.ndarray, lengths: np.ndarray, offsets: np.ndarray, size: int, share: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """``bins`` and ``offsets`` with the loosest bins packed by ``best_fit``, if fewer come out of it."""
     n = int(bins.max(initial=-1)) + 1
-    loosest = np.argsort(np.bincount(bins, lengths, n), kind="stable")
-    best = None
-    for share in (0.05, 0.25, 1):
-        loose = loosest[: int(np.ceil(n * share))]
-        rows = np.flatnonzero(np.isin(bins, loose))
-        new = best_fit(lengths[rows], size)
-        saved = len(loose) - (int(new.max(initial=-1)) + 1)
-        if saved > (best[0] if best else 0):
-            best = saved, loose, rows, new
-    if not best:
+    loose = np.argsort(np.bincount(bins, lengths, n), kind="stable")[: int(np.ceil(n * share))]
+    rows = np.flatnonzero(np.isin(bins, loose))
+    new = best_fit(lengths[rows], size)
+    if int(new.max(initial=-1)) + 1 >= len(loose):
         return bins, offsets
-    _, loose, rows, new = best
     bins = bins.copy()
     bins[rows] = loose[new]
     by = np.argsort(bins, kind="stable")
@@ -149,7 +143,8 @@ def pack(docs: DataFrame, size: int = 2048, group_rows: int = 40_000, path: str
     """
     cut = written(pieces(docs, size, path=path))
     groups = max(1, -(-cut.count() // group_rows))
-    dealt = cut.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
+    # by each row's place in the stored table, not by what it holds: rows that are alike are dealt out too
+    dealt = cut.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
 
     def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable", ignore_index=True)
