@@ -31,6 +31,9 @@ def _faults(value: Column, name: str, spec: dict) -> list[Column]:
     out = []
     if kinds:
         wrong = ~F.schema_of_variant(value).rlike("|".join(_TYPES[k] for k in kinds))
+        if "integer" in kinds:  # by value: 1e3 is one, and so are numbers of more digits than a decimal has
+            real = F.when(F.schema_of_variant(value) == "DOUBLE", F.try_variant_get(value, "$", "double"))
+            wrong &= ~F.coalesce(real == F.rint(real), F.lit(False))
         out.append(F.when(value.isNotNull() & wrong, F.lit(f"{name} is no {' or '.join(kinds)}")))
     if "enum" in spec:
         allowed = [json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False) for x in spec["enum"]]
@@ -42,14 +45,23 @@ def _faults(value: Column, name: str, spec: dict) -> list[Column]:
     return out + _members(value, f"{name}.", spec)
 
 
+def _member(value: Column, key: str) -> Column:
+    """A member of an object, whatever characters its key has: a path quotes it one way or the other, and a key with both quotes is
+    looked up in a map."""
+    for quote in "'\"":
+        if quote not in key:
+            return F.try_variant_get(value, f"$[{quote}{key}{quote}]", "variant")
+    return F.try_element_at(F.try_variant_get(value, "$", "map<string,variant>"), F.lit(key))
+
+
 def _members(value: Column, prefix: str, spec: dict) -> list[Column]:
     """The faults of an object's members."""
     out = []
     for key, inner in spec.get("properties", {}).items():
-        out += _faults(F.try_variant_get(value, f"$['{key}']", "variant"), prefix + key, inner)
+        out += _faults(_member(value, key), prefix + key, inner)
     is_object = F.schema_of_variant(value).rlike("^OBJECT")
     for key in spec.get("required", []):
-        out.append(F.when(is_object & F.try_variant_get(value, f"$['{key}']", "variant").isNull(), F.lit(f"{prefix}{key} is missing")))
+        out.append(F.when(is_object & _member(value, key).isNull(), F.lit(f"{prefix}{key} is missing")))
     if spec.get("additionalProperties") is False:
         keys = F.map_keys(F.from_json(F.to_json(value), "map<string,string>"))
         extra = F.array_except(keys, F.array(*map(F.lit, spec.get("properties", {}))).cast("array<string>"))
