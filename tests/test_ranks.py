@@ -4,7 +4,6 @@ import random
 from datetime import date
 
 import pytest
-from pyspark.sql import functions as F
 
 from fundlake.operators import diagnostics, ranks
 
