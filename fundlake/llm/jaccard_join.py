@@ -1,8 +1,9 @@
 """N-gram Jaccard join: sets of 5-word shingles, exact links, by T-occurrence search.
 
 Equal sets are one class from the start. Two sets that link share one of the first shingles of each in any common order (a fifth
-of a set and one more), so only those are dealt out, as inverted lists. Shingles that a sample shows to be frequent come last in
-the order, which keeps common passages out of the lists; that changes the work, never the result. Lists with the same members
+of a set and one more), so only those are dealt out, as inverted lists. The order goes by how many texts have a shingle, counted
+over all texts in cells of shortened hashes, which keeps common passages out of the lists at every size; that changes the work,
+never the result, and so does no cell that two shingles share. Lists with the same members
 are one. Members of a list become candidates where sizes, places and parity bitmaps leave room for a link: two sets differ in at
 least as many members as their bitmaps do in bits. Candidates are dealt into blocks of sets. A block's inverted lists are built
 once and searched with each of its queries: the short lists are merged by a heap, the long ones probed by bisection (DivideSkip).
@@ -16,7 +17,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -24,8 +25,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import components, ship, with_hot, written
+from .common import components, shared_dir, ship, with_hot, written
+from .hash_arrays import HashArrays, bounds, cells, edges, in_bytes, numbers, of_group, save, smallest, table
 
 WIDTH = 5
 #: Sets in a block of a search, as expected; words whose hashes a worker remembers; sets that a task remembers to have emitted.
@@ -34,6 +38,9 @@ BLOCK, KEPT, SEEN = 256, 400_000, 100_000
 LIST_BLOCK, FEW = 1024, 8
 #: What a step of a bisection costs against one of a merge.
 PROBE = 0.01
+#: A range's cells, ``m`` of them, by the steps from one to the next, and how many texts have each.
+_CELLS = "bucket long, m int, steps binary, n binary"
+_LOW = np.uint64(0xFFFFFFFF)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -81,21 +88,62 @@ def bitmap(members: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def frequent(docs: DataFrame, share: float = 0.25, least: int = 4, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, how often) of shingles that ``least`` or more of a fixed share of all distinct texts have, so that what counts
-    as frequent is the same at every size; the ``most`` most frequent of them."""
-    rows = docs.select("text").where(F.pmod(F.xxhash64("text", F.lit(23)), F.lit(1 << 20)) < int(share * (1 << 20)))
-
-    def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t in b["text"].to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(t).view(np.int64))], ["h"])
-
-    counts = rows.distinct().mapInArrow(emitted, "h long").groupBy("h").count().where(F.col("count") >= least)
-    found = counts.orderBy(F.desc("count"), "h").limit(most).toArrow()
-    h, count = found["h"].to_numpy(), found["count"].to_numpy()
-    by = np.argsort(h)
-    return h[by].view(np.uint64), count[by]
+def _counted(batches: Iterator[pa.RecordBatch], shards: int, schema: pa.Schema, flush: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """How many texts have each cell, by ranges of cells; a row for each range and about ``flush`` shingles."""
+    held, size, seen = [], 0, set()
+
+    def emit() -> pa.Table:
+        cell, n = np.unique(np.concatenate(held), return_counts=True)
+        ends = bounds(cell, shards)
+        rows = [
+            {"bucket": k, "m": int(hi - lo), "steps": in_bytes(np.diff(cell[lo:hi] & _LOW, prepend=np.uint64(0))), "n": in_bytes(n[lo:hi])}
+            for k, (lo, hi) in enumerate(zip(ends, ends[1:], strict=False)) if hi > lo
+        ]
+        return table(rows, schema)
+
+    for b in batches:
+        for text in b["text"]:
+            members = shingles(text.as_py())
+            name = xxhash.xxh3_64_intdigest(members.tobytes())
+            if not len(members) or name in seen:  # a set that the task has met counts once
+                continue
+            if len(seen) >= SEEN:
+                seen.clear()
+            seen.add(name)
+            held.append(cells(members, shards))
+            size += len(members)
+            if size >= flush:
+                yield from emit().to_batches()
+                held, size = [], 0
+    if held:
+        yield from emit().to_batches()
+
+
+def _added_up(group: pa.Table, folder: str, least: int) -> pa.Table:
+    """Writes the cells of a range that count ``least`` or more, and their counts."""
+    rows = group.to_pylist()
+    cell, place = np.unique(np.concatenate([np.cumsum(numbers(r["steps"], r["m"])) for r in rows]), return_inverse=True)
+    n = np.bincount(place, np.concatenate([numbers(r["n"], r["m"]) for r in rows])).astype(np.int64)
+    bucket, some = group["bucket"][:1], n >= least
+    if some.any():
+        shards = rows[0]["shards"]
+        save(folder, f"often-{bucket[0]}", {"key": edges(shards).astype(np.uint64)[bucket[0].as_py()] | cell[some].astype(np.uint64), "n": smallest(n[some])})
+    return pa.table({"bucket": bucket})
+
+
+def frequencies(docs: DataFrame, least: int = 8, shard: int = 1 << 24) -> tuple[str, int]:
+    """(folder, number of ranges) of how many texts have a shingle, for cells that ``least`` or more have: ``HashArrays`` in the
+    shared folder, which workers map. A range takes about ``shard`` bytes of text, so ranges and cells grow with the input. A list of
+    fewer than ``least`` members costs little wherever it comes in the order."""
+    spark = docs.sparkSession
+    ship(spark)
+    folder = shared_dir(spark)
+    shards = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard))
+    schema = to_arrow_schema(StructType.fromDDL(_CELLS))
+    counts = docs.select("text").mapInArrow(partial(_counted, shards=shards, schema=schema), _CELLS).withColumn("shards", F.lit(shards))
+    stored = counts.groupBy("bucket").applyInArrow(of_group(_added_up, folder=folder, least=least), "bucket long")
+    stored.write.format("noop").mode("overwrite").save()
+    return folder, shards
 
 
 #: The columns that ``sets`` makes on request, and their types.
@@ -103,31 +151,31 @@ _KINDS = {"members": "array<long>", "bits": "binary", "prefix": "array<long>"}
 
 
 def sets(
-    docs: DataFrame, *cols: str, order: tuple[np.ndarray, np.ndarray] | None = None, percent: int = 80, carry: tuple[Column, ...] = ()
+    docs: DataFrame, *cols: str, order: tuple[str, int] | None = None, percent: int = 80, carry: tuple[Column, ...] = ()
 ) -> DataFrame:
     """(doc_id, n, sig, short, the columns ``carry``) of every row, and of ``cols`` what is asked: members, bits (``bitmap``),
-    prefix (first members in the common order). sig: 128-bit digest of the set, short: its first half; both null without
+    prefix (first members in the common order, which ``order`` from frequencies() gives). sig: 128-bit digest of the set, short: its first half; both null without
     members. A set that a task has met before has its other columns null from then on.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    shared = spark.sparkContext.broadcast(order or (np.empty(0, np.uint64), np.empty(0, np.int64)))  # bounded by ``frequent``
+    ship(docs.sparkSession)
     rows = docs.select("doc_id", "text", *carry)
     kept = rows.columns[2:]
     more = [c for c in _KINDS if c in cols]
 
-    def first(s: np.ndarray) -> np.ndarray:
-        keys, often = shared.value
-        if len(keys):
-            at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-            s = s[np.argsort(np.where(keys[at] == s, often[at], 0), kind="stable")]
-        return s[: prefix_length(len(s), percent)].view(np.int64)
+    def first(some: list[np.ndarray], stored: HashArrays | None) -> list[np.ndarray]:
+        if stored is None or not some:
+            often = [np.zeros(len(s), np.int64) for s in some]
+        else:
+            cell, place = np.unique(cells(np.concatenate(some), order[1]), return_inverse=True)
+            often = np.split(stored.find(cell, ("n",))[1]["n"][place], np.cumsum([len(s) for s in some])[:-1])
+        return [s[np.argsort(n, kind="stable")][: prefix_length(len(s), percent)] for s, n in zip(some, often, strict=True)]
 
-    make = {"members": lambda s: s.view(np.int64), "bits": bitmap, "prefix": first}
     types = {"members": pa.list_(pa.int64()), "bits": pa.binary(), "prefix": pa.list_(pa.int64())}
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        stored = order and HashArrays(order[0], "often", order[1])
+        make = {"members": lambda some: some, "bits": lambda some: list(map(bitmap, some)), "prefix": lambda some: first(some, stored)}
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 b = whole.slice(k, 256)
@@ -143,7 +191,10 @@ def sets(
                         seen.add(d)
                 sizes = pa.array([len(s) for s in all_sets], pa.int64())
                 out = [b["doc_id"], sizes, pa.array(sig, pa.binary()), pa.array(short, pa.int64())]
-                out += [pa.array([make[c](s) if x else None for s, x in zip(all_sets, new, strict=True)], types[c]) for c in more]
+                some = [s for s, x in zip(all_sets, new, strict=True) if x]
+                for c in more:
+                    values = (v if c == "bits" else v.view(np.int64) for v in make[c](some))
+                    out.append(pa.array([next(values) if x else None for x in new], types[c]))
                 yield pa.RecordBatch.from_arrays([*out, *(b[c] for c in kept)], ["doc_id", "n", "sig", "short", *more, *kept])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -507,7 +558,7 @@ def _classes(docs: DataFrame, percent: int, *carry: Column) -> tuple[DataFrame,
     A class of equal sets is a node with a number of its own, since rows with one id may have other texts and null ids none.
     Lists and candidates go by the digest's first half; sets that share it, if there are any, are compared each.
     """
-    rows = written(sets(docs, "bits", "prefix", order=frequent(docs), percent=percent, carry=carry))
+    rows = written(sets(docs, "bits", "prefix", order=frequencies(docs), percent=percent, carry=carry))
     names = rows.where("sig is not null").groupBy("sig").agg(F.min("short").alias("short"), F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     names = written(names.withColumn("node", F.monotonically_increasing_id()))
     lists = written(inverted(rows, percent))
