@@ -191,7 +191,7 @@ class HashArrays:
         at = bounds(keys, self.buckets)
         for b in np.flatnonzero(at[1:] > at[:-1]):
             stored = self.column(b, "key")
-            if stored is None:
+            if stored is None or not len(stored):
                 continue
             lo, hi = at[b], at[b + 1]
             place = np.minimum(np.searchsorted(stored, keys[lo:hi]), len(stored) - 1)
