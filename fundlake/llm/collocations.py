@@ -33,6 +33,10 @@ _BLOCK = "langs array<string>, n array<long>, lang binary, words binary, keys bi
 #: ``m`` counts of the cells of a range, which are given by the steps from one to the next.
 _CELLS = "bucket long, m int, steps binary, n binary"
 
+#: Blocks in a file. A file is one row group, which is written, read and sent to Python whole: with 2 MB or so a block, all blocks of
+#: a task would fill the heap and the buffers beside it.
+PER_FILE = 12
+
 
 class _Ids(dict):
     """Places of a language's words among all words of a block; the gap is 0 for every language."""
@@ -80,7 +84,7 @@ def blocks(docs: DataFrame, size: int = 1 << 18) -> DataFrame:
     """The texts as blocks of inverted lists, of about ``size`` words each, written to the shared folder."""
     schema = to_arrow_schema(StructType.fromDDL(_BLOCK))
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return written(rows.mapInArrow(partial(_blocks, size=size, schema=schema), _BLOCK))
+    return written(rows.mapInArrow(partial(_blocks, size=size, schema=schema), _BLOCK), PER_FILE)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -233,7 +237,8 @@ def frequent_phrases(docs: DataFrame, longest: int = 5, least: int = 100, block:
     words = written(single.mapInArrow(_keyed, "lang string, word binary, key long, f long").withColumn("word", F.col("word").cast("string")))
     left = _share(words, 1, folder, shards)
     kind = "key long, words array<long>, f long, firsts array<long>, rests array<long>"
-    phrases = spark.createDataFrame([], kind)
+    row = F.array("id")
+    phrases = spark.range(0).select(F.col("id").alias("key"), row.alias("words"), F.col("id").alias("f"), row.alias("firsts"), row.alias("rests"))
     pack_schema, cell_schema, schema = (to_arrow_schema(StructType.fromDDL(x)) for x in (PACK, _CELLS, kind))
     for level in range(2, longest + 1):
         if not left:

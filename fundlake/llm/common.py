@@ -58,11 +58,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/fundlake-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written as a table to the shared folder and read again: cuts lineage and survives lost executors."""
+def written(df: DataFrame, per_file: int = 0) -> DataFrame:
+    """``df`` written as a table to the shared folder and read again: cuts lineage and survives lost executors. ``per_file``: rows
+    in a file at most (0: any number), for rows so large that a task should neither write nor read many at once."""
     ship(df.sparkSession)
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", per_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

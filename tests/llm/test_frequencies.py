@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from fundlake.llm import collocations, jaccard_join
 from fundlake.llm.hash_arrays import HashArrays, cells
@@ -30,3 +31,14 @@ def test_no_phrase_counts_often(spark):
     pairs = [("a", "c"), ("b", "c"), ("c", "b"), ("b", "a"), ("c", "a")]
     rows = [(0, "a b a. c a b", "en")] + [(k, f"{x} {y}", "en") for k, (x, y) in enumerate(pairs, 1)]
     assert collocations.mine(spark.createDataFrame(rows, "doc_id long, text string, lang string"), least=4).count() == 0
+
+
+def test_blocks_in_files(spark):
+    """No file holds more than a few blocks, whatever a task has; phrases start from no rows of Python's, which take workers of their own."""
+    docs = spark.createDataFrame([(k, "a b c d e f g h", "en") for k in range(100)], "doc_id long, text string, lang string").coalesce(1).cache()
+    lists = collocations.blocks(docs, 10)
+    files = [r["count"] for r in lists.groupBy(F.input_file_name()).count().collect()]
+    assert sum(files) > 3 * collocations.PER_FILE and max(files) <= collocations.PER_FILE
+    phrases = collocations.frequent_phrases(docs)[1]
+    assert phrases.count() == phrases.where("f = 100").count() == 22
+    assert "ExistingRDD" not in phrases._jdf.queryExecution().toString()
