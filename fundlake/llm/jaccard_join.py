@@ -29,11 +29,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .common import components, shared_dir, ship, with_hot, written
-from .hash_arrays import HashArrays, bounds, cells, edges, in_bytes, numbers, of_group, save, smallest, table
+from .hash_arrays import HashArrays, bounds, cells, edges, in_bytes, numbers, of_group, pieces, save, smallest, table
 
 WIDTH = 5
-#: Sets in a block of a search, as expected; words whose hashes a worker remembers; sets that a task remembers to have emitted.
-BLOCK, KEPT, SEEN = 256, 400_000, 100_000
+#: Sets in a block of a search, as expected; bytes of a word up to which it is hashed along with others; sets that a task remembers
+#: to have emitted.
+BLOCK, LONG, SEEN = 256, 64, 100_000
+#: Bytes of text that a task turns into sets together.
+PIECE = 1 << 18
 #: Members of one list in a block, as expected, and those up to which bitmaps are compared one by one.
 LIST_BLOCK, FEW = 1024, 8
 #: What a step of a bisection costs against one of a merge.
@@ -42,33 +45,68 @@ PROBE = 0.01
 _CELLS = "bucket long, m int, steps binary, n binary"
 _LOW = np.uint64(0xFFFFFFFF)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > KEPT:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_HASHES = _Hashes()
+#: The first 0 to 8 bytes of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _mixed(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Hashes ``h`` carried on by ``x``: one to one in each of the two."""
+    h = (h ^ x) * _M1
+    h ^= h >> np.uint64(31)
+    h *= _M2
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def _words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of ``text``, where they begin). ``text`` begins with white space and ends with eight bytes of it. Words
+    of up to LONG bytes are hashed together, eight bytes at a time, all others one by one."""
+    raw = np.frombuffer(text, np.uint8)
+    inside = (raw != 32) & (raw - np.uint8(9) > 4)
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    start, length = edge[::2], edge[1::2] - edge[::2]
+    eight = np.ndarray((len(raw) - 7,), "<u8", text, 0, (1,))  # the eight bytes from each place on
+    h = _mixed(length.astype(np.uint64) * _M2, eight[start] & _FIRST[np.minimum(length, 8)])
+    more, done = np.flatnonzero(length > 8), 8
+    while len(more) and done < LONG:
+        h[more] = _mixed(h[more], eight[start[more] + done] & _FIRST[np.minimum(length[more] - done, 8)])
+        done += 8
+        more = more[length[more] > done]
+    for k in more.tolist():
+        h[k] = xxhash.xxh64_intdigest(text[start[k] : start[k] + length[k]])
+    return h, start
+
+
+def _chained(words: np.ndarray, width: int) -> np.ndarray:
+    """The hashes of all runs of ``width`` words."""
+    n = len(words) - width + 1
+    h = np.full(n, width, np.uint64)
+    for k in range(width):
+        h = _mixed(h, words[k : n + k])
+    return h
+
+
+def all_shingles(texts: list[bytes | None]) -> list[np.ndarray]:
+    """Of each text the sorted distinct 64-bit hashes of its 5-word shingles (one of all words if there are fewer; none without words)."""
+    joined = b"".join((b"\n", b"\n".join(t or b"" for t in texts).lower(), b" " * 8))  # of bytes: A-Z and ASCII white space only
+    words, start = _words(joined)
+    cut = np.searchsorted(start, np.cumsum([1, *(len(t or b"") + 1 for t in texts)])).tolist()
+    every, out = _chained(words, WIDTH) if len(words) >= WIDTH else None, []
+    for lo, hi in zip(cut, cut[1:], strict=False):
+        if hi - lo >= WIDTH:
+            h = np.sort(every[lo : hi - WIDTH + 1])
+            new = np.empty(len(h), bool)
+            new[0] = True
+            np.not_equal(h[1:], h[:-1], out=new[1:])
+            out.append(h[new])
+        else:
+            out.append(_chained(words[lo:hi], hi - lo) if hi > lo else np.empty(0, np.uint64))
+    return out
 
 
 def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's 5-word shingles (one of all words if there are fewer; none without words)."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z and ASCII white space only
-    if not words:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    width = min(WIDTH, len(w))
-    h = np.full(len(w) - width + 1, width, np.uint64)
-    for k in range(width):
-        h = (h ^ w[k : len(w) - width + 1 + k]) * _M1
-        h ^= h >> np.uint64(31)
-        h *= _M2
-        h ^= h >> np.uint64(29)
-    return np.unique(h)
+    """all_shingles() of one text."""
+    return all_shingles([(text or "").encode("utf-8", "surrogatepass")])[0]
 
 
 def required(n: int | np.ndarray, m: int | np.ndarray, percent: int = 80):
@@ -101,20 +139,22 @@ def _counted(batches: Iterator[pa.RecordBatch], shards: int, schema: pa.Schema,
         ]
         return table(rows, schema)
 
-    for b in batches:
-        for text in b["text"]:
-            members = shingles(text.as_py())
-            name = xxhash.xxh3_64_intdigest(members.tobytes())
+    for b in (p for whole in batches for p in pieces(whole, "text", PIECE)):
+        new = []
+        for members in all_shingles(b["text"].to_pylist()):
+            name = xxhash.xxh3_64_intdigest(members)
             if not len(members) or name in seen:  # a set that the task has met counts once
                 continue
             if len(seen) >= SEEN:
                 seen.clear()
             seen.add(name)
-            held.append(cells(members, shards))
-            size += len(members)
-            if size >= flush:
-                yield from emit().to_batches()
-                held, size = [], 0
+            new.append(members)
+        if new:
+            held.append(cells(np.concatenate(new), shards))
+            size += len(held[-1])
+        if size >= flush:
+            yield from emit().to_batches()
+            held, size = [], 0
     if held:
         yield from emit().to_batches()
 
@@ -131,6 +171,11 @@ def _added_up(group: pa.Table, folder: str, least: int) -> pa.Table:
     return pa.table({"bucket": bucket})
 
 
+def _bytes(column: str) -> Column:
+    """A text's bytes; of a null text none."""
+    return F.coalesce(column, F.lit("")).cast("binary").alias(column)
+
+
 def frequencies(docs: DataFrame, least: int = 8, shard: int = 1 << 24) -> tuple[str, int]:
     """(folder, number of ranges) of how many texts have a shingle, for cells that ``least`` or more have: ``HashArrays`` in the
     shared folder, which workers map. A range takes about ``shard`` bytes of text, so ranges and cells grow with the input. A list of
@@ -140,7 +185,7 @@ def frequencies(docs: DataFrame, least: int = 8, shard: int = 1 << 24) -> tuple[
     folder = shared_dir(spark)
     shards = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard))
     schema = to_arrow_schema(StructType.fromDDL(_CELLS))
-    counts = docs.select("text").mapInArrow(partial(_counted, shards=shards, schema=schema), _CELLS).withColumn("shards", F.lit(shards))
+    counts = docs.select(_bytes("text")).mapInArrow(partial(_counted, shards=shards, schema=schema), _CELLS).withColumn("shards", F.lit(shards))
     stored = counts.groupBy("bucket").applyInArrow(of_group(_added_up, folder=folder, least=least), "bucket long")
     stored.write.format("noop").mode("overwrite").save()
     return folder, shards
@@ -158,7 +203,7 @@ def sets(
     members. A set that a task has met before has its other columns null from then on.
     """
     ship(docs.sparkSession)
-    rows = docs.select("doc_id", "text", *carry)
+    rows = docs.select("doc_id", _bytes("text"), *carry)
     kept = rows.columns[2:]
     more = [c for c in _KINDS if c in cols]
 
@@ -177,10 +222,9 @@ def sets(
         stored = order and HashArrays(order[0], "often", order[1])
         make = {"members": lambda some: some, "bits": lambda some: list(map(bitmap, some)), "prefix": lambda some: first(some, stored)}
         for whole in batches:
-            for k in range(0, whole.num_rows, 256):
-                b = whole.slice(k, 256)
-                all_sets = [shingles(t) for t in b["text"].to_pylist()]
-                sig = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in all_sets]
+            for b in pieces(whole, "text", PIECE):
+                all_sets = all_shingles(b["text"].to_pylist())
+                sig = [xxhash.xxh3_128_digest(s) if len(s) else None for s in all_sets]
                 short = [None if d is None else int.from_bytes(d[:8], "little", signed=True) for d in sig]
                 new = []
                 for d in sig:
